@@ -23,10 +23,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, without
+from .common import add_columns, small_batches, without
 
 #: Characters of text that the transducer takes at once.
 CHUNK = 1 << 16
@@ -281,23 +280,6 @@ def _shipped(df: DataFrame, tokenizer: str):
     return df.sparkSession.sparkContext.broadcast((source, Vocabulary(source).lookahead))
 
 
-def _mapped(df: DataFrame, text: str, added: list[T.StructField], make) -> DataFrame:
-    """Columns of the input plus those that make(texts) gives for each batch."""
-    names = [f.name for f in added]
-    df = df.withColumn("__text", F.col(f"`{text}`").cast("string"))
-    df = without(df, *names)
-    schema = T.StructType([*[f for f in df.schema.fields if f.name != "__text"], *added])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("__text")
-            kept = [c for k, c in enumerate(batch.columns) if k != at]
-            out = make(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*kept, *out], names=[*[n for k, n in enumerate(batch.schema.names) if k != at], *names])
-
-    return df.mapInArrow(run, schema)
-
-
 def bpe_encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """Add the ids of each text as array<int>; no special tokens are added."""
     shipped = _shipped(df, tokenizer)
@@ -309,7 +291,7 @@ def bpe_encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "to
         at = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
         return [pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
 
-    return _mapped(df, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make)
+    return add_columns(df, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make)
 
 
 def bpe_decode(df: DataFrame, tokenizer: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
@@ -353,4 +335,4 @@ def bpe_round_trip(df: DataFrame, tokenizer: str, text: str = "text") -> DataFra
             decoded.append(b.hexdigest())
         return [pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
 
-    return _mapped(df, text, added, make)
+    return add_columns(df, text, added, make)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, as every contract of this subpackage defines words by it.
 SPACE = r"\x20\x09-\x0D"
@@ -51,3 +54,20 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns whose names an operator is about to add (its own columns replace clashing ones)."""
     taken = {n.lower() for n in names}
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
+def add_columns(df: DataFrame, text: str, added: list[T.StructField], make: Callable[[list[str | None]], list[pa.Array]]) -> DataFrame:
+    """Columns of the input plus those that make(texts) gives for each Arrow batch of texts."""
+    small_batches(df.sparkSession)
+    names = [f.name for f in added]
+    df = without(df.withColumn("__text", F.col(f"`{text}`").cast("string")), *names)
+    schema = T.StructType([*[f for f in df.schema.fields if f.name != "__text"], *added])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("__text")
+            kept = [k for k in range(batch.num_columns) if k != at]
+            out = make(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], *out], names=[*[batch.schema.names[k] for k in kept], *names])
+
+    return df.mapInArrow(run, schema)
