@@ -191,7 +191,7 @@ class Encoder(dict):
                 yield from self._ordinary(part)
 
     def _ordinary(self, text: str) -> Iterator[bytes]:
-        words = NARROW.findall if _narrow(text) else WIDE.findall
+        words = pre_tokens if len(text) <= CHUNK else NARROW.findall if _narrow(text) else WIDE.findall
         if len(text) <= CHUNK:
             yield b"".join(map(self.__getitem__, words(text)))
             return
@@ -246,6 +246,10 @@ def _narrow(text: str) -> bool:
     return True
 
 
+def pre_tokens(text: str) -> list[str]:
+    return NARROW.findall(text) if _narrow(text) else WIDE.findall(text)
+
+
 class Decoder:
     """Incremental byte-to-text state machine: holds at most the bytes of one unfinished character."""
 

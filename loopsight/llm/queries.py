@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, mixing, quality, toxicity
-from .common import materialise
+from . import ann, bpe, chat, html, jaccard, license, mixing, quality, rans, toxicity
+from .common import materialise, scratch
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -23,11 +23,26 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op2_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op3_rans_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-ids")
+    rans.write_ids(table(spark, sf_dir, "documents"), TOKENIZER, path)
+    return rans.read_ids(spark, path, with_ids=False)
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.bpe_round_trip(docs, TOKENIZER).drop("text")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = license.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return docs.select("doc_id", F.size("licenses").alias("n_found"), F.explode_outer("licenses").alias("l")).select("doc_id", "n_found", "l.*")
+
+
 def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs).select("doc_id", "copy", "source", "shuffle_key", "text")
@@ -39,6 +54,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.score(docs).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op8_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], rows.schema)
+    return chat.digest(chat.format_chats(rows.unionByName(trap)))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 

@@ -41,6 +41,10 @@ THRESHOLD = 0.7
 
 # Second-person words of English, German, French and Spanish.
 SECOND_PERSON = {"you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dir", "dein", "deine", "euch", "ihr", "tu", "te", "toi", "ton", "ta", "tes", "vous", "votre", "vos", "ti", "tus", "usted", "ustedes", "vosotros"}
+# Insults of English, German, French and Spanish that a lexicon starts from.
+SEED = ["idiot", "moron", "stupid", "scum", "trash", "clown", "loser", "pathetic", "worthless", "disgusting", "dumb", "imbecile", "jerk", "idioten", "dumm", "trottel", "abschaum", "versager", "dreck", "ekelhaft", "imbécile", "abruti", "crétin", "ordure", "minable", "imbécil", "estúpido", "escoria", "basura", "patético"]
+#: Log odds of a seed word, until so many texts of the sample hold it.
+SEED_ODDS, SEED_SEEN = 6.0, 20
 # Signs that stand for a letter in obfuscated words.
 SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "*": "", ".": "", "-": "", "_": ""})
 FEATURES = ["log_words", "strong_density", "strong_count", "weak_density", "top_odds", "top_three_odds", "nearness", "capitals", "exclaims", "punctuation", "obfuscated", "obfuscated_odds"]
@@ -157,6 +161,9 @@ def learn_lexicons(sample: DataFrame) -> list[dict[str, float]]:
                 odds = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
                 if odds >= ODDS:
                     found[e] = odds
+        for w in SEED:
+            if sum(bad.get(f"={w}", (0, 0))) + sum(other.get(f"={w}", (0, 0))) < SEED_SEEN:
+                found[f"={w}"] = SEED_ODDS
         out.append(dict(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]))
     return out
 
