@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, small_batches
@@ -137,7 +137,7 @@ def frequency_classes(docs: DataFrame, text: str = "text") -> bytes:
 
 
 def shingle_sets(docs: DataFrame, classes: bytes, text: str = "text") -> DataFrame:
-    """doc_id, set_id, n, prefix (rarest shingles; given once in a task for each set)."""
+    """doc_id, set_id, key (its first half), n, prefix (rarest shingles; given once in a task for each set)."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,9 +156,10 @@ def shingle_sets(docs: DataFrame, classes: bytes, text: str = "text") -> DataFra
                     seen.add(key)
                 order = np.lexsort((s, of[(s >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)]))
                 prefixes.append(s[order[: prefix_length(len(s))]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "set_id", "n", "prefix"])
+            keys = [int.from_bytes(k[:8], "little", signed=True) for k in ids]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "set_id", "key", "n", "prefix"])
 
-    return _texts(docs, text).mapInArrow(run, "doc_id long, set_id binary, n long, prefix array<long>")
+    return _texts(docs, text).mapInArrow(run, "doc_id long, set_id binary, key long, n long, prefix array<long>")
 
 
 def _set_id(items: np.ndarray) -> bytes:
@@ -263,10 +264,12 @@ def _tile_pairs(live: DataFrame, arrays: DataFrame, labels: DataFrame) -> DataFr
 def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links lead to) of every document."""
     sets = materialise(shingle_sets(docs, frequency_classes(docs, text), text), "sets")
-    rows = sets.filter("prefix is not null").select("set_id", "n", F.explode("prefix").alias("shingle"))
-    rows = rows.groupBy("shingle", "set_id").agg(F.first("n").alias("n"))
-    shared = rows.groupBy("shingle").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).filter("lo != hi").select("shingle")
-    live = materialise(rows.join(shared, "shingle").withColumn("band", _band(F.col("n"))), "live")
+    # The one large shuffle carries two longs a row; sizes and full ids are joined to the few rows that share a shingle.
+    rows = sets.filter("prefix is not null").select("key", F.explode("prefix").alias("shingle"))
+    same = Window.partitionBy("shingle")
+    shared = rows.withColumns({"lo": F.min("key").over(same), "hi": F.max("key").over(same)}).filter("lo != hi").select("shingle", "key").distinct()
+    owners = sets.filter("prefix is not null").select("key", "set_id", "n").dropDuplicates(["set_id"])
+    live = materialise(shared.join(owners, "key").select("shingle", "set_id", "n", _band(F.col("n")).alias("band")), "live")
     arrays = materialise(_arrays(docs, live.select("set_id").distinct(), sets, text), "arrays")
 
     sized = arrays.select("set_id", "n", "bits")
