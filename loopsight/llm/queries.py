@@ -72,5 +72,30 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+# The mixture in SQL: rates by source, the distribution function at 0, 1, 2, ..., and how many of its values u reaches.
+_MIX = """WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+rates AS (SELECT source, sqrt(n) / sum(sqrt(n)) OVER () * sum(n) OVER () / n AS rate FROM n),
+steps AS (SELECT source, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c FROM rates, range(0, 200) t(k)),
+docs AS (SELECT *, CAST('0x' || substr(md5('17:' || doc_id), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM documents),
+counted AS (SELECT d.*, (SELECT count(*) FROM steps s WHERE s.source IS NOT DISTINCT FROM d.source AND s.c <= d.u) AS n FROM docs d)
+SELECT doc_id, CAST(k AS INT) AS copy, source, md5('17 order:' || doc_id || ':' || k) AS shuffle_key, text FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM counted)"""
+
+_CHATS = r"""WITH rows AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(length(replace(text, '\', '\\')) + len(regexp_extract_all(text, '</?s>|\[/?INST\]|<</?SYS>>|\[/?ROLE\]|\[SEP\]')) + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 ELSE 7 END) AS BIGINT) AS formatted_chars
+FROM rows GROUP BY conv_id"""
+
+# All pairs by their common shingles, and what links reach.
+_JACCARD = r"""WITH RECURSIVE w AS (SELECT doc_id, [x for x in string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''] AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[k:k + 4], ' ') for k in range(1, len(w) - 3)] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), shared AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1), t AS (SELECT s.* FROM s JOIN shared USING (g)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM t a JOIN t b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id WHERE r.root < e.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.root AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id) r ON r.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can state a result: fitted, approximate and tokenizer jobs are tested against brute force instead."""
+    return {"op6_poisson_mixing": _MIX, "op9_chat_formatting": _CHATS, "op10_ngram_jaccard_join": _JACCARD}
