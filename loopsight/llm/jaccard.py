@@ -2,7 +2,8 @@
 
 1. Each text becomes a sorted array of 64-bit shingle hashes; equal sets form one class.
 2. A sketch with a fixed number of counters, filled from all documents, orders shingles from rare
-   to frequent. Linked sets share a shingle among the first fifth of that order (prefix filter).
+   to frequent. Of the first quarter in that order linked sets share a twentieth of their size (prefix
+   filter), which leaves out sets that share a passage only.
 3. Tiles: classes with a common prefix shingle meet by size band (neighbouring bands only). A first
    round compares each class with one pivot of its tile; after that only classes still in different
    components meet. Parity bitmaps bound the overlap from above: sets differ in at least as many
@@ -37,6 +38,8 @@ PARTS = 64
 TILE = 2048
 #: Ids of candidate documents that are broadcast at most (32 MB); beyond, they are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
+#: Bytes of bitmaps that are broadcast at most; beyond, they travel with the rows of the tiles.
+BROADCAST_BYTES = 48 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -93,13 +96,13 @@ def shingles(texts: list[str | None]) -> list[np.ndarray]:
 
 
 def prefix_length(n: int) -> int:
-    """Shingles of a set of n of which a linked set has one at least: n less the least overlap, and one."""
-    return n - (4 * n + 4) // 5 + 1 if n else 0
+    """Shingles of a set of n that are looked at: enough to hold 1 + n // 20 of those shared with any linked set."""
+    return n - (4 * n + 4) // 5 + 1 + n // 20 if n else 0
 
 
 def bitmap(items: np.ndarray) -> np.ndarray:
-    """Parity bitmap: a bit for each residue, set if an odd number of the shingles has it. Bits: size to a power of two, 64 at least."""
-    bits = max(64, 1 << int(len(items) - 1).bit_length())
+    """Parity bitmap: a bit for each residue, set if an odd number of the shingles has it. Bits: four times the size, to a power of two."""
+    bits = max(64, 4 << int(len(items) - 1).bit_length())
     odd = np.bincount((items & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -166,8 +169,8 @@ def _set_id(items: np.ndarray) -> bytes:
     return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
 
 
-def _arrays(docs: DataFrame, wanted: DataFrame, sets: DataFrame, text: str) -> DataFrame:
-    """set_id, n, items (sorted), bits of the wanted sets, from one document of each."""
+def _of_sets(docs: DataFrame, wanted: DataFrame, sets: DataFrame, text: str, make, name: str) -> DataFrame:
+    """set_id and make(shingles), an array of longs, of the wanted sets, from one document of each."""
     chosen = sets.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).join(wanted, "set_id").select(F.col("doc_id").alias("chosen")).distinct()
     chosen = materialise(chosen, "chosen")
     if chosen.count() <= BROADCAST_IDS:
@@ -178,11 +181,9 @@ def _arrays(docs: DataFrame, wanted: DataFrame, sets: DataFrame, text: str) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [s for s in shingles(batch.column(0).to_pylist()) if len(s)]
-            columns = [pa.array([_set_id(s) for s in found], pa.binary()), pa.array(map(len, found), pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())), pa.array([bitmap(s) for s in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["set_id", "n", "items", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in found], pa.binary()), pa.array([make(s) for s in found], pa.list_(pa.int64()))], names=["set_id", name])
 
-    arrays = rows.select("text").mapInArrow(run, "set_id binary, n long, items array<long>, bits array<long>")
-    return arrays.dropDuplicates(["set_id"])
+    return materialise(rows.select("text").mapInArrow(run, f"set_id binary, {name} array<long>"), name)
 
 
 def _bits_differ(a: Column, b: Column) -> Column:
@@ -203,8 +204,11 @@ def _possible(a_n: Column, b_n: Column, a_bits: Column, b_bits: Column) -> Colum
     return (5 * a_n >= 4 * b_n) & (5 * b_n >= 4 * a_n) & (9 * _bits_differ(a_bits, b_bits) <= a_n + b_n)
 
 
-def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, text: str) -> DataFrame:
     """Pairs (a, b) whose exact intersection reaches 0.8 of the union."""
+    pairs = materialise(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+    arrays = _of_sets(docs, wanted, sets, text, lambda x: x.view(np.int64), "items")
     left = arrays.select(F.col("set_id").alias("a"), F.col("items").alias("a_items"))
     right = arrays.select(F.col("set_id").alias("b"), F.col("items").alias("b_items"))
 
@@ -241,42 +245,136 @@ def _band(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.25)) + F.lit(1e-9)).cast("int")
 
 
-def _star_pairs(live: DataFrame) -> DataFrame:
-    """Each class with the least class of every tile it is in."""
-    pivots = live.groupBy("shingle", "band").agg(F.min("set_id").alias("a"))
-    return live.join(pivots, ["shingle", "band"]).filter("a != set_id").select("a", F.col("set_id").alias("b")).distinct()
+def _shared(rows: DataFrame, by: str) -> DataFrame:
+    """Rows of shingles that more than one value of ``by`` has."""
+    same = Window.partitionBy("shingle")
+    return rows.withColumns({"lo": F.min(by).over(same), "hi": F.max(by).over(same)}).filter("lo != hi").drop("lo", "hi")
+
 
+def _enough(rows: DataFrame) -> DataFrame:
+    """Rows of sets that have as many of them as any link needs (the smallest linked set has 0.8 of n)."""
+    return rows.withColumn("rows", F.count("*").over(Window.partitionBy("set_id"))).filter(F.col("rows") > F.floor(F.col("n") / 25)).drop("rows")
 
-def _tile_pairs(live: DataFrame, arrays: DataFrame, labels: DataFrame) -> DataFrame:
+
+def _star_pairs(live: DataFrame, signed: DataFrame) -> DataFrame:
+    """Each class with the least class of every tile it is in, where they may be similar."""
+    pivots = live.groupBy("shingle", "band").agg(F.min("set_id").alias("a"))
+    pairs = live.join(pivots, ["shingle", "band"]).filter("a != set_id").select("a", F.col("set_id").alias("b")).distinct()
+    sized = signed.select("set_id", "n", "bits")
+    pairs = pairs.join(sized.toDF("a", "a_n", "a_bits"), "a").join(sized.toDF("b", "b_n", "b_bits"), "b")
+    return pairs.filter(_possible(F.col("a_n"), F.col("b_n"), F.col("a_bits"), F.col("b_bits"))).select("a", "b")
+
+
+def _tiled(rows: DataFrame) -> DataFrame:
+    """Add block, and lo and hi: the pair of blocks that a row meets in. A hot shingle's rows go to blocks, each other shingle's to one."""
+    rows = rows.withColumn("blocks", (F.count("*").over(Window.partitionBy("shingle")) / TILE).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks") + 1).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks"))))
+    return rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("blocks", "other")
+
+
+class _Signatures:
+    """Sizes, labels and bitmaps of sets, by length of bitmap; the longer ones also folded to half."""
+
+    def __init__(self, rows: list[tuple[bytes, int, bytes, bytes]]) -> None:
+        self.at = {r[0]: k for k, r in enumerate(rows)}
+        self.ids = [r[0] for r in rows]
+        self.n = np.array([r[1] for r in rows], np.int64)
+        names = {x: k for k, x in enumerate(sorted({r[2] for r in rows}))}
+        self.label = np.array([names[r[2]] for r in rows], np.int64)
+        self.length = np.array([len(r[3]) // 8 for r in rows], np.int64)
+        self.place = np.zeros(len(rows), np.int64)
+        self.full: dict[int, np.ndarray] = {}
+        for m in np.unique(self.length).tolist():
+            own = np.flatnonzero(self.length == m)
+            self.place[own] = np.arange(len(own))
+            self.full[m] = np.stack([np.frombuffer(rows[k][3], np.uint64) for k in own.tolist()])
+        self.half = {m: x[:, : m // 2] ^ x[:, m // 2 :] for m, x in self.full.items() if m > 1}
+
+    def pairs(self, left: np.ndarray, right: np.ndarray, same: bool) -> Iterator[tuple[int, int]]:
+        """Pairs of one from each side that sizes, labels and bitmaps allow; each once if the sides are the same."""
+        for m in np.unique(self.length[left]).tolist():
+            for i in left[self.length[left] == m].tolist():
+                near = (self.label[right] != self.label[i]) & (5 * self.n[right] >= 4 * self.n[i]) & (5 * self.n[i] >= 4 * self.n[right])
+                js = right[near & (right > i)] if same else right[near]
+                for k in (m, 2 * m, m // 2):
+                    some = js[self.length[js] == k]
+                    if k and len(some):
+                        mine = (self.half if k < m else self.full)[m][self.place[i]]
+                        theirs = (self.half if k > m else self.full)[k][self.place[some]]
+                        differ = np.bitwise_count(theirs ^ mine).sum(axis=1, dtype=np.int64)
+                        for j in some[9 * differ <= self.n[some] + self.n[i]].tolist():
+                            yield i, j
+
+
+def _tile_pairs(live: DataFrame, signed: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of classes in one tile or neighbouring ones that are in different components and may be similar."""
     rows = live.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    mixed = rows.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).filter("lo != hi")
-    rows = rows.join(mixed.select("shingle", (F.col("rows") / TILE).cast("int").alias("salts")), "shingle")
-    rows = materialise(rows.join(arrays.select("set_id", "bits"), "set_id"), "tiles")
-    left = rows.select("shingle", "band", F.pmod(F.xxhash64("set_id"), F.col("salts") + 1).cast("int").alias("salt"), F.col("set_id").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("a_label"), F.col("bits").alias("a_bits"))
-    right = rows.withColumn("meets", F.explode(F.array("band", F.col("band") - 1))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts"))))
-    right = right.select("shingle", F.col("meets").alias("band"), "salt", F.col("band").alias("b_band"), F.col("set_id").alias("b"), F.col("n").alias("b_n"), F.col("label").alias("b_label"), F.col("bits").alias("b_bits"))
-    once = (F.col("b_band") > F.col("band")) | (F.col("a") < F.col("b"))
-    pairs = left.join(right, ["shingle", "band", "salt"]).filter(once & (F.col("a_label") != F.col("b_label")) & _possible(F.col("a_n"), F.col("b_n"), F.col("a_bits"), F.col("b_bits")))
+    rows = materialise(_shared(_enough(_shared(rows, "label")), "label"), "mixed")
+    own = materialise(rows.select("set_id", "n", "label").distinct().join(signed.select("set_id", "bits"), "set_id"), "signatures")
+    if own.agg(F.coalesce(F.sum(8 * F.size("bits") + 64), F.lit(0))).first()[0] > BROADCAST_BYTES:
+        return _tile_pairs_joined(rows, signed)
+    packed = [(bytes(r["set_id"]), r["n"], bytes(r["label"]), np.array(r["bits"], np.int64).tobytes()) for r in own.orderBy("set_id").collect()]
+    shared = live.sparkSession.sparkContext.broadcast(_Signatures(packed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, seen, key, members = shared.value, set(), None, ([], [])
+
+        def meet() -> list[tuple[int, int]]:
+            out = []
+            if key and members[0] and (members[1] or key[1] == key[2]):
+                left, right = (np.unique(np.array(x, np.int64)) for x in members)
+                same = key[1] == key[2]
+                for p in s.pairs(left, left if same else right, same):
+                    p = (min(p), max(p))
+                    if p not in seen:
+                        if len(seen) > 1_000_000:
+                            seen.clear()
+                        seen.add(p)
+                        out.append(p)
+            return out
+
+        for batch in batches:
+            found = []
+            for g, lo, hi, block, i in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                if (g, lo, hi) != key:
+                    found += meet()
+                    key, members = (g, lo, hi), ([], [])
+                members[0 if block == lo else 1].append(s.at[i])
+            yield _as_pairs(found, s)
+        yield _as_pairs(meet(), s)
+
+    tiles = _tiled(rows.select("shingle", "set_id")).repartition("shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi")
+    return tiles.select("shingle", "lo", "hi", "block", "set_id").mapInArrow(run, "a binary, b binary").distinct()
+
+
+def _as_pairs(found: list[tuple[int, int]], s: _Signatures) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([s.ids[p[k]] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+
+def _tile_pairs_joined(rows: DataFrame, signed: DataFrame) -> DataFrame:
+    """As ``_tile_pairs`` where the bitmaps are too large to broadcast: they travel with the rows."""
+    rows = materialise(_tiled(rows.join(signed.select("set_id", "bits"), "set_id")), "tiles")
+    side = lambda x: rows.select("shingle", "lo", "hi", F.col("block").alias(f"{x}_block"), F.col("band").alias(f"{x}_band"), F.col("set_id").alias(x), F.col("n").alias(f"{x}_n"), F.col("label").alias(f"{x}_label"), F.col("bits").alias(f"{x}_bits"))
+    once = ((F.col("a_block") == F.col("lo")) & (F.col("b_block") == F.col("hi"))) & ((F.col("lo") != F.col("hi")) | (F.col("a") < F.col("b")))
+    near = F.abs(F.col("a_band") - F.col("b_band")) <= 1
+    pairs = side("a").join(side("b"), ["shingle", "lo", "hi"]).filter(once & near & (F.col("a_label") != F.col("b_label")) & _possible(F.col("a_n"), F.col("b_n"), F.col("a_bits"), F.col("b_bits")))
     return pairs.select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links lead to) of every document."""
     sets = materialise(shingle_sets(docs, frequency_classes(docs, text), text), "sets")
-    # The one large shuffle carries two longs a row; sizes and full ids are joined to the few rows that share a shingle.
+    # The one large shuffle carries two longs a row; sizes and full ids are joined to the rows that share a shingle.
     rows = sets.filter("prefix is not null").select("key", F.explode("prefix").alias("shingle"))
-    same = Window.partitionBy("shingle")
-    shared = rows.withColumns({"lo": F.min("key").over(same), "hi": F.max("key").over(same)}).filter("lo != hi").select("shingle", "key").distinct()
-    owners = sets.filter("prefix is not null").select("key", "set_id", "n").dropDuplicates(["set_id"])
-    live = materialise(shared.join(owners, "key").select("shingle", "set_id", "n", _band(F.col("n")).alias("band")), "live")
-    arrays = materialise(_arrays(docs, live.select("set_id").distinct(), sets, text), "arrays")
-
-    sized = arrays.select("set_id", "n", "bits")
-    stars = _star_pairs(live)
-    stars = stars.join(sized.toDF("a", "a_n", "a_bits"), "a").join(sized.toDF("b", "b_n", "b_bits"), "b").filter(_possible(F.col("a_n"), F.col("b_n"), F.col("a_bits"), F.col("b_bits"))).select("a", "b")
-    links = materialise(_verified(stars, arrays), "links")
-    more = materialise(_verified(_tile_pairs(live, arrays, components(links)), arrays), "links")
+    owners = sets.filter("prefix is not null").select("key", "set_id", "n").distinct()
+    shared = _shared(rows, "key").distinct().join(owners, "key").select("shingle", "set_id", "n")
+    live = materialise(_shared(_enough(shared), "set_id").withColumn("band", _band(F.col("n"))), "live")
+
+    sizes = live.select("set_id", "n").distinct()
+    signed = materialise(_of_sets(docs, sizes.select("set_id"), sets, text, bitmap, "bits").dropDuplicates(["set_id"]).join(sizes, "set_id"), "signed")
+
+    links = materialise(_verified(_star_pairs(live, signed), docs, sets, text), "links")
+    more = materialise(_verified(_tile_pairs(live, signed, components(links)), docs, sets, text), "links")
     labels = components(links.unionByName(more))
 
     own = sets.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least")).join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
