@@ -64,8 +64,9 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 def usable(vectors: DataFrame, dim: int) -> DataFrame:
     """vec_id, v of the rows that take part."""
     v = F.col("embedding").cast("array<double>")
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & (F.size("v") == dim) & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False)) & F.exists("v", lambda x: x != 0))
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+    return rows.filter(F.col("vec_id").isNotNull() & (F.size("v") == dim) & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
 
 
 def dimension(vectors: DataFrame) -> int:

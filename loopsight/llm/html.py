@@ -41,7 +41,7 @@ RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe",
 DROPPED = RAW | {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "audio", "video", "canvas", "map", "datalist"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-FRAME = {"html", "body", "div", "main", "article", "section", "center", "table", "tbody", "tr", "td", "ul", "ol", "dl", "header", "footer", "nav", "aside", "form"} | DROPPED - {"head"} | {"head"}
+FRAME = {"html", "body", "div", "main", "article", "section", "center", "table", "tbody", "tr", "td", "ul", "ol", "dl", "header", "footer", "nav", "aside", "form"} | DROPPED
 MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|sidebar|side-?nav|menu|nav|navbar|navigation|breadcrumbs?|comments?|disqus|respond|replies|share|sharing|social|related|recommend(?:ed|ations)?|newsletter|subscribe|signup|login|search|footer|header|masthead|topbar|toolbar|widget|pagination|pager|tags|disclaimer|copyright|skip-link)(?=$|[\s_-])", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
