@@ -75,13 +75,13 @@ def test_paths(spark, path, want):
 def test_paths_of_pages_fold_like_a_plain_loop(spark):
     import posixpath
 
-    from loopsight.plans import registry
+    from loopsight.plans import catalog
     from loopsight.sources import views
 
     sf = "/root/testdata/sf0.001"
     raw = views.table(spark, sf, "pages").select("page_id", F.concat(F.regexp_extract("url", r"://[^/]*(/[^?#]*)", 1), F.lit("/./a//../b/")).alias("p"))
     want = {r["page_id"]: posixpath.normpath(r["p"]) for r in raw.collect()}
-    assert {r["page_id"]: r["path"] for r in registry.QUERIES["d7_normalize_path"](spark, sf).collect()} == want
+    assert {r["page_id"]: r["path"] for r in catalog.detect_queries.d7_normalize_path(spark, sf).collect()} == want
 
 
 def test_similarities(spark):
