@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,12 @@ class ChecksumError(ValueError):
 
 def table_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Symbols, frequencies (at least 1, in sum a power of two) and that power."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    if ids.max() < 1 << 22:  # counting beats sorting for ids of any usual vocabulary
+        counts = np.bincount(ids)
+        symbols = np.flatnonzero(counts)
+        counts = counts[symbols]
+    else:
+        symbols, counts = np.unique(ids, return_counts=True)
     scale = max(SCALE, int(len(symbols)).bit_length() + 2)
     total = 1 << scale
     freq = np.maximum(1, counts * (total - len(symbols)) // counts.sum())
@@ -69,7 +75,12 @@ def encode(ids: np.ndarray) -> bytes:
     blocks = -(-n // (LANES * BLOCK_STEPS))
     steps = -(-n // (LANES * blocks))
     rank = np.full(blocks * steps * LANES, int(freq.argmax()), np.int64)
-    rank[:n] = np.searchsorted(symbols, ids)
+    if symbols[-1] < 1 << 22:
+        place = np.zeros(int(symbols[-1]) + 1, np.int64)
+        place[symbols] = np.arange(len(symbols))
+        rank[:n] = place[ids]
+    else:
+        rank[:n] = np.searchsorted(symbols, ids)
     rank = rank.reshape(blocks, steps, LANES).transpose(1, 0, 2)
     x = np.full((blocks, LANES), LOW, np.uint64)
     words = np.zeros(rank.shape, np.uint32)
@@ -142,7 +153,9 @@ class LibraryIds:
     """Packed ids of texts from the tokenizers library, which is asked once for each pre-token not met before."""
 
     #: Pre-tokens remembered by one worker before it starts anew.
-    remembered = 800_000
+    remembered = 1_200_000
+    #: Words with the space before them that are given to the library as one text.
+    together = 500
 
     def __init__(self, source: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -152,6 +165,10 @@ class LibraryIds:
         self.library.no_truncation()
         self.library.no_padding()
         self.known: dict[str, bytes] = {}
+        pieces = self.library.get_vocab(with_added_tokens=False)
+        mark = bpe.byte_characters()[ord(" ")]
+        self.opens = np.zeros(max(pieces.values()) + 1, bool)  # ids of tokens that begin with a space
+        self.opens[[i for t, i in pieces.items() if t.startswith(mark)]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # A text that may hold a special token's string goes to the library whole; pre-tokens don't affect each other.
@@ -160,17 +177,27 @@ class LibraryIds:
         if len(self.known) + len(words) > self.remembered:
             self.known.clear()
             words = set().union(*parts)
-        long = {w for w in words if len(w) > 64}
-        ordered = list(words)
-        for k in range(0, len(ordered), 20_000):
-            some = ordered[k : k + 20_000]
-            for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        spaced = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        self._together(spaced)
+        rest = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
+        for w, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
+            self.known[w] = array("I", e.ids).tobytes()
         out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
-        for w in long:
+        for w in [w for w in words if len(w) > 64]:
             del self.known[w]
         return out
 
+    def _together(self, words: list[str]) -> None:
+        """Words of a space and letters stay pre-tokens of their own in a row; a token with a space begins the next one."""
+        groups = [words[k : k + self.together] for k in range(0, len(words), self.together)]
+        for group, e in zip(groups, self.library.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            starts = (np.flatnonzero(self.opens[ids]) * 4).tolist()
+            if len(starts) != len(group):
+                raise ValueError("a word was cut apart")
+            raw = ids.tobytes()
+            self.known.update(zip(group, map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)]))))
+
 
 _library: dict[str, LibraryIds] = {}
 
