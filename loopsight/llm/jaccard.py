@@ -252,13 +252,17 @@ def _shared(rows: DataFrame, by: str) -> DataFrame:
 
 
 def _enough(rows: DataFrame) -> DataFrame:
-    """Rows of sets that have as many of them as any link needs (the smallest linked set has 0.8 of n)."""
-    return rows.withColumn("rows", F.count("*").over(Window.partitionBy("set_id"))).filter(F.col("rows") > F.floor(F.col("n") / 25)).drop("rows")
+    """Rows of sets that have as many of them (rows) as any link needs (the smallest linked set has 0.8 of n)."""
+    return rows.withColumn("rows", F.count("*").over(Window.partitionBy("set_id"))).filter(F.col("rows") > F.floor(F.col("n") / 25))
 
 
 def _star_pairs(live: DataFrame, signed: DataFrame) -> DataFrame:
-    """Each class with the least class of every tile it is in, where they may be similar."""
-    pivots = live.groupBy("shingle", "band").agg(F.min("set_id").alias("a"))
+    """Each class with the pivot of every tile it is in, where they may be similar.
+
+    The pivot is the class that shares most of its shingles: an original rather than one of its edited copies.
+    """
+    central = F.struct((-F.col("rows") / F.col("n")).alias("s"), "set_id")
+    pivots = live.groupBy("shingle", "band").agg(F.min(central)["set_id"].alias("a"))
     pairs = live.join(pivots, ["shingle", "band"]).filter("a != set_id").select("a", F.col("set_id").alias("b")).distinct()
     sized = signed.select("set_id", "n", "bits")
     pairs = pairs.join(sized.toDF("a", "a_n", "a_bits"), "a").join(sized.toDF("b", "b_n", "b_bits"), "b")
@@ -343,7 +347,8 @@ def _tile_pairs(live: DataFrame, signed: DataFrame, labels: DataFrame) -> DataFr
             yield _as_pairs(found, s)
         yield _as_pairs(meet(), s)
 
-    tiles = _tiled(rows.select("shingle", "set_id")).repartition("shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi")
+    parts = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # work grows faster than bytes: no merging of small parts
+    tiles = _tiled(rows.select("shingle", "set_id")).repartition(parts, "shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi")
     return tiles.select("shingle", "lo", "hi", "block", "set_id").mapInArrow(run, "a binary, b binary").distinct()
 
 
