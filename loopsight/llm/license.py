@@ -1,11 +1,14 @@
 """License scans by patience alignment of texts with license templates.
 
-Words that a template and a stretch of text have once each are anchors; the longest increasing subsequence of
+Where 2n words of text share enough words with a template of n words, spans are measured by their longest common
+subsequence with it, and those without overlap that have most common words in all are the finds. Each is
+aligned: words that the template and the span have once each are anchors; the longest increasing subsequence of
 anchors is kept, and the gaps between them are aligned in the same way, down to runs of equal
-words at a gap's ends. A template's coverage is the share of its words that are aligned.
+words at a gap's ends. A template's coverage is the share of its words that are aligned (the longest common
+subsequence where repeated words leave too few anchors).
 
-Edge cases: null and empty texts hold no license; a text may hold several, each reported; overlapping
-finds of one template are reported once, the better one; repeated rows are scanned each; input columns named
+Edge cases: null and empty texts hold no license; a text may hold several, or one several times, side by side too,
+each reported; overlapping finds of one template are reported once, the better ones; repeated rows are scanned each; input columns named
 ``licenses`` are replaced; an empty table gives an empty table.
 """
 
@@ -90,57 +93,100 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _compact(aligned: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
-    """The most aligned words that lie within so many words of text."""
-    best: list[tuple[int, int]] = []
-    k = 0
-    for e in range(len(aligned)):
-        while aligned[e][0] - aligned[k][0] >= most:
-            k += 1
-        if e + 1 - k > len(best):
-            best = aligned[k : e + 1]
-    return best
+def _spans(at: list[tuple[int, int]], n: int, need: float) -> list[tuple[int, int, int]]:
+    """(first, last, common): spans of 2n words at most whose longest common subsequence with the template is long
+    enough, without those that hold a shorter span with as many; at has positions of the text and the template's bits."""
+    full = (1 << n) - 1
+    out: list[tuple[int, int, int]] = []
+    later: dict[int, int] = {}  # where spans from the next start on reach so many words
+    for s in range(len(at) - 1, -1, -1):
+        first, v, count, ends = at[s][0], full, 0, {}
+        for k in range(s, len(at)):
+            last, bits = at[k]
+            if last - first >= 2 * n or count == n:
+                break
+            u = v & bits
+            v = ((v + u) | (v - u)) & full
+            now = n - v.bit_count()
+            if now > count:
+                count = now
+                if now >= need:
+                    ends[now] = last
+                    if later.get(now) != last:
+                        out.append((first, last, now))
+        later = ends
+    return out
+
+
+def _apart(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans without overlap that have most common words in all, in the fewest words of text."""
+    spans = sorted(spans, key=lambda x: x[1])
+    lasts = [x[1] for x in spans]
+    best, take = [(0, 0)], []
+    for first, last, common in spans:
+        before = bisect_left(lasts, first)
+        with_it = (best[before][0] + common, best[before][1] - (last - first + 1))
+        take.append(before if with_it > best[-1] else -1)
+        best.append(max(with_it, best[-1]))
+    out, k = [], len(spans)
+    while k:
+        k -= 1
+        if take[k] >= 0:
+            out.append(spans[k])
+            k = take[k]
+    return out[::-1]
 
 
-def prepare(templates: dict[str, str]) -> dict[str, tuple[list[str], set[str]]]:
+def prepare(templates: dict[str, str]) -> dict[str, tuple[list[str], dict[str, int]]]:
     out = {}
     for name, text in templates.items():
         w = words_of(text)
-        rare = {x for x in w if x not in STOP}
         if sum(x in STOP for x in w) > (COVERAGE - 0.05) * len(w):
             raise ValueError(f"{name}: too few telling words")
-        out[name] = (w, rare)
+        bits: dict[str, int] = {}
+        for k, x in enumerate(w):
+            bits[x] = bits.get(x, 0) | 1 << k
+        out[name] = (w, bits)
     return out
 
 
-def scan(text: str | None, templates: dict[str, tuple[list[str], set[str]]], coverage: float = COVERAGE) -> list[dict]:
+def _dense(words: list[str], bits: dict[str, int], n: int, need: float) -> list[list[tuple[int, int]]]:
+    """Runs of the template's words (position, bits) in which 2n words of text share enough with it in any order."""
+    at = [(k, bits[w]) for k, w in enumerate(words) if w in bits]
+    have: dict[int, int] = {}
+    runs: list[list[int]] = []
+    common = s = 0
+    for e, (k, b) in enumerate(at):
+        have[b] = have.get(b, 0) + 1
+        common += have[b] <= b.bit_count()
+        while k - at[s][0] >= 2 * n:
+            gone = at[s][1]
+            common -= have[gone] <= gone.bit_count()
+            have[gone] -= 1
+            s += 1
+        if common >= need:
+            if runs and s <= runs[-1][1]:
+                runs[-1][1] = e
+            else:
+                runs.append([s, e])
+    return [at[s : e + 1] for s, e in runs]
+
+
+def scan(text: str | None, templates: dict[str, tuple[list[str], dict[str, int]]], coverage: float = COVERAGE) -> list[dict]:
     """Finds of each template: name, coverage, matched words, first and last word position of the text."""
     words = words_of(text or "")
     own = set(words)
     out = []
-    for name, (template, rare) in templates.items():
+    for name, (template, bits) in templates.items():
         n = len(template)
         # Words of the template that the text has at all bound its coverage from above.
         if sum(w in own for w in template) < coverage * n:
             continue
-        at = [k for k, w in enumerate(words) if w in rare]
-        groups: list[list[int]] = []
-        for k in at:
-            if groups and k - groups[-1][1] <= n:
-                groups[-1][1] = k
-            else:
-                groups.append([k, k])
-        for first, last in groups:
-            lo, hi = max(0, first - n), min(len(words), last + n + 1)
-            while True:
-                aligned = _compact(patience(words[lo:hi], template), 2 * n)
-                if len(aligned) < coverage * n:
-                    break
-                a, b = lo + aligned[0][0], lo + aligned[-1][0]
-                out.append({"license": name, "coverage": len(aligned) / n, "matched": len(aligned), "first_word": a, "last_word": b})
-                lo = b + 1  # the text behind may hold it again
-                if hi - lo < coverage * n:
-                    break
+        for run in _dense(words, bits, n, coverage * n):
+            for a, b, common in _apart(_spans(run, n, coverage * n)):
+                aligned = len(patience(words[a : b + 1], template))
+                matched = aligned if aligned >= coverage * n else common  # repeated words leave patience too few anchors
+                out.append({"license": name, "coverage": matched / n, "matched": matched, "first_word": a, "last_word": b})
     return sorted(out, key=lambda x: (x["first_word"], x["license"]))
 
 

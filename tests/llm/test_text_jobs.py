@@ -81,6 +81,24 @@ def test_scans(odd, empty, spark):
     assert license.scan_licenses(empty).count() == 0
 
 
+def test_scans_repeated_notices():
+    t = license.prepare(license.TEMPLATES)
+    note, mit = license.TEMPLATES["CC-BY-NC-4.0"], license.TEMPLATES["MIT-text"]
+    places = lambda text, name: [(x["first_word"], x["last_word"]) for x in license.scan(text, t) if x["license"] == name]
+    assert places(f"x {note} {note} y", "CC-BY-NC-4.0") == [(1, 6), (7, 12)]
+    assert places(" ".join(["x", *[note] * 50, "y"]), "CC-BY-NC-4.0") == [(1 + 6 * k, 6 + 6 * k) for k in range(50)]
+    n = len(license.words_of(mit))
+    filler = " ".join("software z z copy z z" for _ in range(900))
+    m = len(license.words_of(filler))
+    assert places(f"{mit} {filler} {mit}", "MIT-text") == [(0, n - 1), (n + m, 2 * n + m - 1)]
+    assert {x["license"] for x in license.scan("\n".join([*license.TEMPLATES.values()] * 2), t)} == set(t)
+    for name in t:
+        assert len(places("\n".join([*license.TEMPLATES.values()] * 2), name)) == 2
+    # Each copy lacks another word: still two finds, not one over both.
+    cut = license.words_of(mit)
+    assert len(places(" ".join([*cut[:-3], *cut[3:]]), "MIT-text")) == 2
+
+
 PAGE = '<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="wrap">{ads}<div class="post"><h1>{t}</h1>{ps}</div><div id="comments"><p>first!</p></div></div><aside>more</aside><form>mail <input></form><footer>&copy; x</footer>'
 
 
