@@ -3,18 +3,20 @@
 A page becomes a stream of tags and text slots in which adjacent equal groups are folded to one repeated group.
 Streams of the same host are aligned one by one: text against text is a slot, a group against one or more of
 its occurrences is a repeated group, and what only one side has becomes an optional group. The result is the host's
-wrapper, a regular expression without unions. The slots of a wrapper carry the amount of text
-found there on all pages; the main region is the deepest element that holds most of it, leaving out
-navigation, adverts, forms and the like. Each page's text is what lies in that region.
+wrapper, a regular expression without unions. Blocks of text are told apart by the path of their element:
+one that stands there on all pages of the host that have the path is the template's, all others are text. Each
+page's text is all blocks but the template's, leaving out navigation, adverts, forms and the like. The region, the
+deepest element that holds most of a host's text, is given beside the wrapper and cuts nothing.
 
 Edge cases: null and empty html give an empty text; pages of a null or unreadable url share one host; a host with one
-page has that page as its wrapper; a page that lacks its wrapper's region gives the text outside its
-boilerplate; repeated rows give equal texts; extra columns are kept, and those named like a result are replaced;
+page has that page as its wrapper and no template's blocks; a page that would lose more than half of its text as the
+template's keeps all of it (near copies have most blocks in common); repeated rows give equal texts; extra columns are kept, and those named like a result are replaced;
 an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as characters
 import json
 import re
@@ -31,10 +33,13 @@ from .common import materialise, small_batches, without
 GROUP = 40
 #: Buckets of a host's page shapes that are merged side by side before they meet.
 BUCKETS = 16
-#: Bytes of all wrappers' regions up to which they are broadcast; beyond, pages are joined by host and bucket.
+#: Bytes of all templates' blocks up to which they are broadcast; beyond, pages are joined by host and bucket.
 BROADCAST_BYTES = 16 << 20
 #: Share of a wrapper's text that the main region holds at least.
 SHARE = 0.8
+#: Rows and different pages that have a template's block at least, and the share of a host's rows that have its path (so
+#: a host's blocks are no more than those of a few pages).
+LEAST_ROWS, LEAST_SHARE = 3, 0.1
 
 # Elements by kind, and names that mark boilerplate.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object"}
@@ -249,29 +254,45 @@ def region(paths: set[str], mass: dict[str, int]) -> str:
     return best
 
 
-def main_text(page: str | None, top: str | None) -> str:
-    """Text of the region (all pages' text outside boilerplate where the page lacks it), blocks joined by a space."""
-    found = _text(page or "", top) if top else ""
-    return found or _text(page or "", "")
+def _key(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-def _text(page: str, top: str) -> str:
-    walk, blocks, now = Walk(), [], []
+def blocks(page: str) -> Iterator[tuple[str, str]]:
+    """(path, text) of each block outside boilerplate."""
+    walk, path, now = Walk(), "", []
+
+    def done() -> Iterator[tuple[str, str]]:
+        clean = " ".join(characters.unescape("".join(now)).split())
+        now.clear()
+        if clean:
+            yield path, clean
+
     for kind, name, value, dropped in events(page):
         if kind == "text":
-            if not walk.out and (not top or "/".join(walk.path + [""]).startswith(top + "/")):
+            if not walk.out:
+                if not now:
+                    path = "/".join(walk.path)
                 now.append(value)
             continue
         if name not in INLINE and now:
-            blocks.append("".join(now))
-            now = []
+            yield from done()
         if kind == "open":
             walk.open(name, value, dropped)
         else:
             walk.close(name)
-    blocks.append("".join(now))
-    clean = (" ".join(characters.unescape(b).split()) for b in blocks)
-    return " ".join(b for b in clean if b)
+    yield from done()
+
+
+def main_text(page: str | None, template: list[int] | None) -> str:
+    """The page's blocks but the template's (all, if those are more than half of its text), joined by a space."""
+    found = list(blocks(page or ""))
+    if template:
+        known = set(template)
+        own = [(p, b) for p, b in found if _key(f"{p}\0{b}") not in known]
+        if 2 * sum(len(b) for _, b in own) >= sum(len(b) for _, b in found):
+            found = own
+    return " ".join(b for _, b in found)
 
 
 def host(url: Column) -> Column:
@@ -279,22 +300,29 @@ def host(url: Column) -> Column:
 
 
 def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, wrapper (a regular expression), region."""
+    """host, wrapper (a regular expression), region, template (keys of the template's blocks)."""
     small_batches(pages.sparkSession)
     rows = pages.select(host(F.col(f"`{url}`").cast("string")).alias("host"), F.col(f"`{html}`").cast("string").alias("html"))
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple[str, str, str], int] = {}
+            sums: dict[tuple[str, str, str, int | None], list[int]] = {}  # n, least and greatest key of the pages
             for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s, mass = shape(page or "")
-                sums[(h, "shape", s)] = sums.get((h, "shape", s), 0) + 1
-                for p, n in mass.items():
-                    sums[(h, "mass", p)] = sums.get((h, "mass", p), 0) + n
-            keys = list(sums)
-            yield pa.RecordBatch.from_arrays([*[pa.array([k[j] for k in keys], pa.string()) for j in range(3)], pa.array(sums.values(), pa.int64())], names=["host", "kind", "value", "n"])
-
-    found = materialise(rows.mapInArrow(shapes, "host string, kind string, value string, n long").groupBy("host", "kind", "value").agg(F.sum("n").alias("n")), "shapes")
+                own, key = set(blocks(page or "")), _key(page or "")
+                there = [("shape", s, None, 1), ("rows", "", None, 1), *(("mass", p, None, n) for p, n in mass.items())]
+                there += [("path", str(_key(p)), None, 1) for p in {p for p, _ in own}] + [("block", str(_key(p)), _key(f"{p}\0{b}"), 1) for p, b in own]
+                for kind, value, block, n in there:
+                    now = sums.setdefault((h, kind, value, block), [0, key, key])
+                    now[:] = now[0] + n, min(now[1], key), max(now[2], key)
+            keys, values = list(sums), list(sums.values())
+            yield pa.RecordBatch.from_arrays([*[pa.array([k[j] for k in keys], pa.string()) for j in range(3)], pa.array([k[3] for k in keys], pa.int64()), *[pa.array([v[j] for v in values], pa.int64()) for j in range(3)]], names=["host", "kind", "value", "block", "n", "lo", "hi"])
+
+    found = rows.mapInArrow(shapes, "host string, kind string, value string, block long, n long, lo long, hi long").groupBy("host", "kind", "value", "block").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    found = materialise(found.filter(f"kind not in ('block', 'path') or (lo <> hi and n >= {LEAST_ROWS})"), "shapes")
+    of_host = found.filter("kind = 'rows'").select("host", F.col("n").alias("rows"))
+    paths = found.filter("kind = 'path'").join(of_host, "host").filter(F.col("n") >= LEAST_SHARE * F.col("rows")).select("host", "value", "n")
+    template = found.filter("kind = 'block'").join(paths, ["host", "value", "n"]).groupBy("host").agg(F.collect_list("block").alias("template"))
 
     def merged(values: list[str]) -> list:
         wrapper = None
@@ -321,13 +349,13 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> Da
                 out.append((row["host"], expression(wrapper), region(slot_paths(wrapper), mass)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in range(3)], names=["host", "wrapper", "region"])
 
-    return partial.mapInArrow(finish, "host string, wrapper string, region string")
+    return partial.mapInArrow(finish, "host string, wrapper string, region string").join(template, "host", "left")
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Add text (main text) and n_chars (its code points)."""
-    wrappers = materialise(infer_wrappers(pages, url, html), "wrappers").select(F.col("host").alias("__host"), F.col("region").alias("__region"))
-    size = wrappers.agg(F.sum(F.length("__host") + F.length("__region") + 64)).first()[0] or 0
+    wrappers = materialise(infer_wrappers(pages, url, html), "wrappers").select(F.col("host").alias("__host"), F.col("template").alias("__template"))
+    size = wrappers.agg(F.sum(F.length("__host") + 8 * F.coalesce(F.size("__template"), F.lit(0)) + 64)).first()[0] or 0
     rows = pages.withColumn("__html", F.col(f"`{html}`").cast("string")).withColumn("__host", host(F.col(f"`{url}`").cast("string")))
     if size <= BROADCAST_BYTES:
         rows = rows.join(F.broadcast(wrappers), "__host", "left")
@@ -341,7 +369,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
         for batch in batches:
             names = batch.schema.names
             kept = [k for k, n in enumerate(names) if not n.startswith("__")]
-            texts = [main_text(p, r) for p, r in zip(batch.column(names.index("__html")).to_pylist(), batch.column(names.index("__region")).to_pylist())]
+            texts = [main_text(p, r) for p, r in zip(batch.column(names.index("__html")).to_pylist(), batch.column(names.index("__template")).to_pylist())]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*[names[k] for k in kept], "text", "n_chars"])
 
     return rows.mapInArrow(run, schema)

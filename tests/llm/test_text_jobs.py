@@ -120,6 +120,24 @@ def test_main_text(spark):
     assert w["region"].endswith("div.post") and ")+" in w["wrapper"] and ")?" in w["wrapper"]
 
 
+def test_text_beside_the_region_stays_and_constant_blocks_go(spark):
+    def made(k):
+        r = random.Random(k)
+        lead, end = (" ".join(f"w{r.randrange(999)}" for _ in range(8)) for _ in range(2))
+        body = [" ".join(f"w{r.randrange(999)}" for _ in range(50)) for _ in range(2)]
+        if k == 7:  # its story stands elsewhere
+            return f"<div class=body><p>note {k}</p></div><div class=story><p>{body[0]}</p></div>", f"note {k} {body[0]}"
+        return f"<div>Read this too</div><article><p>{lead}</p><div class=body>{''.join(f'<p>{b}</p>' for b in body)}</div><p>{end}</p></article>", " ".join([lead, *body, end])
+
+    rows = [(k, f"https://h.example/{k}", f"<html><body>{made(k)[0]}</body></html>") for k in range(12)]
+    near = [(100 + k, f"https://near.example/{k}", f"<div><p>one story of some length</p><p>{k}</p></div>") for k in range(5)]
+    same = [(200 + k, "https://same.example/", "<p>one page, many times</p>") for k in range(5)]
+    df = spark.createDataFrame([*rows, *near, *same], "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert {k: found[k] for k in range(12)} == {k: made(k)[1] for k in range(12)}
+    assert all(found[100 + k] == f"one story of some length {k}" and found[200 + k] == "one page, many times" for k in range(5))
+
+
 def test_pages_by_a_shuffle_give_the_same(spark, monkeypatch):
     rows = spark.createDataFrame([(k, f"https://h{k % 2}.example/{k}", page(k)[0]) for k in range(8)], "page_id long, url string, html string")
     a = sorted(map(str, html.extract(rows).collect()))
