@@ -8,7 +8,8 @@ one that stands there on all pages of the host that have the path is the templat
 page's text is all blocks but the template's, leaving out navigation, adverts, forms and the like. The region, the
 deepest element that holds most of a host's text, is given beside the wrapper and cuts nothing.
 
-Edge cases: null and empty html give an empty text; pages of a null or unreadable url share one host; a host with one
+Edge cases: null and empty html give an empty text; an element that holds most of a page's text outside links, or of
+the text of its articles where it has any, is no boilerplate; pages of a null or unreadable url share one host; a host with one
 page has that page as its wrapper and no template's blocks; a page that would lose more than half of its text as the
 template's keeps all of it (near copies have most blocks in common); repeated rows give equal texts; extra columns are kept, and those named like a result are replaced;
 an empty table gives an empty table.
@@ -44,16 +45,58 @@ LEAST_ROWS, LEAST_SHARE = 3, 0.1
 # Elements by kind, and names that mark boilerplate.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object"}
 DROPPED = RAW | {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "audio", "video", "canvas", "map", "datalist"}
+UNSEEN = RAW | {"head", "button", "select", "menu", "audio", "video", "canvas", "map", "datalist"}
+STORY = {"article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 FRAME = {"html", "body", "div", "main", "article", "section", "center", "table", "tbody", "tr", "td", "ul", "ol", "dl", "header", "footer", "nav", "aside", "form"} | DROPPED
-MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|sidebar|side-?nav|menu|nav|navbar|navigation|breadcrumbs?|comments?|disqus|respond|replies|share|sharing|social|related|recommend(?:ed|ations)?|newsletter|subscribe|signup|login|search|footer|header|masthead|topbar|toolbar|widget|pagination|pager|tags|disclaimer|copyright|skip-link)(?=$|[\s_-])", re.I)
+_THING = r"(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banners?|cookies?|consent|gdpr|popups?|modal|overlay|sidebars?|side-?nav|menus?|nav|navbar|navigation|breadcrumbs?|comments?|disqus|respond|replies|share|sharing|social|related|recommend(?:ed|ations)?|newsletter|subscribe|signup|login|search|footer|header|masthead|topbar|toolbar|widgets?|pagination|pager|tags|disclaimer|copyright|skip-link)"
+#: A whole class or id; two-word names only of known pairs, as others name layouts, sections and titles.
+MARKS = re.compile(rf"{_THING}|notice|notification|alert|(?:site|page|main|global|top|left|right|primary|secondary)[_-](?:nav|navbar|navigation|menu|header|footer|sidebar)|ads?[_-](?:slot|unit|box|banner|container|wrapper)|(?:cookie|consent|gdpr)s?[_-](?:banner|notice|bar|popup|consent|overlay)|(?:share|sharing|social)[_-](?:buttons|links|bar|icons|media)|comments?[_-](?:list|section|form|area)|(?:related|recommended)[_-](?:posts|articles|links|stories)|(?:newsletter|subscribe|signup|login|search)[_-](?:form|box|bar|signup|popup)|(?:nav|navigation)[_-](?:bar|menu|links)", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
-def events(page: str) -> Iterator[tuple[str, str, str, bool]]:
+def events(page: str) -> list[tuple[str, str, str, bool]]:
+    """Those of _events, where no element that holds most of the page's text, or of that of its articles, is dropped."""
+    found = list(_events(page))
+    names: list[str] = []
+    opened: list[tuple[int, int, int]] = []  # event, characters of text and of articles' text before it
+    held: list[tuple[int, int, int]] = []
+    text = story = inside = links = 0
+
+    def end(k: int) -> None:
+        nonlocal inside
+        for name, (e, t, u) in zip(names[k:], opened[k:]):
+            inside -= name in STORY
+            if found[e][3]:
+                held.append((e, text - t, story - u))
+        del names[k:], opened[k:]
+
+    for e, (kind, name, value, dropped) in enumerate(found):
+        if kind == "text":
+            if not links and not (names and names[-1] in UNSEEN):
+                n = len(value) if not value.isspace() else 0
+                text += n
+                story += n if inside else 0
+        elif name == "a":
+            links = kind == "open"
+        elif kind == "close":
+            if name in names:
+                end(len(names) - 1 - names[::-1].index(name))
+        elif name not in VOID and (name in FRAME or dropped):
+            names.append(name)
+            opened.append((e, text, story))
+            inside += name in STORY
+    end(0)
+    for e, t, u in held:
+        if found[e][1] not in UNSEEN and (2 * u > story if story else 2 * t > text):
+            found[e] = (*found[e][:3], False)
+    return found
+
+
+def _events(page: str) -> Iterator[tuple[str, str, str, bool]]:
     """(kind, name, value, dropped): kind is open, close or text; dropped marks an element as boilerplate by itself."""
     at, end = 0, len(page)
     while at < end:
@@ -70,8 +113,8 @@ def events(page: str) -> Iterator[tuple[str, str, str, bool]]:
                 yield "close", name, "", False
                 continue
             own = {a[0].lower(): next((v for v in a[1:] if v), "") for a in _ATTRIBUTE.findall(m[3])} if "=" in m[3] or "hidden" in m[3] else {}
-            label = " ".join(x for x in (own.get("class", ""), own.get("id", "")) if x)
-            dropped = name in DROPPED or own.get("role", "").lower() in ROLES or "hidden" in own or own.get("aria-hidden") == "true" or bool(label and name not in ("html", "body", "main", "article") and MARKS.search(label))
+            label = f"{own.get('class', '')} {own.get('id', '')}".split()
+            dropped = name in DROPPED or own.get("role", "").lower() in ROLES or "hidden" in own or own.get("aria-hidden") == "true" or (name not in ("html", "body", "main", "article") and any(map(MARKS.fullmatch, label)))
             yield "open", name, own.get("class", "").strip().lower(), dropped
             if name in RAW and not m[3].endswith("/"):
                 stop = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(page, at)

@@ -138,6 +138,20 @@ def test_text_beside_the_region_stays_and_constant_blocks_go(spark):
     assert all(found[100 + k] == f"one story of some length {k}" and found[200 + k] == "one page, many times" for k in range(5))
 
 
+def test_layout_classes_keep_the_text():
+    story = "<h1 class='post-header'>Title</h1><p>A story that is long enough.</p>"
+    want = "Title A story that is long enough."
+    for label in ("layout with-sidebar", "has-sidebar", "no-sidebar content", "related-work", "social-science", "notice-of-appeal", "search-results", "article-header", "sidebar", "search", "footer"):
+        for kept in (f"<div class='{label}'>{story}</div>", f"<div id='{label}'><article>{story}</article></div>", f"<div class='{label}'><main>{story}</main><aside>more</aside></div>"):
+            assert html.main_text(f"<body><nav><a>Home</a></nav>{kept}<footer>end</footer></body>", None) == want
+    part = "<p>A part of the page that counts too.</p>"
+    for label in ("related-work", "social-science", "notice-of-appeal", "search-results", "post-header"):
+        assert html.main_text(f"<article>{story * 3}</article><section class='{label}'>{part}</section>", None).endswith("counts too.")
+    assert html.main_text(f"<form><div>{story}</div></form>", None) == want
+    for label in ("ad", "x sidebar", "cookie-banner", "site-footer", "related-posts", "comments", "ad-slot"):
+        assert html.main_text(f"<div class='{label}'>gone <article>short</article></div><article>{story}</article><div id='{label.split()[-1]}'>gone</div>", None) == want
+
+
 def test_pages_by_a_shuffle_give_the_same(spark, monkeypatch):
     rows = spark.createDataFrame([(k, f"https://h{k % 2}.example/{k}", page(k)[0]) for k in range(8)], "page_id long, url string, html string")
     a = sorted(map(str, html.extract(rows).collect()))
