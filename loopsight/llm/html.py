@@ -21,7 +21,9 @@ import hashlib
 import html as characters
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,9 +32,13 @@ from pyspark.sql import types as T
 
 from .common import materialise, small_batches, without
 
-#: Tokens in a repeated group at most, and items in a wrapper at most (longer streams keep their regions by path).
+#: Tokens in a repeated group at most; longer repeats stay as they are.
 GROUP = 40
-#: Buckets of a host's page shapes that are merged side by side before they meet.
+#: Streams of a host merged in one group; more are merged in rounds.
+FAN = 32
+#: Cells of an alignment's table at most; beyond, the streams are halved first.
+CELLS = 4096
+#: Buckets that the pages of a host are dealt to where templates aren't broadcast.
 BUCKETS = 16
 #: Bytes of all templates' blocks up to which they are broadcast; beyond, pages are joined by host and bucket.
 BROADCAST_BYTES = 16 << 20
@@ -192,7 +198,7 @@ def fold(items: list) -> list:
                     del out[-k:]
                     again = True
                     break
-                if len(out) >= 2 * k and out[-k:] == out[-2 * k : -k] and out[-k:] != ["#"]:
+                if len(out) >= 2 * k and out[-1] == out[-k - 1] and out[-k:] == out[-2 * k : -k] and out[-k:] != ["#"]:
                     body = out[-k:]
                     if k == 1 and isinstance(body[0], list) and body[0][0] == "+":
                         del out[-1:]
@@ -203,12 +209,19 @@ def fold(items: list) -> list:
     return out
 
 
+def _code(x: str | list) -> str:
+    return x if isinstance(x, str) else json.dumps(x)
+
+
 def _fold_by(items: list, groups: list[list]) -> list:
     """Occurrences of the other side's repeated groups become such groups."""
-    for g in groups:
+    there = Counter(map(_code, items))
+    for g in {_code(g): g for g in groups}.values():
+        if not there[_code(g[1])] and there[_code(g)] < 2:
+            continue
         body, out, k = g[1:], [], 0
         while k < len(items):
-            if items[k : k + len(body)] == body:
+            if items[k] == body[0] and items[k : k + len(body)] == body:
                 if not (out and out[-1] == g):
                     out.append(g)
                 k += len(body)
@@ -216,38 +229,79 @@ def _fold_by(items: list, groups: list[list]) -> list:
                 if not (items[k] == g and out and out[-1] == g):
                     out.append(items[k])
                 k += 1
+        if len(out) != len(items) or out != items:
+            there = Counter(map(_code, out))
         items = out
     return items
 
 
+def _lengths(a: list[str], b: list[str]) -> list[int]:
+    """Lengths of the longest common subsequences of a with each prefix of b, a bit for each item of b."""
+    at: dict[str, int] = {}
+    for j, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << j
+    full = v = (1 << len(b)) - 1
+    for x in a:
+        if x in at:
+            u = v & at[x]
+            v = ((v + u) | (v - u)) & full
+    return [0, *accumulate(c == "0" for c in reversed(bin(v | 1 << len(b))[3:]))]
+
+
+def common_items(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Positions of a longest common subsequence, in linear memory (Hirschberg)."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+            out.append((a0, b0))
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+            a1, b1 = a1 - 1, b1 - 1
+            out.append((a1, b1))
+        n, m = a1 - a0, b1 - b0
+        if not n or not m:
+            continue
+        if n == 1:
+            if a[a0] in b[b0:b1]:
+                out.append((a0, b.index(a[a0], b0, b1)))
+        elif n * m <= CELLS:
+            best = [[0] * (m + 1) for _ in range(n + 1)]
+            for i in range(n - 1, -1, -1):
+                for j in range(m - 1, -1, -1):
+                    best[i][j] = best[i + 1][j + 1] + 1 if a[a0 + i] == b[b0 + j] else max(best[i + 1][j], best[i][j + 1])
+            i = j = 0
+            while i < n and j < m:
+                if a[a0 + i] == b[b0 + j]:
+                    out.append((a0 + i, b0 + j))
+                    i, j = i + 1, j + 1
+                elif best[i + 1][j] >= best[i][j + 1]:
+                    i += 1
+                else:
+                    j += 1
+        else:
+            mid = (a0 + a1) // 2
+            head, tail = _lengths(a[a0:mid], b[b0:b1]), _lengths(a[mid:a1][::-1], b[b0:b1][::-1])
+            j = max(range(m + 1), key=lambda j: head[j] + tail[m - j])
+            todo += [(a0, mid, b0, b0 + j), (mid, a1, b0 + j, b1)]
+    return sorted(out)
+
+
 def align(a: list, b: list) -> list:
     """The wrapper of two streams: what only one side has becomes an optional group ["?", ...]."""
     groups = lambda x: [y for y in x if isinstance(y, list) and y[0] == "+"]
     plain = lambda x: [z for y in x for z in (y[1:] if isinstance(y, list) and y[0] == "?" else [y])]
-    may = {json.dumps(z) for y in (*a, *b) if isinstance(y, list) and y[0] == "?" for z in y[1:]}
+    may = {_code(z) for y in (*a, *b) if isinstance(y, list) and y[0] == "?" for z in y[1:]}
     a, b = plain(a), plain(b)
     a, b = _fold_by(a, groups(b)), _fold_by(b, groups(a))
-    if a == b:
-        both = [(x, True) for x in a]
-    else:
-        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i in range(len(a) - 1, -1, -1):
-            for j in range(len(b) - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-        both, i, j = [], 0, 0
-        while i < len(a) or j < len(b):
-            if i < len(a) and j < len(b) and a[i] == b[j]:
-                both.append((a[i], True))
-                i, j = i + 1, j + 1
-            elif j == len(b) or (i < len(a) and best[i + 1][j] >= best[i][j + 1]):
-                both.append((a[i], False))
-                i += 1
-            else:
-                both.append((b[j], False))
-                j += 1
+    both, i, j = [], 0, 0
+    for x, y in [*common_items([*map(_code, a)], [*map(_code, b)]), (len(a), len(b))]:
+        both += [(z, False) for z in (*a[i:x], *b[j:y])] + [(z, True) for z in a[x : x + 1]]
+        i, j = x + 1, y + 1
     out: list = []
     for x, common in both:
-        if common and json.dumps(x) not in may:
+        if common and _code(x) not in may:
             out.append(x)
         elif out and isinstance(out[-1], list) and out[-1][0] == "?":
             out[-1].append(x)
@@ -262,41 +316,6 @@ def expression(wrapper: list) -> str:
     return "".join(map(part, wrapper))
 
 
-def slot_paths(wrapper: list) -> set[str]:
-    """Paths of the elements that hold a text slot."""
-    walk, found = Walk(), set()
-
-    def go(items: list) -> None:
-        for x in items:
-            if isinstance(x, list):
-                go(x[1:])
-            elif x == "#":
-                found.add("/".join(walk.path))
-            elif x.startswith("</"):
-                walk.close(x[2:-1])
-            else:
-                name, _, label = x[1:-1].partition(".")
-                walk.open(name, label, False)
-
-    go(wrapper)
-    return found
-
-
-def region(paths: set[str], mass: dict[str, int]) -> str:
-    """The deepest element that holds most of the text of the wrapper's slots."""
-    mass = {p: n for p, n in mass.items() if p in paths} or mass
-    total = sum(mass.values())
-    best, size = "", 0
-    for p in mass:
-        steps = p.split("/")
-        for k in range(1, len(steps) + 1):
-            top = "/".join(steps[:k])
-            held = sum(n for q, n in mass.items() if q == top or q.startswith(top + "/"))
-            if held >= SHARE * total and (k, top) > (size, best):
-                best, size = top, k
-    return best
-
-
 def _key(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
@@ -367,32 +386,40 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> Da
     paths = found.filter("kind = 'path'").join(of_host, "host").filter(F.col("n") >= LEAST_SHARE * F.col("rows")).select("host", "value", "n")
     template = found.filter("kind = 'block'").join(paths, ["host", "value", "n"]).groupBy("host").agg(F.collect_list("block").alias("template"))
 
-    def merged(values: list[str]) -> list:
-        wrapper = None
-        for v in sorted(set(values)):
-            wrapper = json.loads(v) if wrapper is None else align(wrapper, json.loads(v))
-        return wrapper or []
+    # Paths up to each element above hold its text; the deepest with most of the host's text is the region.
+    mass = found.filter("kind = 'mass'").select("host", "n", F.split("value", "/").alias("steps"))
+    held = mass.select("host", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("steps")), lambda k: F.struct(k.alias("size"), F.array_join(F.slice("steps", 1, k), "/").alias("top")))).alias("at")).groupBy("host", "at").agg(F.sum("n").alias("n"))
+    total = mass.groupBy("host").agg(F.sum("n").alias("total"))
+    regions = held.join(total, "host").filter(F.col("n") >= SHARE * F.col("total")).groupBy("host").agg(F.max("at").getField("top").alias("region"))
 
-    def of_bucket(pdf):
-        import pandas as pd
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([expression(json.loads(w)) for w in batch.column(1).to_pylist()], pa.string())], names=["host", "wrapper"])
 
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(merged(pdf["value"].tolist()), separators=(",", ":"))]})
+    wrappers = merge(found.filter("kind = 'shape'").select("host", F.col("value").alias("wrapper"))).mapInArrow(written, "host string, wrapper string")
+    return wrappers.join(regions, "host", "left").select("host", "wrapper", F.coalesce("region", F.lit("")).alias("region")).join(template, "host", "left")
 
-    bucket = F.pmod(F.xxhash64("value"), F.lit(BUCKETS)).alias("bucket")
-    partial = found.filter("kind = 'shape'").groupBy("host", bucket).applyInPandas(of_bucket, "host string, wrapper string")
-    mass = found.filter("kind = 'mass'").groupBy("host").agg(F.collect_list(F.struct("value", "n")).alias("mass"))
-    partial = partial.groupBy("host").agg(F.collect_list("wrapper").alias("wrappers")).join(mass, "host", "left")  # BUCKETS wrappers a host at most
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                wrapper = merged(row["wrappers"])
-                mass = {m["value"]: m["n"] for m in row["mass"] or []}
-                out.append((row["host"], expression(wrapper), region(slot_paths(wrapper), mass)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in range(3)], names=["host", "wrapper", "region"])
-
-    return partial.mapInArrow(finish, "host string, wrapper string, region string").join(template, "host", "left")
+def merge(streams: DataFrame) -> DataFrame:
+    """One wrapper a host: groups of FAN streams are aligned, then groups of FAN results, and so on."""
+
+    def of_group(pdf):
+        import pandas as pd
+
+        wrapper = None
+        for v in sorted(set(pdf["wrapper"])):
+            wrapper = json.loads(v) if wrapper is None else align(wrapper, json.loads(v))
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(wrapper, separators=(",", ":"))]})
+
+    while True:
+        counts = materialise(streams.groupBy("host").agg(F.count("*").alias("n")), "counts")
+        most = counts.agg(F.max("n")).first()[0] or 0
+        if most <= 1:
+            return streams
+        group = F.pmod(F.xxhash64("wrapper"), F.ceil(F.col("n") / FAN)).alias("group")
+        streams = materialise(streams.join(counts, "host").groupBy("host", group).applyInPandas(of_group, "host string, wrapper string"), "wrappers")
+        if most <= FAN:
+            return streams
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

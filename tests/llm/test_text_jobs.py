@@ -167,6 +167,33 @@ def test_folding_and_alignment():
     assert w == ["<ul>", ["+", *li], "</ul>", ["?", "<hr>"]] and html.expression(w) == "<ul>(<li>#</li>)+</ul>(<hr>)?"
 
 
+def test_long_streams_align_in_linear_memory():
+    import tracemalloc
+
+    r = random.Random(3)
+    a, b = ([r.choice([f"<t{k}>" for k in range(60)]) for _ in range(4000)] for _ in range(2))
+    tracemalloc.start()
+    html.align(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20
+    a, b = a[:300], b[:280]
+    best = [[0] * 281 for _ in range(301)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    pairs = html.common_items(a, b)
+    assert len(pairs) == best[-1][-1] and all(a[i] == b[j] for i, j in pairs) and all(x < u and y < v for (x, y), (u, v) in zip(pairs, pairs[1:]))
+
+
+def test_wrappers_merge_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(html, "FAN", 2)
+    rows = spark.createDataFrame([(k, f"https://h{k % 13 // 12}.example/{k}", f"<div><p>a<div class=c{k}>b</div>") for k in range(26)], "page_id long, url string, html string")
+    found = {x["host"]: x for x in html.infer_wrappers(rows).collect()}
+    assert set(found) == {"h0.example", "h1.example"} and found["h0.example"]["region"].startswith("div")
+    assert all(f"<div.c{k}>" in found[f"h{k % 13 // 12}.example"]["wrapper"] for k in range(26))
+
+
 def test_escapes_are_reversible():
     r = random.Random(4)
     for _ in range(2000):
