@@ -3,11 +3,12 @@
 Prefixes of a conversation are rendered one turn longer each time; where an output continues the one
 before, the added part is that turn's span. A second rendering with a marker in place of the text shows where the
 text lies in the span. An output that doesn't continue the one before means that the template rewrites
-history; the turn is flagged, and its span is what differs. Past ``WINDOW`` turns only the last turns are
-rendered, if the template gave equal spans that way for the turns before.
+history; the turn is flagged, and its span is what differs. The whole history is rendered for each turn, unless the
+caller declares the template local (a turn's output doesn't depend on turns before the last, and no turn changes
+them): then only the last turns are rendered past ``WINDOW`` turns, if that gave equal spans for the turns before.
 
-Rows of a conversation are sorted by turn and streamed; a row is written for each turn, so no conversation
-is held whole and memory doesn't grow with its length.
+Rows of a conversation are sorted by turn and streamed; a row is written for each turn, so with a local template no
+conversation is held whole. Any other template takes all turns at once, so they are held for it.
 
 Edge cases: null text counts as empty, null role as the empty role; rows of equal turn are ordered by role
 and text and each is a turn; a null conv_id is a conversation of its own; extra columns are
@@ -91,8 +92,8 @@ def _common(a: str, b: str) -> int:
 class Spans:
     """Locates the spans of one conversation's turns, one turn after the other."""
 
-    def __init__(self, template: Template) -> None:
-        self.template, self.turns, self.last, self.local = template, [], template([]), True
+    def __init__(self, template: Template, local: bool = False) -> None:
+        self.template, self.turns, self.last, self.local = template, [], template([]), local
 
     def add(self, role: str, text: str) -> tuple[str, int, int, bool]:
         """The turn's piece of output, where the text lies in it, and whether the output before was rewritten."""
@@ -103,8 +104,11 @@ class Spans:
         now = self.template([*before, (role, text)])
         piece, start, end, rewritten = self._piece(before, prefix, now, role, text)
         if len(before) > 1 and self.local:
-            short = self.template(before[-1:])
-            near = self._piece(before[-1:], short, self.template([before[-1], (role, text)]), role, text)
+            try:
+                short = self.template(before[-1:])
+                near = self._piece(before[-1:], short, self.template([before[-1], (role, text)]), role, text)
+            except Exception:  # a template may refuse a conversation that begins with this role
+                near = None
             self.local = near == (piece, start, end, False)
         self.turns, self.last = [*before, (role, text)], now
         return piece, start, end, rewritten
@@ -126,12 +130,13 @@ def _conversations(rows: DataFrame) -> DataFrame:
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
-def format_chats(rows: DataFrame, template: Template = instruct_template, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
+def format_chats(rows: DataFrame, template: Template = instruct_template, learn: tuple[str, ...] = ("assistant",), local: bool | None = None) -> DataFrame:
     """conv_id, n (turn number from 0), piece, start (in the conversation's output), loss_start, loss_end, rewritten.
 
     The pieces of a conversation in order make its formatted text; loss_start and loss_end (null for
-    roles not in learn) are positions in it.
+    roles not in learn) are positions in it. Declare the template local where it is; None stands for instruct_template.
     """
+    near = template is instruct_template if local is None else local
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: object = ()
@@ -140,7 +145,7 @@ def format_chats(rows: DataFrame, template: Template = instruct_template, learn:
             out: list[tuple] = []
             for conv, role, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
                 if (conv,) != current:
-                    current, spans, n, at = (conv,), Spans(template), 0, 0
+                    current, spans, n, at = (conv,), Spans(template, near), 0, 0
                 piece, a, b, rewritten = spans.add(role, text)
                 loss = role in learn
                 out.append((conv, n, piece, at, at + a if loss else None, at + b if loss else None, rewritten))

@@ -229,3 +229,25 @@ def test_spans_of_a_black_box_and_rewritten_history():
     assert not last_only.add("user", "one")[3] and last_only.add("user", "two")[3]
     numbered = chat.Spans(lambda turns: "".join(f"{k}={t};" for k, (_, t) in enumerate(turns)))
     assert "".join(numbered.add("user", "x")[0] for _ in range(100)) == "".join(f"{k}=x;" for k in range(100))
+
+
+def test_rewrites_past_the_window_are_seen():
+    def late_system_first(turns):
+        return "".join(f"<{r}:{t}>" for r, t in sorted(turns, key=lambda x: x[0] != "system"))
+
+    s = chat.Spans(late_system_first)
+    assert not any(s.add("user", f"t{k}")[3] for k in range(40))
+    piece, _, _, rewritten = s.add("system", "be kind")
+    assert rewritten and "system:be kind" in piece and all(f"t{k}>" in piece for k in range(40))
+
+
+def test_short_probes_may_raise():
+    def strict(turns):
+        if turns and turns[0][0] != "user":
+            raise ValueError("begins with user")
+        return "".join(f"<{r}:{t}>" for r, t in turns)
+
+    for local in (False, True):
+        s = chat.Spans(strict, local)
+        turns = [(("user", "assistant")[k % 2], f"t{k}") for k in range(80)]
+        assert [s.add(*t)[0] for t in turns] == [f"<{r}:{t}>" for r, t in turns]
