@@ -390,14 +390,24 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents without those that another of smaller doc_id stands for; rows of equal doc_id count as one."""
+    """The documents without those that another of smaller doc_id stands for; rows of equal doc_id whose texts are linked, or both empty, count as one."""
     found = jaccard_components(docs, text).groupBy("doc_id").agg(F.bool_or(F.col("component_id") == F.col("doc_id")).alias("stays"), F.count("*").alias("rows"))
     found = materialise(found, "decisions")
+    if found.filter("rows > 1 and doc_id is not null").limit(1).count():
+        return _keep_one_row(docs, text)
     drop = found.filter("not stays").select("doc_id")
     if drop.count() <= BROADCAST_IDS:
         drop = F.broadcast(drop)
-    kept = docs.join(drop, "doc_id", "left_anti")
-    if found.filter("rows > 1 and doc_id is not null").limit(1).count():
-        alone = kept.filter("doc_id is null")
-        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(alone)
-    return kept.select(docs.columns)
+    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+
+
+def _keep_one_row(docs: DataFrame, text: str) -> DataFrame:
+    """keep_one where ids repeat: rows are numbered, and the least doc_id of a component's rows stays."""
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    numbered = rows.select(F.col("__row").alias("doc_id"), F.col(f"`{text}`"))
+    of_row = jaccard_components(numbered, text).select(F.col("doc_id").alias("__row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component"))
+    known = rows.filter("doc_id is not null").select("__row", F.col("doc_id").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("of_text")).join(of_row, "__row")
+    # Rows without shingles are linked with none but those of their own id.
+    first = known.groupBy("component", F.when(F.col("component").isNull(), F.col("id")).alias("alone")).agg(F.min(F.struct("id", "of_text", "__row")).getField("__row").alias("__row"))
+    kept = materialise(first.select("__row").unionByName(rows.filter("doc_id is null").select("__row")), "kept")
+    return rows.join(kept, "__row", "left_semi").select(docs.columns)

@@ -98,3 +98,11 @@ def test_bitmaps_bound_the_difference(spark):
     df = spark.createDataFrame(rows, "k long, a array<long>, b array<long>, an long, bn long")
     out = df.select("k", jaccard._bits_differ(F.col("a"), F.col("b")).alias("d"), jaccard._possible(F.col("an"), F.col("bn"), F.col("a"), F.col("b")).alias("p")).orderBy("k").collect()
     assert all(x["d"] <= w[0] and x["p"] == w[1] for x, w in zip(out, want))
+
+
+def test_texts_of_a_repeated_id_stay_unless_linked(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (1, a), (2, b + " end"), (3, c), (3, c + " end"), (4, ""), (4, None), (5, ""), (None, a), (None, "")]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sorted((r["doc_id"], (r["text"] or "").removesuffix(" end")) for r in kept if r["doc_id"])
+    assert found == [(1, a), (1, b), (3, c), (4, ""), (5, "")] and sum(r["doc_id"] is None for r in kept) == 2
