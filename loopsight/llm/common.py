@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 #: ASCII white space, as every contract of this subpackage defines words by it.
 SPACE = r"\x20\x09-\x0D"
-#: Rows in one Arrow batch: whole texts go to Python workers, so the default of 10,000 is too many.
-BATCH_ROWS = 2000
+#: Rows and bytes of one Arrow batch: whole texts go to Python workers, so the defaults are too many.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def session(df: DataFrame) -> SparkSession:
@@ -47,7 +47,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -1,17 +1,19 @@
 """N-gram Jaccard join: documents whose word-shingle sets have a Jaccard similarity of at least 0.8.
 
-1. Each text becomes a sorted array of 64-bit shingle hashes; equal sets form one class.
+1. Each text becomes a sorted array of 64-bit shingle hashes; equal sets form one class. With its size a class has
+   a signature: a parity bitmap of its hashes.
 2. A sketch with a fixed number of counters, filled from all documents, orders shingles from rare
    to frequent. Of the first quarter in that order linked sets share a twentieth of their size (prefix
    filter), which leaves out sets that share a passage only.
-3. Tiles: classes with a common prefix shingle meet by size band (neighbouring bands only). A first
-   round compares each class with one pivot of its tile; after that only classes still in different
-   components meet. Parity bitmaps bound the overlap from above: sets differ in at least as many
-   shingles as their bitmaps differ in bits.
+3. Tiles: classes with a common prefix shingle meet by size band, each with its own band and the next smaller one. A
+   first round compares each class with one pivot of its tile; after that only classes still in different
+   components meet. Sets differ in at least as many shingles as their bitmaps differ in bits, which bounds the
+   overlap from above.
 4. Pairs that pass are decided by exact intersection of the sorted arrays; components follow by
    alternating star contraction.
 
-No link between different texts is lost, and no group is capped: hot tiles are split.
+No link between different texts is lost, and no group is capped: rows of hot shingles are counted before they are
+joined, and hot tiles are split into blocks. Signatures travel with the rows of the tiles.
 
 Edge cases: null and empty texts have no shingles, stay alone and link with nothing; texts of one to
 four words have their whole word sequence as one shingle; rows with equal doc_id count as rows of
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +39,19 @@ SKETCH = 1 << 21
 PARTS = 64
 #: Rows of a tile above which it is split.
 TILE = 2048
-#: Ids of candidate documents that are broadcast at most (32 MB); beyond, they are joined by a shuffle.
-BROADCAST_IDS = 4_000_000
-#: Bytes of bitmaps that are broadcast at most; beyond, they travel with the rows of the tiles.
-BROADCAST_BYTES = 48 << 20
+#: Bits of a signature at least and at most; in between one to two times the size of the set.
+LEAST_BITS, MOST_BITS = 64, 4096
+#: Rows of a tile up to which its pairs are compared one by one rather than as arrays.
+SMALL = 12
+#: Ids of candidate documents that are broadcast at most (8 MB); beyond, they are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: Bytes of text that are hashed at once.
+PIECE = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER = np.arange(256, dtype=np.int64)
 _LOWER[65:91] += 32
-_POWERS = np.ones(1, np.uint64)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -55,44 +61,76 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        _POWERS = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(2 * n, np.uint64(0xD1342543DE82EF95))]))
-    return _POWERS
-
-
-def shingles(texts: list[str | None]) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text (A-Z lower-cased, words cut at ASCII white space)."""
-    data = [(t or "").encode("utf-8", "replace") for t in texts]
-    raw = np.frombuffer(b" ".join(data) + b" ", np.uint8)
-    starts = np.concatenate([[0], np.cumsum([len(d) + 1 for d in data])])[:-1]
-    letter = ~_SPACE[raw]
-    edge = np.diff(np.concatenate([[False], letter, [False]]).view(np.int8))
-    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(first):
-        return [np.empty(0, np.uint64)] * len(texts)
-    length = last - first
-    chars = _LOWER[raw[letter]].astype(np.uint64) + np.uint64(1)
-    begin = np.concatenate([[0], np.cumsum(length)])[:-1]
-    within = np.arange(len(chars)) - np.repeat(begin, length)
-    words = _mixed(np.add.reduceat(chars * _powers(int(length.max()))[within], begin) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    seeds = _mixed(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
+#: A scrambled value for each byte at each of the first positions of a word.
+_TABLE = _mixed(np.arange(1, 64 * 256 + 1, dtype=np.uint64))
+
+
+def _word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word: the scrambled values of its bytes by position, in sum, with its length."""
+    sums, lengths, starts, inside = [], [], [], False
+    for at in range(0, len(raw), PIECE):
+        part = raw[at : at + PIECE]
+        letter = ~_SPACE[part]
+        edge = np.diff(letter.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if len(first):
+            length = last - first
+            begin = np.cumsum(length) - length
+            place = (np.arange(int(length.sum())) - np.repeat(begin, length)) * 256
+            goes_on = inside and bool(letter[0])
+            if goes_on:
+                place[: length[0]] += 256 * int(lengths[-1][-1])
+            place += _LOWER[part[letter]]
+            values = _TABLE.take(place, mode="clip")
+            far = np.flatnonzero(place >= len(_TABLE))
+            values[far] = _mixed(place[far].astype(np.uint64) + np.uint64(1))
+            total = np.add.reduceat(values, begin)
+            if goes_on:
+                sums[-1][-1:] += total[:1]
+                lengths[-1][-1:] += length[:1]
+                total, length, first = total[1:], length[1:], first[1:]
+            if len(total):
+                sums.append(total)
+                lengths.append(length)
+                starts.append(first + at)
+        inside = bool(letter[-1])
+    if not sums:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return _mixed(np.concatenate(sums) + np.concatenate(lengths).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.concatenate(starts)
+
+
+_SEEDS = _mixed(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def _grams(data: list[bytes]) -> Iterator[np.ndarray]:
+    words, first = _word_hashes(np.frombuffer(b" ".join(data) + b" ", np.uint8))
     grams = np.zeros(max(0, len(words) - SHINGLE + 1), np.uint64)
     for k in range(SHINGLE if len(grams) else 0):
-        grams += words[k : len(words) - SHINGLE + 1 + k] * seeds[k]
+        grams += words[k : len(words) - SHINGLE + 1 + k] * _SEEDS[k]
     grams = _mixed(grams)
-    bounds = np.append(np.searchsorted(first, starts), len(first))
-    out = []
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+    ends = np.searchsorted(first, np.cumsum([len(d) + 1 for d in data])).tolist()
+    for a, b in zip([0, *ends], ends):
         n = b - a
         if n >= SHINGLE:
-            out.append(np.unique(grams[a : b - SHINGLE + 1]))
+            yield np.unique(grams[a : b - SHINGLE + 1])
         elif n:
-            out.append(_mixed(np.array([(words[a:b] * seeds[:n]).sum() + np.uint64(n)], np.uint64)))
+            yield _mixed(np.array([(words[a:b] * _SEEDS[:n]).sum() + np.uint64(n)], np.uint64))
         else:
-            out.append(np.empty(0, np.uint64))
-    return out
+            yield np.empty(0, np.uint64)
+
+
+def shingles(texts: list[bytes | str | None]) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each text (A-Z lower-cased, words cut at ASCII white space)."""
+    held, size = [], 0
+    for t in texts:
+        data = t.encode("utf-8", "replace") if isinstance(t, str) else t or b""
+        if held and size + len(data) > PIECE:
+            yield from _grams(held)
+            held, size = [], 0
+        held.append(data)
+        size += len(data)
+    if held:
+        yield from _grams(held)
 
 
 def prefix_length(n: int) -> int:
@@ -100,11 +138,15 @@ def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1 + n // 20 if n else 0
 
 
-def bitmap(items: np.ndarray) -> np.ndarray:
-    """Parity bitmap: a bit for each residue, set if an odd number of the shingles has it. Bits: four times the size, to a power of two."""
-    bits = max(64, 4 << int(len(items) - 1).bit_length())
+def bitmap(items: np.ndarray) -> bytes:
+    """Parity bitmap: a bit for each residue, set if an odd number of the shingles has it."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(len(items) - 1).bit_length()))
     odd = np.bincount((items & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _bytes_of(column: pa.Array) -> list[bytes | None]:
+    return column.cast(pa.binary()).to_pylist()
 
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:
@@ -112,14 +154,18 @@ def _texts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
 
+def _counter(items: np.ndarray) -> np.ndarray:
+    return (items >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+
+
 def frequency_classes(docs: DataFrame, text: str = "text") -> bytes:
     """For each counter of the sketch the binary logarithm of its count, as a byte."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
         for batch in batches:
-            for s in shingles(batch.column(0).to_pylist()):
-                np.add.at(total, (s >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64), 1)
+            for s in shingles(_bytes_of(batch.column(0))):
+                np.add.at(total, _counter(s), 1)
         if total.any():
             parts = np.split(total, PARTS)
             yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "counts"])
@@ -140,37 +186,37 @@ def frequency_classes(docs: DataFrame, text: str = "text") -> bytes:
 
 
 def shingle_sets(docs: DataFrame, classes: bytes, text: str = "text") -> DataFrame:
-    """doc_id, set_id, key (its first half), n, prefix (rarest shingles; given once in a task for each set)."""
+    """doc_id, set_id, key (its first half), n, and once in a task for each set prefix (rarest shingles) and bits (signature)."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = np.frombuffer(shared.value, np.uint8)
         seen: set[bytes] = set()
         for batch in batches:
-            ids, sizes, prefixes = [], [], []
-            for s in shingles(batch.column(1).to_pylist()):
+            ids, sizes, prefixes, signatures = [], [], [], []
+            for s in shingles(_bytes_of(batch.column(1))):
                 key = _set_id(s)
                 ids.append(key)
                 sizes.append(len(s))
-                if key in seen or not len(s):
-                    prefixes.append(None)
-                    continue
-                if len(seen) < 1_000_000:
+                first = len(s) > 0 and key not in seen
+                if first and len(seen) < 200_000:
                     seen.add(key)
-                order = np.lexsort((s, of[(s >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)]))
-                prefixes.append(s[order[: prefix_length(len(s))]].view(np.int64))
+                order = np.argsort(of[_counter(s)], kind="stable") if first else None
+                prefixes.append(s[order[: prefix_length(len(s))]].view(np.int64) if first else None)
+                signatures.append(bitmap(s) if first else None)
             keys = [int.from_bytes(k[:8], "little", signed=True) for k in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "set_id", "key", "n", "prefix"])
+            columns = [batch.column(0), pa.array(ids, pa.binary()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(signatures, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set_id", "key", "n", "prefix", "bits"])
 
-    return _texts(docs, text).mapInArrow(run, "doc_id long, set_id binary, key long, n long, prefix array<long>")
+    return _texts(docs, text).mapInArrow(run, "doc_id long, set_id binary, key long, n long, prefix array<long>, bits binary")
 
 
 def _set_id(items: np.ndarray) -> bytes:
     return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
 
 
-def _of_sets(docs: DataFrame, wanted: DataFrame, sets: DataFrame, text: str, make, name: str) -> DataFrame:
-    """set_id and make(shingles), an array of longs, of the wanted sets, from one document of each."""
+def _items_of(docs: DataFrame, wanted: DataFrame, sets: DataFrame, text: str) -> DataFrame:
+    """set_id and items (sorted shingles) of the wanted sets, from one document of each."""
     chosen = sets.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).join(wanted, "set_id").select(F.col("doc_id").alias("chosen")).distinct()
     chosen = materialise(chosen, "chosen")
     if chosen.count() <= BROADCAST_IDS:
@@ -180,35 +226,17 @@ def _of_sets(docs: DataFrame, wanted: DataFrame, sets: DataFrame, text: str, mak
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [s for s in shingles(batch.column(0).to_pylist()) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in found], pa.binary()), pa.array([make(s) for s in found], pa.list_(pa.int64()))], names=["set_id", name])
-
-    return materialise(rows.select("text").mapInArrow(run, f"set_id binary, {name} array<long>"), name)
-
-
-def _bits_differ(a: Column, b: Column) -> Column:
-    """Bits in which two parity bitmaps differ; the longer one is folded to the shorter one's length."""
+            found = [s for s in shingles(_bytes_of(batch.column(0))) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["set_id", "items"])
 
-    def ham(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-
-    def fold(x: Column) -> Column:
-        half = (F.size(x) / 2).cast("int")
-        return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
-
-    return F.when(F.size(a) == F.size(b), ham(a, b)).when(F.size(a) == 2 * F.size(b), ham(fold(a), b)).when(2 * F.size(a) == F.size(b), ham(a, fold(b))).otherwise(0)
-
-
-def _possible(a_n: Column, b_n: Column, a_bits: Column, b_bits: Column) -> Column:
-    """Whether sizes and bitmaps allow a similarity of 0.8: nine times the difference is at most the sum of sizes."""
-    return (5 * a_n >= 4 * b_n) & (5 * b_n >= 4 * a_n) & (9 * _bits_differ(a_bits, b_bits) <= a_n + b_n)
+    return materialise(rows.select("text").mapInArrow(run, "set_id binary, items array<long>"), "items")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, text: str) -> DataFrame:
     """Pairs (a, b) whose exact intersection reaches 0.8 of the union."""
     pairs = materialise(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    arrays = _of_sets(docs, wanted, sets, text, lambda x: x.view(np.int64), "items")
+    arrays = _items_of(docs, wanted, sets, text)
     left = arrays.select(F.col("set_id").alias("a"), F.col("items").alias("a_items"))
     right = arrays.select(F.col("set_id").alias("b"), F.col("items").alias("b_items"))
 
@@ -245,15 +273,44 @@ def _band(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.25)) + F.lit(1e-9)).cast("int")
 
 
-def _shared(rows: DataFrame, by: str) -> DataFrame:
-    """Rows of shingles that more than one value of ``by`` has."""
-    same = Window.partitionBy("shingle")
-    return rows.withColumns({"lo": F.min(by).over(same), "hi": F.max(by).over(same)}).filter("lo != hi").drop("lo", "hi")
+def _enough(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows of sets that have as many of them (rows) as any link needs (the smallest linked set has 0.8 of n)."""
+    return rows.withColumn("rows", F.count("*").over(Window.partitionBy(*by))).filter(F.col("rows") > F.floor(F.col("n") / 25))
 
 
-def _enough(rows: DataFrame) -> DataFrame:
-    """Rows of sets that have as many of them (rows) as any link needs (the smallest linked set has 0.8 of n)."""
-    return rows.withColumn("rows", F.count("*").over(Window.partitionBy("set_id"))).filter(F.col("rows") > F.floor(F.col("n") / 25))
+def _candidates(sets: DataFrame) -> DataFrame:
+    """shingle, set_id, n, rows, band: prefix shingles that several sets have, of the sets that have enough of them."""
+    first = sets.filter("prefix is not null")
+    rows = first.select("key", F.explode("prefix").alias("shingle"))
+    # Counted first, so that a hot shingle's rows are summed in each task; the join can then split them.
+    shared = rows.groupBy("shingle").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo != hi").select("shingle")
+    rows = materialise(rows.join(materialise(shared, "shared"), "shingle", "left_semi"), "rows")
+    owners = first.select("key", "set_id", "n").repartition("key").distinct()
+    rows = rows.repartition("key").distinct().join(owners, "key")
+    return materialise(_enough(rows, "key", "set_id").select("shingle", "set_id", "n", "rows", _band(F.col("n")).alias("band")), "live")
+
+
+def _signed(sets: DataFrame, live: DataFrame) -> DataFrame:
+    """set_id, n, bits of the sets in live."""
+    wanted = materialise(live.select("set_id").distinct(), "wanted")
+    return materialise(sets.filter("bits is not null").select("set_id", "n", "bits").join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"]), "signed")
+
+
+def possible(a_n: int, b_n: int, a: bytes, b: bytes) -> bool:
+    """Whether sizes and bitmaps allow a similarity of 0.8: nine times the difference is at most the sum of sizes."""
+    if 5 * a_n < 4 * b_n or 5 * b_n < 4 * a_n:
+        return False
+    least = min(len(a), len(b))
+    x, y = (_folded(v, least) for v in (a, b))
+    return 9 * (x ^ y).bit_count() <= a_n + b_n
+
+
+def _folded(bits: bytes, size: int) -> int:
+    """A parity bitmap of fewer residues: its parts one on the other."""
+    out = 0
+    for k in range(0, len(bits), size):
+        out ^= int.from_bytes(bits[k : k + size], "little")
+    return out
 
 
 def _star_pairs(live: DataFrame, signed: DataFrame) -> DataFrame:
@@ -262,128 +319,116 @@ def _star_pairs(live: DataFrame, signed: DataFrame) -> DataFrame:
     The pivot is the class that shares most of its shingles: an original rather than one of its edited copies.
     """
     central = F.struct((-F.col("rows") / F.col("n")).alias("s"), "set_id")
-    pivots = live.groupBy("shingle", "band").agg(F.min(central)["set_id"].alias("a"))
-    pairs = live.join(pivots, ["shingle", "band"]).filter("a != set_id").select("a", F.col("set_id").alias("b")).distinct()
-    sized = signed.select("set_id", "n", "bits")
-    pairs = pairs.join(sized.toDF("a", "a_n", "a_bits"), "a").join(sized.toDF("b", "b_n", "b_bits"), "b")
-    return pairs.filter(_possible(F.col("a_n"), F.col("b_n"), F.col("a_bits"), F.col("b_bits"))).select("a", "b")
+    pivots = materialise(live.groupBy("shingle", "band").agg(F.min(central)["set_id"].alias("a")), "pivots")
+    pairs = materialise(live.select("shingle", "band", F.col("set_id").alias("b")).join(pivots, ["shingle", "band"]).filter("a != b").select("a", "b").distinct(), "star")
+    pairs = pairs.join(signed.toDF("a", "a_n", "a_bits"), "a").join(signed.toDF("b", "b_n", "b_bits"), "b")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [possible(*x) for x in zip(*(batch.column(c).to_pylist() for c in range(2, 6)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-def _tiled(rows: DataFrame) -> DataFrame:
-    """Add block, and lo and hi: the pair of blocks that a row meets in. A hot shingle's rows go to blocks, each other shingle's to one."""
-    rows = rows.withColumn("blocks", (F.count("*").over(Window.partitionBy("shingle")) / TILE).cast("int"))
+    return pairs.select("a", "b", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(run, "a binary, b binary")
+
+
+def _mixed_tiles(rows: DataFrame) -> DataFrame:
+    """Rows (with size, the rows of their tile) of the tiles in which different components meet."""
+    sizes = rows.groupBy("shingle", "tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), F.max("home").alias("any")).filter("lo != hi and any").select("shingle", "tile", "size")
+    return rows.join(materialise(sizes, "sizes"), ["shingle", "tile"])
+
+
+def tiles(live: DataFrame, labels: DataFrame) -> DataFrame:
+    """shingle, tile (size band), set_id, n, label, home, size: classes by shingle in the tiles of their own band (home) and of the next larger one."""
+    rows = live.select("shingle", "band", "set_id", "n").join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left")
+    rows = rows.select("shingle", "set_id", "n", F.xxhash64(F.coalesce("label", "set_id")).alias("label"), F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(True).alias("home")), F.struct((F.col("band") + 1).alias("tile"), F.lit(False).alias("home")))).alias("t"))
+    rows = materialise(rows.select("shingle", "set_id", "n", "label", "t.*"), "tiles")
+    rows = materialise(_enough(_mixed_tiles(rows).drop("size"), "set_id", "tile").drop("rows"), "tiles")
+    return _mixed_tiles(rows)
+
+
+def _meeting(n: np.ndarray, label: np.ndarray, home: np.ndarray, left: np.ndarray | None, bits: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a tile's rows that sizes, labels and bitmaps allow; of one from each side where left is given."""
+    least = min(map(len, bits))
+    x = np.zeros((len(bits), least // 8), np.uint64)
+    for k, b in enumerate(bits):
+        for p in range(0, len(b), least):
+            x[k] ^= np.frombuffer(b, np.uint64, least // 8, p)
+    found = []
+    for a in range(0, len(bits), 256):
+        own = slice(a, a + 256)
+        may = (label[own, None] != label) & (home[own, None] | home) & (5 * n[own, None] >= 4 * n) & (5 * n >= 4 * n[own, None])
+        may &= left[own, None] & ~left if left is not None else np.arange(len(bits)) > np.arange(a, min(a + 256, len(bits)))[:, None]
+        i, j = np.nonzero(may)
+        for k in range(0, len(i), 8192):
+            p, q = i[k : k + 8192] + a, j[k : k + 8192]
+            near = 9 * np.bitwise_count(x[p] ^ x[q]).sum(axis=1, dtype=np.int64) <= n[p] + n[q]
+            found.append((p[near], q[near]))
+    return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) if found else (np.empty(0, int), np.empty(0, int))
+
+
+def _tile_pairs(rows: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs of classes of different components in a tile that may be similar. Tiles of over TILE rows are cut into blocks, which meet two by two."""
+    rows = rows.join(signed.select("set_id", "bits"), "set_id").withColumn("blocks", (F.col("size") / TILE).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks") + 1).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks"))))
-    return rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("blocks", "other")
-
-
-class _Signatures:
-    """Sizes, labels and bitmaps of sets, by length of bitmap; the longer ones also folded to half."""
-
-    def __init__(self, rows: list[tuple[bytes, int, bytes, bytes]]) -> None:
-        self.at = {r[0]: k for k, r in enumerate(rows)}
-        self.ids = [r[0] for r in rows]
-        self.n = np.array([r[1] for r in rows], np.int64)
-        names = {x: k for k, x in enumerate(sorted({r[2] for r in rows}))}
-        self.label = np.array([names[r[2]] for r in rows], np.int64)
-        self.length = np.array([len(r[3]) // 8 for r in rows], np.int64)
-        self.place = np.zeros(len(rows), np.int64)
-        self.full: dict[int, np.ndarray] = {}
-        for m in np.unique(self.length).tolist():
-            own = np.flatnonzero(self.length == m)
-            self.place[own] = np.arange(len(own))
-            self.full[m] = np.stack([np.frombuffer(rows[k][3], np.uint64) for k in own.tolist()])
-        self.half = {m: x[:, : m // 2] ^ x[:, m // 2 :] for m, x in self.full.items() if m > 1}
-
-    def pairs(self, left: np.ndarray, right: np.ndarray, same: bool) -> Iterator[tuple[int, int]]:
-        """Pairs of one from each side that sizes, labels and bitmaps allow; each once if the sides are the same."""
-        for m in np.unique(self.length[left]).tolist():
-            for i in left[self.length[left] == m].tolist():
-                near = (self.label[right] != self.label[i]) & (5 * self.n[right] >= 4 * self.n[i]) & (5 * self.n[i] >= 4 * self.n[right])
-                js = right[near & (right > i)] if same else right[near]
-                for k in (m, 2 * m, m // 2):
-                    some = js[self.length[js] == k]
-                    if k and len(some):
-                        mine = (self.half if k < m else self.full)[m][self.place[i]]
-                        theirs = (self.half if k > m else self.full)[k][self.place[some]]
-                        differ = np.bitwise_count(theirs ^ mine).sum(axis=1, dtype=np.int64)
-                        for j in some[9 * differ <= self.n[some] + self.n[i]].tolist():
-                            yield i, j
-
-
-def _tile_pairs(live: DataFrame, signed: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of classes in one tile or neighbouring ones that are in different components and may be similar."""
-    rows = live.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    rows = materialise(_shared(_enough(_shared(rows, "label")), "label"), "mixed")
-    own = materialise(rows.select("set_id", "n", "label").distinct().join(signed.select("set_id", "bits"), "set_id"), "signatures")
-    if own.agg(F.coalesce(F.sum(8 * F.size("bits") + 64), F.lit(0))).first()[0] > BROADCAST_BYTES:
-        return _tile_pairs_joined(rows, signed)
-    packed = [(bytes(r["set_id"]), r["n"], bytes(r["label"]), np.array(r["bits"], np.int64).tobytes()) for r in own.orderBy("set_id").collect()]
-    shared = live.sparkSession.sparkContext.broadcast(_Signatures(packed))
+    rows = rows.select("shingle", "tile", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "home", "set_id", "n", "label", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, seen, key, members = shared.value, set(), None, ([], [])
-
-        def meet() -> list[tuple[int, int]]:
-            out = []
-            if key and members[0] and (members[1] or key[1] == key[2]):
-                left, right = (np.unique(np.array(x, np.int64)) for x in members)
-                same = key[1] == key[2]
-                for p in s.pairs(left, left if same else right, same):
-                    p = (min(p), max(p))
-                    if p not in seen:
-                        if len(seen) > 1_000_000:
-                            seen.clear()
-                        seen.add(p)
-                        out.append(p)
-            return out
+        seen: set[bytes] = set()  # pairs that were looked at
+        key, held = None, []
+
+        def meet() -> list[tuple[bytes, bytes]]:
+            if len(held) < 2:
+                return []
+            if len(held) <= SMALL:
+                out = [(x[2], y[2]) for x, y in combinations(held, 2) if x[4] != y[4] and (x[1] or y[1]) and (key[2] == key[3] or x[0] != y[0]) and new(x[2], y[2]) and possible(x[3], y[3], x[5], y[5])]
+            else:
+                block, home, ids, n, label, bits = zip(*held)
+                left = np.array(block) == key[2] if key[2] != key[3] else None
+                met = _meeting(np.array(n, np.int64), np.array(label, np.int64), np.array(home), left, bits)
+                out = [(ids[i], ids[j]) for i, j in zip(*(x.tolist() for x in met)) if new(ids[i], ids[j])]
+            return [(min(p), max(p)) for p in out]
+
+        def new(a: bytes, b: bytes) -> bool:
+            p = a + b if a < b else b + a
+            if p in seen:
+                return False
+            if len(seen) >= 200_000:
+                seen.clear()
+            seen.add(p)
+            return True
+
+        def packed(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             found = []
-            for g, lo, hi, block, i in zip(*(batch.column(c).to_pylist() for c in range(5))):
-                if (g, lo, hi) != key:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:4] != key:
                     found += meet()
-                    key, members = (g, lo, hi), ([], [])
-                members[0 if block == lo else 1].append(s.at[i])
-            yield _as_pairs(found, s)
-        yield _as_pairs(meet(), s)
-
-    parts = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # work grows faster than bytes: no merging of small parts
-    tiles = _tiled(rows.select("shingle", "set_id")).repartition(parts, "shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi")
-    return tiles.select("shingle", "lo", "hi", "block", "set_id").mapInArrow(run, "a binary, b binary").distinct()
+                    key, held = row[:4], []
+                held.append(row[4:])
+            yield packed(found)
+        yield packed(meet())
 
-
-def _as_pairs(found: list[tuple[int, int]], s: _Signatures) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([s.ids[p[k]] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
-
-
-def _tile_pairs_joined(rows: DataFrame, signed: DataFrame) -> DataFrame:
-    """As ``_tile_pairs`` where the bitmaps are too large to broadcast: they travel with the rows."""
-    rows = materialise(_tiled(rows.join(signed.select("set_id", "bits"), "set_id")), "tiles")
-    side = lambda x: rows.select("shingle", "lo", "hi", F.col("block").alias(f"{x}_block"), F.col("band").alias(f"{x}_band"), F.col("set_id").alias(x), F.col("n").alias(f"{x}_n"), F.col("label").alias(f"{x}_label"), F.col("bits").alias(f"{x}_bits"))
-    once = ((F.col("a_block") == F.col("lo")) & (F.col("b_block") == F.col("hi"))) & ((F.col("lo") != F.col("hi")) | (F.col("a") < F.col("b")))
-    near = F.abs(F.col("a_band") - F.col("b_band")) <= 1
-    pairs = side("a").join(side("b"), ["shingle", "lo", "hi"]).filter(once & near & (F.col("a_label") != F.col("b_label")) & _possible(F.col("a_n"), F.col("b_n"), F.col("a_bits"), F.col("b_bits")))
-    return pairs.select("a", "b").distinct()
+    # Work grows faster than bytes, so small parts are not merged.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = rows.repartition(parts, "shingle", "tile", "lo", "hi").sortWithinPartitions("shingle", "tile", "lo", "hi")
+    return met.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links lead to) of every document."""
     sets = materialise(shingle_sets(docs, frequency_classes(docs, text), text), "sets")
-    # The one large shuffle carries two longs a row; sizes and full ids are joined to the rows that share a shingle.
-    rows = sets.filter("prefix is not null").select("key", F.explode("prefix").alias("shingle"))
-    owners = sets.filter("prefix is not null").select("key", "set_id", "n").distinct()
-    shared = _shared(rows, "key").distinct().join(owners, "key").select("shingle", "set_id", "n")
-    live = materialise(_shared(_enough(shared), "set_id").withColumn("band", _band(F.col("n"))), "live")
-
-    sizes = live.select("set_id", "n").distinct()
-    signed = materialise(_of_sets(docs, sizes.select("set_id"), sets, text, bitmap, "bits").dropDuplicates(["set_id"]).join(sizes, "set_id"), "signed")
+    live = _candidates(sets)
+    signed = _signed(sets, live)
 
     links = materialise(_verified(_star_pairs(live, signed), docs, sets, text), "links")
-    more = materialise(_verified(_tile_pairs(live, signed, components(links)), docs, sets, text), "links")
+    more = materialise(_verified(_tile_pairs(tiles(live, components(links)), signed), docs, sets, text), "links")
     labels = components(links.unionByName(more))
 
     own = sets.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least")).join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    of_label = own.groupBy("label").agg(F.min("least").alias("component"))
+    own = materialise(own, "own")
+    of_label = materialise(own.groupBy("label").agg(F.min("least").alias("component")), "of-label")
     of_set = own.join(of_label, "label").select("set_id", "component")
     out = sets.select("doc_id", "set_id", F.col("n").alias("n_shingles")).join(of_set, "set_id", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
