@@ -32,7 +32,7 @@ CHUNK = 1 << 16
 #: Pre-tokens up to so many characters are encoded at once and remembered.
 SHORT = 256
 #: Pre-tokens remembered by one worker before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 # The pre-token pattern of byte-level BPE; the second form spells out its classes up to U+00FF.
 PATTERN = r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"

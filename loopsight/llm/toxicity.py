@@ -7,7 +7,7 @@ obfuscated words. So that a row's own label does not shape its features, the lex
 is learned from the other half of the sample; the final lexicon is learned from all of it.
 
 Edge cases: null and empty texts have no words and are scored like any text; labels that are null or
-of unknown documents are not used; without labels of both kinds the score is the share of toxic
+of unknown documents are not used; a null doc_id counts as held out, as its label is not used; without labels of both kinds the score is the share of toxic
 labels (0 if there are none); repeated rows get equal scores; input columns named like a result
 column are replaced; an empty table gives an empty table.
 """
@@ -35,6 +35,8 @@ from .common import add_columns, materialise, without
 SAMPLE = 30_000
 #: Lexicon entries at most (those with the strongest log odds).
 LEXICON = 20_000
+#: Words that a worker remembers before it starts anew.
+REMEMBERED = 50_000
 #: Toxic training texts that hold an entry at least, and its log odds at least.
 SUPPORT, ODDS = 4, 3.0
 THRESHOLD = 0.7
@@ -65,7 +67,7 @@ class Odds(dict):
         self.lexicon = lexicon
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 300_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         out = self[word] = max((self.lexicon.get(e, 0.0) for e in entries(word)), default=0.0)
         return out
@@ -104,17 +106,18 @@ def features(text: str | None, odds: Odds) -> list[float]:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """text, label, half, part of at most ``size`` labelled rows that aren't held out."""
+    """text, label, half, part of at most ``size`` labelled documents that aren't held out (of a repeated doc_id, one text)."""
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("label"))
     usable = usable.withColumn("h", F.xxhash64("doc_id", F.lit(7))).orderBy("h", "doc_id").limit(size)
     usable = usable.withColumns({"half": F.pmod("h", F.lit(2)), "part": F.pmod(F.floor(F.col("h") / 2), F.lit(3))}).drop("h")
     # The sample is bounded, so it can be broadcast.
-    return materialise(docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id").select("text", "label", "half", "part"), "toxic-sample")
+    rows = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id").groupBy("doc_id", "label", "half", "part").agg(F.min("text").alias("text"))
+    return materialise(rows.select("text", "label", "half", "part"), "toxic-sample")
 
 
 def _entry_counts(rows: DataFrame, among: set[str] | None) -> DataFrame:
@@ -129,7 +132,7 @@ def _entry_counts(rows: DataFrame, among: set[str] | None) -> DataFrame:
                 own: set[str] = set()
                 for w in set(_LETTERS.findall((text or "").lower())):
                     if (e := known.get(w)) is None:
-                        if len(known) > 200_000:
+                        if len(known) >= REMEMBERED // 2:
                             known.clear()
                         e = known[w] = [x for x in entries(w) if shared.value is None or x in shared.value]
                     own.update(e)
