@@ -20,9 +20,9 @@ TIMESTAMPS = [
 _PORT = r"0*(?:6553[0-5]|655[0-2]\d|65[0-4]\d{2}|6[0-4]\d{3}|[1-5]\d{4}|[1-9]\d{0,3})"
 PORTS = [
     (r"--port[= ](\d+)", r"--port $1"),
-    (rf"--port {_PORT}(\D|$)", r"--port <PORT>$1"),
-    (r"(^|\W)-p[= ](\d+)", r"$1-p $2"),
-    (rf"(^|\W)-p {_PORT}(\D|$)", r"$1-p <PORT>$2"),
+    (rf"--port {_PORT}(?!\d)", r"--port <PORT>"),
+    (r"(?<!\w)-p[= ](\d+)", r"-p $1"),
+    (rf"(?<!\w)-p {_PORT}(?!\d)", r"-p <PORT>"),
     (rf":(?:(?:0{{0,4}}[1-9]|0{{0,3}}[1-9]\d|0{{0,2}}[1-9]\d{{2}}|0?[1-9]\d{{3}})|6553[0-5]|655[0-2]\d|65[0-4]\d{{2}}|6[0-4]\d{{3}}|[1-5]\d{{4}})\b", r":<PORT>"),
 ]
 TMP_PATHS = [
@@ -53,6 +53,10 @@ SELF_REFERENCE = [
     r"(제|내)\s*가\s*(작성|생성|구현|작업)\s*(한|했던)\s*(코드|내용|결과|것)\s*(이니|이므로|이라서|이기\s*때문에|여서)", r"(제|내)\s*가\s*만든\s*(코드|내용|결과|것|출력)\s*(이니|이므로|이라서|이기\s*때문에|여서)",
     r"as\s+i\s+(mentioned|stated|said|noted|wrote)\s*(before|earlier|previously|above)?", r"(in\s+my\s+(previous|last|prior|earlier)\s+(response|answer|message|output))", r"(내|제)\s*가\s*(확인|검토|검증|점검)\s*(했|하였)\s*(으니|으므로|니까|니|므로)",
 ]
+# Words of which each phrase above holds one at least, in capitals; a text without them needs no closer look.
+COMPLETION_WORDS = ["완료", "성공적", "마쳤", "끝냈", "SUCCESSFULLY", "TASK"]
+VERIFICATION_WORDS = ["확인", "검토", "검사", "점검", "검증", "테스트", "실행", "VERIFIED", "CONFIRMED", "CHECKED", "TESTED"]
+REFERENCE_WORDS = ["이전", "앞서", "방금", "이미", "작성", "생성", "구현", "작업", "만든", "확인", "검토", "검증", "점검", "MENTIONED", "STATED", "SAID", "NOTED", "WROTE", "RESPONSE", "ANSWER", "MESSAGE", "OUTPUT"]
 NO_PATH = "<unknown_path>"
 
 
@@ -144,13 +148,15 @@ def normalize_content(text: Column) -> Column:
     return F.substring(F.lower(collapse_space(text)), 1, 500)
 
 
-def any_of(patterns: list[str]) -> str:
-    return "(?iu)" + "|".join(f"(?:{p})" for p in patterns)
+def says(text: Column, patterns: list[str], words: list[str]) -> Column:
+    """Whether any pattern matches; the patterns are tried only on texts that hold one of the words."""
+    large = F.upper(text)
+    return reduce(lambda a, w: a | large.contains(w), words[1:], large.contains(words[0])) & text.rlike("(?iu)" + "|".join(f"(?:{p})" for p in patterns))
 
 
 def pattern_kinds(text: Column) -> Column:
     """Kinds of false-success phrases in a text, in fixed order; none for blank texts."""
-    found = F.array(F.when(text.rlike(any_of(COMPLETION)), "UNSUBSTANTIATED_COMPLETION"), F.when(text.rlike(any_of(SELF_VERIFICATION)), "SELF_REFERENTIAL_VERIFICATION"))
+    found = F.array(F.when(says(text, COMPLETION, COMPLETION_WORDS), "UNSUBSTANTIATED_COMPLETION"), F.when(says(text, SELF_VERIFICATION, VERIFICATION_WORDS), "SELF_REFERENTIAL_VERIFICATION"))
     return F.when(text.isNull() | (F.trim(text) == ""), F.array().cast("array<string>")).otherwise(F.array_compact(found))
 
 
@@ -159,4 +165,4 @@ def false_success(text: Column) -> Column:
 
 
 def self_referential(text: Column) -> Column:
-    return F.coalesce(text.rlike(any_of([*SELF_VERIFICATION, *SELF_REFERENCE])), F.lit(False))
+    return F.coalesce(says(text, [*SELF_VERIFICATION, *SELF_REFERENCE], [*VERIFICATION_WORDS, *REFERENCE_WORDS]), F.lit(False))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import ratio
+from .prefix import numbered, running
 
 SCOPE = ["session_id", "agent_scope"]
 
@@ -72,21 +73,20 @@ def robust_vote(samples: DataFrame) -> DataFrame:
 def roc(scores: DataFrame) -> DataFrame:
     """threshold, tpr, fpr, youden for each distinct score (predicted positive from it on).
 
-    Scores are first counted by value, so what is summed in order is one row for each distinct score.
+    Scores are first counted by value; their running sums go by ranges.
     """
     by = scores.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("q"))
-    above = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = by.withColumns({"tp": F.sum("p").over(above), "fp": F.sum("q").over(above), "P": F.sum("p").over(all_), "Q": F.sum("q").over(all_)})
-    rows = rows.select(F.col("score").alias("threshold"), ratio(F.col("tp"), F.col("P"), 0.0).alias("tpr"), ratio(F.col("fp"), F.col("Q"), 0.0).alias("fpr"))
+    rows = running(by, {"tp": F.col("p"), "fp": F.col("q")}, [F.desc("score")])
+    rows = rows.crossJoin(F.broadcast(by.agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))))  # one row
+    rows = rows.select(F.col("score").alias("threshold"), ratio(F.col("tp"), F.col("all_p"), 0.0).alias("tpr"), ratio(F.col("fp"), F.col("all_q"), 0.0).alias("fpr"))
     return rows.withColumn("youden", F.col("tpr") - F.col("fpr"))
 
 
 def auc(points: DataFrame) -> DataFrame:
     """Area under the curve by trapezoids, from (0, 0), and the threshold with the greatest Youden index."""
-    w = Window.orderBy(F.desc("threshold"))
-    x0, y0 = F.coalesce(F.lag("fpr").over(w), F.lit(0.0)), F.coalesce(F.lag("tpr").over(w), F.lit(0.0))
-    rows = points.withColumn("area", (F.col("fpr") - x0) * (F.col("tpr") + y0) / 2)
+    rows = numbered(points, "n", [F.desc("threshold")])
+    before = rows.select((F.col("n") + 1).alias("n"), F.col("fpr").alias("x0"), F.col("tpr").alias("y0"))
+    rows = rows.join(before, "n", "left").withColumn("area", (F.col("fpr") - F.coalesce("x0", F.lit(0.0))) * (F.col("tpr") + F.coalesce("y0", F.lit(0.0))) / 2)
     return rows.agg(F.sum("area").alias("auc"), F.max_by("threshold", F.struct("youden", "threshold")).alias("best_threshold"), F.max("youden").alias("best_youden"))
 
 

@@ -6,16 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SCOPE = ["session_id", "agent_scope"]
-
-
-def _cut(df: DataFrame, shared: bool) -> DataFrame:
-    """Cut the lineage between rounds where a checkpoint folder is set."""
-    return df.checkpoint() if shared else df
+from ..sources.scratch import stored
 
-
-def _has_folder(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+SCOPE = ["session_id", "agent_scope"]
 
 
 def depths(events: DataFrame, same_ts: bool = False) -> DataFrame:
@@ -29,13 +22,13 @@ def depths(events: DataFrame, same_ts: bool = False) -> DataFrame:
     rows = e.join(parent, ["session_id", "parent_uuid"], "left")
     linked = F.col("parent_ts").isNotNull() & ((F.col("parent_ts") == F.col("ts")) if same_ts else F.lit(True))
     rows = rows.select("session_id", "uuid", F.when(linked, F.col("parent_uuid")).alias("up"), F.when(linked, 1).otherwise(0).cast("long").alias("dist"))
-    shared = _has_folder(events)
     longest = events.groupBy("session_id").count().agg(F.max("count")).first()[0] or 0
     for _ in range(int(longest).bit_length() + 1):
         if not rows.filter("up is not null").limit(1).count():
             break
         above = rows.select("session_id", F.col("uuid").alias("up"), F.col("up").alias("next"), F.col("dist").alias("more"))
-        rows = _cut(rows.join(above, ["session_id", "up"], "left").select("session_id", "uuid", F.col("next").alias("up"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist")), shared)
+        rows = rows.join(above, ["session_id", "up"], "left").select("session_id", "uuid", F.col("next").alias("up"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"))
+        rows = stored(rows, "depths")  # else the plan would double each round
     return rows.select("session_id", "uuid", F.when(F.col("up").isNull(), F.col("dist")).alias("depth"), F.col("up").isNotNull().alias("cyclic"))
 
 

@@ -6,23 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import fingerprint, gate, ordering
+from ..operators import fingerprint, gate, ordering, prefix
 from ..sources import views
 from .registry import HITS, query
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     """Texts with a prefix that holds something for every mask."""
-    extra = F.format_string(" at 2024-05-%02d and 2024-05-%02dT10:00:%02dZ 1700000%06d --port=%d -p %d host:%d /tmp/x%d /var/tmp/y sleep %d %s", F.pmod("doc_id", F.lit(28)) + 1, F.pmod("doc_id", F.lit(28)) + 1, F.pmod("doc_id", F.lit(60)), "doc_id", F.col("doc_id") * 7, F.col("doc_id") * 11 + 60000, F.col("doc_id") * 3, "doc_id", F.pmod("doc_id", F.lit(9)), F.md5(F.col("doc_id").cast("string")))
+    extra = F.format_string(" at 2024-05-%02d and 2024-05-%02dT10:00:%02dZ 1700000%06d --port=%d -p %d -p 90 host:%d /tmp/x%d /var/tmp/y sleep %d %s", F.pmod("doc_id", F.lit(28)) + 1, F.pmod("doc_id", F.lit(28)) + 1, F.pmod("doc_id", F.lit(60)), "doc_id", F.col("doc_id") * 7, F.col("doc_id") * 11 + 60000, F.col("doc_id") * 3, "doc_id", F.pmod("doc_id", F.lit(9)), F.md5(F.col("doc_id").cast("string")))
     return views.table(spark, d, "documents").select("doc_id", F.concat("text", extra).alias("t"))
 
 
-_DOCS = "(SELECT doc_id, text || printf(' at 2024-05-%02d and 2024-05-%02dT10:00:%02dZ 1700000%06d --port=%d -p %d host:%d /tmp/x%d /var/tmp/y sleep %d %s', doc_id % 28 + 1, doc_id % 28 + 1, doc_id % 60, doc_id, doc_id * 7, doc_id * 11 + 60000, doc_id * 3, doc_id, doc_id % 9, md5(CAST(doc_id AS VARCHAR))) AS t FROM documents)"
+_DOCS = "(SELECT doc_id, text || printf(' at 2024-05-%02d and 2024-05-%02dT10:00:%02dZ 1700000%06d --port=%d -p %d -p 90 host:%d /tmp/x%d /var/tmp/y sleep %d %s', doc_id % 28 + 1, doc_id % 28 + 1, doc_id % 60, doc_id, doc_id * 7, doc_id * 11 + 60000, doc_id * 3, doc_id, doc_id % 9, md5(CAST(doc_id AS VARCHAR))) AS t FROM documents)"
+
+
+# The masks in SQL, written apart from the library's patterns. A guard that takes the next character may hide a neighbour
+# from the same pass, so those are applied twice.
+_RANGE = "0*(?:[1-9][0-9]{0,3}|[1-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5])"
+_SHORT = "(?:0{0,4}[1-9]|0{0,3}[1-9][0-9]|0{0,2}[1-9][0-9]{2}|0?[1-9][0-9]{3}|[1-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5])"
+_HEX = "[0-9A-Fa-f]"
+_UUID = f"{_HEX}{{8}}(?:-{_HEX}{{4}}){{3}}-{_HEX}{{12}}"
+_DASH_P = [("(^|[^0-9A-Za-z_])-p[= ]([0-9]+)", "\\1-p \\2")] * 2 + [(f"(^|[^0-9A-Za-z_])-p {_RANGE}([^0-9]|$)", "\\1-p <PORT>\\2")] * 2
+_TIMESTAMPS_SQL = [("[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}(?::[0-9]{2}){2}(?:[.][0-9]+)?(?:Z|[-+][0-9]{2}:?[0-9]{2})?", "<TIMESTAMP>"), (r"\b[0-9]{4}(?:-[0-9]{2}){2}\b", "<TIMESTAMP>"), (r"\b(?:[0-9]{13}|[0-9]{10})\b", "<TIMESTAMP>")]
+_PORTS_SQL = [("--port[= ]([0-9]+)", "--port \\1"), *[(f"--port {_RANGE}([^0-9]|$)", "--port <PORT>\\1")] * 2, *_DASH_P, (rf":{_SHORT}\b", ":<PORT>")]
+_PATHS_SQL = [(r"/var/(?:folders|tmp)/[^\s]*", "<TMP_PATH>"), (r"/tmp/[^\s]*", "<TMP_PATH>"), (r"[A-Za-z]:\\[^\s]*\\AppData\\Local\\Temp\\[^\s]*", "<TMP_PATH>"), (r"[A-Za-z]:/[^\s]*/AppData/Local/Temp/[^\s]*", "<TMP_PATH>")]
+_HASHES_SQL = [(_UUID, "<HASH>"), (rf"\b(?:{_HEX}{{64}}|{_HEX}{{40}}|{_HEX}{{32}})\b", "<HASH>")]
+_VOLATILE_SQL = [(_UUID, "<HASH>"), (rf"\b{_HEX}{{32,}}\b", "<HASH>"), (r"/tmp/[^\s]*", "<TMP>"), (r":[0-9]{4,5}\b", ":<PORT>"), (r"\b[0-9]{10,}\b", "<N>"), (r"\bsleep\s+[0-9]+\b", "sleep <N>")]
 
 
 def _sql(rules: list[tuple[str, str]], column: str = "t") -> str:
     for pattern, to in rules:
-        to = to.replace("$", "\\")
         column = f"regexp_replace({column}, '{pattern}', '{to}', 'g')"
     return column
 
@@ -36,39 +49,39 @@ def _mask_sql(rules) -> str:
     return f"SELECT doc_id, md5(m) AS digest, length(m) AS n FROM (SELECT doc_id, {_sql(rules)} AS m FROM {_DOCS})"
 
 
-@query(_mask_sql(tx.TIMESTAMPS))
+@query(_mask_sql(_TIMESTAMPS_SQL))
 def d1_mask_timestamps(spark, d):
     return _masked(spark, d, tx.mask_timestamps)
 
 
-@query(_mask_sql(tx.PORTS))
+@query(_mask_sql(_PORTS_SQL))
 def d2_mask_ports(spark, d):
     return _masked(spark, d, tx.mask_ports)
 
 
-@query(_mask_sql(tx.TMP_PATHS))
+@query(_mask_sql(_PATHS_SQL))
 def d3_mask_tmp_paths(spark, d):
     return _masked(spark, d, tx.mask_tmp_paths)
 
 
-@query(_mask_sql(tx.HASHES))
+@query(_mask_sql(_HASHES_SQL))
 def d4_mask_hashes(spark, d):
     return _masked(spark, d, tx.mask_hashes)
 
 
-@query(_mask_sql([*tx.TIMESTAMPS, *tx.PORTS, *tx.TMP_PATHS, *tx.HASHES]))
+@query(_mask_sql([*_TIMESTAMPS_SQL, *_PORTS_SQL, *_PATHS_SQL, *_HASHES_SQL]))
 def d5_mask_pipeline(spark, d):
     return _masked(spark, d, tx.mask_all)
 
 
-@query(_mask_sql(tx.VOLATILE))
+@query(_mask_sql(_VOLATILE_SQL))
 def d6_mask_volatile(spark, d):
     return _masked(spark, d, tx.mask_volatile)
 
 
-@query()
+@query("SELECT page_id, coalesce(nullif(list_reduce(list_prepend('', string_split(regexp_extract(url, '://[^/]*(/[^?#]*)', 1) || '/./a//../b/', '/')), lambda done, step: CASE WHEN step IN ('', '.') THEN done WHEN step = '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || step END), ''), '/') AS path FROM pages")
 def d7_normalize_path(spark, d):
-    """Paths of urls, with steps to fold; compared with a plain fold in the tests."""
+    """Paths of urls, with steps to fold."""
     path = F.concat(F.regexp_extract("url", r"://[^/]*(/[^?#]*)", 1), F.lit("/./a//../b/"))
     return views.table(spark, d, "pages").select("page_id", tx.normalize_path(path).alias("path"))
 
@@ -97,7 +110,7 @@ def d9_edit_delta(spark, d):
     return rows.select("uuid", tx.edit_delta(F.col("edit_tokens"), F.col("new")).alias("delta"))
 
 
-@query(f"SELECT doc_id, 'Bash:' || substr(sha256({_SPACE.format(_sql(tx.VOLATILE))}), 1, 16) AS bash_key, 'Write:/src/' || doc_id || ':' || substr(sha256({_SPACE.format('t')}), 1, 16) AS write_key, 'Read:' || substr(sha256('/src/' || doc_id), 1, 16) AS read_key FROM {_DOCS}")
+@query(f"SELECT doc_id, 'Bash:' || substr(sha256({_SPACE.format(_sql(_VOLATILE_SQL))}), 1, 16) AS bash_key, 'Write:/src/' || doc_id || ':' || substr(sha256({_SPACE.format('t')}), 1, 16) AS write_key, 'Read:' || substr(sha256('/src/' || doc_id), 1, 16) AS read_key FROM {_DOCS}")
 def d10_arg_keys(spark, d):
     rows = _documents(spark, d)
     path = F.concat(F.lit("/src/./"), F.col("doc_id").cast("string"))
@@ -117,11 +130,6 @@ def d12_large_payload_digest(spark, d):
     return views.table(spark, d, "documents").select("doc_id", tx.digest_large(F.col("text")).alias("digest"))
 
 
-@query("SELECT session_id, seq, uuid, tool, fine_key, result_class FROM actions", "actions")
-def d13_action_projection(spark, d):
-    return views.actions(spark, d).select("session_id", "seq", "uuid", "tool", "fine_key", "result_class")
-
-
 @query("SELECT session_id, file_path AS path, string_agg(uuid, ',' ORDER BY seq) AS uuids FROM actions WHERE file_path IS NOT NULL GROUP BY ALL", "actions")
 def d14_edits_by_file(spark, d):
     return fingerprint.edits_by_file(views.actions(spark, d)).select("session_id", "path", F.array_join("uuids", ",").alias("uuids"))
@@ -157,10 +165,12 @@ def c2_thread_depth(spark, d):
     return ordering.depths(views.threads(spark, d))
 
 
-@query("SELECT t.uuid, t.parent_uuid IS NOT NULL AND p.uuid IS NULL AS is_orphan FROM (SELECT * FROM threads WHERE seq % 5 <> 1) t LEFT JOIN (SELECT * FROM threads WHERE seq % 5 <> 1) p ON p.session_id = t.session_id AND p.uuid = t.parent_uuid", "threads")
+@query("SELECT uuid, false AS is_orphan FROM threads UNION ALL SELECT uuid || '-lost', seq % 3 <> 0 FROM threads", "threads")
 def c3_orphans(spark, d):
-    """Orphans that remain where every fifth turn's record was lost."""
-    return ordering.orphans(views.threads(spark, d).filter("seq % 5 != 1")).select("uuid", "is_orphan")
+    """All records, and for each one a further record, of which one in three names it as its parent and the others one that never came."""
+    t = views.threads(spark, d)
+    more = t.withColumns({"uuid": F.concat("uuid", F.lit("-lost")), "parent_uuid": F.when(F.col("seq") % 3 == 0, F.col("uuid")).otherwise(F.concat("uuid", F.lit("-gone")))})
+    return ordering.orphans(t.unionByName(more)).select("uuid", "is_orphan")
 
 
 @query("SELECT uuid, byte_offset FROM threads", "threads")
@@ -250,7 +260,6 @@ def e14_self_check(spark, d):
 
 #: Phrases for every rule, one for each document, so that all rules meet whole texts.
 PHRASES = ["작업이 완료 되었습니다", "Task is done", "successfully finished", "제가 확인한 결과 문제없습니다", "as I verified", "I checked and it works", "in my previous response", "as i mentioned earlier", "nothing", "모두 완료"]
-_PHRASE = "text || ' ' || " + "CASE doc_id % 10 " + " ".join(f"WHEN {k} THEN '{p}'" for k, p in enumerate(PHRASES)) + " END"
 
 
 def _phrased(spark, d):
@@ -258,29 +267,32 @@ def _phrased(spark, d):
     return views.table(spark, d, "documents").select("doc_id", "source", F.concat("text", F.lit(" "), pick).alias("t"))
 
 
-def _match(patterns: list[str]) -> str:
-    body = "|".join(f"(?:{p})" for p in patterns)
-    return f"regexp_matches(t, '(?i){body}')"
+# What each phrase means, by hand; the documents' own texts hold none.
+_CLAIMS = "doc_id % 10 IN (0, 1, 2, 9)"
+_CHECKS = "doc_id % 10 IN (3, 4, 5)"
+_REFERS = "doc_id % 10 IN (3, 4, 5, 6, 7)"
 
 
-@query(f"SELECT doc_id, concat_ws(',', CASE WHEN {_match(tx.COMPLETION)} THEN 'UNSUBSTANTIATED_COMPLETION' END, CASE WHEN {_match(tx.SELF_VERIFICATION)} THEN 'SELF_REFERENTIAL_VERIFICATION' END) AS kinds FROM (SELECT doc_id, {_PHRASE} AS t FROM documents)")
+@query(f"SELECT doc_id, CASE WHEN {_CLAIMS} THEN 'UNSUBSTANTIATED_COMPLETION' WHEN {_CHECKS} THEN 'SELF_REFERENTIAL_VERIFICATION' ELSE '' END AS kinds FROM documents")
 def h1_false_success_patterns(spark, d):
     return _phrased(spark, d).select("doc_id", F.array_join(tx.pattern_kinds(F.col("t")), ",").alias("kinds"))
 
 
-@query(f"SELECT doc_id, {_match(tx.COMPLETION)} OR {_match(tx.SELF_VERIFICATION)} AS matched FROM (SELECT doc_id, {_PHRASE} AS t FROM documents)")
+@query(f"SELECT doc_id, {_CLAIMS} OR {_CHECKS} AS matched FROM documents")
 def h2_false_success(spark, d):
     return _phrased(spark, d).select("doc_id", tx.false_success(F.col("t")).alias("matched"))
 
 
-@query(f"SELECT doc_id, {_match([*tx.SELF_VERIFICATION, *tx.SELF_REFERENCE])} AS matched FROM (SELECT doc_id, {_PHRASE} AS t FROM documents)")
+@query(f"SELECT doc_id, {_REFERS} AS matched FROM documents")
 def h3_self_referential(spark, d):
     return _phrased(spark, d).select("doc_id", tx.self_referential(F.col("t")).alias("matched"))
 
 
-@query(f"SELECT doc_id, round(avg(CAST(m AS INT)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), 6) AS density FROM (SELECT doc_id, source, {_match(tx.COMPLETION)} OR {_match(tx.SELF_VERIFICATION)} AS m FROM (SELECT doc_id, source, {_PHRASE} AS t FROM documents))")
+@query(f"SELECT doc_id, round(avg(CAST({_CLAIMS} OR {_CHECKS} AS INT)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), 6) AS density FROM documents")
 def h4_pattern_density(spark, d):
     from pyspark.sql import Window
 
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(-5, 5)
-    return _phrased(spark, d).withColumn("m", tx.false_success(F.col("t")).cast("int")).select("doc_id", F.round(F.avg("m").over(w), 6).alias("density"))
+    rows = prefix.numbered(_phrased(spark, d).select("doc_id", "source", tx.false_success(F.col("t")).cast("int").alias("m")), "n", ["doc_id"], ["source"])
+    w = Window.partitionBy("source", "block").orderBy("n").rowsBetween(-5, 5)
+    near = prefix.neighbourhood(rows, "n", 5)
+    return near.withColumn("density", F.round(F.avg("m").over(w), 6)).filter("home").select("doc_id", "density")

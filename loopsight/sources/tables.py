@@ -13,10 +13,10 @@ def new_rows(rows: DataFrame, target: DataFrame | None, key: list[str], order: l
 
 
 def append_events(events: DataFrame, target: DataFrame | None, path: str | None = None) -> DataFrame:
-    """Events that aren't stored yet; with a path they are appended there, by session and ingestion time."""
+    """Events that aren't stored yet; with a path they are appended there, by day of ingestion."""
     fresh = new_rows(events, target, ["uuid"], ["ingested_at", "byte_offset"])
     if path:
-        fresh.write.mode("append").partitionBy("ingested_at").parquet(path)
+        fresh.withColumn("ingested_on", F.timestamp_millis("ingested_at").cast("date")).write.mode("append").partitionBy("ingested_on").parquet(path)
     return fresh
 
 
@@ -75,9 +75,15 @@ def upsert_ledger(ledger: DataFrame, sent: DataFrame, window_ms: int) -> DataFra
 
 
 def write_detections(detections: DataFrame, path: str) -> None:
+    """Append detections, by kind."""
     detections.write.mode("append").partitionBy("kind").parquet(path)
 
 
+def write_metrics(metrics: DataFrame, path: str, run_id: str, created_at: int) -> None:
+    """Append the metrics of an evaluation run in the report's long form (section, row, metric, value), by run."""
+    metrics.withColumns({"run_id": F.lit(run_id), "created_at": F.lit(created_at).cast("long")}).write.mode("append").partitionBy("run_id").parquet(path)
+
+
 def active_configs(configs: DataFrame) -> DataFrame:
     """Versioned configurations; the latest is the active one."""
     latest = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("created_at"), F.desc("version")))
