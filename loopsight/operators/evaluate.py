@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.config import DEFAULTS, KINDS, Thresholds
-from ..functions.measures import f1, iou, ratio, wilson
+from ..functions.measures import f1, ratio, wilson
+from . import gate
+from .prefix import numbered
+from .verdict import degraded
 
 
 def mine_candidates(hits: DataFrame) -> DataFrame:
@@ -19,10 +25,8 @@ def mine_candidates(hits: DataFrame) -> DataFrame:
     )
 
 
-def span_scores(spans: DataFrame, hits: DataFrame) -> DataFrame:
-    """label_id, score: greatest overlap (intersection over union) of a session's hits with a gold span's uuids."""
-    rows = spans.join(hits.select("session_id", "window_refs"), "session_id", "left")
-    return rows.groupBy("label_id").agg(F.coalesce(F.max(iou(F.col("uuids"), F.col("window_refs"))), F.lit(0.0)).alias("score"))
+#: Actions of a block: spans are cut at blocks of positions, so that joins are on (session, block).
+BLOCK = 64
 
 
 def span_uuids(labels: DataFrame, actions: DataFrame) -> DataFrame:
@@ -31,16 +35,34 @@ def span_uuids(labels: DataFrame, actions: DataFrame) -> DataFrame:
     Without start or end in the session, or with them reversed, the array is empty.
     """
     at = lambda c: actions.select("session_id", F.col("uuid").alias(c), F.col("seq").alias(f"{c}_seq"))
-    ends = labels.join(at("start_uuid"), ["session_id", "start_uuid"], "left").join(at("end_uuid"), ["session_id", "end_uuid"], "left").select("label_id", "session_id", "start_uuid_seq", "end_uuid_seq")
-    inside = ends.join(actions.select("session_id", "seq", "uuid"), "session_id").filter(F.col("seq").between(F.col("start_uuid_seq"), F.col("end_uuid_seq")))
+    ends = labels.join(at("start_uuid"), ["session_id", "start_uuid"], "left").join(at("end_uuid"), ["session_id", "end_uuid"], "left").select("label_id", "session_id", F.col("start_uuid_seq").alias("first"), F.col("end_uuid_seq").alias("last"))
+    block = lambda c: F.floor(F.col(c) / BLOCK)
+    cut = ends.filter("first <= last").withColumn("block", F.explode(F.sequence(block("first"), block("last"))))
+    inside = cut.join(actions.select("session_id", "seq", "uuid", block("seq").alias("block")), ["session_id", "block"]).filter(F.col("seq").between(F.col("first"), F.col("last")))
     found = inside.groupBy("label_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "uuid"))), lambda x: x["uuid"]).alias("uuids"))
     return ends.select("label_id", "session_id").join(found, "label_id", "left").withColumn("uuids", F.coalesce("uuids", F.array().cast("array<string>")))
 
 
+def overlaps(spans: DataFrame, preds: DataFrame) -> DataFrame:
+    """label_id, session_id, pred_id, iou of the pairs of one session that have an action in common.
+
+    Both sides are joined by action, so only pairs that overlap are made.
+    """
+    sets = lambda rows, i, c: rows.select("session_id", i, F.array_distinct(c).alias("s")).select("session_id", i, F.size("s").alias(f"n_{i}"), F.explode("s").alias("uuid"))
+    both = sets(spans, "label_id", "uuids").join(sets(preds, "pred_id", "window_refs"), ["session_id", "uuid"])
+    n = F.count("*")
+    return both.groupBy("session_id", "label_id", "pred_id", "n_label_id", "n_pred_id").agg((n / (F.col("n_label_id") + F.col("n_pred_id") - n)).alias("iou")).select("label_id", "session_id", "pred_id", "iou")
+
+
+def span_scores(spans: DataFrame, preds: DataFrame) -> DataFrame:
+    """label_id, score: greatest overlap (intersection over union) of a session's predictions with a gold span's actions; 0 without any."""
+    best = overlaps(spans, preds).groupBy("label_id").agg(F.max("iou").alias("score"))
+    return spans.select("label_id").join(best, "label_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
 def span_matches(spans: DataFrame, preds: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """label_id, pred_id, iou of pairs in one session whose overlap reaches the threshold."""
-    rows = spans.join(preds.select("session_id", "pred_id", "window_refs"), "session_id")
-    return rows.select("label_id", "session_id", "pred_id", iou(F.col("uuids"), F.col("window_refs")).alias("iou")).filter(F.col("iou") >= t.iou)
+    """label_id, pred_id, iou of pairs in one session whose overlap reaches the threshold (above 0)."""
+    return overlaps(spans, preds).filter(F.col("iou") >= t.iou)
 
 
 def anchor_matches(anchors: DataFrame, preds: DataFrame, actions: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
@@ -65,19 +87,26 @@ def cross_session(anchors: DataFrame, preds: DataFrame) -> DataFrame:
 def greedy_pairs(matches: DataFrame, order: DataFrame, score: Column) -> DataFrame:
     """label_id, pred_id: gold labels in order take their best prediction that is still free; ties go to the first.
 
-    matches: label_id, session_id, pred_id and what score (less is better) is made of; order: label_id, gold_n. The
-    fold runs over a session's candidate pairs, which k and the overlap threshold bound.
+    matches: label_id, session_id, pred_id and what score (less is better) is made of; order: label_id, gold_n. Pairs are
+    streamed by session in that order; only the ids that are taken are held.
     """
-    rows = matches.join(order, "label_id").select("session_id", F.struct("gold_n", score.alias("s"), "pred_id", "label_id").alias("x"))
-    start = F.struct(F.array().cast("array<string>").alias("gold"), F.array().cast("array<string>").alias("used"), F.array().cast("array<struct<label_id:string,pred_id:string>>").alias("out"))
+    rows = matches.join(order, "label_id").select(F.col("session_id").cast("string").alias("session_id"), F.col("label_id").cast("string").alias("label_id"), F.col("pred_id").cast("string").alias("pred_id"), "gold_n", score.alias("s"))
+    rows = rows.repartition("session_id").sortWithinPartitions("session_id", "gold_n", "s", "pred_id", "label_id").select("session_id", "label_id", "pred_id")
 
-    def step(s: Column, x: Column) -> Column:
-        g, p = x["label_id"].cast("string"), x["pred_id"].cast("string")
-        free = ~F.array_contains(s["gold"], g) & ~F.array_contains(s["used"], p)
-        return F.when(free, F.struct(F.concat(s["gold"], F.array(g)).alias("gold"), F.concat(s["used"], F.array(p)).alias("used"), F.concat(s["out"], F.array(F.struct(g.alias("label_id"), p.alias("pred_id")))).alias("out"))).otherwise(s)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, labels, used = (), set(), set()
+        for batch in batches:
+            free = []
+            for s, g, p in zip(*(c.to_pylist() for c in batch.columns)):
+                if (s,) != session:
+                    session, labels, used = (s,), set(), set()
+                free.append(g not in labels and p not in used)
+                if free[-1]:
+                    labels.add(g)
+                    used.add(p)
+            yield batch.filter(pa.array(free, pa.bool_()))
 
-    sorted_ = rows.groupBy("session_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    return sorted_.select("session_id", F.explode(F.aggregate("xs", start, step, lambda s: s["out"])).alias("m")).select("session_id", "m.*")
+    return rows.mapInArrow(run, rows.schema)
 
 
 def outcome(gold: Column, pred: Column) -> Column:
@@ -156,10 +185,10 @@ def gold_summary(labels: DataFrame) -> DataFrame:
 
 
 def stratified_folds(labels: DataFrame, k: int, kind: str = "gold", order: str = "label_id") -> DataFrame:
-    """Add fold: labels of a class go round the folds in order; no more folds than labels."""
+    """Add fold: labels of a class go round the folds in order; no more folds than labels. ``order`` must be unique in a class."""
     size = labels.count()
     k = max(1, min(k, size))
-    return labels.withColumn("fold", (F.row_number().over(Window.partitionBy(kind).orderBy(order)) - 1) % k)
+    return numbered(labels, "__n", [order], [kind]).withColumn("fold", ((F.col("__n") - 1) % k).cast("int")).drop("__n")
 
 
 def fold_scores(rows: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
@@ -176,6 +205,23 @@ def fold_scores(rows: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     return out.withColumn("objective", F.col("macro_f1") - t.penalty * F.col("fpr_none_compat"))
 
 
+def calibration_rows(actions: DataFrame, labels: DataFrame, candidates: dict[int, Thresholds]) -> DataFrame:
+    """candidate, fold, label_id, gold, pred: each candidate's gate, verdict and pairing run over the actions.
+
+    labels: label_id, session_id, anchor_uuid, gold, fold, gold_n. A hit's verdict is the structural one; it counts as a
+    prediction if its confidence reaches the candidate's threshold. Candidates are a short list of settings.
+    """
+    out = None
+    for number, t in candidates.items():
+        found = gate.hits(actions, t).filter(degraded(F.col("severity")) >= t.decide)
+        preds = found.select(F.col("trigger_uuid").alias("pred_id"), "session_id", F.col("trigger_uuid").alias("anchor_uuid"), F.col("type").alias("pred"))
+        pairs = greedy_pairs(anchor_matches(labels, preds, actions, t), labels.select("label_id", "gold_n"), F.col("delta"))
+        paired = pairs.join(preds.select("pred_id", "pred"), "pred_id").select("label_id", "pred")
+        rows = with_outcomes(labels.select("label_id", "gold", "fold"), paired).select(F.lit(number).cast("long").alias("candidate"), "fold", "label_id", "gold", "pred")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def usable_candidates(candidates: DataFrame, labels: DataFrame, least: int = 30, first: int = 3) -> DataFrame:
     """All candidates, or the first three with fallback set when a class has fewer labels than needed."""
     k = kinds(labels.sparkSession)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.config import DEFAULTS, Thresholds
 
@@ -17,23 +21,32 @@ def dedupe_key(kind: Column | None = None) -> Column:
 
 
 def debounced(rows: DataFrame, t: Thresholds = DEFAULTS, key: str = "dedupe_key", window_ms: int | None = None) -> DataFrame:
-    """Add sent: a message passes if its key's last *sent* one is at least the window ago.
+    """Add sent: a message passes if its key's last *sent* one is at least the window ago; a window of 0 or less lets all pass.
 
-    The fold goes through a key's times in order; ties of one time are decided by id. The times of a key travel as one
-    array of longs, not its rows; a window of 0 or less lets all pass.
+    Ties of one time are decided by id. A message at least the window after the one before it passes whatever was sent,
+    so a key's times are cut there, and each stretch is streamed in order with its last sent time.
     """
     window_ms = t.debounce_ms if window_ms is None else window_ms
     if window_ms <= 0:
         return rows.withColumn("sent", F.lit(True))
-    times = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ts", "id"))).alias("all"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<string>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        ok = s["last"].isNull() | (x["ts"] - s["last"] >= window_ms)
-        return F.when(ok, F.struct(x["ts"].alias("last"), F.concat(s["out"], F.array(x["id"].cast("string"))).alias("out"))).otherwise(s)
-
-    sent = times.select(key, F.explode(F.aggregate("all", start, step, lambda s: s["out"])).alias("sent_id"))
-    return rows.join(sent.withColumn("sent", F.lit(True)), (rows[key] == sent[key]) & (F.col("id").cast("string") == F.col("sent_id")), "left").drop(sent[key]).drop("sent_id").withColumn("sent", F.coalesce("sent", F.lit(False)))
+    w = Window.partitionBy(key).orderBy("ts", "id")
+    opens = F.coalesce((F.col("ts") - F.lag("ts").over(w) >= window_ms).cast("long"), F.lit(1))
+    cut = rows.withColumn("__opens", opens).withColumn("__stretch", F.sum("__opens").over(w)).drop("__opens")
+    cut = cut.withColumn("__key", F.col(key)).repartition("__key", "__stretch").sortWithinPartitions("__key", "__stretch", "ts", "id")
+    names = [c for c in cut.columns if not c.startswith("__")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, last = None, None
+        for batch in batches:
+            sent = []
+            for k, stretch, ts in zip(*(batch.column(batch.schema.get_field_index(c)).cast(kind).to_pylist() for c, kind in (("__key", pa.string()), ("__stretch", pa.int64()), ("ts", pa.int64())))):
+                if (k, stretch) != current:
+                    current, last = (k, stretch), None
+                sent.append(last is None or ts - last >= window_ms)
+                last = ts if sent[-1] else last
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in names], pa.array(sent, pa.bool_())], names=[*names, "sent"])
+
+    return cut.mapInArrow(run, T.StructType([*[f for f in cut.schema.fields if f.name in names], T.StructField("sent", T.BooleanType())]))
 
 
 def severity(confidence: Column) -> Column:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.config import Thresholds
 from ..functions.text import false_success
-from ..operators import evaluate, extensions, gate
+from ..operators import evaluate, extensions, fingerprint, gate
 from ..sources import logs, tables, views
+from ..sources.scratch import scratch
 from .registry import HITS, TABLES, query
 
 STRICT = Thresholds(warning=12, error_warning=5, error_critical=8, edit_warning=9)
@@ -84,9 +85,16 @@ def k5_anchor_match(spark, d):
     return evaluate.anchor_matches(labels, preds.drop("seq"), a).select("label_id", "pred_id", "delta")
 
 
-@query()
+TABLES["near_"] = "SELECT s.session_id, label_id, pred_id, row_number() OVER (PARTITION BY s.session_id ORDER BY s.seq, abs(p.seq - s.seq), pred_id, label_id) AS n FROM spans s JOIN preds p ON p.session_id = s.session_id WHERE abs(p.seq - s.seq) <= 5"
+# A row for each candidate pair and what was taken before it: the recursion goes through a session's pairs in order.
+_GREEDY = """, taken AS (SELECT session_id, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS g, CAST([] AS VARCHAR[]) AS u FROM near_ WHERE n = 1
+    UNION ALL SELECT x.session_id, x.n, CASE WHEN list_contains(g, label_id) OR list_contains(u, pred_id) THEN g ELSE list_append(g, label_id) END, CASE WHEN list_contains(g, label_id) OR list_contains(u, pred_id) THEN u ELSE list_append(u, pred_id) END
+    FROM taken t JOIN near_ x ON x.session_id = t.session_id AND x.n = t.n + 1)
+    SELECT session_id, unnest(g) AS label_id, unnest(u) AS pred_id FROM (SELECT *, max(n) OVER (PARTITION BY session_id) AS last FROM taken) WHERE n = last"""
+
+
+@query(_GREEDY, f"{SPANS} near_")
 def k6_greedy_pairing(spark, d):
-    """Order-dependent; compared with a plain loop in the tests."""
     a, labels, preds = _spans(spark, d)
     order = labels.select("label_id", F.col("seq").alias("gold_n"))
     return evaluate.greedy_pairs(evaluate.anchor_matches(labels, preds.drop("seq"), a), order, F.col("delta"))
@@ -178,6 +186,30 @@ def k18_grid_calibration(spark, d):
     return evaluate.grid(evaluate.fold_scores(_candidates(spark, d))).select("candidate", F.round("macro_f1", 6).alias("macro_f1"), F.round("objective", 6).alias("objective"))
 
 
+TABLES["cal_labels"] = "SELECT *, (row_number() OVER (PARTITION BY gold ORDER BY label_id) - 1) % 5 AS fold FROM (SELECT label_id, session_id, seq, 'thrashing' AS gold FROM spans UNION ALL SELECT 'N' || uuid, session_id, seq, 'none' FROM actions WHERE CAST(uuid AS BIGINT) % 25 = 3)"
+TABLES["cal_near"] = """SELECT candidate, l.session_id, label_id, pred_id, row_number() OVER (PARTITION BY candidate, l.session_id ORDER BY l.seq, abs(p.seq - l.seq), pred_id, label_id) AS n FROM cal_labels l
+    JOIN (SELECT 0 AS candidate, trigger_uuid AS pred_id, session_id, seq FROM hits UNION ALL SELECT 1, trigger_uuid, session_id, seq FROM hits_s UNION ALL SELECT 2, trigger_uuid, session_id, seq FROM hits WHERE severity = 'critical') p ON p.session_id = l.session_id WHERE abs(p.seq - l.seq) <= 5"""
+_CALIBRATED = f""", taken AS (SELECT candidate, session_id, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS g, CAST([] AS VARCHAR[]) AS u FROM cal_near WHERE n = 1
+    UNION ALL SELECT x.candidate, x.session_id, x.n, CASE WHEN list_contains(g, label_id) OR list_contains(u, pred_id) THEN g ELSE list_append(g, label_id) END, CASE WHEN list_contains(g, label_id) OR list_contains(u, pred_id) THEN u ELSE list_append(u, pred_id) END
+    FROM taken t JOIN cal_near x ON x.candidate = t.candidate AND x.session_id = t.session_id AND x.n = t.n + 1),
+    paired AS (SELECT candidate, unnest(g) AS label_id FROM (SELECT *, max(n) OVER (PARTITION BY candidate, session_id) AS last FROM taken) WHERE n = last),
+    cal AS (SELECT c.candidate, l.fold, l.gold, CASE WHEN p.label_id IS NULL THEN 'none' ELSE 'thrashing' END AS pr FROM cal_labels l CROSS JOIN range(3) c(candidate) LEFT JOIN paired p ON p.candidate = c.candidate AND p.label_id = l.label_id),
+    cal_cells AS (SELECT candidate, fold, k.kind, count(*) FILTER (WHERE gold = k.kind AND pr = k.kind) AS tp, count(*) FILTER (WHERE gold <> k.kind AND pr = k.kind) AS fp, count(*) FILTER (WHERE gold = k.kind AND pr <> k.kind) AS fn, count(*) FILTER (WHERE gold <> k.kind AND pr <> k.kind) AS tn FROM cal CROSS JOIN (VALUES ('thrashing'), ('false_success'), ('none')) k(kind) GROUP BY ALL),
+    cal_scores AS (SELECT candidate, fold, avg({_F1}) AS macro_f1, max(CASE WHEN kind = 'none' THEN CASE WHEN fp + tn = 0 THEN 0 ELSE fp / (fp + tn) END END) AS fpr FROM (SELECT *, {_PRF} FROM cal_cells) GROUP BY ALL)
+    SELECT candidate, round(avg(macro_f1), 6) AS macro_f1, round(avg(macro_f1 - 0.5 * fpr), 6) AS objective FROM cal_scores GROUP BY 1"""
+
+
+@query(_CALIBRATED, f"{SPANS} cal_labels cal_near")
+def k18_gate_calibration(spark, d):
+    """Three settings whose gate, verdict and pairing run over all actions, scored in five folds."""
+    a, labels, _ = _spans(spark, d)
+    gold = labels.select("label_id", "session_id", "anchor_uuid", F.col("seq").alias("gold_n"), F.lit("thrashing").alias("gold"))
+    quiet = a.filter(F.col("uuid").cast("long") % 25 == 3).select(F.concat(F.lit("N"), "uuid").alias("label_id"), "session_id", F.col("uuid").alias("anchor_uuid"), F.col("seq").alias("gold_n"), F.lit("none").alias("gold"))
+    folds = evaluate.stratified_folds(gold.unionByName(quiet), 5)
+    rows = evaluate.calibration_rows(a, folds, {0: Thresholds(), 1: STRICT, 2: Thresholds(decide=0.8)})
+    return evaluate.grid(evaluate.fold_scores(rows)).select("candidate", F.round("macro_f1", 6).alias("macro_f1"), F.round("objective", 6).alias("objective"))
+
+
 @query("SELECT candidate FROM scored GROUP BY 1 ORDER BY round(avg(macro_f1 - 0.5 * fpr), 9) DESC, 1 LIMIT 1", "gold folds grid scored")
 def k19_best_candidate(spark, d):
     means = evaluate.grid(evaluate.fold_scores(_candidates(spark, d)))
@@ -266,10 +298,10 @@ def n7_auc(spark, d):
     return extensions.auc(extensions.roc(_scores(spark, d))).select(F.round("auc", 6).alias("auc"), F.round("best_youden", 6).alias("best_youden"))
 
 
-@query("SELECT doc_id % 1000 AS target, gold, pred FROM gold WHERE doc_id % 2 = 0", "gold")
+@query("SELECT doc_id % 1000 AS target, gold, pred FROM gold", "gold")
 def n8_intra_rater(spark, d):
-    """Round 1 has the gold kinds and round 2 the predicted ones, of every second document."""
-    g = _gold(spark, d).filter("doc_id % 2 = 0")
+    """Round 1 has the gold kinds and round 2 the predicted ones."""
+    g = _gold(spark, d)
     one = g.select(F.lit("a").alias("labeler_id"), F.col("doc_id").alias("target"), F.col("gold").alias("expected_signal"), F.lit(1).alias("label_round"))
     two = g.select(F.lit("a").alias("labeler_id"), F.col("doc_id").alias("target"), F.col("pred").alias("expected_signal"), F.lit(2).alias("label_round"))
     return extensions.intra_rater(one.unionByName(two)).select((F.col("target") % 1000).alias("target"), "gold", "pred")
@@ -296,10 +328,47 @@ def _events(spark, d):
     return logs.parse(logs.with_offsets(views.log_lines(spark, d)), ingested_at=1)
 
 
-@query()
+_LINE = "coalesce(role, '') || ' ' || turn || ' ' || coalesce(text, '')"
+
+
+@query(f"SELECT conv_id, turn AS line_no, CAST(coalesce(sum(strlen({_LINE}) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM conversations")
 def a2_line_offsets(spark, d):
-    """Offsets of the generated log lines; the JSON text itself differs between engines, so SQL can't state it."""
-    return logs.with_offsets(views.log_lines(spark, d)).select("path", "line_no", "byte_offset")
+    """A line for each turn, with its whole text; a conversation is a file."""
+    c = views.table(spark, d, "conversations")
+    lines = c.select("conv_id", F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("line_no"), F.concat(F.coalesce("role", F.lit("")), F.lit(" "), F.col("turn").cast("string"), F.lit(" "), F.coalesce("text", F.lit(""))).alias("value"))
+    return logs.with_offsets(lines).select("conv_id", "line_no", "byte_offset")
+
+
+def _written(rows: DataFrame, name: str) -> str:
+    """Lines (file, k, value) as text files under a new folder of the shared one, a folder for each file's name."""
+    path = scratch(rows.sparkSession, name)
+    rows.repartition("file").sortWithinPartitions("file", "k").select("file", "value").write.partitionBy("file").text(path)
+    return path
+
+
+@query("SELECT 'f' || conv_id % 16 AS session_id, count(*) AS records, count(*) FILTER (WHERE role = 'user') AS users, CAST(max(turn) * 1000 AS BIGINT) AS last_ts FROM conversations GROUP BY 1")
+def a1_session_log_scan(spark, d):
+    """Log files in nested folders, scanned and parsed. A file's records hold its session's id only here and there."""
+    c = views.table(spark, d, "conversations")
+    file = F.concat(F.lit("f"), (F.col("conv_id") % 16).cast("string"))
+    order = F.row_number().over(Window.partitionBy(file).orderBy("conv_id", "turn"))
+    named = F.when(order % 3 == 2, file).otherwise("")
+    record = F.struct(F.when(F.col("role") == "user", "user").otherwise("assistant").alias("type"), F.concat_ws("-", "conv_id", "turn").alias("uuid"), named.alias("sessionId"), F.date_format(F.timestamp_millis(F.col("turn") * 1000), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"), F.struct(F.col("role"), F.array(F.struct(F.lit("text").alias("type"), F.col("text"))).alias("content")).alias("message"))
+    rows = c.select(file.alias("file"), order.alias("k"), F.to_json(record).alias("value"))
+    events = logs.parse(logs.with_offsets(logs.scan(spark, _written(rows, "logs"), "*.txt")))
+    named_by_first = events.groupBy("session_id").agg(F.count("*").alias("records"), F.count_if(F.col("kind") == "user").alias("users"), F.max("ts").alias("last_ts"))
+    return named_by_first
+
+
+@query("SELECT 'f' || conv_id % 16 AS file, count(*) AS turns, 2 * count(*) FILTER (WHERE turn % 3 <> 0) AS lines, count(*) FILTER (WHERE turn % 3 = 1) AS cut FROM conversations GROUP BY 1")
+def a3_line_splitting(spark, d):
+    """Lines that end with \\r, \\n and \\r\\n, blank lines, and lines that are cut short."""
+    c, n = views.table(spark, d, "conversations"), F.col("turn").cast("string")
+    value = F.when(F.col("turn") % 3 == 0, "  ").when(F.col("turn") % 3 == 1, F.concat(F.lit('{"a":'), n, F.lit('}\r{"b":'), n)).otherwise(F.concat(F.lit('{"a":'), n, F.lit('}\r{"b":'), n, F.lit("}\r")))
+    rows = c.select(F.concat(F.lit("f"), (F.col("conv_id") % 16).cast("string")).alias("file"), F.struct("conv_id", "turn").alias("k"), value.alias("value"))
+    lines = logs.quarantine(logs.with_offsets(logs.scan(spark, _written(rows, "split"), "*.txt"))).withColumn("file", F.regexp_extract("path", r"file=([^/]+)", 1))
+    turns = rows.groupBy("file").agg(F.count("*").alias("turns"))
+    return lines.groupBy("file").agg(F.count("*").alias("lines"), F.count_if(~F.col("parse_ok")).alias("cut")).join(turns, "file").select("file", "turns", "lines", "cut")
 
 
 @query("SELECT count(*) AS lines, count(*) FILTER (WHERE turn % 4 = 3) AS bad FROM conversations")
@@ -394,21 +463,77 @@ def b1_envelope_and_kind(spark, d):
     return _events(spark, d).select("record_uuid", "session_id", "ts", "kind")
 
 
-@query("SELECT uuid AS record_uuid, 'Bash' AS tool, '{\"command\":\"run ' || turn || '\"}' AS input_json, 't-' || uuid AS tool_use_id, md5(text) AS digest FROM records_ WHERE role NOT IN ('user', 'system')", "records_")
+TABLES["calls_"] = """SELECT *, turn % 5 AS f, (['Bash', 'Edit', 'Write', 'Read'])[turn % 4 + 1] AS tool FROM records_ WHERE role NOT IN ('user', 'system')"""
+TABLES["said_"] = """SELECT *, CASE WHEN turn % 7 <= 2 OR contains(said, '<tool_use_error>') THEN CASE WHEN regexp_matches(said, '\\bBlocked\\b') THEN 'blocked' WHEN regexp_matches(said, '(?i)\\brejected\\b') THEN 'rejected' ELSE 'error' END
+    WHEN trim(said) = '' THEN 'empty' WHEN regexp_matches(said, '\\b0\\s+(results|matches)\\b') THEN 'empty' WHEN turn % 7 = 5 THEN 'unknown' ELSE 'ok' END AS result_class
+    FROM (SELECT *, CASE turn % 7 WHEN 1 THEN 'Blocked by a rule. ' || text WHEN 2 THEN 'The user rejected it. ' || text WHEN 3 THEN '' WHEN 4 THEN 'Found 0 results. ' || text ELSE text END AS said FROM records_ WHERE role = 'user' AND before_turn IS NOT NULL)"""
+
+
+@query("""SELECT uuid AS record_uuid, tool, 't-' || uuid AS tool_use_id, md5(text) AS digest, CASE tool WHEN 'Bash' THEN '{"command":"run ' || turn || '"}' WHEN 'Edit' THEN '{"file_path":"/src/e' || f || '.ts","old_string":"old ' || turn || '","new_string":"new ' || turn || ' more"}'
+    WHEN 'Write' THEN '{"file_path":"/src/w' || f || '.ts","content":"text ' || turn || '"}' ELSE '{"file_path":"/src/./a/../r' || f || '"}' END AS input_json FROM calls_""", "records_ calls_")
 def b2_content_blocks(spark, d):
     return _events(spark, d).filter("kind = 'tool_use'").select("record_uuid", "tool", "input_json", "tool_use_id", F.md5("text").alias("digest"))
 
 
-@query("SELECT uuid AS record_uuid, CASE WHEN turn % 3 = 0 THEN 'error' ELSE 'ok' END AS result_class FROM records_ WHERE role = 'user' AND before_turn IS NOT NULL", "records_")
+@query("SELECT uuid AS record_uuid, result_class FROM said_", "records_ said_")
 def b7_result_class(spark, d):
     return _events(spark, d).filter("kind = 'tool_result'").select("record_uuid", "result_class")
 
 
-@query("SELECT a.uuid AS record_uuid, CASE WHEN b.uuid IS NOT NULL THEN CASE WHEN b.turn % 3 = 0 THEN 'error' ELSE 'ok' END END AS result_class FROM records_ a LEFT JOIN (SELECT * FROM records_ WHERE role = 'user') b ON b.conv_id = a.conv_id AND b.before_turn = a.turn WHERE a.role NOT IN ('user', 'system')", "records_")
+@query("SELECT a.uuid AS record_uuid, b.result_class FROM calls_ a LEFT JOIN said_ b ON b.conv_id = a.conv_id AND b.before_turn = a.turn", "records_ calls_ said_")
 def b9_call_result_pairing(spark, d):
     return logs.pair_results(_events(spark, d)).filter("kind = 'tool_use'").select("record_uuid", "result_class")
 
 
+@query("""SELECT CAST(a.conv_id AS VARCHAR) AS session_id, a.uuid || '#t-' || a.uuid AS uuid, row_number() OVER (PARTITION BY a.conv_id ORDER BY a.turn) AS seq, tool, coalesce(b.result_class, 'unknown') AS result_class, CASE WHEN tool = 'Edit' THEN '/src/e' || f || '.ts' END AS file_path,
+    CASE WHEN tool = 'Edit' THEN 'old ' || a.turn || ' new ' || a.turn || ' more' END AS tokens, CASE tool WHEN 'Bash' THEN 'Bash:' || substr(sha256('run ' || a.turn), 1, 16) WHEN 'Edit' THEN '/src/e' || f || '.ts' WHEN 'Write' THEN 'Write:/src/w' || f || '.ts:' || substr(sha256('text ' || a.turn), 1, 16) ELSE 'Read:' || substr(sha256('/src/r' || f), 1, 16) END AS arg_key, CASE WHEN tool = 'Edit' THEN substr(sha256('/src/e' || f || '.ts|+(more)' || chr(31) || '+(new)' || chr(31) || '-(old)'), 1, 16) END AS edit_print
+    FROM calls_ a LEFT JOIN said_ b ON b.conv_id = a.conv_id AND b.before_turn = a.turn""", "records_ calls_ said_")
+def d13_action_projection(spark, d):
+    """Actions from log lines with edits, writes, reads and commands."""
+    calls = logs.pair_results(_events(spark, d)).filter("kind = 'tool_use'")
+    a, edit = fingerprint.to_actions(gate.number_actions(calls)), F.col("tool") == "Edit"
+    key, parts = F.col("arg_key"), F.split("arg_key", ":")
+    return a.select("session_id", "uuid", "seq", "tool", "result_class", "file_path", F.when(edit, F.array_join("edit_tokens", " ")).alias("tokens"), F.when(edit, parts[1]).otherwise(key).alias("arg_key"), F.when(edit, parts[2]).alias("edit_print"))
+
+
+@query("""SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'ag' || conv_id WHEN 1 THEN 'sidechain:/logs/' || conv_id || '.jsonl' ELSE 'root' END AS agent_scope FROM conversations""")
+def b4_agent_scope(spark, d):
+    c, i = views.table(spark, d, "conversations"), F.col("conv_id").cast("string")
+    path = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("/logs/x/subagents/ag"), i, F.lit("/agent-7.jsonl"))).otherwise(F.concat(F.lit("/logs/"), i, F.lit(".jsonl")))
+    return c.select("conv_id", "turn", logs.agent_scope(path, F.col("conv_id") % 3 == 1).alias("agent_scope"))
+
+
+_BARE = """'{"type":"' || CASE role WHEN 'system' THEN 'system","subtype":"compact' ELSE 'user' END || '","timestamp":"' || CASE WHEN turn % 2 = 0 THEN '2024-05-01T10:00:00.250Z' ELSE 'soon' END || '","message":{"role":"user","content":"n' || turn || '","stop_reason":"' || CASE WHEN turn % 5 = 0 THEN 'interrupted' ELSE 'end' END || '"}' || CASE WHEN turn % 3 = 0 THEN ',"uuid":"u' || conv_id || '-' || turn || '"' ELSE '' END || '}'"""
+
+
+def _bare(spark, d):
+    """Records without sessions, with and without ids, readable times, subtypes and interruptions."""
+    c = views.table(spark, d, "conversations")
+    return logs.parse(logs.with_offsets(c.select(F.concat(F.lit("/logs/"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("path"), F.col("turn").alias("line_no"), F.expr(_BARE).alias("value"))), ingested_at=77)
+
+
+TABLES["bare_"] = f"SELECT *, coalesce(sum(strlen(value) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS byte_offset FROM (SELECT *, {_BARE} AS value FROM conversations)"
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS session_id, CASE WHEN turn % 3 = 0 THEN 'u' || conv_id || '-' || turn ELSE 'synth-' || substr(sha256(byte_offset || ':' || value), 1, 16) END AS record_uuid, CASE WHEN turn % 2 = 0 THEN 1714557600250 ELSE 77 END AS ts FROM bare_", "bare_")
+def b6_synthetic_id(spark, d):
+    """Ids and times that are missing or unreadable (B5's fallback); sessions named by their files."""
+    return _bare(spark, d).select("session_id", "record_uuid", "ts")
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'a' || turn || 'b' ELSE coalesce(text, '') END AS said FROM conversations")
+def b8_content_text(spark, d):
+    """Arrays of blocks, of which one has no text, and plain strings."""
+    c, n = views.table(spark, d, "conversations"), F.col("turn").cast("string")
+    blocks = F.concat(F.lit('[{"type":"text","text":"a'), n, F.lit('"},{"type":"image"},{"text":"b"}]'))
+    return c.select("conv_id", "turn", logs.content_text(F.when(F.col("turn") % 2 == 0, blocks).otherwise(F.col("text"))).alias("said"))
+
+
+@query("SELECT byte_offset, CAST(conv_id AS VARCHAR) AS session_id, CASE WHEN role = 'system' THEN 'compact' END AS system_subtype, CASE WHEN turn % 15 = 0 THEN 'u' || conv_id || '-' || turn END AS interrupted_message_id FROM bare_", "bare_")
+def b10_system_and_interrupts(spark, d):
+    return _bare(spark, d).select("session_id", "byte_offset", "system_subtype", "interrupted_message_id")
+
+
 @query("SELECT source AS version, count(*) AS n, NOT regexp_matches(source, '^\\d+(\\.\\d+)*') AS warned FROM documents GROUP BY source")
 def b11_version_guard(spark, d):
     return logs.version_warnings(views.table(spark, d, "documents").select(F.col("source").alias("version")))

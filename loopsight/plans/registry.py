@@ -39,8 +39,8 @@ TABLES = {
 
 
 def with_tables(names: str, select: str) -> str:
-    """A statement over the named domain tables."""
-    return "WITH " + ", ".join(f"{n} AS ({TABLES[n]})" for n in names.split()) + " " + select
+    """A statement over the named domain tables; one that begins with a comma adds (recursive) tables of its own."""
+    return ("WITH RECURSIVE " if select.startswith(",") else "WITH ") + ", ".join(f"{n} AS ({TABLES[n]})" for n in names.split()) + " " + select
 
 
 HITS = "actions rep repv ed edp edm edv cand hits"

@@ -12,18 +12,37 @@ RECORD = f"type string, uuid string, parentUuid string, timestamp string, sessio
 KINDS = ["user", "assistant", "tool_use", "tool_result", "system", "attachment", "other"]
 
 
-def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """path, line_no, value of all *.jsonl files under a folder; blank lines are dropped after numbering."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(folder)
+#: Lines of a file that are summed together; the sums of such stretches, a row each, are summed in order.
+STRETCH = 100_000
+
+
+def scan(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> DataFrame:
+    """path, line_no, value of all files under a folder whose name fits; lines end with \\n, \\r or \\r\\n.
+
+    Blank lines are dropped by ``with_offsets``, after numbering. A tail without a line end is a line like any other: cut
+    short, it is no JSON object and so is kept as bad. Lines are numbered within the parts that Spark reads of a
+    file, so that a large file stays in several tasks.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder)
     lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"), "value")
-    return lines.withColumn("line_no", F.row_number().over(Window.partitionBy("path").orderBy("block", "k")) - 1).drop("block", "k")
+    lines = lines.withColumn("n", F.row_number().over(Window.partitionBy("path", "block").orderBy("k")))
+    return _after(lines, "block", F.lit(1), "start").select("path", (F.col("start") + F.col("n") - 1).alias("line_no"), "value")
+
+
+def _after(lines: DataFrame, part: str, size: Column, name: str) -> DataFrame:
+    """Add the sum of ``size`` over all earlier parts of the line's file."""
+    before = Window.partitionBy("path").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    totals = lines.groupBy("path", part).agg(F.sum(size).alias("__size"))
+    return lines.join(totals.select("path", part, F.coalesce(F.sum("__size").over(before), F.lit(0)).cast("long").alias(name)), ["path", part])
 
 
 def with_offsets(lines: DataFrame) -> DataFrame:
     """Add byte_offset: UTF-8 bytes of the file's earlier lines with their line ends; then drop blank lines."""
-    before = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum(F.octet_length("value") + 1).over(before), F.lit(0)).cast("long")
-    return lines.withColumn("byte_offset", offset).filter(F.trim("value") != "")
+    size = F.octet_length("value") + 1
+    lines = lines.withColumn("__part", F.floor(F.col("line_no") / STRETCH))
+    before = Window.partitionBy("path", "__part").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    found = _after(lines.withColumn("__own", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long")), "__part", size, "__start")
+    return found.select(*[c for c in lines.columns if c != "__part"], (F.col("__start") + F.col("__own")).alias("byte_offset")).filter(F.trim("value") != "")
 
 
 def quarantine(lines: DataFrame) -> DataFrame:
@@ -77,9 +96,9 @@ def parse(lines: DataFrame, ingested_at: int = 0) -> DataFrame:
     synthetic = F.concat(F.lit("synth-"), F.substring(F.sha2(F.concat(F.col("byte_offset").cast("string"), F.lit(":"), F.col("value")), 256), 1, 16))
     sidechain = F.coalesce(r("isSidechain"), F.lit(False))
     from_file = F.regexp_extract("path", r"([^/]+?)(?:\.jsonl)?$", 1)
-    named = F.first(F.when(r("sessionId") != "", r("sessionId")), ignorenulls=True).over(Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = found.select(
-        F.coalesce(F.nullif(r("uuid"), F.lit("")), synthetic).alias("record_uuid"), r("parentUuid").alias("parent_uuid"), F.coalesce(named, from_file).alias("session_id"), F.coalesce(r("cwd"), F.lit("")).alias("cwd"),
+    named = found.filter(r("sessionId") != "").groupBy("path").agg(F.min_by(r("sessionId"), "line_no").alias("named"))
+    rows = found.join(named, "path", "left").select(
+        F.coalesce(F.nullif(r("uuid"), F.lit("")), synthetic).alias("record_uuid"), r("parentUuid").alias("parent_uuid"), F.coalesce("named", from_file).alias("session_id"), F.coalesce(r("cwd"), F.lit("")).alias("cwd"),
         agent_scope(F.col("path"), sidechain).alias("agent_scope"), sidechain.alias("is_sidechain"), F.coalesce(F.unix_millis(F.try_to_timestamp(r("timestamp"))), F.lit(ingested_at).cast("long")).alias("ts"), F.col("byte_offset"), kind.alias("kind"),
         F.explode_outer(F.when(F.size(uses) > 0, uses)).alias("use"), results["tool_use_id"].alias("result_id"),
         F.when(results.isNotNull(), result_class(content_text(results["content"]), results["is_error"])).alias("result_class"), F.coalesce(plain, F.lit("")).alias("text"), F.get(F.reverse(of("thinking")), 0)["thinking"].alias("reasoning"),

@@ -37,14 +37,31 @@ def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("conv_id").cast("string").alias("session_id"), F.lit("root").alias("agent_scope"), uuid(F.col("turn")).alias("uuid"), F.when(before.isNotNull(), uuid(before)).alias("parent_uuid"), F.col("turn").alias("seq"), (F.col("turn") * 1000).alias("ts"), (F.col("turn") * 100).alias("byte_offset"), F.col("role"), F.col("text"))
 
 
+def _file(name: str) -> Column:
+    return F.concat(F.lit(f"/src/{name}"), (F.col("seq") % 5).cast("string"), F.lit(".ts"))
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw session-log lines (JSON text) built from conversations: path, line_no, value."""
-    t = threads(spark, sf_dir)
+    """Raw session-log lines (JSON text) built from conversations: path, line_no, value.
+
+    An assistant turn calls one of four tools by its number; the next user turn holds the result, whose class goes round
+    seven cases, with the turn's whole text.
+    """
+    t, seq = threads(spark, sf_dir), F.col("seq")
+    number = lambda word: F.concat(F.lit(f"{word} "), seq.cast("string"))
     iso = F.date_format(F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("ts")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     kind = F.when(F.col("role") == "system", "system").when(F.col("role") == "user", "user").otherwise("assistant")
-    text = F.struct(F.lit("text").alias("type"), F.col("text"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("struct<command:string>").alias("input"), F.lit(None).cast("string").alias("tool_use_id"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("boolean").alias("is_error"))
-    use = F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), F.concat(F.lit("t-"), "uuid").alias("id"), F.lit("Bash").alias("name"), F.struct(F.concat(F.lit("run "), F.col("seq").cast("string")).alias("command")).alias("input"), F.lit(None).cast("string").alias("tool_use_id"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("boolean").alias("is_error"))
-    result = F.struct(F.lit("tool_result").alias("type"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("struct<command:string>").alias("input"), F.concat(F.lit("t-"), "parent_uuid").alias("tool_use_id"), F.substring("text", 1, 20).alias("content"), F.when(F.col("seq") % 3 == 0, True).alias("is_error"))
+    call = {0: ("Bash", {"command": number("run")}), 1: ("Edit", {"file_path": _file("e"), "old_string": number("old"), "new_string": F.concat(number("new"), F.lit(" more"))}), 2: ("Write", {"file_path": _file("w"), "content": number("text")}), 3: ("Read", {"file_path": F.concat(F.lit("/src/./a/../r"), (seq % 5).cast("string"))})}
+    of_call = lambda name: F.coalesce(*[F.when(seq % 4 == k, fields[name]) for k, (_, fields) in call.items() if name in fields])
+    tool = F.element_at(F.array(*[F.lit(name) for name, _ in call.values()]), (seq % 4 + 1).cast("int"))
+    case = seq % 7
+    said = F.when(case == 1, F.concat(F.lit("Blocked by a rule. "), "text")).when(case == 2, F.concat(F.lit("The user rejected it. "), "text")).when(case == 3, "").when(case == 4, F.concat(F.lit("Found 0 results. "), "text")).otherwise(F.col("text"))
+    failed = F.when(case <= 2, True).when(case == 5, False)
+    empty = {"text": "string", "id": "string", "name": "string", "input": "struct<command:string,file_path:string,old_string:string,new_string:string,content:string>", "tool_use_id": "string", "content": "string", "is_error": "boolean"}
+    block = lambda kind, **given: F.struct(F.lit(kind).alias("type"), *[given.get(k, F.lit(None)).cast(v).alias(k) for k, v in empty.items()])
+    text = block("text", text=F.col("text"))
+    use = block("tool_use", id=F.concat(F.lit("t-"), "uuid"), name=tool, input=F.struct(*[of_call(c).alias(c) for c in ("command", "file_path", "old_string", "new_string", "content")]))
+    result = block("tool_result", tool_use_id=F.concat(F.lit("t-"), "parent_uuid"), content=said, is_error=failed)
     blocks = F.when(kind == "assistant", F.array(text, use)).when((kind == "user") & F.col("parent_uuid").isNotNull(), F.array(text, result)).otherwise(F.array(text))
     record = F.struct(kind.alias("type"), F.col("uuid"), F.col("parent_uuid").alias("parentUuid"), F.col("session_id").alias("sessionId"), iso.alias("timestamp"), F.struct(F.col("role"), blocks.alias("content")).alias("message"))
-    return t.select(F.concat(F.lit("/logs/"), "session_id", F.lit(".jsonl")).alias("path"), F.col("seq").alias("line_no"), F.to_json(record).alias("value"))
+    return t.select(F.concat(F.lit("/logs/"), "session_id", F.lit(".jsonl")).alias("path"), seq.alias("line_no"), F.to_json(record).alias("value"))
