@@ -3,7 +3,9 @@
 Each rule votes good (1), votes bad (-1) or abstains (0). Rows are counted by their pattern of votes
 (3 to the power of the rules at most); expectation-maximisation over those counts estimates, without
 labels, how each rule votes on good and on bad documents and the share of good ones, and a document is
-judged by its posterior probability of being good, not by all rules passing.
+judged by its posterior probability of being good, not by all rules passing. The log odds of votes are
+restricted (a vote never speaks against itself, and abstaining is not held against a document) within the
+estimation, so the posterior that is given is that of the model that was fitted.
 
 Edge cases: a null or empty text has no words and fails the base rules; an empty table gives an
 empty table; rows are independent, so repeated rows get equal results; input columns named like a
@@ -89,12 +91,12 @@ def votes() -> dict[str, Column]:
     n, chars = F.col("n_words"), F.col("word_chars")
     # The thresholds of the rules, as ratios of the counts.
     cases = {
-        "length": (n < 10, None),
+        "length": (n < 20, None),
         "symbols": (10 * F.col("n_symbols") > chars, None),
         "capitals": (10 * F.col("n_upper") > 4 * chars, None),
         "exclaims": (5 * F.col("n_exclaims") > n, None),
         "lines": (10 * F.col("n_dup_lines") > 3 * F.col("n_lines"), None),
-        "repeats": (5 * F.col("n_repeat_words") > n, None),
+        "repeats": (20 * F.col("n_repeat_words") > n, None),
         "word_length": ((2 * chars < 5 * n) | (chars > 14 * n), (chars >= 3 * n) & (chars <= 10 * n)),
         "function_words": ((F.col("n_common") == 0) & (n >= 20), 20 * F.col("n_common") >= n),
     }
@@ -113,8 +115,7 @@ class LabelModel:
         score = F.lit(math.log(self.prior / (1 - self.prior)))
         for k, v in votes().items():
             o = self.odds[k]
-            # A vote never speaks against itself, and abstaining is not held against a document.
-            score = score + F.when(v < 0, min(0.0, o[-1])).when(v > 0, max(0.0, o[1])).otherwise(max(0.0, o[0]))
+            score = score + F.when(v < 0, o[-1]).when(v > 0, o[1]).otherwise(o[0])
         return 1 / (1 + F.exp(-score))
 
 
@@ -143,7 +144,8 @@ def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], rounds
                 seen[1, p[k]] += n * g
                 seen[0, p[k]] += n * (1 - g)
             tables.append({(y, v): c / sum(seen[y, w] for w in values) for (y, v), c in seen.items()})
-        odds = [{v: math.log(t[1, v] / t[0, v]) for v in values} for t in tables]
+        free = [{v: math.log(t[1, v] / t[0, v]) for v in values} for t in tables]
+        odds = [{-1: min(0.0, o[-1]), 0: max(0.0, o[0]), 1: max(0.0, o[1])} for o in free]
         start = math.log(prior / (1 - prior))
         good = [_share(start + sum(o[v] for o, v in zip(odds, p))) for p, _ in patterns]
     accuracy = []
