@@ -12,13 +12,13 @@ input columns named ``copy`` or ``shuffle_key`` are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, without
 
-#: Up to so many sources the table of rates is broadcast (well under 100 MB); beyond, it is joined by a shuffle.
-BROADCAST_SOURCES = 100_000
+#: Bytes of the sources' steps up to which they are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -27,18 +27,15 @@ def uniform(key: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def poisson_steps(rate: Column) -> Column:
-    """Values of the distribution function at 0, 1, 2, ... as far as doubles tell them from 1."""
-    most = F.ceil(rate + 10 * F.sqrt(rate) + 20).cast("int")
-    first = F.struct((-rate).alias("log_p"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("steps"))
-
-    def step(s: Column, k: Column) -> Column:
-        log_p = s["log_p"] + F.log(rate) - F.log(k.cast("double"))
-        total = s["sum"] + F.exp(log_p)
-        return F.struct(log_p.alias("log_p"), total.alias("sum"), F.concat(s["steps"], F.array(total)).alias("steps"))
-
-    steps = F.aggregate(F.sequence(F.lit(1), most), first, step, lambda s: s["steps"])
-    return F.when(rate > 0, steps).otherwise(F.array(F.lit(1.0)))
+def poisson_steps(table: DataFrame) -> DataFrame:
+    """source and steps, the distribution function at 0, 1, 2, ... as far as doubles tell it from 1, of sources with a rate above 0."""
+    rate, k = F.col("rate"), F.col("k")
+    most = F.ceil(rate + 10 * F.sqrt(rate) + 20).cast("long")
+    rows = table.filter("rate > 0").select("source", "rate", F.explode(F.sequence(F.lit(0).cast("long"), most)).alias("k"))
+    up_to = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("log_p", k * F.log(rate) - rate - F.sum(F.log(F.greatest(k, F.lit(1)).cast("double"))).over(up_to))
+    rows = rows.withColumn("step", F.sum(F.exp("log_p")).over(up_to))
+    return rows.groupBy("source").agg(F.sort_array(F.collect_list("step")).alias("steps"))
 
 
 def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, total: float | None = None) -> DataFrame:
@@ -64,9 +61,8 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, power
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, total: float | None = None, seed: int = 17) -> DataFrame:
     """Each document as often as its count says, with copy (from 1) and shuffle_key, in random order."""
     docs = without(docs, "copy", "shuffle_key", "__rate_source", "__steps", "__u")
-    table = materialise(rates(docs, weights, power, total), "rates")
-    table = table.select(F.col("source").alias("__rate_source"), poisson_steps(F.col("rate")).alias("__steps"))
-    if table.count() <= BROADCAST_SOURCES:
+    table = materialise(poisson_steps(rates(docs, weights, power, total)), "steps").toDF("__rate_source", "__steps")
+    if (table.agg(F.sum(8 * F.size("__steps") + F.length(F.coalesce("__rate_source", F.lit(""))) + 64)).first()[0] or 0) <= BROADCAST_BYTES:
         table = F.broadcast(table)
     found = docs.join(table, F.col("source").eqNullSafe(F.col("__rate_source"))).withColumn("__u", uniform(F.col("doc_id"), seed))
     count = F.size(F.filter("__steps", lambda c: c <= F.col("__u")))

@@ -43,6 +43,30 @@ def test_estimates_find_the_good_rules():
     assert abs(m.prior - 0.7) < 0.03 and all(abs(m.accuracy[k] - a) < 0.03 for k, a in zip(quality.RULES, true))
 
 
+def test_posterior_is_that_of_the_fitted_model(spark):
+    """Votes restated in plain Python, scored by the model's odds; a vote never speaks against itself."""
+    r = random.Random(5)
+    good = lambda: " ".join(r.choice("the of and to in a house river seven walked green window letter".split()) for _ in range(r.randrange(15, 90)))
+    bad = lambda: r.choice([lambda: " ".join(f"$%&{r.randrange(99)}#" for _ in range(30)), lambda: "BUY NOW " * r.randrange(3, 40), lambda: " ".join(f"x{r.randrange(9999)}" for _ in range(40)), lambda: "ok!! " * r.randrange(2, 9), lambda: ""])()
+    rows = [(k, good() if r.random() < 0.8 else bad(), "mine", 7, True) for k in range(400)]
+    counted = quality.with_counts(spark.createDataFrame(rows, "doc_id long, text string, quality string, n_words int, kept boolean"))
+    m = quality.fit(counted)
+    assert all(o[-1] <= 0 <= o[0] and o[1] >= 0 for o in m.odds.values())
+    kept = {True: 0, False: 0}
+    for x in quality.judge(counted, m).collect():
+        n, c = x["n_words"], x["word_chars"]
+        vote = {
+            "length": -(n < 20), "symbols": -(10 * x["n_symbols"] > c), "capitals": -(10 * x["n_upper"] > 4 * c), "exclaims": -(5 * x["n_exclaims"] > n), "lines": -(10 * x["n_dup_lines"] > 3 * x["n_lines"]), "repeats": -(20 * x["n_repeat_words"] > n),
+            "word_length": -1 if 2 * c < 5 * n or c > 14 * n else int(3 * n <= c <= 10 * n), "function_words": -1 if not x["n_common"] and n >= 20 else int(20 * x["n_common"] >= n),
+        }
+        score = math.log(m.prior / (1 - m.prior)) + sum(m.odds[k][int(v)] for k, v in vote.items())
+        want = 1 / (1 + math.exp(-score))
+        failed = n < 10 or 100 * x["n_repeat_words"] > 20 * n
+        assert abs(x["quality"] - want) < 1e-9 and x["base_failed"] == failed and x["kept"] == (not failed and want >= 0.5)
+        kept[x["kept"]] += 1
+    assert min(kept.values()) > 40
+
+
 def test_verdicts(odd, empty, spark):
     counted = quality.with_counts(odd)
     out = quality.judge(counted, quality.fit(counted)).collect()
@@ -72,11 +96,21 @@ def test_counts_of_copies_equal_the_inverse(spark):
         assert found[r["doc_id"]] == poisson(u[r["doc_id"]], rates[r["source"]])
 
 
-@pytest.mark.parametrize("rate", [0.0, 0.3, 5.0, 900.0])
-def test_steps_are_the_distribution(spark, rate):
-    steps = spark.range(1).select(mixing.poisson_steps(F.lit(rate)).alias("s")).first()["s"]
-    assert steps == sorted(steps) and abs(steps[-1] - 1) < 1e-9
-    assert abs(sum(1 - s for s in steps) - rate) < 1e-6
+def test_steps_are_the_distribution(spark):
+    rates = {"none": 0.0, "few": 0.3, None: 5.0, "many": 900.0, "most": 30_000.0}
+    found = {r["source"]: r["steps"] for r in mixing.poisson_steps(spark.createDataFrame(list(rates.items()), "source string, rate double")).collect()}
+    assert set(found) == {*rates} - {"none"}
+    for source, steps in found.items():
+        assert steps == sorted(steps) and abs(steps[-1] - 1) < 1e-7
+        assert abs(sum(1 - s for s in steps) - rates[source]) < 1e-6 * max(1, rates[source])
+
+
+def test_mix_without_broadcast_and_with_clashing_columns(spark, monkeypatch):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, "a").when(F.col("id") % 4 == 1, None).otherwise("b").alias("source"), F.lit("x").alias("copy"), F.lit(1).alias("shuffle_key"))
+    rows = lambda: sorted((r["doc_id"], r["copy"], r["shuffle_key"]) for r in mixing.mix(docs).collect())
+    want = rows()
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    assert rows() == want and len({k for _, _, k in want}) == len(want) and {type(c) for _, c, _ in want} == {int}
 
 
 def test_weights_and_edges(odd, empty, spark):
