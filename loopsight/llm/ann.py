@@ -1,14 +1,15 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
 Vectors are cut into halves, each quantised by its own centroids (k-means on a bounded sample); a vector's cell
-is its pair of centroids. A query walks the pairs by decreasing sum of inner products with a heap,
-until the cells reached hold the share of all vectors that gave the wanted recall on the sample, and the entries
-of these cells are reranked by their exact inner product.
+is its pair of centroids. The centroids of a half grow with the root of the number of vectors, so that cells hold a
+few. A query walks the pairs by decreasing sum of inner products with a heap, until the cells reached hold as many
+entries as the wanted recall needs, and these are reranked by their exact inner product. How many that are is measured
+on the sample and carried on by its growth with the number of vectors: nearly in proportion for vectors without
+structure, far slower for clustered ones.
 
-Cells of one first-half centroid form a row of the index; rows are dealt to blocks of bounded size, and so are the
-queries, so that no task holds a hot cell whole.
+The index is cut into blocks of bounded size, and so are the queries, so that no task holds a hot cell whole.
 
-Edge cases: vectors that are null, of another length than most, zero, or hold null or non-finite
+Edge cases: vectors of one dimension have an empty first half; vectors that are null, of another length than most, zero, or hold null or non-finite
 components take no part; rows of null id take no part; ties go to the smaller id; repeated ids are entries of their own;
 with fewer candidates than asked for all are given; extra columns are ignored; an empty table gives an empty
 table.
@@ -28,32 +29,35 @@ from pyspark.sql import functions as F
 
 from .common import materialise, small_batches
 
-#: Vectors of the training sample at most (those with the least hash of their id).
-SAMPLE = 20_000
-CENTROIDS = 64
-#: Share of true neighbours that the sample's queries must find.
-RECALL = 0.97
+#: Vectors of the training sample at most (those with the least hash of their id), and their bytes.
+SAMPLE, SAMPLE_BYTES = 20_000, 32 << 20
+#: Centroids of a half at most; otherwise half the root of the number of vectors.
+MOST = 512
+#: Share of true neighbours that the sample's queries must find, and the number of these queries.
+RECALL, QUERIES = 0.95, 400
 #: Vectors, and queries, of a block.
 BLOCK = 8192
 
 
 @dataclass
 class MultiIndex:
-    """Centroids of both halves, and the share of all vectors to look at."""
+    """Centroids of both halves, and the number of entries to look at."""
 
     first: np.ndarray
     second: np.ndarray
-    share: float
+    needed: int
 
 
 def _k_means(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
-    start = np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)
-    c = x[start].copy()
+    if not x.shape[1]:
+        return np.zeros((1, 0))
+    distinct = np.unique(x, axis=0)
+    c = distinct[np.random.default_rng(1).permutation(len(distinct))[:k]].copy()
     for _ in range(rounds):
         own = _nearest(x, c)
-        for j in range(len(c)):
-            if (m := own == j).any():
-                c[j] = x[m].mean(axis=0)
+        order = np.argsort(own, kind="stable")
+        held, begin = np.unique(own[order], return_index=True)
+        c[held] = np.add.reduceat(x[order], begin, axis=0) / np.diff(np.append(begin, len(x)))[:, None]
     return c
 
 
@@ -75,14 +79,14 @@ def dimension(vectors: DataFrame) -> int:
     return row["d"] if row else 0
 
 
-def traverse(first: np.ndarray, second: np.ndarray, counts: np.ndarray, least: int) -> list[tuple[int, int]]:
+def traverse(first: np.ndarray, second: np.ndarray, counts: list[list[int]], least: int) -> list[tuple[int, int]]:
     """Cells by decreasing first[i] + second[j], with a heap, until they hold ``least`` entries."""
     a, b = np.argsort(-first, kind="stable").tolist(), np.argsort(-second, kind="stable").tolist()
     f, s = first[a].tolist(), second[b].tolist()
     heap, out, held = [(-f[0] - s[0], 0, 0)], [], 0
     while heap and held < least:
         _, i, j = heapq.heappop(heap)
-        n = int(counts[a[i], b[j]])
+        n = counts[a[i]][b[j]]
         if n:
             out.append((a[i], b[j]))
             held += n
@@ -93,24 +97,37 @@ def traverse(first: np.ndarray, second: np.ndarray, counts: np.ndarray, least: i
     return out
 
 
-def fit(rows: DataFrame, centroids: int = CENTROIDS, recall: float = RECALL, k: int = 20) -> MultiIndex:
-    """Centroids from the sample, and the share at which 400 queries of it find their neighbours among it."""
-    sample = rows.withColumn("h", F.xxhash64("vec_id", F.lit(3))).orderBy("h", "vec_id").limit(SAMPLE).select("v").collect()
-    x = np.array([r["v"] for r in sample])
-    half = x.shape[1] // 2
-    first, second = _k_means(x[:, :half], centroids), _k_means(x[:, half:], centroids)
-    cells = _nearest(x[:, :half], first) * len(second) + _nearest(x[:, half:], second)
-    counts = np.bincount(cells, minlength=len(first) * len(second))
-    needed = []
-    for q in x[:400]:
-        near = np.argsort(-(x @ q), kind="stable")[1 : k + 1]
-        sums = ((first @ q[:half])[:, None] + (second @ q[half:])[None, :]).ravel()
-        order = np.argsort(-sums, kind="stable")
+def _needed(x: np.ndarray, cells: np.ndarray, first: np.ndarray, second: np.ndarray, at: np.ndarray, k: int, recall: float) -> float:
+    """Entries to look at so that the queries (positions ``at`` of x) find that share of their true neighbours among x."""
+    half, counts, needed = first.shape[1], np.bincount(cells, minlength=len(first) * len(second)), []
+    for p in at:
+        q, s = x[p], x @ x[p]
+        s[p] = -np.inf
+        near = np.argpartition(-s, min(k, len(x) - 1))[:k]
+        order = np.argsort(-((first @ q[:half])[:, None] + (second @ q[half:])[None, :]).ravel(), kind="stable")
         before = np.empty(len(order))
         before[order] = np.cumsum(counts[order])
-        needed += (before[cells[near]] / len(x)).tolist()
-    share = float(np.quantile(needed, recall)) if needed else 1.0
-    return MultiIndex(first, second, share)
+        needed += before[cells[near]].tolist()
+    return float(np.quantile(needed, recall))
+
+
+def fit(rows: DataFrame, total: int, dim: int, recall: float = RECALL, k: int = 20) -> MultiIndex:
+    """Centroids from the sample, and how many entries its queries need to find their neighbours.
+
+    The count is measured over the sample and over half of it; the growth between the two carries it on to all rows.
+    """
+    size = max(200, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
+    sample = rows.withColumn("h", F.xxhash64("vec_id", F.lit(3))).orderBy("h", "vec_id").limit(size).select("v").toArrow().column(0).combine_chunks()
+    x = sample.flatten().to_numpy().reshape(-1, dim)
+    half, k_means = dim // 2, min(MOST, max(1, round(total**0.5 / 2)))
+    first, second = _k_means(x[:, :half], k_means), _k_means(x[:, half:], k_means)
+    cells = _nearest(x[:, :half], first) * len(second) + _nearest(x[:, half:], second)
+    n, needed = len(x), [float(len(x))] * 2
+    if n > 4 * k:
+        at = np.linspace(0, n // 2 - 1, min(QUERIES, n // 2)).astype(int)
+        needed = [_needed(x[:m], cells[:m], first, second, at, k, recall) for m in (n, n // 2)]
+    power = min(1.0, max(0.0, float(np.log2(needed[0] / needed[1]))))
+    return MultiIndex(first, second, int(np.ceil(needed[0] * max(1.0, total / n) ** power)))
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20, model: MultiIndex | None = None) -> DataFrame:
@@ -119,61 +136,74 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, model: MultiIndex |
     small_batches(spark)
     dim = dimension(vectors)
     schema = "query_id long, rank int, vec_id long, score double"
-    rows = materialise(usable(vectors, dim), "vectors") if dim > 1 else None
-    if rows is None or rows.isEmpty():
+    rows = materialise(usable(vectors, dim), "vectors") if dim else None
+    total = rows.count() if dim else 0
+    if not total:
         return spark.createDataFrame([], schema)
-    model = model or fit(rows, k=k)
-    shared = spark.sparkContext.broadcast(model)  # two times CENTROIDS half vectors
-    half = dim // 2
+    model = model or fit(rows, total, dim, k=k)
+    shared = spark.sparkContext.broadcast(model)  # MOST pairs of half vectors at most
+    half, columns = dim // 2, len(model.second)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             if batch.num_rows:
                 x = np.array(batch.column(1).values.to_numpy()).reshape(-1, dim)
-                own = [pa.array(_nearest(y, c), pa.int32()) for y, c in ((x[:, :half], m.first), (x[:, half:], m.second))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own], names=["vec_id", "v", "i", "j"])
-
-    index = materialise(rows.mapInArrow(assign, "vec_id long, v array<double>, i int, j int"), "index")
-    counts = np.zeros((len(model.first), len(model.second)), np.int64)
-    for r in index.groupBy("i", "j").count().collect():  # CENTROIDS squared rows at most
-        counts[r["i"], r["j"]] = r["count"]
-    total = int(counts.sum())
-    least = max(min(total, 50 * k), int(np.ceil(model.share * total)))
-    blocks = (counts.sum(axis=1) // BLOCK + 1).tolist()
+                cells = _nearest(x[:, :half], m.first) * columns + _nearest(x[:, half:], m.second)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.int32())], names=["vec_id", "v", "cell"])
+
+    index = materialise(rows.mapInArrow(assign, "vec_id long, v array<double>, cell int"), "index")
+    counts = np.zeros(len(model.first) * columns, np.int64)
+    for r in index.groupBy("cell").count().collect():  # MOST squared rows at most
+        counts[r["cell"]] = r["count"]
+    # Cells lie in a row that is cut into blocks of about BLOCK entries; a large cell spans several.
+    ends = np.cumsum(counts)
+    low = (ends - counts) // BLOCK
+    high = np.maximum(low, (ends - 1) // BLOCK)
+    least = max(k + 1, min(total, model.needed))
     query_blocks = total // every // BLOCK + 1
-    shared_counts = spark.sparkContext.broadcast((counts, blocks))
+    placed = spark.sparkContext.broadcast((counts.reshape(len(model.first), columns), low, high))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, (cells, n_blocks) = shared.value, shared_counts.value
+        m, (table, low, high) = shared.value, placed.value
+        table = table.tolist()
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32())]
         for batch in batches:
             out: list[tuple] = []
             for q, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.array(v)
-                by_row: dict[int, list[int]] = {}
-                for i, j in traverse(m.first @ x[:half], m.second @ x[half:], cells, least):
-                    by_row.setdefault(i, []).append(j)
-                out += [(i, b, q, v, js) for i, js in by_row.items() for b in range(n_blocks[i])]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["i", "block", "query_id", "v", "cells"])
-
-    queries = rows.filter(F.col("vec_id") % every == 0).mapInArrow(route, "i int, block int, query_id long, v array<double>, cells array<int>")
+                x, by_block = np.array(v), {}
+                for i, j in traverse(m.first @ x[:half], m.second @ x[half:], table, least):
+                    cell = i * columns + j
+                    for b in range(low[cell], high[cell] + 1):
+                        by_block.setdefault(b, []).append(cell)
+                out += [(b, q, v, cells) for b, cells in by_block.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["block", "query_id", "v", "cells"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, low, high = placed.value
+        for batch in batches:
+            cells, spread = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            block = low[cells] + spread % (high[cells] - low[cells] + 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(block, pa.int64())], names=["vec_id", "v", "cell", "block"])
+
+    queries = rows.filter(F.col("vec_id") % every == 0).mapInArrow(route, "block long, query_id long, v array<double>, cells array<int>")
     queries = queries.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
-    size = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("i") + 1)
-    entries = index.withColumn("block", F.pmod(F.xxhash64("vec_id"), size).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    # A cell's entries are dealt to its blocks in turn, whatever their ids.
+    entries = index.withColumn("spread", F.monotonically_increasing_id()).mapInArrow(deal, "vec_id long, v array<double>, cell int, block long")
+    entries = entries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
 
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(left) and len(right):
-            x, ids, j = np.stack(right["v"].to_numpy()), right["vec_id"].to_numpy(), right["j"].to_numpy()
+            x, ids = np.stack(right["v"].to_numpy()), right["vec_id"].to_numpy()
+            own, local = np.unique(right["cell"].to_numpy(), return_inverse=True)
             for a in range(0, len(left), 256):
                 some = left.iloc[a : a + 256]
                 q = np.stack(some["v"].to_numpy())
                 sums = q @ x.T
                 for r, (query, cells) in enumerate(zip(some["query_id"].to_numpy(), some["cells"].to_numpy())):
-                    open_ = np.zeros(len(model_second), bool)
-                    open_[cells] = True
-                    at = np.flatnonzero(open_[j] & (ids != query))
+                    open_ = np.isin(own, cells)
+                    at = np.flatnonzero(open_[local] & (ids != query))
                     if len(at) > k:
                         # Ties are within rounding: all of them stay until the sums are taken in one fixed order.
                         edge = np.partition(sums[r, at], len(at) - k)[len(at) - k] - 1e-9 * (1 + abs(sums[r, at]).max())
@@ -183,9 +213,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, model: MultiIndex |
                     found.append(pd.DataFrame({"query_id": query, "vec_id": ids[at][best], "score": exact[best]}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
-    model_second = model.second[:, 0].copy()
-    keys = ["i", "block", "part"]
-    near = queries.groupBy(*keys).cogroup(entries.select("i", "block", "part", "vec_id", "v", "j").groupBy(*keys)).applyInPandas(rerank, "query_id long, vec_id long, score double")
+    keys = ["block", "part"]
+    near = queries.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(rerank, "query_id long, vec_id long, score double")
     # At most k entries of each block remain for a query.
     best = near.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("b"))
     return best.select("query_id", F.posexplode("b").alias("p", "e")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("e.vec_id").alias("vec_id"), (-F.col("e.s")).alias("score"))
