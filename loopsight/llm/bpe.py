@@ -29,10 +29,8 @@ from .common import add_columns, small_batches, without
 
 #: Characters of text that the transducer takes at once.
 CHUNK = 1 << 16
-#: Pre-tokens up to so many characters are encoded at once and remembered.
-SHORT = 256
-#: Pre-tokens remembered by one worker before it starts anew.
-REMEMBERED = 150_000
+#: Pre-tokens remembered by one worker before it starts anew, and their characters at most.
+REMEMBERED, LONGEST = 150_000, 256
 
 # The pre-token pattern of byte-level BPE; the second form spells out its classes up to U+00FF.
 PATTERN = r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -141,7 +139,7 @@ class Vocabulary:
 
 
 class Run:
-    """One long pre-token: takes its bytes piece by piece and yields ids that can't change any more."""
+    """The transducer of one pre-token: takes its bytes piece by piece and yields ids that can't change any more."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v, self.held, self.step = vocabulary, b"", max(4096, 2 * vocabulary.lookahead)
@@ -165,20 +163,19 @@ class Run:
 
 
 class Encoder(dict):
-    """Maps a short pre-token to its packed ids (unsigned 32-bit, little-endian), remembering it."""
+    """Maps a pre-token to its packed ids (unsigned 32-bit, little-endian) by the transducer, remembering short ones."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        data = word.encode("utf-8", "replace")
-        if len(word) > SHORT:
-            run = Run(self.v)
-            ids = [i for k in range(0, len(data), 4096) for i in run.feed(data[k : k + 4096])] + run.finish()
-            return b"".join(map(self.v.packed.__getitem__, ids))
-        out = self[word] = b"".join(map(self.v.packed.__getitem__, self.v.merged(data)))
+        data, run = word.encode("utf-8", "replace"), Run(self.v)
+        ids = [i for k in range(0, len(data), 4096) for i in run.feed(data[k : k + 4096])] + run.finish()
+        out = b"".join(map(self.v.packed.__getitem__, ids))
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = out
         return out
 
     def encode(self, text: str) -> Iterator[bytes]:
