@@ -1,6 +1,6 @@
 """Token ids in a binary file format coded by a static range asymmetric numeral system.
 
-Documents are dealt out by ranges of doc_id and sorted; a task cuts its documents into segments of about
+Documents are dealt out by ranges of doc_id and sorted; the tokenizers library encodes each whole text; a task cuts its documents into segments of about
 SEGMENT ids. All blocks of a segment share one frequency table. A block's ids are dealt to LANES
 interleaved states with one word stream; every CHECKPOINT steps the states and the stream position are
 noted, so that decoding can start there, and each block has a checksum. Segments are rows of a Parquet
@@ -22,13 +22,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe
 from .common import materialise, small_batches
 
 SEGMENT = 2_000_000
+#: Characters of text that are given to the library at once, unless one text has more.
+TOGETHER = 1 << 18
 LANES = 64
 BLOCK_STEPS = 2048
 CHECKPOINT = 512
@@ -149,57 +150,32 @@ def decode(data: bytes) -> np.ndarray:
     return ids
 
 
-class LibraryIds:
-    """Packed ids of texts from the tokenizers library, which is asked once for each pre-token not met before."""
+def whole_texts(library, texts: list[str]) -> Iterator[bytes]:
+    """Packed ids of each whole text by the tokenizers library, which takes a few texts at a time."""
+    held, size = [], 0
+    for k, text in enumerate(texts):
+        held.append(text)
+        size += len(text)
+        if size >= TOGETHER or k + 1 == len(texts):
+            for e in library.encode_batch_fast(held, add_special_tokens=False):
+                yield array("I", e.ids).tobytes()
+            held, size = [], 0
 
-    #: Pre-tokens remembered by one worker before it starts anew.
-    remembered = 1_200_000
-    #: Words with the space before them that are given to the library as one text.
-    together = 500
 
-    def __init__(self, source: str) -> None:
+_library: dict[str, object] = {}
+
+
+def _tokenizer(source: str):
+    """The worker's tokenizer for a file's content, without truncation and padding."""
+    if source not in _library:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_str(source)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.known: dict[str, bytes] = {}
-        pieces = self.library.get_vocab(with_added_tokens=False)
-        mark = bpe.byte_characters()[ord(" ")]
-        self.opens = np.zeros(max(pieces.values()) + 1, bool)  # ids of tokens that begin with a space
-        self.opens[[i for t, i in pieces.items() if t.startswith(mark)]] = True
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        # A text that may hold a special token's string goes to the library whole; pre-tokens don't affect each other.
-        parts = [[x] if "<|" in x else bpe.pre_tokens(x) for x in texts]
-        words = set().union(*parts).difference(self.known)
-        if len(self.known) + len(words) > self.remembered:
-            self.known.clear()
-            words = set().union(*parts)
-        spaced = [w for w in words if w[0] == " " and w[1:].isalpha()]
-        self._together(spaced)
-        rest = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
-        for w, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
-            self.known[w] = array("I", e.ids).tobytes()
-        out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
-        for w in [w for w in words if len(w) > 64]:
-            del self.known[w]
-        return out
-
-    def _together(self, words: list[str]) -> None:
-        """Words of a space and letters stay pre-tokens of their own in a row; a token with a space begins the next one."""
-        groups = [words[k : k + self.together] for k in range(0, len(words), self.together)]
-        for group, e in zip(groups, self.library.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            starts = (np.flatnonzero(self.opens[ids]) * 4).tolist()
-            if len(starts) != len(group):
-                raise ValueError("a word was cut apart")
-            raw = ids.tobytes()
-            self.known.update(zip(group, map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)]))))
-
-
-_library: dict[str, LibraryIds] = {}
+        _library.clear()
+        found = _library[source] = Tokenizer.from_str(source)
+        found.no_truncation()
+        found.no_padding()
+    return _library[source]
 
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, text: str = "text", end_id: int = 0, segment: int = SEGMENT) -> None:
@@ -210,7 +186,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, text: str = "text", en
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _library.get(shared.value) or _library.setdefault(shared.value, LibraryIds(shared.value))
+        library = _tokenizer(shared.value)
         part, seq, start, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
 
         def flush() -> pa.RecordBatch:
@@ -223,17 +199,17 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, text: str = "text", en
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a in range(0, len(ids), 200):
-                for i, packed in zip(ids[a : a + 200], own.encode([t or "" for t in texts[a : a + 200]])):
-                    held.append((i, packed + end))
-                    size += len(packed) // 4 + 1
-                    if size >= segment:
-                        yield flush()
+            for i, packed in zip(ids, whole_texts(library, [t or "" for t in texts])):
+                held.append((i, packed + end))
+                size += len(packed) // 4 + 1
+                if size >= segment:
+                    yield flush()
         if held:
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    order = ["doc_id", F.xxhash64("text")]  # the second spreads the rows of a repeated or null id
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     rows.mapInArrow(run, "part int, seq int, start long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary").write.parquet(path)
 
 
@@ -242,9 +218,9 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
     small_batches(spark)
     segments = spark.read.parquet(path)
     ends = segments.groupBy("part").agg(F.max(F.col("start") + F.col("n_ids")).alias("size"))
-    ends = materialise(ends, "parts")  # a row for each written partition
-    earlier = ends.select(F.col("part").alias("other"), F.col("size").alias("other_size"))
-    base = ends.join(F.broadcast(earlier), F.col("other") < F.col("part"), "left").groupBy("part").agg(F.coalesce(F.sum("other_size"), F.lit(0)).alias("base"))
+    # A row for each written partition: few enough to be summed up in one window.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = materialise(ends.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base")), "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,5 +234,5 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
                     columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "token_ids"][: len(columns)])
 
-    rows = segments.join(F.broadcast(base), "part").select("base", "start", "doc_ids", "lengths", "payload")
+    rows = segments.join(base, "part").select("base", "start", "doc_ids", "lengths", "payload")
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", token_ids array<int>" * with_ids)
