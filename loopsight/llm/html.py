@@ -60,7 +60,11 @@ _THING = r"(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed)?|p
 #: A whole class or id; two-word names only of known pairs, as others name layouts, sections and titles.
 MARKS = re.compile(rf"{_THING}|notice|notification|alert|(?:site|page|main|global|top|left|right|primary|secondary)[_-](?:nav|navbar|navigation|menu|header|footer|sidebar)|ads?[_-](?:slot|unit|box|banner|container|wrapper)|(?:cookie|consent|gdpr)s?[_-](?:banner|notice|bar|popup|consent|overlay)|(?:share|sharing|social)[_-](?:buttons|links|bar|icons|media)|comments?[_-](?:list|section|form|area)|(?:related|recommended)[_-](?:posts|articles|links|stories)|(?:newsletter|subscribe|signup|login|search)[_-](?:form|box|bar|signup|popup)|(?:nav|navigation)[_-](?:bar|menu|links)", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: Most tags: values in double quotes without angle brackets; others are read step by step.
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=\"']++|=\s*+\"[^\"<>]*+\")*+)>")
+_STOP = re.compile(r"[>=]")
+_QUOTE = re.compile(r"\s*([\"'])")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
@@ -102,32 +106,72 @@ def events(page: str) -> list[tuple[str, str, str, bool]]:
     return found
 
 
+class _Tags:
+    """Ends of a page's tags. A quote counts only after an equals sign, and only if it is closed; each kind that isn't is looked for once."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.open = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.open:
+            return -1
+        k = self.page.find(what, at)
+        if k < 0:
+            self.open.add(what)
+        return k
+
+    def end(self, at: int) -> int:
+        """Position of the > that ends a tag, or -1."""
+        if ">" in self.open:
+            return -1
+        while m := _STOP.search(self.page, at):
+            at = m.end()
+            if m[0] == ">":
+                return m.start()
+            if (q := _QUOTE.match(self.page, at)) and (k := self.find(q[1], q.end())) >= 0:
+                at = k + 1
+        self.open.add(">")
+        return -1
+
+
 def _events(page: str) -> Iterator[tuple[str, str, str, bool]]:
     """(kind, name, value, dropped): kind is open, close or text; dropped marks an element as boilerplate by itself."""
-    at, end = 0, len(page)
+    at, end, tags = 0, len(page), _Tags(page)
     while at < end:
-        m = _TOKEN.match(page, at)
-        if not m:
-            at += 1
+        start = page.find("<", at)
+        if start != at:
+            start = end if start < 0 else start
+            yield "text", "", page[at:start], False
+            at = start
             continue
-        at = m.end()
-        if m[4] is not None:
-            yield "text", "", m[4], False
-        elif m[2]:
-            name = m[2].lower()
-            if m[1]:
-                yield "close", name, "", False
-                continue
-            own = {a[0].lower(): next((v for v in a[1:] if v), "") for a in _ATTRIBUTE.findall(m[3])} if "=" in m[3] or "hidden" in m[3] else {}
-            label = f"{own.get('class', '')} {own.get('id', '')}".split()
-            dropped = name in DROPPED or own.get("role", "").lower() in ROLES or "hidden" in own or own.get("aria-hidden") == "true" or (name not in ("html", "body", "main", "article") and any(map(MARKS.fullmatch, label)))
-            yield "open", name, own.get("class", "").strip().lower(), dropped
-            if name in RAW and not m[3].endswith("/"):
-                stop = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(page, at)
-                at = stop.end() if stop else end
-                yield "close", name, "", False
-            elif m[3].endswith("/") and name not in VOID:
-                yield "close", name, "", False
+        if page.startswith("<!--", at):
+            k = tags.find("-->", at + 4)
+            at = end if k < 0 else k + 3
+            continue
+        if page.startswith(("<!", "<?"), at):
+            k = tags.find(">", at)
+            at = end if k < 0 else k + 1
+            continue
+        m = _PLAIN.match(page, at) or _NAME.match(page, at)
+        stop = -1 if not m else m.end() - 1 if m.re is _PLAIN else tags.end(m.end())
+        if stop < 0:  # no tag, or one that the page's end cuts off
+            yield "text", "", "<" if not m else "", False
+            at = at + 1 if not m else end
+            continue
+        name, own_text, at = m[2].lower(), page[m.end(2) : stop], stop + 1
+        if m[1]:
+            yield "close", name, "", False
+            continue
+        own = {a[0].lower(): next((v for v in a[1:] if v), "") for a in _ATTRIBUTE.findall(own_text)} if "=" in own_text or "hidden" in own_text else {}
+        label = f"{own.get('class', '')} {own.get('id', '')}".split()
+        dropped = name in DROPPED or own.get("role", "").lower() in ROLES or "hidden" in own or own.get("aria-hidden") == "true" or (name not in ("html", "body", "main", "article") and any(map(MARKS.fullmatch, label)))
+        yield "open", name, own.get("class", "").strip().lower(), dropped
+        if name in RAW and not own_text.endswith("/"):
+            closing = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(page, at)
+            at = closing.end() if closing else end
+            yield "close", name, "", False
+        elif own_text.endswith("/") and name not in VOID:
+            yield "close", name, "", False
 
 
 def _step(name: str, label: str) -> str:
@@ -164,10 +208,10 @@ class Walk:
         return bool(self.dropped and self.dropped[-1])
 
 
-def shape(page: str) -> tuple[str, dict[str, int]]:
-    """The page's folded stream as text, and the characters of text outside boilerplate and links by path."""
+def shape(found: list[tuple[str, str, str, bool]]) -> tuple[str, dict[str, int]]:
+    """The folded stream of a page's events as text, and the characters of text outside boilerplate and links by path."""
     walk, items, mass = Walk(), [], {}
-    for kind, name, value, dropped in events(page):
+    for kind, name, value, dropped in found:
         if kind == "text":
             if not value.strip():
                 continue
@@ -320,8 +364,8 @@ def _key(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-def blocks(page: str) -> Iterator[tuple[str, str]]:
-    """(path, text) of each block outside boilerplate."""
+def blocks(found: list[tuple[str, str, str, bool]]) -> Iterator[tuple[str, str]]:
+    """(path, text) of each block outside boilerplate, from a page's events."""
     walk, path, now = Walk(), "", []
 
     def done() -> Iterator[tuple[str, str]]:
@@ -330,7 +374,7 @@ def blocks(page: str) -> Iterator[tuple[str, str]]:
         if clean:
             yield path, clean
 
-    for kind, name, value, dropped in events(page):
+    for kind, name, value, dropped in found:
         if kind == "text":
             if not walk.out:
                 if not now:
@@ -348,7 +392,7 @@ def blocks(page: str) -> Iterator[tuple[str, str]]:
 
 def main_text(page: str | None, template: list[int] | None) -> str:
     """The page's blocks but the template's (all, if those are more than half of its text), joined by a space."""
-    found = list(blocks(page or ""))
+    found = list(blocks(events(page or "")))
     if template:
         known = set(template)
         own = [(p, b) for p, b in found if _key(f"{p}\0{b}") not in known]
@@ -370,8 +414,9 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> Da
         for batch in batches:
             sums: dict[tuple[str, str, str, int | None], list[int]] = {}  # n, least and greatest key of the pages
             for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s, mass = shape(page or "")
-                own, key = set(blocks(page or "")), _key(page or "")
+                tokens = events(page or "")
+                s, mass = shape(tokens)
+                own, key = set(blocks(tokens)), _key(page or "")
                 there = [("shape", s, None, 1), ("rows", "", None, 1), *(("mass", p, None, n) for p, n in mass.items())]
                 there += [("path", str(_key(p)), None, 1) for p in {p for p, _ in own}] + [("block", str(_key(p)), _key(f"{p}\0{b}"), 1) for p, b in own]
                 for kind, value, block, n in there:
