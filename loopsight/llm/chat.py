@@ -30,7 +30,8 @@ from .common import small_batches
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 WINDOW = 32
-MARKER = "\ue000"
+#: Characters of private use, of which one that the output doesn't hold marks the text's place.
+MARKERS = range(0xE000, 0xF900)
 
 # The control strings of the default template.
 CONTROL = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[SEP]", "[/ROLE]"]
@@ -117,11 +118,12 @@ class Spans:
         same = _common(prefix, now)
         rewritten = same < len(prefix)
         piece = now[same:]
-        marked = self.template([*before, (role, MARKER)])[same:]
-        at = marked.find(MARKER)
+        marker = next(c for c in map(chr, MARKERS) if c not in now)
+        marked = self.template([*before, (role, marker)])[same:]
+        at = marked.find(marker)
         if at < 0:  # the template doesn't show the text
             return piece, 0, 0, rewritten
-        return piece, at, len(piece) - (len(marked) - at - len(MARKER)), rewritten
+        return piece, at, len(piece) - (len(marked) - at - 1), rewritten
 
 
 def _conversations(rows: DataFrame) -> DataFrame:
@@ -156,8 +158,12 @@ def format_chats(rows: DataFrame, template: Template = instruct_template, learn:
     return _conversations(rows).mapInArrow(run, "conv_id long, n long, piece string, start long, loss_start long, loss_end long, rewritten boolean")
 
 
-def digest(formatted: DataFrame) -> DataFrame:
-    """Read back what format_chats gave with instruct_template: digests of the turns and of the text under the loss mask."""
+def digest(formatted: DataFrame, in_order: bool = False) -> DataFrame:
+    """Read back what format_chats gave with instruct_template: digests of the turns and of the text under the loss mask.
+
+    in_order: the rows come straight from format_chats in the same job, so they are dealt out and sorted already; a stored
+    table is sorted first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, turns, loss, counts = None, None, None, [0, 0, 0]
@@ -191,6 +197,6 @@ def digest(formatted: DataFrame) -> DataFrame:
             done()
             yield flush()
 
-    # Already dealt out by conv_id and in order where format_chats' result is read in the same job.
-    rows = formatted.select("conv_id", "piece", "start", "loss_start", "loss_end")
+    rows = formatted if in_order else formatted.repartition("conv_id").sortWithinPartitions("conv_id", "n")
+    rows = rows.select("conv_id", "piece", "start", "loss_start", "loss_end")
     return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

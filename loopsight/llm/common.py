@@ -1,9 +1,7 @@
-"""Helpers that the operators share: scratch tables in the shared folder, Arrow batches, session."""
+"""Helpers that the operators share: scratch tables in the shared folder and Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,38 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import scratch, stored  # noqa: F401
+
 #: ASCII white space, as every contract of this subpackage defines words by it.
 SPACE = r"\x20\x09-\x0D"
 #: Rows and bytes of one Arrow batch: whole texts go to Python workers, so the defaults are too many.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
-def session(df: DataFrame) -> SparkSession:
-    return df.sparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); where unset, as in tests, a new local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jvm.get() if jvm.isDefined() else None
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage so that a lost executor costs no recomputation."""
-    spark = session(df)
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, name)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -61,7 +61,7 @@ def op8_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], rows.schema)
-    return chat.digest(chat.format_chats(rows.unionByName(trap)))
+    return chat.digest(chat.format_chats(rows.unionByName(trap)), in_order=True)
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

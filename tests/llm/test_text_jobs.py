@@ -251,3 +251,49 @@ def test_short_probes_may_raise():
         s = chat.Spans(strict, local)
         turns = [(("user", "assistant")[k % 2], f"t{k}") for k in range(80)]
         assert [s.add(*t)[0] for t in turns] == [f"<{r}:{t}>" for r, t in turns]
+
+
+def test_tags_with_odd_quotes():
+    cases = {
+        '<p title="5" tall">Hello</p>': "Hello", "<p title='a>b'>x</p>": "x", '<p title = "a>b" x>y</p>': "y", '<div class="a>x</div><p>y</p>': "x y", "a < b <3 <p": "a < b <3", "<p a=''>t<br/>u</p><!-- x --><![CDATA[z]]>w": "t u w",
+        "<p a=b'c>d</p>'": "d '", "<P CLASS=x>A&amp;B</P>": "A&B", "x<!-- never closed <p>y": "x", "<a\"b>z": "z", "<p =\"q>\">k": "k",
+    }
+    for page_, want in cases.items():
+        assert html.main_text(page_, None) == want, page_
+
+
+def test_unclosed_quotes_and_long_pages_take_linear_time():
+    import time
+
+    def seconds(text):
+        began = time.process_time()
+        html.main_text(text, None)
+        return time.process_time() - began
+
+    for unit in ("<b x='1", '<p a="', "<!", "<", "<p>word </p>", "<x a='1' b=\"2\" c=3>w"):
+        small, large = seconds(unit * 20_000), seconds(unit * 160_000)
+        assert large < 30 * max(small, 0.02), unit
+
+
+def test_pages_with_columns_named_like_results(spark):
+    rows = spark.createDataFrame([(1, "https://h.example/1", "<p>new</p>", "old", "7", "k")], "page_id long, url string, html string, text string, n_chars string, host string")
+    out = html.extract(rows).first()
+    assert (out["text"], out["n_chars"], out["host"]) == ("new", 3, "k")
+
+
+def test_markers_in_roles_and_stored_pieces(spark, tmp_path):
+    template = lambda turns: "".join(f"<{r}|{t}>" for r, t in turns)
+    s = chat.Spans(template)
+    assert s.add("ab", "xy") == ("<ab|xy>", 5, 8, False)
+    rows = [(c, k, ("user", "assistant")[k % 2], "same" if k < 4 else f"t{c} {k}") for c in range(5) for k in range(40)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    chat.format_chats(df).orderBy("piece").write.parquet(str(tmp_path / "pieces"))
+    stored = {x["conv_id"]: tuple(x)[1:] for x in chat.digest(spark.read.parquet(str(tmp_path / "pieces"))).collect()}
+    assert stored == {c: digests([(r, t) for d, _, r, t in rows if d == c]) for c in range(5)}
+    equal = chat.format_chats(spark.createDataFrame([(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", "b"), (1, 0, "assistant", "b")], df.schema)).orderBy("n").collect()
+    assert "".join(x["piece"] for x in equal) == chat.instruct_template([("assistant", "b"), ("assistant", "b"), ("user", "a"), ("user", "b")])
+
+
+def test_documents_with_a_column_named_licenses(spark):
+    out = license.scan_licenses(spark.createDataFrame([(1, "Released under the MIT License. Released under the MIT License.", "x")], "doc_id long, text string, licenses string")).first()
+    assert [f["license"] for f in out["licenses"]] == ["MIT", "MIT"]
