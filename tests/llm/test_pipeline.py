@@ -93,7 +93,7 @@ def test_toxic_documents_go_and_clean_ones_stay(spark):
 
 def test_stages_with_nulls_clashing_names_and_empty_tables(spark):
     """Every column null somewhere, columns named like each stage's own results, repeated rows, and no rows at all."""
-    text = " ".join(f"the word number {k} of and to in" for k in range(30))
+    text = " ".join(f"the house{k} of river{k} walked{k}" for k in range(30))
     schema = "doc_id long, text string, lang string, source string, n_chars long, score string, predicted string, quality string, kept string, n_words string, copy string, shuffle_key string, base_failed string"
     own = ("s", "p", "q", "k", "w", "c", "key", "b")
     rows = [(k, f"{text} {k} {' '.join(f'x{k}y{j}' for j in range(60))}", None, ("a", None)[k % 2], None, *own) for k in range(12)]
