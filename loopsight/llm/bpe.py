@@ -29,8 +29,8 @@ from .common import add_columns, small_batches, without
 
 #: Characters of text that the transducer takes at once.
 CHUNK = 1 << 16
-#: Pre-tokens remembered by one worker before it starts anew, and their characters at most.
-REMEMBERED, LONGEST = 150_000, 256
+#: Pre-tokens remembered by one worker (about 80 MB) before it starts anew, and their characters at most.
+REMEMBERED, LONGEST = 400_000, 256
 
 # The pre-token pattern of byte-level BPE; the second form spells out its classes up to U+00FF.
 PATTERN = r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -149,7 +149,8 @@ class Run:
         return self._stable(self.v.lookahead) if len(self.held) >= self.step + self.v.lookahead else []
 
     def finish(self) -> list[int]:
-        return self._stable(0)
+        out, self.held = self.v.merged(self.held), b""
+        return out
 
     def _stable(self, ahead: int) -> list[int]:
         out, end, most = self.v.merged(self.held), 0, len(self.held) - ahead
