@@ -36,7 +36,7 @@ MOST = 512
 #: Share of true neighbours that the sample's queries must find, and the number of these queries.
 RECALL, QUERIES = 0.95, 400
 #: Vectors, and queries, of a block.
-BLOCK = 8192
+BLOCK, QUERY_BLOCK = 2048, 8192
 
 
 @dataclass
@@ -161,7 +161,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, model: MultiIndex |
     low = (ends - counts) // BLOCK
     high = np.maximum(low, (ends - 1) // BLOCK)
     least = max(k + 1, min(total, model.needed))
-    query_blocks = total // every // BLOCK + 1
+    query_blocks = total // every // QUERY_BLOCK + 1
     placed = spark.sparkContext.broadcast((counts.reshape(len(model.first), columns), low, high))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
