@@ -18,21 +18,6 @@ from loopsight.llm import quality, queries
 SF = "/root/testdata/sf0.001"
 
 
-def test_stages_return_documents_and_shrink_as_said(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, ids = docs.columns, {r["doc_id"] for r in docs.select("doc_id").collect()}
-    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        out = corpus_pipeline.materialise(stage(spark, docs, SF), f"test-{k}")
-        now = {r["doc_id"] for r in out.select("doc_id").collect()}
-        assert now <= ids and now
-        if k < 4:
-            assert out.columns == columns
-        if k < 3:
-            assert len(now) == out.count()
-        docs, ids = out, now
-    assert {"n_tokens", "ids_sha256", "decoded_sha256"} <= set(docs.columns)
-
-
 def kept_by_rules(rows):
     """Ids kept by the quality rules: counts, votes, estimates and posterior in plain Python."""
     patterns, votes = Counter(), {}
@@ -67,11 +52,16 @@ def copies(rows):
 
 def test_each_stage_equals_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     stages, outs = dict(corpus_pipeline.STAGES), []
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        docs = corpus_pipeline.materialise(stage(spark, docs, SF), f"brute-{k}")
+        out = corpus_pipeline.materialise(stage(spark, docs, SF), f"brute-{k}")
+        assert k == 4 or out.columns == docs.columns
+        docs = out
         outs.append(docs.collect())
     rows = lambda k: [(r["doc_id"], r["text"]) for r in outs[k]]
+    assert rows(0) and {i for i, _ in rows(0)} < set(texts)
+    assert all(t == texts[i] for k in range(4) for i, t in rows(k))
     assert {i for i, _ in rows(1)} == kept_by_rules(rows(0)) and len(rows(1)) < len(rows(0))
     assert sorted(i for i, _ in rows(2)) == sorted({c for _, c in brute(rows(1)).values()})
     assert Counter(i for i, _ in rows(3)) == copies([(r["doc_id"], r["source"]) for r in outs[2]])
