@@ -448,6 +448,24 @@ def a14_active_config(spark, d):
     return tables.active_configs(c).drop("created_at")
 
 
+@query("SELECT trigger_uuid, type AS kind, severity FROM hits", HITS)
+def a14_detection_sink(spark, d):
+    """Detections as they are read back from their sink, appended in two rounds."""
+    path, found = scratch(spark, "detections"), gate.hits(views.actions(spark, d)).withColumnRenamed("type", "kind")
+    for severity in ("warning", "critical"):
+        tables.write_detections(found.filter(F.col("severity") == severity), path)
+    return spark.read.parquet(path).select("trigger_uuid", "kind", "severity")
+
+
+@query("SELECT r.run_id, 1000 AS created_at, 'n' AS metric, CAST(count(*) AS DOUBLE) AS value FROM gold, (VALUES ('run-1'), ('run-2')) r(run_id) GROUP BY ALL", "gold")
+def a14_metric_sink(spark, d):
+    """Metrics of two runs as they are read back from their sink."""
+    path, metrics = scratch(spark, "metrics"), tables.report({"overall": (_gold(spark, d).agg(F.count("*").alias("n")), [])})
+    for run in ("run-1", "run-2"):
+        tables.write_metrics(metrics, path, run, 1000)
+    return spark.read.parquet(path).select("run_id", "created_at", "metric", "value")
+
+
 @query(f"SELECT 'class' AS section, kind AS row, m.metric, CASE m.metric WHEN 'precision' THEN round(p, 3) WHEN 'recall' THEN round(r, 3) WHEN 'f1' THEN round(CASE WHEN tp + fn < 15 THEN 0 ELSE {_F1} END, 3) END AS value FROM (SELECT *, {_PRF} FROM cells), (VALUES ('precision'), ('recall'), ('f1')) m(metric) UNION ALL SELECT 'overall', '', 'n', count(*) FROM gold", "gold cells")
 def a15_report(spark, d):
     classes = _classes(spark, d).select("kind", "precision", "recall", F.coalesce("f1", F.lit(0.0)).alias("f1"))

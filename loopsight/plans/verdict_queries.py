@@ -36,10 +36,13 @@ def f2_rendered_text(spark, d):
     return semantic.rendered(views.actions(spark, d).withColumn("arg_key", F.col("fine_key"))).select("uuid", "text")
 
 
-@query("SELECT event_id, v.vec_id IS NULL AS missing, round(CAST(v.embedding[1] AS DOUBLE), 6) AS x FROM events e LEFT JOIN embeddings v ON v.vec_id = e.event_id % 600")
+@query("SELECT event_id, v.vec_id IS NULL AS missing, round(CAST(v.embedding[1] AS DOUBLE), 6) AS x FROM events e LEFT JOIN embeddings v ON v.vec_id = e.event_id % (SELECT count(*) + count(*) // 5 FROM embeddings)")
 def f3_embedding_lookup(spark, d):
-    rows = views.table(spark, d, "events").select("event_id", F.concat(F.lit("v"), F.pmod("event_id", F.lit(600)).cast("string")).alias("text"))
-    cache = views.table(spark, d, "embeddings").select(semantic.cache_key(F.concat(F.lit("v"), F.col("vec_id").cast("string")), "m").alias("cache_key"), F.col("embedding").alias("vector"))
+    """Texts go round all vectors, and a sixth more that have none."""
+    vectors = views.table(spark, d, "embeddings")
+    n = vectors.count()
+    rows = views.table(spark, d, "events").select("event_id", F.concat(F.lit("v"), F.pmod("event_id", F.lit(n + n // 5)).cast("string")).alias("text"))
+    cache = vectors.select(semantic.cache_key(F.concat(F.lit("v"), F.col("vec_id").cast("string")), "m").alias("cache_key"), F.col("embedding").alias("vector"))
     return semantic.look_up(rows, cache, "m").select("event_id", "missing", F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("x"))
 
 
@@ -226,9 +229,11 @@ def j4_severity(spark, d):
     return _verdicts(spark, d).select("id", routing.severity(F.col("confidence")).alias("severity"))
 
 
-@query("SELECT id, session_id || '␟' || kind AS dedupe_key, CASE WHEN confidence >= 0.85 THEN 'critical' WHEN confidence >= 0.5 THEN 'warning' ELSE 'low_confidence' END AS severity, true AS valid FROM verdicts", "actions verdicts")
+@query("SELECT id, session_id || '␟' || kind AS dedupe_key, CASE WHEN confidence >= 0.85 THEN 'critical' WHEN confidence >= 0.5 THEN 'warning' ELSE 'low_confidence' END AS severity, id % 50 <> 0 AND id % 51 <> 0 AS valid FROM (SELECT * REPLACE (CASE WHEN id % 50 = 0 THEN 1.5 ELSE confidence END AS confidence, CASE WHEN id % 51 = 0 THEN '' ELSE session_id END AS session_id) FROM verdicts)", "actions verdicts")
 def j5_payloads(spark, d):
-    return routing.payloads(_verdicts(spark, d).withColumn("dedupe_key", routing.dedupe_key())).select("id", "dedupe_key", "severity", "valid")
+    """Some payloads have a confidence above 1 or no session, and are invalid."""
+    v = _verdicts(spark, d).withColumns({"confidence": F.when(F.col("id") % 50 == 0, 1.5).otherwise(F.col("confidence")), "session_id": F.when(F.col("id") % 51 == 0, "").otherwise(F.col("session_id"))})
+    return routing.payloads(v.withColumn("dedupe_key", routing.dedupe_key())).select("id", "dedupe_key", "severity", "valid")
 
 
 @query(_sent("judge_error OR deferred", "session_id || '␟low_confidence'") + " SELECT id, id IN (SELECT id FROM out) AS sent FROM verdicts WHERE judge_error OR deferred")
@@ -247,3 +252,11 @@ def j8_channel_outcomes(spark, d):
     rows = _verdicts(spark, d).filter(routing.passes(F.col("kind"), F.col("confidence"))).withColumn("dedupe_key", routing.dedupe_key())
     channels = spark.createDataFrame([("cli",), ("webhook",), ("desktop",)], "channel string")
     return routing.outcomes(routing.fan_out(rows, channels).withColumn("ok", (F.col("id") + F.length("channel")) % 3 != 0))[0]
+
+
+@query(f"SELECT id, id % 4 = 1 AS recorded FROM verdicts WHERE {_OK}", "actions verdicts")
+def j8_message_outcomes(spark, d):
+    """A message counts as sent if one of its channels succeeded."""
+    rows = _verdicts(spark, d).filter(routing.passes(F.col("kind"), F.col("confidence"))).withColumn("dedupe_key", routing.dedupe_key())
+    channels = spark.createDataFrame([("cli",), ("webhook",), ("desktop",)], "channel string")
+    return routing.outcomes(routing.fan_out(rows, channels).withColumn("ok", (F.col("id") + F.length("channel")) % 4 == 0))[1].select("id", "recorded")
