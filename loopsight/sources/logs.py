@@ -75,17 +75,34 @@ def content_text(content: Column) -> Column:
     return F.when(content.startswith("["), F.array_join(F.transform(parts, lambda b: F.coalesce(b["text"], F.lit(""))), "")).otherwise(F.coalesce(content, F.lit("")))
 
 
+def records(lines: DataFrame) -> DataFrame:
+    """Add parse_ok, parse_error, and the record r with its content blocks."""
+    found = quarantine(lines).withColumn("r", F.from_json("value", RECORD))
+    content = F.col("r.message.content")
+    blocks = F.when(content.startswith("["), F.from_json(content, f"array<{BLOCK}>")).otherwise(F.array().cast(f"array<{BLOCK}>"))
+    return found.withColumn("blocks", F.coalesce(F.filter(blocks, lambda b: b.isNotNull()), F.array().cast(f"array<{BLOCK}>")))
+
+
+def file_name(path: str = "path") -> Column:
+    """A file's name without its ending: the session of a file that names none."""
+    return F.regexp_extract(path, r"([^/]+?)(?:\.jsonl)?$", 1)
+
+
 def parse(lines: DataFrame, ingested_at: int = 0) -> DataFrame:
     """Normalized events, one row for each tool_use block (else one a record), in the shape of the events table.
 
     lines: path, line_no, value, byte_offset, as ``with_offsets`` gives them. A timestamp that can't be read becomes
-    ingested_at; a missing uuid is derived from offset and line.
+    ingested_at; a missing uuid is derived from offset and line. A file's session is the first that a record names.
     """
-    found = quarantine(lines).withColumn("r", F.from_json("value", RECORD))
+    found = records(lines)
+    named = found.filter(F.col("r.sessionId") != "").groupBy("path").agg(F.min_by("r.sessionId", "line_no").alias("named"))
+    return normalized(found.join(named, "path", "left"), F.coalesce("named", file_name()), F.lit(ingested_at).cast("long")).drop("path")
+
+
+def normalized(found: DataFrame, session: Column, ingested_at: Column) -> DataFrame:
+    """Events of records, with what stands for their session; ingested_at also stands for unreadable times."""
     r = lambda name: F.col(f"r.{name}")
     content = r("message.content")
-    blocks = F.when(content.startswith("["), F.from_json(content, f"array<{BLOCK}>")).otherwise(F.array().cast(f"array<{BLOCK}>"))
-    found = found.withColumn("blocks", F.coalesce(F.filter(blocks, lambda b: b.isNotNull()), F.array().cast(f"array<{BLOCK}>")))
     of = lambda kind: F.filter("blocks", lambda b: b["type"] == kind)
     uses, results = of("tool_use"), F.get(F.reverse(of("tool_result")), 0)
     plain = F.when(content.startswith("["), F.array_join(F.transform(of("text"), lambda b: F.coalesce(b["text"], F.lit(""))), "")).otherwise(content)
@@ -95,14 +112,12 @@ def parse(lines: DataFrame, ingested_at: int = 0) -> DataFrame:
     )
     synthetic = F.concat(F.lit("synth-"), F.substring(F.sha2(F.concat(F.col("byte_offset").cast("string"), F.lit(":"), F.col("value")), 256), 1, 16))
     sidechain = F.coalesce(r("isSidechain"), F.lit(False))
-    from_file = F.regexp_extract("path", r"([^/]+?)(?:\.jsonl)?$", 1)
-    named = found.filter(r("sessionId") != "").groupBy("path").agg(F.min_by(r("sessionId"), "line_no").alias("named"))
-    rows = found.join(named, "path", "left").select(
-        F.coalesce(F.nullif(r("uuid"), F.lit("")), synthetic).alias("record_uuid"), r("parentUuid").alias("parent_uuid"), F.coalesce("named", from_file).alias("session_id"), F.coalesce(r("cwd"), F.lit("")).alias("cwd"),
-        agent_scope(F.col("path"), sidechain).alias("agent_scope"), sidechain.alias("is_sidechain"), F.coalesce(F.unix_millis(F.try_to_timestamp(r("timestamp"))), F.lit(ingested_at).cast("long")).alias("ts"), F.col("byte_offset"), kind.alias("kind"),
+    rows = found.select(
+        F.coalesce(F.nullif(r("uuid"), F.lit("")), synthetic).alias("record_uuid"), r("parentUuid").alias("parent_uuid"), session.alias("session_id"), F.coalesce(r("cwd"), F.lit("")).alias("cwd"),
+        agent_scope(F.col("path"), sidechain).alias("agent_scope"), sidechain.alias("is_sidechain"), F.coalesce(F.unix_millis(F.try_to_timestamp(r("timestamp"))), ingested_at).alias("ts"), F.col("byte_offset"), kind.alias("kind"),
         F.explode_outer(F.when(F.size(uses) > 0, uses)).alias("use"), results["tool_use_id"].alias("result_id"),
         F.when(results.isNotNull(), result_class(content_text(results["content"]), results["is_error"])).alias("result_class"), F.coalesce(plain, F.lit("")).alias("text"), F.get(F.reverse(of("thinking")), 0)["thinking"].alias("reasoning"),
-        F.when(r("type") == "system", r("subtype")).alias("system_subtype"), F.when(r("message.stop_reason") == "interrupted", r("uuid")).alias("interrupted_message_id"), r("version").alias("version"), "parse_ok", "parse_error", F.lit(ingested_at).cast("long").alias("ingested_at"), F.col("value").alias("raw_json"),
+        F.when(r("type") == "system", r("subtype")).alias("system_subtype"), F.when(r("message.stop_reason") == "interrupted", r("uuid")).alias("interrupted_message_id"), r("version").alias("version"), "parse_ok", "parse_error", ingested_at.alias("ingested_at"), F.col("value").alias("raw_json"), "path",
     )
     rows = rows.withColumns({"tool": F.col("use.name"), "input_json": F.col("use.input"), "tool_use_id": F.coalesce("use.id", "result_id"), "uuid": F.when(F.col("use.id").isNotNull() & (F.col("use.id") != ""), F.concat_ws("#", "record_uuid", "use.id")).otherwise(F.col("record_uuid"))})
     return rows.drop("use", "result_id")

@@ -9,9 +9,11 @@ from loopsight.plans import registry
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture
 def con():
-    return compare.connect(SF)
+    """One connection a test, so that one failure stays one."""
+    with compare.connect(SF) as con:
+        yield con
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))

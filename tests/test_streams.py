@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loopsight.functions.config import Thresholds
 from loopsight.operators import gate, routing
-from loopsight.streaming import source, stateful
+from loopsight.streaming import sessions, source, stateful
 
 END = 4_000_000_000_000
 
@@ -39,7 +39,7 @@ class Landing:
 def test_gate_keeps_its_window_over_batches_and_a_restart(spark, tmp_path):
     """Rows arrive out of order within the watermark's delay, chunk by chunk, with a restart: as the batch gate on all rows."""
     actions = [{"session_id": "s", "agent_scope": "root", "seq": k, "uuid": f"u{k:02}", "ts": 1000 * k, "tool": "Bash", "arg_key": "same", "result_class": "error" if k % 2 else "ok", "file_path": None, "edit_tokens": None} for k in range(1, 25)]
-    land = Landing(spark, tmp_path, source.ACTIONS, stateful.gate_stream)
+    land = Landing(spark, tmp_path, source.ACTIONS, sessions.gate_stream)
     order = sorted(actions, key=lambda a: (a["seq"] + 3 * (a["seq"] % 3)))  # up to six seconds late
     for k in range(0, 12, 4):
         land.add(order[k : k + 4])
@@ -50,6 +50,8 @@ def test_gate_keeps_its_window_over_batches_and_a_restart(spark, tmp_path):
     land.add([{**actions[0], "session_id": "~", "uuid": "~", "ts": END}])
     rows, more = land.run()
     assert len(more) >= 3 and min(more) > max(b for b in batches if b < min(more)) - 1 and len(first) < len(rows)
+    held = spark.read.format("statestore").option("stateVarName", "window").load(str(tmp_path / "state"))
+    assert "s" not in {r["key"]["session_id"] for r in held.collect()}  # idle for longer than a scope's state is kept
     want = gate.hits(spark.createDataFrame([tuple(a.values()) for a in actions], source.ACTIONS)).collect()
     assert sorted((r["trigger_uuid"], r["subtype"], r["severity"]) for r in rows) == sorted((r["trigger_uuid"], r["subtype"], r["severity"]) for r in want)
 
