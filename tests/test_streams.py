@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loopsight.functions.config import Thresholds
 from loopsight.operators import gate, routing
-from loopsight.streaming import sessions, source, stateful
+from loopsight.streaming import ledger, sessions, source, stateful
 
 END = 4_000_000_000_000
 
@@ -58,7 +58,7 @@ def test_gate_keeps_its_window_over_batches_and_a_restart(spark, tmp_path):
 
 def test_debounce_over_batches(spark, tmp_path):
     """Window 60: of 0, 40, 80, 120, 145, 200 those at 0, 80, 145 go (40 and 120 are too close to the last sent); the order of arrival doesn't matter."""
-    land = Landing(spark, tmp_path, "dedupe_key string, id long, ts long", lambda s: stateful.debounce_stream(s, Thresholds(debounce_ms=60)), "1 second")
+    land = Landing(spark, tmp_path, "dedupe_key string, id long, ts long", lambda s: ledger.debounce_stream(s, Thresholds(debounce_ms=60)), "1 second")
     base = 1_700_000_000_000
     for chunk in ([40, 0], [120, 80], [200, 145]):
         land.add([{"dedupe_key": "k", "id": t, "ts": base + t} for t in chunk])
@@ -99,3 +99,51 @@ def test_debounce_batch_equals_a_loop(spark, window):
             last[key] = ts
             want.add(i)
     assert got == want
+
+
+class Killed(Exception):
+    pass
+
+
+@pytest.mark.parametrize("after", ["messages", "ledger"])
+def test_a_batch_that_dies_is_counted_once(spark, tmp_path, after):
+    """Killed between the sink and the ledger, or between the ledger and the commit: no message twice, counts right."""
+    base, t = 1_700_000_000_000, Thresholds(debounce_ms=60)
+    book, out = ledger.Ledger(spark, str(tmp_path / "ledger")), str(tmp_path / "sent")
+    book.record(spark.createDataFrame([("k", base - 30), ("old", base - 500)], "dedupe_key string, ts long"), "before", 0, 60)
+    die = [True]
+
+    class Dying(ledger.Ledger):
+        def record(self, sent, *rest):
+            if after == "ledger":
+                super().record(sent, *rest)
+            if sent.filter("dedupe_key = 'k'").count() and die and die.pop():
+                raise Killed
+            super().record(sent, *rest)
+
+    def run():
+        rows = spark.readStream.schema("dedupe_key string, id long, ts long").json(str(tmp_path / "in")).withColumn("event_time", F.timestamp_millis("ts")).withWatermark("event_time", "0 seconds")
+        write = ledger.sink(Dying(spark, str(tmp_path / "ledger")), out, "s", 60)
+        ledger.debounce_stream(rows, t, book).writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+
+    (tmp_path / "in").mkdir()
+    messages = [{"dedupe_key": k, "id": n, "ts": base + ts} for n, (k, ts) in enumerate([("k", 0), ("k", 40), ("k", 90), ("k", 100), ("old", 5), ("new", 7)])]
+    (tmp_path / "in" / "1.json").write_text("".join(json.dumps(m) + "\n" for m in [*messages, {"dedupe_key": "~", "id": -1, "ts": END}]))
+    with pytest.raises(Exception, match="Killed"):
+        run()
+    run()
+    sent = sorted((r["dedupe_key"], r["id"]) for r in spark.read.schema(ledger.SENT).parquet(f"{out}/*/*").collect() if r["id"] >= 0)
+    assert sent == [("k", 1), ("k", 3), ("new", 5), ("old", 4)]  # 0 is within 60 of what the ledger had, 90 within 60 of 40
+    assert {r["dedupe_key"]: (r["last_sent_ts"] - base, r["send_count"]) for r in book.read().collect() if r["dedupe_key"] != "~"} == {"k": (100, 3), "old": (5, 2), "new": (7, 1)}
+
+
+def test_readers_see_committed_snapshots_only(spark, tmp_path):
+    book = ledger.Ledger(spark, str(tmp_path / "ledger"), keep=2)
+    assert book.read().count() == 0
+    for n in range(5):
+        book.record(spark.createDataFrame([("k", n)], "dedupe_key string, ts long"), "s", n, 60)
+    assert [s[0] for s in book.snapshots()][-2:] == [3, 4] and len(book.snapshots()) <= 3
+    (tmp_path / "ledger" / "v000000000009-s-9").mkdir()  # a write that was never committed
+    assert book.read().collect()[0]["send_count"] == 5
+    book.record(spark.createDataFrame([("k", 9)], "dedupe_key string, ts long"), "s", 4, 60)
+    assert book.read().collect()[0]["send_count"] == 5
