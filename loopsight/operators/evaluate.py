@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.config import DEFAULTS, KINDS, Thresholds
 from ..functions.measures import f1, ratio, wilson
+from ..sources.scratch import stored
 from . import gate
-from .prefix import numbered
+from .prefix import numbered, running
 from .verdict import degraded
 
 
@@ -29,17 +30,25 @@ def mine_candidates(hits: DataFrame) -> DataFrame:
 BLOCK = 64
 
 
+def _span_ends(labels: DataFrame, actions: DataFrame) -> DataFrame:
+    at = lambda c: actions.select("session_id", F.col("uuid").alias(c), F.col("seq").alias(f"{c}_seq"))
+    return labels.join(at("start_uuid"), ["session_id", "start_uuid"], "left").join(at("end_uuid"), ["session_id", "end_uuid"], "left").select("label_id", "session_id", F.col("start_uuid_seq").alias("first"), F.col("end_uuid_seq").alias("last"))
+
+
+def _inside(ends: DataFrame, actions: DataFrame) -> DataFrame:
+    """label_id, session_id, first, last, seq, uuid: the actions of each span."""
+    block = lambda c: F.floor(F.col(c) / BLOCK)
+    cut = ends.filter("first <= last").withColumn("block", F.explode(F.sequence(block("first"), block("last"))))
+    return cut.join(actions.select("session_id", "seq", "uuid", block("seq").alias("block")), ["session_id", "block"]).filter(F.col("seq").between(F.col("first"), F.col("last"))).drop("block")
+
+
 def span_uuids(labels: DataFrame, actions: DataFrame) -> DataFrame:
     """label_id, session_id, uuids: actions between start and end of each gold span, both included.
 
     Without start or end in the session, or with them reversed, the array is empty.
     """
-    at = lambda c: actions.select("session_id", F.col("uuid").alias(c), F.col("seq").alias(f"{c}_seq"))
-    ends = labels.join(at("start_uuid"), ["session_id", "start_uuid"], "left").join(at("end_uuid"), ["session_id", "end_uuid"], "left").select("label_id", "session_id", F.col("start_uuid_seq").alias("first"), F.col("end_uuid_seq").alias("last"))
-    block = lambda c: F.floor(F.col(c) / BLOCK)
-    cut = ends.filter("first <= last").withColumn("block", F.explode(F.sequence(block("first"), block("last"))))
-    inside = cut.join(actions.select("session_id", "seq", "uuid", block("seq").alias("block")), ["session_id", "block"]).filter(F.col("seq").between(F.col("first"), F.col("last")))
-    found = inside.groupBy("label_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "uuid"))), lambda x: x["uuid"]).alias("uuids"))
+    ends = _span_ends(labels, actions)
+    found = _inside(ends, actions).groupBy("label_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "uuid"))), lambda x: x["uuid"]).alias("uuids"))
     return ends.select("label_id", "session_id").join(found, "label_id", "left").withColumn("uuids", F.coalesce("uuids", F.array().cast("array<string>")))
 
 
@@ -60,22 +69,39 @@ def span_scores(spans: DataFrame, preds: DataFrame) -> DataFrame:
     return spans.select("label_id").join(best, "label_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def span_matches(spans: DataFrame, preds: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """label_id, pred_id, iou of pairs in one session whose overlap reaches the threshold (above 0)."""
-    return overlaps(spans, preds).filter(F.col("iou") >= t.iou)
-
+def span_matches(labels: DataFrame, actions: DataFrame, preds: DataFrame, t: Thresholds = DEFAULTS, fold: tuple[str, ...] = (), candidate: tuple[str, ...] = ()) -> DataFrame:
+    """label_id, session_id, pred_id, iou, p, lo, hi of pairs in one session whose overlap reaches the threshold.
 
-def anchor_matches(anchors: DataFrame, preds: DataFrame, actions: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """label_id, pred_id, delta of pairs whose anchors are at most k actions apart in one session."""
+    Of a gold span only structural actions count: those that some prediction of the session refers to, and the ends of the
+    session's gold spans. labels: label_id, session_id, start_uuid, end_uuid; preds: pred_id, session_id, window_refs, seq.
+    fold and candidate name columns that tell apart groups of labels and of predictions, which don't see each other. p is the
+    prediction's position; [lo, hi] holds it and the span. Sides are joined by action, so only pairs that overlap are made.
+    """
+    inside = _inside(_span_ends(labels, actions), actions).drop("seq").join(labels.select("label_id", *fold).distinct(), "label_id")
+    ends = labels.select("session_id", *fold, F.explode(F.array("start_uuid", "end_uuid")).alias("uuid")).distinct().withColumn("is_end", F.lit(True))
+    inside = stored(inside.join(ends, ["session_id", *fold, "uuid"], "left").withColumn("is_end", F.col("is_end").isNotNull()), "gold-spans")
+    refs = preds.select("session_id", *candidate, "pred_id", F.col("seq").alias("p"), F.array_distinct("window_refs").alias("s"))
+    refs = refs.select("session_id", *candidate, "pred_id", "p", F.size("s").alias("n_pred"), F.explode("s").alias("uuid"))
+    both = stored(inside.join(refs, ["session_id", "uuid"]), "overlaps")
+    n_ends = inside.filter("is_end").groupBy("label_id").agg(F.count("*").alias("n_ends"))
+    n_refs = both.filter("not is_end").select(*candidate, "label_id", "uuid").distinct().groupBy(*candidate, "label_id").agg(F.count("*").alias("n_refs"))
+    n = both.groupBy("session_id", *fold, *candidate, "label_id", "pred_id", "p", "n_pred", "first", "last").agg(F.count("*").alias("n"))
+    n = n.join(n_ends, "label_id", "left").join(n_refs, [*candidate, "label_id"], "left")
+    iou = F.col("n") / (F.coalesce("n_ends", F.lit(0)) + F.coalesce("n_refs", F.lit(0)) + F.col("n_pred") - F.col("n"))
+    return n.withColumn("iou", iou).filter(F.col("iou") >= t.iou).select("label_id", "session_id", *fold, *candidate, "pred_id", "iou", "p", F.least("first", "p").alias("lo"), F.greatest("last", "p").alias("hi"))
+
+
+def anchor_matches(anchors: DataFrame, preds: DataFrame, actions: DataFrame, t: Thresholds = DEFAULTS, fold: tuple[str, ...] = (), candidate: tuple[str, ...] = ()) -> DataFrame:
+    """label_id, session_id, pred_id, delta, p, lo, hi of pairs whose anchors are at most k actions apart in one session; fold and candidate as in ``span_matches``."""
     at = actions.select("session_id", F.col("uuid").alias("anchor_uuid"), "seq")
-    g = anchors.select("label_id", "session_id", "anchor_uuid").join(at, ["session_id", "anchor_uuid"]).select("label_id", "session_id", F.col("seq").alias("g"))
-    p = preds.select("pred_id", "session_id", "anchor_uuid").join(at, ["session_id", "anchor_uuid"]).select("pred_id", "session_id", F.col("seq").alias("p"))
+    g = anchors.select("label_id", "session_id", *fold, "anchor_uuid").join(at, ["session_id", "anchor_uuid"]).select("label_id", "session_id", *fold, F.col("seq").alias("g"))
+    p = preds.select("pred_id", "session_id", *candidate, "anchor_uuid").join(at, ["session_id", "anchor_uuid"]).select("pred_id", "session_id", *candidate, F.col("seq").alias("p"))
     # Blocks of k actions make the band an equality join: a partner is in the own block or a neighbouring one.
     k = max(1, t.anchor_k)
     g = g.withColumn("block", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("g") / k) + d)))
     p = p.withColumn("block", F.floor(F.col("p") / k))
     rows = g.join(p, ["session_id", "block"]).withColumn("delta", F.abs(F.col("p") - F.col("g")))
-    return rows.filter(F.col("delta") <= t.anchor_k).select("label_id", "session_id", "pred_id", "delta")
+    return rows.filter(F.col("delta") <= t.anchor_k).select("label_id", "session_id", *fold, *candidate, "pred_id", "delta", "p", F.least("g", "p").alias("lo"), F.greatest("g", "p").alias("hi"))
 
 
 def cross_session(anchors: DataFrame, preds: DataFrame) -> DataFrame:
@@ -84,29 +110,58 @@ def cross_session(anchors: DataFrame, preds: DataFrame) -> DataFrame:
     return anchors.join(p, "anchor_uuid").filter("session_id != pred_session").select("label_id", "pred_id")
 
 
-def greedy_pairs(matches: DataFrame, order: DataFrame, score: Column) -> DataFrame:
-    """label_id, pred_id: gold labels in order take their best prediction that is still free; ties go to the first.
+def with_runs(matches: DataFrame, by: list[str]) -> DataFrame:
+    """Add run: pairs of a group whose intervals [lo, hi] hang together. Pairs of different runs share neither label nor prediction.
+
+    A group is cut where no interval goes on: at each pair that begins beyond the greatest end before it.
+    """
+    order = ["lo", "hi", "label_id", "pred_id"]
+    reach = running(matches, {"__reach": F.col("hi")}, order, by, greatest=True)
+    opens = F.when(F.col("lo") <= F.col("__reach"), 0).otherwise(1).cast("long")
+    return running(reach, {"run": opens}, order, by).drop("__reach")
+
+
+def greedy_pairs(matches: DataFrame, order: DataFrame, score: Column, by: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """by, label_id, pred_id: gold labels in order take their best prediction that is still free; ties go to the first.
 
-    matches: label_id, session_id, pred_id and what score (less is better) is made of; order: label_id, gold_n. Pairs are
-    streamed by session in that order; only the ids that are taken are held.
+    matches: label_id, pred_id, the columns of by, what score (less is better) is made of, and p, lo and hi as the matches above
+    give them; order: label_id, gold_n. Groups are cut into independent runs; the pairs of a run are streamed in that order,
+    and only the ids that are taken are held.
     """
-    rows = matches.join(order, "label_id").select(F.col("session_id").cast("string").alias("session_id"), F.col("label_id").cast("string").alias("label_id"), F.col("pred_id").cast("string").alias("pred_id"), "gold_n", score.alias("s"))
-    rows = rows.repartition("session_id").sortWithinPartitions("session_id", "gold_n", "s", "pred_id", "label_id").select("session_id", "label_id", "pred_id")
+    text = [F.col(c).cast("string").alias(c) for c in (*by, "label_id", "pred_id")]
+    rows = with_runs(matches, list(by)).join(order.select("label_id", "gold_n").distinct(), "label_id").select(*text, "run", "gold_n", score.alias("s"), "p")
+    keys = [*by, "run"]
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "gold_n", "s", "p", "pred_id", "label_id").select(*keys, "label_id", "pred_id")
+    n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        session, labels, used = (), set(), set()
+        current, labels, used = None, set(), set()
         for batch in batches:
             free = []
-            for s, g, p in zip(*(c.to_pylist() for c in batch.columns)):
-                if (s,) != session:
-                    session, labels, used = (s,), set(), set()
+            for *key, g, p in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != current:
+                    current, labels, used = key, set(), set()
                 free.append(g not in labels and p not in used)
                 if free[-1]:
                     labels.add(g)
                     used.add(p)
-            yield batch.filter(pa.array(free, pa.bool_()))
+            kept = batch.filter(pa.array(free, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(k) for k in range(n + 2) if k != n - 1], names=[*by, "label_id", "pred_id"])
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(run, rows.drop("run").schema)
+
+
+def mixed_pairs(labels: DataFrame, preds: DataFrame, actions: DataFrame, t: Thresholds = DEFAULTS, fold: tuple[str, ...] = (), candidate: tuple[str, ...] = ()) -> DataFrame:
+    """session_id, label_id, pred_id: labels of both kinds in their order, thrashing by the overlap of spans and false_success by distance.
+
+    labels: label_id, session_id, gold, gold_n, start_uuid, end_uuid, anchor_uuid; preds: pred_id, session_id, kind, anchor_uuid, window_refs, seq.
+    """
+    of = lambda rows, c, kind: rows.filter(F.col(c) == kind)
+    spans = span_matches(of(labels, "gold", "thrashing"), actions, of(preds, "kind", "thrashing"), t, fold, candidate)
+    near = anchor_matches(of(labels, "gold", "false_success"), of(preds, "kind", "false_success"), actions, t, fold, candidate)
+    shared = ["label_id", "session_id", *fold, *candidate, "pred_id", "p", "lo", "hi"]
+    both = spans.select(*shared, (-F.col("iou")).alias("s")).unionByName(near.select(*shared, F.col("delta").cast("double").alias("s")))
+    return greedy_pairs(both, labels, F.col("s"), (*candidate, *fold, "session_id"))
 
 
 def outcome(gold: Column, pred: Column) -> Column:
@@ -206,20 +261,27 @@ def fold_scores(rows: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
 
 
 def calibration_rows(actions: DataFrame, labels: DataFrame, candidates: dict[int, Thresholds]) -> DataFrame:
-    """candidate, fold, label_id, gold, pred: each candidate's gate, verdict and pairing run over the actions.
+    """candidate, fold, gold, pred: gate, verdict and pairing of all candidates over actions that are read and profiled once.
 
-    labels: label_id, session_id, anchor_uuid, gold, fold, gold_n. A hit's verdict is the structural one; it counts as a
-    prediction if its confidence reaches the candidate's threshold. Candidates are a short list of settings.
+    labels: label_id, session_id, gold, gold_n, start_uuid, end_uuid, anchor_uuid, fold. A hit's verdict is the structural one; it
+    counts as a prediction if its confidence reaches the candidate's threshold. The labels of a fold are paired among
+    themselves; predictions that none of them takes, in sessions that the fold has labels of, are false positives.
     """
-    out = None
-    for number, t in candidates.items():
-        found = gate.hits(actions, t).filter(degraded(F.col("severity")) >= t.decide)
-        preds = found.select(F.col("trigger_uuid").alias("pred_id"), "session_id", F.col("trigger_uuid").alias("anchor_uuid"), F.col("type").alias("pred"))
-        pairs = greedy_pairs(anchor_matches(labels, preds, actions, t), labels.select("label_id", "gold_n"), F.col("delta"))
-        paired = pairs.join(preds.select("pred_id", "pred"), "pred_id").select("label_id", "pred")
-        rows = with_outcomes(labels.select("label_id", "gold", "fold"), paired).select(F.lit(number).cast("long").alias("candidate"), "fold", "label_id", "gold", "pred")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    hits = None
+    for history in sorted({t.history for t in candidates.values()}):
+        same = {n: t for n, t in candidates.items() if t.history == history}
+        found = gate.resolved(gate.profile(actions, list(same.values())), same)
+        hits = found if hits is None else hits.unionByName(found)
+    decide = F.create_map(*[F.lit(x) for n, t in candidates.items() for x in (n, float(t.decide))])
+    preds = hits.filter(degraded(F.col("severity")) >= decide[F.col("candidate").cast("int")])
+    preds = stored(preds.select("candidate", F.col("trigger_uuid").alias("pred_id"), "session_id", F.col("trigger_uuid").alias("anchor_uuid"), "window_refs", "seq", F.col("type").alias("kind")), "predictions")
+    t = next(iter(candidates.values()))
+    pairs = stored(mixed_pairs(labels, preds, actions, t, ("fold",), ("candidate",)), "pairs")
+    pairs = pairs.select(F.col("candidate").cast("long").alias("candidate"), F.col("fold").cast("int").alias("fold"), "label_id", "pred_id")
+    every = labels.select(F.explode(F.array(*[F.lit(n).cast("long") for n in candidates])).alias("candidate"), F.col("fold").cast("int").alias("fold"), F.col("label_id").cast("string").alias("label_id"), "gold")
+    own = every.join(pairs, ["candidate", "fold", "label_id"], "left").select("candidate", "fold", "gold", F.when(F.col("pred_id").isNotNull(), F.col("gold")).otherwise("none").alias("pred"))
+    free = labels.select("session_id", F.col("fold").cast("int").alias("fold")).distinct().join(preds, "session_id").join(pairs, ["candidate", "fold", "pred_id"], "left_anti")
+    return own.unionByName(free.select("candidate", "fold", F.lit("none").alias("gold"), F.col("kind").alias("pred")))
 
 
 def usable_candidates(candidates: DataFrame, labels: DataFrame, least: int = 30, first: int = 3) -> DataFrame:

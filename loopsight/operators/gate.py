@@ -6,6 +6,8 @@ last H actions without a self-join.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -79,6 +81,44 @@ def hits(actions: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     return rows.select(*SCOPE, "seq", F.col("uuid").alias("trigger_uuid"), "ts", F.lit("thrashing").alias("type"), "subtype", "severity", "window_refs", "metrics")
 
 
+def profile(actions: DataFrame, settings: list[Thresholds]) -> DataFrame:
+    """Counts and references of each action at which any of the settings fires, whatever its thresholds; one pass for all.
+
+    repeat_n, error_n, edit_n, max_jaccard and the uuids behind them. The settings must have one history.
+    """
+    t = settings[0]
+    if len({s.history for s in settings}) > 1:
+        raise ValueError("settings of different history need a profile each")
+    least = lambda name: min(getattr(s, name) for s in settings)
+    edits = edit_verdicts(actions, replace(t, edit_warning=least("edit_warning"), same_region=least("same_region"))).filter("subtype is not null")
+    edits = edits.select(*SCOPE, "uuid", "edit_n", "max_jaccard", F.col("window_refs").alias("edit_refs"))
+    rows = repeat_counts(actions, t).select(*SCOPE, "seq", "uuid", "ts", "repeat_n", "error_n", "repeat_refs", "error_refs").join(edits, [*SCOPE, "uuid"], "left")
+    return rows.filter((F.col("repeat_n") >= least("warning")) | (F.col("error_n") >= least("error_warning")) | F.col("edit_n").isNotNull())
+
+
+def resolved(profiled: DataFrame, candidates: dict[int, Thresholds]) -> DataFrame:
+    """Hits of each candidate (candidate beside the columns of ``hits``, without metrics), by comparing the profile with its thresholds.
+
+    Candidates are a short list; a row is made only where one fires.
+    """
+    names = ["warning", "critical", "error_warning", "error_critical", "edit_warning", "edit_critical", "same_region"]
+    listed = F.array(*[F.struct(F.lit(n).cast("long").alias("candidate"), *[F.lit(getattr(t, c)).alias(c) for c in names]) for n, t in candidates.items()])
+    col = F.col
+    edits = lambda c: F.coalesce((col("edit_n") >= c["edit_warning"]) & (col("max_jaccard") >= c["same_region"]), F.lit(False))
+    fires = lambda c: (col("error_n") >= c["error_warning"]) | (col("repeat_n") >= c["warning"]) | edits(c)
+    c = col("c")
+    error = col("error_n") >= c["error_warning"]
+    first = F.when(col("error_n") >= c["error_critical"], "critical").when(error, "warning").when(col("repeat_n") >= c["critical"], "critical").when(col("repeat_n") >= c["warning"], "warning")
+    second = F.when(edits(c), F.when(col("edit_n") >= c["edit_critical"], "critical").otherwise("warning"))
+    rows = profiled.withColumn("c", F.explode(F.filter(listed, fires))).withColumns({"__r": first, "__e": second})
+    by_edit = col("__r").isNull() | ((col("__e") == "critical") & (col("__r") != "critical"))
+    by_edit = F.coalesce(by_edit, F.lit(False))
+    return rows.select(
+        col("c.candidate").alias("candidate"), *SCOPE, "seq", col("uuid").alias("trigger_uuid"), "ts", F.lit("thrashing").alias("type"), F.when(by_edit, "file_edit_loop").when(error, "repeat_error").otherwise("repeat_action").alias("subtype"),
+        F.when(by_edit, col("__e")).otherwise(col("__r")).alias("severity"), F.when(by_edit, col("edit_refs")).when(error, col("error_refs")).otherwise(col("repeat_refs")).alias("window_refs"),
+    )
+
+
 def keyed_counters(actions: DataFrame, t: Thresholds = DEFAULTS, by_class: bool = False) -> DataFrame:
     """Add n, first_ts, last_ts and uuids of the window's actions of equal key (and result class)."""
     w = window("arg_key", *(["result_class"] if by_class else []), history=t.history)

@@ -12,21 +12,25 @@ from pyspark.sql import functions as F
 from ..sources.scratch import stored
 
 
-def running(rows: DataFrame, sums: dict[str, Column], order: list[Column | str], by: list[str] | None = None) -> DataFrame:
-    """Add to each row the sums of the columns over its group's rows up to itself. ``order`` must tell all rows of a group apart."""
+def running(rows: DataFrame, sums: dict[str, Column], order: list[Column | str], by: list[str] | None = None, greatest: bool = False) -> DataFrame:
+    """Add to each row the sums of the columns over its group's rows up to itself. ``order`` must tell all rows of a group apart.
+
+    greatest: the greatest values over the rows before itself instead (null for the first).
+    """
     by = by or []
+    fold, empty, both = (F.max, F.lit(None), F.greatest) if greatest else (F.sum, F.lit(0), lambda a, b: a + b)
     ranged = rows.withColumns({f"__{k}": v for k, v in sums.items()}).repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id())
     ranged = stored(ranged, "ranges")
-    within = Window.partitionBy("__range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("__range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if greatest else 0)
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("__range", *by).agg(*[F.sum(f"__{k}").alias(f"__total_{k}") for k in sums])
-    totals = totals.select("__range", *by, *[F.coalesce(F.sum(f"__total_{k}").over(before), F.lit(0)).alias(f"__before_{k}") for k in sums])
+    totals = ranged.groupBy("__range", *by).agg(*[fold(f"__{k}").alias(f"__total_{k}") for k in sums])
+    totals = totals.select("__range", *by, *[F.coalesce(fold(f"__total_{k}").over(before), empty).alias(f"__before_{k}") for k in sums])
     totals = totals.toDF("__at", *[f"__by_{c}" for c in by], *[f"__before_{k}" for k in sums])
     same = F.col("__range") == F.col("__at")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
-    out = ranged.withColumns({k: F.sum(f"__{k}").over(within) for k in sums}).join(totals, same)
-    return out.select(*rows.columns, *[(F.col(k) + F.col(f"__before_{k}")).alias(k) for k in sums])
+    out = ranged.withColumns({k: fold(f"__{k}").over(within) for k in sums}).join(totals, same)
+    return out.select(*rows.columns, *[both(F.col(k), F.col(f"__before_{k}")).alias(k) for k in sums])
 
 
 def numbered(rows: DataFrame, name: str, order: list[Column | str], by: list[str] | None = None) -> DataFrame:

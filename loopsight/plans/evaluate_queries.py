@@ -73,19 +73,28 @@ def k3_span_score(spark, d):
     return evaluate.span_scores(evaluate.span_uuids(labels, a), preds).select("label_id", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT label_id, pred_id FROM spans s JOIN preds p ON p.session_id = s.session_id WHERE {_IOU} >= 0.5", SPANS)
+# Structural actions of a session: what predictions refer to, and the ends of gold spans.
+TABLES["ends_"] = "SELECT session_id, unnest([uuids[1], uuids[-1]]) AS uuid FROM spans"
+TABLES["struct_"] = "SELECT session_id, list_distinct(list(uuid)) AS s FROM (SELECT session_id, unnest(window_refs) AS uuid FROM preds UNION ALL SELECT * FROM ends_) GROUP BY 1"
+TABLES["over_"] = "SELECT s.session_id, s.label_id, s.seq AS g, p.pred_id, p.seq AS p, len(list_intersect(u, window_refs)) / (len(u) + len(window_refs) - len(list_intersect(u, window_refs))) AS iou FROM (SELECT x.*, list_intersect(uuids, s) AS u FROM spans x JOIN struct_ USING (session_id)) s JOIN preds p ON p.session_id = s.session_id"
+_STRUCT = f"{SPANS} ends_ struct_ over_"
+
+
+@query("SELECT label_id, pred_id, round(iou, 6) AS iou FROM over_ WHERE iou >= 0.5", _STRUCT)
 def k4_span_match(spark, d):
     a, labels, preds = _spans(spark, d)
-    return evaluate.span_matches(evaluate.span_uuids(labels, a), preds).select("label_id", "pred_id")
+    return evaluate.span_matches(labels, a, preds).select("label_id", "pred_id", F.round("iou", 6).alias("iou"))
 
 
 @query("SELECT label_id, pred_id, abs(p.seq - s.seq) AS delta FROM spans s JOIN preds p ON p.session_id = s.session_id WHERE abs(p.seq - s.seq) <= 5", SPANS)
 def k5_anchor_match(spark, d):
     a, labels, preds = _spans(spark, d)
-    return evaluate.anchor_matches(labels, preds.drop("seq"), a).select("label_id", "pred_id", "delta")
+    return evaluate.anchor_matches(labels, preds, a).select("label_id", "pred_id", "delta")
 
 
-TABLES["near_"] = "SELECT s.session_id, label_id, pred_id, row_number() OVER (PARTITION BY s.session_id ORDER BY s.seq, abs(p.seq - s.seq), pred_id, label_id) AS n FROM spans s JOIN preds p ON p.session_id = s.session_id WHERE abs(p.seq - s.seq) <= 5"
+# Both kinds in one session: gold anchors and predictions of false success at purchases, beside the spans of loops.
+TABLES["near_"] = """SELECT session_id, label_id, pred_id, row_number() OVER (PARTITION BY session_id ORDER BY g, label_id, s, p, pred_id) AS n FROM (SELECT session_id, label_id, g, pred_id, p, -iou AS s FROM over_ WHERE iou >= 0.5
+    UNION ALL SELECT a.session_id, 'F' || a.uuid, a.seq, 'P' || b.uuid, b.seq, abs(a.seq - b.seq) FROM actions a JOIN actions b ON a.session_id = b.session_id AND abs(a.seq - b.seq) <= 5 WHERE a.tool = 'purchase' AND b.tool = 'purchase' AND CAST(a.uuid AS BIGINT) % 4 = 1 AND CAST(b.uuid AS BIGINT) % 3 = 0)"""
 # A row for each candidate pair and what was taken before it: the recursion goes through a session's pairs in order.
 _GREEDY = """, taken AS (SELECT session_id, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS g, CAST([] AS VARCHAR[]) AS u FROM near_ WHERE n = 1
     UNION ALL SELECT x.session_id, x.n, CASE WHEN list_contains(g, label_id) OR list_contains(u, pred_id) THEN g ELSE list_append(g, label_id) END, CASE WHEN list_contains(g, label_id) OR list_contains(u, pred_id) THEN u ELSE list_append(u, pred_id) END
@@ -93,11 +102,16 @@ _GREEDY = """, taken AS (SELECT session_id, CAST(0 AS BIGINT) AS n, CAST([] AS V
     SELECT session_id, unnest(g) AS label_id, unnest(u) AS pred_id FROM (SELECT *, max(n) OVER (PARTITION BY session_id) AS last FROM taken) WHERE n = last"""
 
 
-@query(_GREEDY, f"{SPANS} near_")
+@query(_GREEDY, f"{_STRUCT} near_")
 def k6_greedy_pairing(spark, d):
+    """Loops by their spans and false successes by their anchors, in one session and in order."""
     a, labels, preds = _spans(spark, d)
-    order = labels.select("label_id", F.col("seq").alias("gold_n"))
-    return evaluate.greedy_pairs(evaluate.anchor_matches(labels, preds.drop("seq"), a), order, F.col("delta"))
+    none, i = F.lit(None).cast("string"), F.col("uuid").cast("long")
+    gold = labels.select("label_id", "session_id", F.lit("thrashing").alias("gold"), F.col("seq").alias("gold_n"), "start_uuid", "end_uuid", "anchor_uuid")
+    bought = a.filter("tool = 'purchase'")
+    gold = gold.unionByName(bought.filter(i % 4 == 1).select(F.concat(F.lit("F"), "uuid").alias("label_id"), "session_id", F.lit("false_success").alias("gold"), F.col("seq").alias("gold_n"), none.alias("start_uuid"), none.alias("end_uuid"), F.col("uuid").alias("anchor_uuid")))
+    pred = preds.withColumnRenamed("type", "kind").unionByName(bought.filter(i % 3 == 0).select(F.concat(F.lit("P"), "uuid").alias("pred_id"), "session_id", F.col("uuid").alias("anchor_uuid"), F.array().cast("array<string>").alias("window_refs"), F.lit("false_success").alias("kind"), "seq"))
+    return evaluate.mixed_pairs(gold, pred, a)
 
 
 @query("SELECT label_id, gold, pred, CASE WHEN gold = pred AND gold <> 'none' THEN 'tp' WHEN gold = pred THEN 'tn' WHEN gold = 'none' THEN 'fp' WHEN pred = 'none' THEN 'fn' ELSE 'misclassified' END AS outcome FROM gold", "gold")
@@ -161,59 +175,74 @@ def k16_stratified_folds(spark, d):
     return evaluate.stratified_folds(_gold(spark, d), 5).select("label_id", F.col("fold").cast("long").alias("fold"))
 
 
-def _candidates(spark, d):
-    """Predictions of five candidate thresholds over five folds, all in one table."""
-    g = evaluate.stratified_folds(_gold(spark, d), 5)
-    c = spark.createDataFrame([(k,) for k in range(5)], "candidate long")
-    rows = g.crossJoin(F.broadcast(c))  # five candidates
-    return rows.withColumn("pred", F.when(F.col("doc_id") % 10 < F.col("candidate"), "none").otherwise(F.col("pred"))).select("candidate", "fold", "gold", "pred")
-
-
-TABLES["folds"] = "SELECT *, (row_number() OVER (PARTITION BY gold ORDER BY label_id) - 1) % 5 AS fold FROM gold"
-TABLES["grid"] = """SELECT c.candidate, f.fold, k.kind, count(*) FILTER (WHERE gold = k.kind AND pr = k.kind) AS tp, count(*) FILTER (WHERE gold <> k.kind AND pr = k.kind) AS fp, count(*) FILTER (WHERE gold = k.kind AND pr <> k.kind) AS fn, count(*) FILTER (WHERE gold <> k.kind AND pr <> k.kind) AS tn
-    FROM (SELECT f.*, c.candidate, CASE WHEN doc_id % 10 < c.candidate THEN 'none' ELSE pred END AS pr FROM folds f, range(5) c(candidate)) f JOIN range(5) c(candidate) ON c.candidate = f.candidate CROSS JOIN (VALUES ('thrashing'), ('false_success'), ('none')) k(kind) GROUP BY ALL"""
-TABLES["scored"] = f"""SELECT candidate, fold, avg({_F1}) AS macro_f1, max(CASE WHEN kind = 'none' THEN fp / (fp + tn) END) AS fpr, max(CASE WHEN kind = 'none' THEN fn / (fn + tp) END) AS alarm FROM (SELECT *, {_PRF} FROM grid) GROUP BY ALL"""
+GRID = {0: Thresholds(), 1: STRICT, 2: Thresholds(decide=0.8), 3: Thresholds(warning=11, critical=15, error_warning=4, error_critical=6, edit_warning=7), 4: Thresholds(error_warning=2, edit_warning=6, edit_critical=9)}
 
 
-@query("SELECT candidate, fold, round(macro_f1, 6) AS macro_f1, round(fpr, 6) AS fpr_none_compat, round(alarm, 6) AS false_alarm_rate FROM scored", "gold folds grid scored")
+def _calibration_labels(spark, d):
+    """Spans of the strict gate's hits as loops, and every fifth quiet action, dealt to five folds."""
+    a, labels, _ = _spans(spark, d)
+    none = F.lit(None).cast("string")
+    gold = labels.select("label_id", "session_id", F.lit("thrashing").alias("gold"), F.col("seq").alias("gold_n"), "start_uuid", "end_uuid", "anchor_uuid")
+    quiet = a.filter(F.col("uuid").cast("long") % 25 == 3).select(F.concat(F.lit("N"), "uuid").alias("label_id"), "session_id", F.lit("none").alias("gold"), F.col("seq").alias("gold_n"), none.alias("start_uuid"), none.alias("end_uuid"), F.col("uuid").alias("anchor_uuid"))
+    return a, evaluate.stratified_folds(gold.unionByName(quiet), 5)
+
+
+def _calibrated(spark, d, candidates):
+    a, labels = _calibration_labels(spark, d)
+    return evaluate.fold_scores(evaluate.calibration_rows(a, labels, candidates))
+
+
+TABLES["cand_"] = "SELECT * FROM (VALUES " + ", ".join(f"({n}, {t.warning}, {t.critical}, {t.error_warning}, {t.error_critical}, {t.edit_warning}, {t.edit_critical}, {t.decide})" for n, t in GRID.items()) + ") v(candidate, w, c, ew, ec, fw, fc, decide)"
+TABLES["fired_"] = """SELECT candidate, decide, session_id, seq, uuid, CASE WHEN error_n >= ec THEN 'critical' WHEN error_n >= ew THEN 'warning' WHEN repeat_n >= c THEN 'critical' ELSE 'warning' END AS severity, 0 AS rnk, CASE WHEN error_n >= ew THEN error_refs ELSE repeat_refs END AS window_refs FROM rep, cand_ WHERE error_n >= ew OR repeat_n >= w
+    UNION ALL SELECT candidate, decide, session_id, seq, uuid, CASE WHEN edit_n >= fc THEN 'critical' ELSE 'warning' END, 1, refs FROM edv, cand_ WHERE edit_n >= fw AND max_jaccard >= 0.3"""
+TABLES["chits_"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY candidate, uuid ORDER BY CASE severity WHEN 'critical' THEN 0 ELSE 1 END, rnk) AS n FROM fired_) WHERE n = 1 AND CASE severity WHEN 'critical' THEN 0.9 ELSE 0.75 END >= decide"
+TABLES["cal_"] = "SELECT *, (row_number() OVER (PARTITION BY gold ORDER BY label_id) - 1) % 5 AS fold FROM (SELECT label_id, session_id, seq, 'thrashing' AS gold, uuids FROM spans UNION ALL SELECT 'N' || uuid, session_id, seq, 'none', [] FROM actions WHERE CAST(uuid AS BIGINT) % 25 = 3)"
+TABLES["cstruct_"] = """SELECT candidate, session_id, fold, list_distinct(flatten(list(x))) AS s FROM (SELECT h.candidate, l.session_id, l.fold, h.window_refs AS x FROM (SELECT DISTINCT session_id, fold FROM cal_ WHERE gold = 'thrashing') l JOIN chits_ h ON h.session_id = l.session_id
+    UNION ALL SELECT c.candidate, session_id, fold, [uuids[1], uuids[-1]] FROM cal_, cand_ c WHERE gold = 'thrashing') GROUP BY ALL"""
+TABLES["cover_"] = """SELECT l.candidate, l.fold, l.session_id, label_id, l.seq AS g, h.uuid AS pred_id, h.seq AS p, len(list_intersect(u, window_refs)) / (len(u) + len(window_refs) - len(list_intersect(u, window_refs))) AS iou
+    FROM (SELECT x.*, s.candidate, list_intersect(uuids, s.s) AS u FROM cal_ x JOIN cstruct_ s ON s.session_id = x.session_id AND s.fold = x.fold WHERE gold = 'thrashing') l JOIN chits_ h ON h.candidate = l.candidate AND h.session_id = l.session_id"""
+TABLES["cnear_"] = "SELECT *, row_number() OVER (PARTITION BY candidate, fold, session_id ORDER BY g, label_id, -iou, p, pred_id) AS n FROM cover_ WHERE iou >= 0.5"
+# Counts by (candidate, fold, gold, pred) come before the kinds are joined: a few rows instead of all labels.
+_CALIBRATED = f""", taken AS (SELECT candidate, fold, session_id, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS g, CAST([] AS VARCHAR[]) AS u FROM cnear_ WHERE n = 1
+    UNION ALL SELECT x.candidate, x.fold, x.session_id, x.n, CASE WHEN list_contains(t.g, label_id) OR list_contains(u, pred_id) THEN t.g ELSE list_append(t.g, label_id) END, CASE WHEN list_contains(t.g, label_id) OR list_contains(u, pred_id) THEN u ELSE list_append(u, pred_id) END
+    FROM taken t JOIN cnear_ x ON x.candidate = t.candidate AND x.fold = t.fold AND x.session_id = t.session_id AND x.n = t.n + 1),
+    paired AS (SELECT candidate, fold, unnest(g) AS label_id, unnest(u) AS pred_id FROM (SELECT *, max(n) OVER (PARTITION BY candidate, fold, session_id) AS last FROM taken) WHERE n = last),
+    outcomes AS (SELECT c.candidate, l.fold, l.gold, CASE WHEN p.label_id IS NULL THEN 'none' ELSE l.gold END AS pr FROM cal_ l CROSS JOIN cand_ c LEFT JOIN paired p ON p.candidate = c.candidate AND p.fold = l.fold AND p.label_id = l.label_id
+        UNION ALL SELECT h.candidate, l.fold, 'none', 'thrashing' FROM (SELECT DISTINCT session_id, fold FROM cal_) l JOIN chits_ h ON h.session_id = l.session_id LEFT JOIN paired p ON p.candidate = h.candidate AND p.fold = l.fold AND p.pred_id = h.uuid WHERE p.pred_id IS NULL),
+    counted AS (SELECT candidate, fold, gold, pr, count(*) AS n FROM outcomes GROUP BY ALL),
+    grid AS (SELECT candidate, fold, k.kind, sum(CASE WHEN gold = k.kind AND pr = k.kind THEN n ELSE 0 END) AS tp, sum(CASE WHEN gold <> k.kind AND pr = k.kind THEN n ELSE 0 END) AS fp, sum(CASE WHEN gold = k.kind AND pr <> k.kind THEN n ELSE 0 END) AS fn, sum(CASE WHEN gold <> k.kind AND pr <> k.kind THEN n ELSE 0 END) AS tn FROM counted CROSS JOIN (VALUES ('thrashing'), ('false_success'), ('none')) k(kind) GROUP BY ALL),
+    scored AS (SELECT candidate, fold, avg({_F1}) AS macro_f1, max(CASE WHEN kind = 'none' THEN CASE WHEN fp + tn = 0 THEN 0 ELSE fp / (fp + tn) END END) AS fpr, max(CASE WHEN kind = 'none' THEN CASE WHEN fn + tp = 0 THEN 0 ELSE fn / (fn + tp) END END) AS alarm FROM (SELECT *, {_PRF} FROM grid) GROUP BY ALL)
+    """
+_CAL = f"{SPANS} cand_ fired_ chits_ cal_ cstruct_ cover_ cnear_"
+
+
+@query(_CALIBRATED + "SELECT candidate, fold, round(macro_f1, 6) AS macro_f1, round(fpr, 6) AS fpr_none_compat, round(alarm, 6) AS false_alarm_rate FROM scored", _CAL)
 def k17_fold_evaluation(spark, d):
-    s = evaluate.fold_scores(_candidates(spark, d))
-    return s.select("candidate", F.col("fold").cast("long").alias("fold"), *[F.round(c, 6).alias(c) for c in ("macro_f1", "fpr_none_compat", "false_alarm_rate")])
+    """Gate, verdict and pairing of five settings in five folds."""
+    s = _calibrated(spark, d, GRID)
+    return s.select(F.col("candidate").cast("int").alias("candidate"), F.col("fold").cast("long").alias("fold"), *[F.round(c, 6).alias(c) for c in ("macro_f1", "fpr_none_compat", "false_alarm_rate")])
 
 
-@query("SELECT candidate, round(avg(macro_f1), 6) AS macro_f1, round(avg(macro_f1 - 0.5 * fpr), 6) AS objective FROM scored GROUP BY 1", "gold folds grid scored")
+@query(_CALIBRATED + "SELECT candidate, round(avg(macro_f1), 6) AS macro_f1, round(avg(macro_f1 - 0.5 * fpr), 6) AS objective FROM scored GROUP BY 1", _CAL)
 def k18_grid_calibration(spark, d):
-    return evaluate.grid(evaluate.fold_scores(_candidates(spark, d))).select("candidate", F.round("macro_f1", 6).alias("macro_f1"), F.round("objective", 6).alias("objective"))
-
+    means = evaluate.grid(_calibrated(spark, d, GRID))
+    return means.select(F.col("candidate").cast("int").alias("candidate"), F.round("macro_f1", 6).alias("macro_f1"), F.round("objective", 6).alias("objective"))
 
-TABLES["cal_labels"] = "SELECT *, (row_number() OVER (PARTITION BY gold ORDER BY label_id) - 1) % 5 AS fold FROM (SELECT label_id, session_id, seq, 'thrashing' AS gold FROM spans UNION ALL SELECT 'N' || uuid, session_id, seq, 'none' FROM actions WHERE CAST(uuid AS BIGINT) % 25 = 3)"
-TABLES["cal_near"] = """SELECT candidate, l.session_id, label_id, pred_id, row_number() OVER (PARTITION BY candidate, l.session_id ORDER BY l.seq, abs(p.seq - l.seq), pred_id, label_id) AS n FROM cal_labels l
-    JOIN (SELECT 0 AS candidate, trigger_uuid AS pred_id, session_id, seq FROM hits UNION ALL SELECT 1, trigger_uuid, session_id, seq FROM hits_s UNION ALL SELECT 2, trigger_uuid, session_id, seq FROM hits WHERE severity = 'critical') p ON p.session_id = l.session_id WHERE abs(p.seq - l.seq) <= 5"""
-_CALIBRATED = f""", taken AS (SELECT candidate, session_id, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS g, CAST([] AS VARCHAR[]) AS u FROM cal_near WHERE n = 1
-    UNION ALL SELECT x.candidate, x.session_id, x.n, CASE WHEN list_contains(g, label_id) OR list_contains(u, pred_id) THEN g ELSE list_append(g, label_id) END, CASE WHEN list_contains(g, label_id) OR list_contains(u, pred_id) THEN u ELSE list_append(u, pred_id) END
-    FROM taken t JOIN cal_near x ON x.candidate = t.candidate AND x.session_id = t.session_id AND x.n = t.n + 1),
-    paired AS (SELECT candidate, unnest(g) AS label_id FROM (SELECT *, max(n) OVER (PARTITION BY candidate, session_id) AS last FROM taken) WHERE n = last),
-    cal AS (SELECT c.candidate, l.fold, l.gold, CASE WHEN p.label_id IS NULL THEN 'none' ELSE 'thrashing' END AS pr FROM cal_labels l CROSS JOIN range(3) c(candidate) LEFT JOIN paired p ON p.candidate = c.candidate AND p.label_id = l.label_id),
-    cal_cells AS (SELECT candidate, fold, k.kind, count(*) FILTER (WHERE gold = k.kind AND pr = k.kind) AS tp, count(*) FILTER (WHERE gold <> k.kind AND pr = k.kind) AS fp, count(*) FILTER (WHERE gold = k.kind AND pr <> k.kind) AS fn, count(*) FILTER (WHERE gold <> k.kind AND pr <> k.kind) AS tn FROM cal CROSS JOIN (VALUES ('thrashing'), ('false_success'), ('none')) k(kind) GROUP BY ALL),
-    cal_scores AS (SELECT candidate, fold, avg({_F1}) AS macro_f1, max(CASE WHEN kind = 'none' THEN CASE WHEN fp + tn = 0 THEN 0 ELSE fp / (fp + tn) END END) AS fpr FROM (SELECT *, {_PRF} FROM cal_cells) GROUP BY ALL)
-    SELECT candidate, round(avg(macro_f1), 6) AS macro_f1, round(avg(macro_f1 - 0.5 * fpr), 6) AS objective FROM cal_scores GROUP BY 1"""
 
-
-@query(_CALIBRATED, f"{SPANS} cal_labels cal_near")
+@query(_CALIBRATED + "SELECT candidate, true AS fallback, round(avg(macro_f1 - 0.5 * fpr), 6) AS objective FROM scored WHERE candidate < 3 GROUP BY 1", _CAL)
 def k18_gate_calibration(spark, d):
-    """Three settings whose gate, verdict and pairing run over all actions, scored in five folds."""
-    a, labels, _ = _spans(spark, d)
-    gold = labels.select("label_id", "session_id", "anchor_uuid", F.col("seq").alias("gold_n"), F.lit("thrashing").alias("gold"))
-    quiet = a.filter(F.col("uuid").cast("long") % 25 == 3).select(F.concat(F.lit("N"), "uuid").alias("label_id"), "session_id", F.col("uuid").alias("anchor_uuid"), F.col("seq").alias("gold_n"), F.lit("none").alias("gold"))
-    folds = evaluate.stratified_folds(gold.unionByName(quiet), 5)
-    rows = evaluate.calibration_rows(a, folds, {0: Thresholds(), 1: STRICT, 2: Thresholds(decide=0.8)})
-    return evaluate.grid(evaluate.fold_scores(rows)).select("candidate", F.round("macro_f1", 6).alias("macro_f1"), F.round("objective", 6).alias("objective"))
+    """No label is a false success, so the small-sample rule leaves the first three settings."""
+    a, labels = _calibration_labels(spark, d)
+    listed = spark.createDataFrame([(n,) for n in GRID], "candidate long")
+    usable = {r["candidate"]: r["fallback"] for r in evaluate.usable_candidates(listed, labels).collect()}  # settings, not data
+    means = evaluate.grid(evaluate.fold_scores(evaluate.calibration_rows(a, labels, {n: GRID[n] for n in sorted(usable)})))
+    return means.select(F.col("candidate").cast("int").alias("candidate"), F.lit(any(usable.values())).alias("fallback"), F.round("objective", 6).alias("objective"))
 
 
-@query("SELECT candidate FROM scored GROUP BY 1 ORDER BY round(avg(macro_f1 - 0.5 * fpr), 9) DESC, 1 LIMIT 1", "gold folds grid scored")
+@query(_CALIBRATED + "SELECT candidate FROM scored GROUP BY 1 ORDER BY round(avg(macro_f1 - 0.5 * fpr), 9) DESC, 1 LIMIT 1", _CAL)
 def k19_best_candidate(spark, d):
-    means = evaluate.grid(evaluate.fold_scores(_candidates(spark, d)))
-    return evaluate.best_candidate(means.withColumn("objective", F.round("objective", 9))).select("candidate")
+    means = evaluate.grid(_calibrated(spark, d, GRID))
+    return evaluate.best_candidate(means.withColumn("objective", F.round("objective", 9))).select(F.col("candidate").cast("int").alias("candidate"))
 
 
 @query("SELECT session_id, trigger_uuid, 1 AS is_replay FROM hits", HITS)

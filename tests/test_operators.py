@@ -144,19 +144,109 @@ def test_greedy_pairs_like_a_plain_loop(spark):
         if g not in taken and p not in used:
             taken.add(g), used.add(p), want.add((g, p))
     order = spark.createDataFrame([(f"g{k}", k) for k in range(8)], "label_id string, gold_n long")
-    found = evaluate.greedy_pairs(spark.createDataFrame(matches, "label_id string, session_id string, pred_id string, delta long"), order, F.col("delta"))
+    rows = [(*x, 0, 0, 9) for x in matches]
+    found = evaluate.greedy_pairs(spark.createDataFrame(rows, "label_id string, session_id string, pred_id string, delta long, p long, lo long, hi long"), order, F.col("delta"))
     assert {(x["label_id"], x["pred_id"]) for x in found.collect()} == want
 
 
 def test_spans_and_anchors_at_the_thresholds(spark):
     a = actions(spark, 20)
     labels = spark.createDataFrame([("L", "s", "s-root-0", "s-root-3", "s-root-0"), ("M", "s", "s-root-3", "s-root-0", "s-root-0")], "label_id string, session_id string, start_uuid string, end_uuid string, anchor_uuid string")
-    preds = spark.createDataFrame([("p", "s", "s-root-5", ["s-root-0", "s-root-1"]), ("q", "s", "s-root-6", ["s-root-0"])], "pred_id string, session_id string, anchor_uuid string, window_refs array<string>")
-    spans = evaluate.span_uuids(labels, a)
-    assert [(r["label_id"], r["pred_id"]) for r in evaluate.span_matches(spans, preds).collect()] == [("L", "p")]
+    preds = spark.createDataFrame([("p", "s", "s-root-5", ["s-root-0", "s-root-1"], 5), ("q", "s", "s-root-6", ["s-root-0"], 6)], "pred_id string, session_id string, anchor_uuid string, window_refs array<string>, seq long")
+    assert [(r["label_id"], r["pred_id"]) for r in evaluate.span_matches(labels, a, preds).collect()] == [("L", "p")]
     assert {r["pred_id"] for r in evaluate.anchor_matches(labels, preds, a).collect()} == {"p"}
 
 
+def _paired_by_loop(order, golds, preds, k=5):
+    """Labels in order: loops take the free prediction of greatest overlap over structural actions, others the nearest free one."""
+    used, out, structural = set(), set(), {u for p in preds if p["kind"] == "thrashing" for u in p["window_refs"]} | {u for g in golds if g["gold"] == "thrashing" for u in (g["start_uuid"], g["end_uuid"])}
+    for g in sorted(golds, key=lambda g: (g["gold_n"], g["label_id"])):
+        best = None
+        for n, p in enumerate(preds):
+            if n in used or p["kind"] != g["gold"]:
+                continue
+            if g["gold"] == "thrashing":
+                a, b = order[g["start_uuid"]], order[g["end_uuid"]]
+                span, refs = {u for u, at in order.items() if a <= at <= b and u in structural}, set(p["window_refs"])
+                score = -len(span & refs) / max(1, len(span | refs))
+                if score > -0.5:
+                    continue
+            else:
+                score = abs(order[p["anchor_uuid"]] - order[g["anchor_uuid"]])
+                if score > k:
+                    continue
+            best = min(best or (score, n), (score, n))
+        if best:
+            used.add(best[1])
+            out.add((g["label_id"], preds[best[1]]["pred_id"]))
+    return out
+
+
+def test_both_kinds_are_paired_like_a_plain_loop(spark):
+    r, golds, preds, actions_, want = random.Random(11), [], [], [], set()
+    for s in ("x", "y"):
+        order = {f"{s}{k}": k for k in range(120)}
+        actions_ += [(s, u, k) for u, k in order.items()]
+        own_g, own_p = [], []
+        for n in range(25):
+            a = r.randrange(100)
+            b, kind = a + r.randrange(12), r.choice(["thrashing", "false_success"])
+            own_g.append({"label_id": f"g{s}{n:02}", "session_id": s, "gold": kind, "gold_n": b, "start_uuid": f"{s}{a}", "end_uuid": f"{s}{b}", "anchor_uuid": f"{s}{b}"})
+        for n, at in enumerate(sorted(r.randrange(15, 120) for _ in range(40))):
+            own_p.append({"pred_id": f"p{s}{n:02}", "session_id": s, "kind": r.choice(["thrashing", "false_success"]), "anchor_uuid": f"{s}{at}", "window_refs": sorted(f"{s}{x}" for x in r.sample(range(at - 14, at + 1), r.randrange(2, 9))), "seq": at})
+        want |= _paired_by_loop(order, own_g, own_p)
+        golds, preds = golds + own_g, preds + own_p
+    rows = lambda data, schema: spark.createDataFrame([tuple(x.values()) for x in data], schema).repartition(3)
+    g = rows(golds, "label_id string, session_id string, gold string, gold_n long, start_uuid string, end_uuid string, anchor_uuid string")
+    p = rows(preds, "pred_id string, session_id string, kind string, anchor_uuid string, window_refs array<string>, seq long")
+    found = evaluate.mixed_pairs(g, p, spark.createDataFrame(actions_, "session_id string, uuid string, seq long"))
+    assert {(x["label_id"], x["pred_id"]) for x in found.collect()} == want and len(want) > 15
+
+
+def test_other_actions_within_a_span_do_not_count(spark):
+    """A loop on every fourth action matches its span of 17, whose other twelve actions are no part of any finding."""
+    a, refs = actions(spark, 20), [f"s-root-{k}" for k in range(0, 17, 4)]
+    labels = spark.createDataFrame([("L", "s", refs[0], refs[-1])], "label_id string, session_id string, start_uuid string, end_uuid string")
+    preds = spark.createDataFrame([("p", "s", refs, 16)], "pred_id string, session_id string, window_refs array<string>, seq long")
+    assert [r["iou"] for r in evaluate.span_matches(labels, a, preds).collect()] == [1.0]
+
+
+def test_runs_share_no_label_and_no_prediction(spark):
+    r = random.Random(5)
+    rows = [(f"s{r.randrange(2)}", f"g{k}", f"p{k}", lo, lo + r.randrange(9)) for k, lo in enumerate(r.choices(range(400), k=120))]
+    found = evaluate.with_runs(spark.createDataFrame(rows, "session_id string, label_id string, pred_id string, lo long, hi long").repartition(5), ["session_id"]).collect()
+    for s in ("s0", "s1"):
+        own = sorted((x["lo"], x["hi"], x["run"]) for x in found if x["session_id"] == s)
+        run, reach = 0, -1
+        for lo, hi, got in own:
+            run += lo > reach
+            reach = max(reach, hi)
+            assert got == run
+        assert run > 10
+
+
+def test_one_profile_gives_the_hits_of_each_setting(spark):
+    r = random.Random(8)
+    rows = [("s", "root", k, f"u{k:03}", k, r.choice("ab"), r.choice("xy"), r.choice(["ok", "error"]), r.choice([None, "f", "g"]), r.sample(["a", "b", "c", "d", "e", "f"], 3)) for k in range(1, 120)]
+    df = spark.createDataFrame(rows, "session_id string, agent_scope string, seq long, uuid string, ts long, tool string, arg_key string, result_class string, file_path string, edit_tokens array<string>")
+    pick = lambda lo, hi: sorted(r.sample(range(lo, hi), 2))
+    settings = {}
+    for n in range(100):
+        (w, c), (ew, ec), (fw, fc) = pick(3, 14), pick(2, 9), pick(2, 14)
+        settings[n] = Thresholds(warning=w, critical=c, error_warning=ew, error_critical=ec, edit_warning=fw, edit_critical=fc, same_region=r.choice([0.2, 0.5, 1.0]))
+    profiled = gate.profile(df, list(settings.values()))
+    found = gate.resolved(profiled, settings)
+    names = ["seq", "trigger_uuid", "subtype", "severity", "window_refs"]
+    got = {}
+    for x in found.select("candidate", *names).collect():
+        got.setdefault(x["candidate"], set()).add((*x[1:5], tuple(x["window_refs"])))
+    for n in r.sample(sorted(settings), 8):
+        assert got.get(n, set()) == {(*x[:4], tuple(x["window_refs"])) for x in gate.hits(df, settings[n]).select(*names).collect()}, settings[n]
+    # As many settings as there may be, the plan reads the actions as often as for one.
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+    assert plan(found) == plan(gate.resolved(gate.profile(df, [Thresholds()]), {0: Thresholds()}))
+
+
 def test_kappa_of_one_class_is_zero(spark):
     m = evaluate.confusion(spark.createDataFrame([("none", "none")] * 3, "gold string, pred string"))
     assert evaluate.kappa(m).first()["kappa"] == 0
