@@ -137,10 +137,12 @@ def digest_large(text: Column, most: int = 256) -> Column:
 
 
 def canonical_json(text: Column) -> Column:
-    """A flat JSON object with its keys sorted and values as strings; other JSON as it is."""
-    flat = F.from_json(text, "map<string,string>")
-    pairs = F.transform(F.array_sort(F.map_entries(flat)), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":"'), F.coalesce(e["value"], F.lit("null")), F.lit('"')))
-    return F.when(text.startswith("{"), F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise(text)
+    """JSON with the keys of all objects sorted (by code units), at any depth and within arrays, and without spaces.
+
+    Values keep their types and escapes, so different inputs stay different; numbers lose trailing zeros. What is no JSON, or
+    names a key twice, stays as it is. Goes by way of VARIANT, which holds an object's fields in the order of their names.
+    """
+    return F.coalesce(F.to_json(F.try_parse_json(text)), text)
 
 
 def normalize_content(text: Column) -> Column:

@@ -110,18 +110,28 @@ def d9_edit_delta(spark, d):
     return rows.select("uuid", tx.edit_delta(F.col("edit_tokens"), F.col("new")).alias("delta"))
 
 
-@query(f"SELECT doc_id, 'Bash:' || substr(sha256({_SPACE.format(_sql(_VOLATILE_SQL))}), 1, 16) AS bash_key, 'Write:/src/' || doc_id || ':' || substr(sha256({_SPACE.format('t')}), 1, 16) AS write_key, 'Read:' || substr(sha256('/src/' || doc_id), 1, 16) AS read_key FROM {_DOCS}")
+_FETCH = """'{"args":[{"a":' || doc_id || ',"b":null},"x"],"q":{"text":' || CAST(to_json(t) AS VARCHAR) || ',"z":true}}'"""
+
+
+@query(f"SELECT doc_id, 'Bash:' || substr(sha256({_SPACE.format(_sql(_VOLATILE_SQL))}), 1, 16) AS bash_key, 'Write:/src/' || doc_id || ':' || substr(sha256({_SPACE.format('t')}), 1, 16) AS write_key, 'Read:' || substr(sha256('/src/' || doc_id), 1, 16) AS read_key, 'Fetch:' || substr(sha256(CASE WHEN length(c) > 256 THEN 'sha256:' || sha256(c) ELSE c END), 1, 16) AS other_key FROM (SELECT *, {_SPACE.format(_FETCH)} AS c FROM {_DOCS})")
 def d10_arg_keys(spark, d):
+    """Keys of commands, writes, reads, and of a tool without a rule of its own, whose input comes in another order than the sorted one."""
     rows = _documents(spark, d)
     path = F.concat(F.lit("/src/./"), F.col("doc_id").cast("string"))
-    call = lambda tool, **f: fingerprint.arg_key(F.lit(tool), F.to_json(F.struct(*[v.alias(k) for k, v in f.items()])))
-    return rows.select("doc_id", call("Bash", command=F.col("t")).alias("bash_key"), call("Write", file_path=path, content=F.col("t")).alias("write_key"), call("Read", file_path=path).alias("read_key"))
+    of = lambda **f: F.struct(*[v.alias(k) for k, v in f.items()])
+    call = lambda tool, **f: fingerprint.arg_key(F.lit(tool), F.to_json(of(**f)))
+    other = F.concat(F.lit('{"q": {"z" : true, "text":'), F.to_json(F.to_variant_object(F.array("t"))).substr(F.lit(2), F.length(F.to_json(F.to_variant_object(F.array("t")))) - 2), F.lit('}, "args": [{"b":null, "a": '), F.col("doc_id").cast("string"), F.lit('}, "x"]}'))
+    return rows.select("doc_id", call("Bash", command=F.col("t")).alias("bash_key"), call("Write", file_path=path, content=F.col("t")).alias("write_key"), call("Read", file_path=path).alias("read_key"), fingerprint.arg_key(F.lit("Fetch"), other).alias("other_key"))
 
 
-@query("""SELECT event_id, '{"k":"' || CAST(props::JSON->>'k' AS VARCHAR) || '","type":"' || event_type || '"}' AS canonical FROM events""")
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN '{"a":{"x":' || k || ',"y":' || event_id || '},"t":"' || event_type || '"}' WHEN 1 THEN '{"k":"' || k || '"}' WHEN 2 THEN '{"k":' || k || '}' WHEN 3 THEN '{"l":[{"a":' || k || ',"b":[{"c":1,"d":null}]},true,"' || event_type || '"]}'
+    WHEN 4 THEN '{"a":"x\\",\\"b\\":\\"' || k || '"}' ELSE '{"k":' || k || ' no' END AS canonical FROM (SELECT *, CAST(props::JSON->>'k' AS VARCHAR) AS k FROM events)""")
 def d11_canonical_json(spark, d):
+    """Nested objects, objects in arrays, texts and numbers alike, quotes within texts, and what is no JSON."""
     rows = views.table(spark, d, "events")
-    raw = F.concat(F.lit('{"type":"'), "event_type", F.lit('", "k": '), F.get_json_object("props", "$.k"), F.lit("}"))
+    put = lambda form: F.format_string(form, F.get_json_object("props", "$.k"), F.col("event_id"), F.col("event_type"))
+    forms = ['{"t":"%3$s", "a": {"y":%2$d, "x": %1$s}}', '{ "k" :"%1$s"}', '{"k" : %1$s}', '{"l":[{"b":[{"d":null,"c":1}], "a":%1$s},true, "%3$s"]}', '{"a":"x\\",\\"b\\":\\"%1$s"}', '{"k":%1$s no']
+    raw = F.coalesce(*[F.when(F.col("event_id") % 6 == n, put(f)) for n, f in enumerate(forms)])
     return rows.select("event_id", tx.canonical_json(raw).alias("canonical"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loopsight.functions import text as tx
 from loopsight.functions.config import Thresholds
 from loopsight.functions.measures import cosine, iou, jaccard, wilson
-from loopsight.operators import evaluate, gate, judge, ordering, routing, semantic, verdict
+from loopsight.operators import evaluate, fingerprint, gate, judge, ordering, routing, semantic, verdict
 from loopsight.sources import logs, tables
 
 ACTION = "session_id string, agent_scope string, seq long, uuid string, ts long, tool string, arg_key string, result_class string, file_path string, edit_tokens array<string>"
@@ -84,6 +84,16 @@ def test_paths_of_pages_fold_like_a_plain_loop(spark):
     assert {r["page_id"]: r["path"] for r in catalog.detect_queries.d7_normalize_path(spark, sf).collect()} == want
 
 
+def test_canonical_json_at_any_depth(spark):
+    c = lambda text: one(spark, tx.canonical_json(F.lit(text)))
+    assert c('{"a":{"y":2,"x":1}}') == c('{ "a" : {"x":1, "y":2} }') == '{"a":{"x":1,"y":2}}'
+    assert c('{"k":1}') != c('{"k":"1"}') and c('{"a":"x\\",\\"b\\":\\"y"}') != c('{"a":"x","b":"y"}')
+    assert c('[{"b":[{"d":1,"c":2}],"a":null}]') == '[{"a":null,"b":[{"c":2,"d":1}]}]'
+    assert c('{"n":1.50}') == c('{"n":1.5}') and c("no json") == "no json" and c('{"a":1,"a":2}') == '{"a":1,"a":2}'
+    key = lambda text: one(spark, fingerprint.arg_key(F.lit("mcp__x"), F.lit(text)))
+    assert key('{"q":{"b":1,"a":[2]}}') == key('{"q":{"a":[2],"b":1}}') != key('{"q":{"a":["2"],"b":1}}')
+
+
 def test_similarities(spark):
     a = lambda *x: F.array(*[F.lit(float(v)) for v in x]) if x else F.array().cast("array<double>")
     assert one(spark, cosine(a(1, 0), a(0, 0))) == 0
@@ -93,6 +103,21 @@ def test_similarities(spark):
     assert one(spark, iou(a(), a(1))) == 0
 
 
+def test_top_k_over_partitions_and_blocks(spark):
+    r = random.Random(6)
+    rows = [(k, [float(r.randrange(-3, 4)) for _ in range(3)], r.choice(["m", "n"])) for k in range(90)] + [(90, [0.0, 0.0, 0.0], "m"), (91, [1.0, 2.0], "m"), (92, None, "m")]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, model string").repartition(5)
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / ((sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5 or 1)
+    for block in (1000, 3):
+        found = {}
+        for x in semantic.top_k(v, v.filter("vec_id % 10 = 0 or vec_id > 89"), 7, block).collect():
+            found.setdefault(x["query_id"], []).append((x["rank"], round(x["cos"], 9)))
+        for i, e, m in rows:
+            if e and (i % 10 == 0 or i > 89):
+                want = sorted((round(cos(e, w), 9) for j, w, n in rows if j != i and n == m and w and len(w) == len(e)), reverse=True)[:7]
+                assert [c for _, c in sorted(found.get(i, []))] == pytest.approx(want)
+
+
 def test_wilson(spark):
     assert [one(spark, c) for c in wilson(F.lit(0), F.lit(0))] == [0, 0, 1]
     with pytest.raises(Exception, match="hits"):

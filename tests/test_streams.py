@@ -86,13 +86,14 @@ def test_orphans_wait_five_seconds_and_state_goes(spark, tmp_path):
     assert "s" not in {r["session_id"] for r in held}
 
 
-@pytest.mark.parametrize("window", [0, 60])
-def test_debounce_batch_equals_a_loop(spark, window):
+@pytest.mark.parametrize(("window", "streamed"), [(0, 9), (60, 10**6), (60, 0), (60, 60), (1, 0)])
+def test_debounce_batch_equals_a_loop(spark, window, streamed):
+    """In a task and by doubling: equal times, a null key, a key that never pauses."""
     import random
 
     r = random.Random(4)
-    rows = [(f"k{r.randrange(3)}", k, r.randrange(600)) for k in range(200)]
-    got = {x["id"] for x in routing.debounced(spark.createDataFrame(rows, "dedupe_key string, id long, ts long").repartition(4), window_ms=window).filter("sent").collect()}
+    rows = [(r.choice(["k0", "k1", None]), k, r.randrange(600)) for k in range(200)] + [("busy", 1000 + k, 7 * k) for k in range(400)] + [("busy", 2000 + k, 7 * k) for k in range(40)]
+    got = {x["id"] for x in routing.debounced(spark.createDataFrame(rows, "dedupe_key string, id long, ts long").repartition(4), window_ms=window, streamed=streamed).filter("sent").collect()}
     last, want = {}, set()
     for key, i, ts in sorted(rows, key=lambda x: (x[2], x[1])):
         if window <= 0 or key not in last or ts - last[key] >= window:
