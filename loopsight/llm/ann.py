@@ -1,18 +1,19 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
 Vectors are cut into halves, each quantised by its own centroids (k-means on a bounded sample); a vector's cell
-is its pair of centroids. The centroids of a half grow with the root of the number of vectors, so that cells hold a
-few. A query walks the pairs by decreasing sum of inner products with a heap, until the cells reached hold as many
-entries as the wanted recall needs, and these are reranked by their exact inner product. How many that are is measured
-on the sample and carried on by its growth with the number of vectors: nearly in proportion for vectors without
-structure, far slower for clustered ones.
+is its pair of centroids. The centroids of a half grow with the root of the number of vectors up to a bound (beyond it cells hold
+more), so that the table of cells can go to all tasks. A query walks the pairs by decreasing sum of inner products with a heap,
+until the cells reached hold as many entries as the wanted recall needs, and these are reranked by their exact inner product.
+How many that are is measured on the whole table: a bounded number of queries is searched exactly among all vectors, and
+the entries that lie before their true neighbours are counted with the real cells. For vectors without structure that is a
+large share of the table, for clustered ones a small one.
 
-The index is cut into blocks of bounded size, and so are the queries, so that no task holds a hot cell whole.
+The index is cut into blocks of bounded size, so that no task holds a hot cell whole; the queries of a block are streamed past it.
 
 Edge cases: vectors of one dimension have an empty first half; vectors that are null, of another length than most, zero, or hold null or non-finite
-components take no part; rows of null id take no part; ties go to the smaller id; repeated ids are entries of their own;
-with fewer candidates than asked for all are given; extra columns are ignored; an empty table gives an empty
-table.
+components take no part; rows of null id take no part; ties go to the smaller id; repeated ids are entries of their own; such an
+id asks once, with the least of its vectors, and looks at so many more entries as it has rows; with fewer candidates than asked for all are given; extra columns are
+ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,30 +23,28 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, small_batches
 
 #: Vectors of the training sample at most (those with the least hash of their id), and their bytes.
 SAMPLE, SAMPLE_BYTES = 20_000, 32 << 20
-#: Centroids of a half at most; otherwise half the root of the number of vectors.
-MOST = 512
-#: Share of true neighbours that the sample's queries must find, and the number of these queries.
-RECALL, QUERIES = 0.95, 400
-#: Vectors, and queries, of a block.
-BLOCK, QUERY_BLOCK = 2048, 8192
+#: Centroids of a half at most (its square bounds the table of cells); otherwise half the root of the number of vectors.
+MOST = 1024
+#: Share of true neighbours that the measured queries must find, and the number of these queries.
+RECALL, QUERIES = 0.95, 300
+#: Vectors of a block.
+BLOCK = 2048
 
 
 @dataclass
 class MultiIndex:
-    """Centroids of both halves, and the number of entries to look at."""
+    """Centroids of both halves."""
 
     first: np.ndarray
     second: np.ndarray
-    needed: int
 
 
 def _k_means(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
@@ -97,41 +96,68 @@ def traverse(first: np.ndarray, second: np.ndarray, counts: list[list[int]], lea
     return out
 
 
-def _needed(x: np.ndarray, cells: np.ndarray, first: np.ndarray, second: np.ndarray, at: np.ndarray, k: int, recall: float) -> float:
-    """Entries to look at so that the queries (positions ``at`` of x) find that share of their true neighbours among x."""
-    half, counts, needed = first.shape[1], np.bincount(cells, minlength=len(first) * len(second)), []
-    for p in at:
-        q, s = x[p], x @ x[p]
-        s[p] = -np.inf
-        near = np.argpartition(-s, min(k, len(x) - 1))[:k]
-        order = np.argsort(-((first @ q[:half])[:, None] + (second @ q[half:])[None, :]).ravel(), kind="stable")
+def fit(rows: DataFrame, total: int, dim: int) -> MultiIndex:
+    """Centroids from the sample."""
+    size = max(200, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
+    sample = rows.withColumn("h", F.xxhash64("vec_id", F.lit(3))).orderBy("h", "vec_id").limit(size).select("v").toArrow().column(0).combine_chunks()
+    x = sample.flatten().to_numpy().reshape(-1, dim)
+    half, k_means = dim // 2, min(MOST, max(1, round(total**0.5 / 2)))
+    return MultiIndex(_k_means(x[:, :half], k_means), _k_means(x[:, half:], k_means))
+
+
+def assigned(rows: DataFrame, model: MultiIndex, dim: int) -> DataFrame:
+    """vec_id, v and cell of each vector."""
+    shared, half = rows.sparkSession.sparkContext.broadcast(model), dim // 2  # MOST pairs of half vectors at most
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array(batch.column(1).values.to_numpy()).reshape(-1, dim)
+                cells = _nearest(x[:, :half], m.first) * len(m.second) + _nearest(x[:, half:], m.second)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.int32())], names=["vec_id", "v", "cell"])
+
+    return rows.mapInArrow(assign, "vec_id long, v array<double>, cell int")
+
+
+def needed(index: DataFrame, model: MultiIndex, counts: np.ndarray, k: int, recall: float = RECALL, queries: int = QUERIES) -> int:
+    """Entries to look at so that queries find that share of their true neighbours, from an exact search of some among all vectors.
+
+    counts: entries of each cell. ``queries`` vectors (those with the least hash) go to the driver and all tasks.
+    """
+    asked = index.withColumn("h", F.xxhash64("vec_id", F.lit(7))).orderBy("h", "vec_id").limit(queries).select("vec_id", "v").collect()
+    ids, q = np.array([r[0] for r in asked]), np.array([r[1] for r in asked])
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, cells = np.full((len(q), 0), 0.0), np.full((len(q), 0), 0)
+        for batch in batches:
+            if batch.num_rows:
+                new, x = batch.column(0).to_numpy(), np.array(batch.column(1).values.to_numpy()).reshape(-1, q.shape[1])
+                s = q @ x.T
+                s[ids[:, None] == new[None, :]] = -np.inf
+                s, c = np.hstack([best, s]), np.hstack([cells, np.broadcast_to(batch.column(2).to_numpy(), (len(q), len(new)))])
+                order = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
+                best, cells = np.take_along_axis(s, order, 1), np.take_along_axis(c, order, 1)
+        at, _ = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(best[np.isfinite(best)], pa.float64()), pa.array(cells[np.isfinite(best)], pa.int32())], names=["q", "s", "cell"])
+
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "cell"))
+    near = index.mapInArrow(exact, "q int, s double, cell int").withColumn("n", place).filter(F.col("n") <= k).groupBy("q").agg(F.collect_list("cell").alias("cells")).collect()
+    half, found = model.first.shape[1], []
+    for r in near:
+        v = q[r["q"]]
+        order = np.argsort(-((model.first @ v[:half])[:, None] + (model.second @ v[half:])[None, :]).ravel(), kind="stable")
         before = np.empty(len(order))
         before[order] = np.cumsum(counts[order])
-        needed += before[cells[near]].tolist()
-    return float(np.quantile(needed, recall))
+        found += before[r["cells"]].tolist()
+    return int(np.ceil(np.quantile(found, recall))) if found else 0
 
 
-def fit(rows: DataFrame, total: int, dim: int, recall: float = RECALL, k: int = 20) -> MultiIndex:
-    """Centroids from the sample, and how many entries its queries need to find their neighbours.
+def search(vectors: DataFrame, every: int = 20, k: int = 20, least: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by ``every``.
 
-    The count is measured over the sample and over half of it; the growth between the two carries it on to all rows.
+    least: entries that a query looks at; measured if it isn't given.
     """
-    size = max(200, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
-    sample = rows.withColumn("h", F.xxhash64("vec_id", F.lit(3))).orderBy("h", "vec_id").limit(size).select("v").toArrow().column(0).combine_chunks()
-    x = sample.flatten().to_numpy().reshape(-1, dim)
-    half, k_means = dim // 2, min(MOST, max(1, round(total**0.5 / 2)))
-    first, second = _k_means(x[:, :half], k_means), _k_means(x[:, half:], k_means)
-    cells = _nearest(x[:, :half], first) * len(second) + _nearest(x[:, half:], second)
-    n, needed = len(x), [float(len(x))] * 2
-    if n > 4 * k:
-        at = np.linspace(0, n // 2 - 1, min(QUERIES, n // 2)).astype(int)
-        needed = [_needed(x[:m], cells[:m], first, second, at, k, recall) for m in (n, n // 2)]
-    power = min(1.0, max(0.0, float(np.log2(needed[0] / needed[1]))))
-    return MultiIndex(first, second, int(np.ceil(needed[0] * max(1.0, total / n) ** power)))
-
-
-def search(vectors: DataFrame, every: int = 20, k: int = 20, model: MultiIndex | None = None) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     small_batches(spark)
     dim = dimension(vectors)
@@ -140,19 +166,9 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, model: MultiIndex |
     total = rows.count() if dim else 0
     if not total:
         return spark.createDataFrame([], schema)
-    model = model or fit(rows, total, dim, k=k)
-    shared = spark.sparkContext.broadcast(model)  # MOST pairs of half vectors at most
+    model = fit(rows, total, dim)
     half, columns = dim // 2, len(model.second)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            if batch.num_rows:
-                x = np.array(batch.column(1).values.to_numpy()).reshape(-1, dim)
-                cells = _nearest(x[:, :half], m.first) * columns + _nearest(x[:, half:], m.second)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.int32())], names=["vec_id", "v", "cell"])
-
-    index = materialise(rows.mapInArrow(assign, "vec_id long, v array<double>, cell int"), "index")
+    index = materialise(assigned(rows, model, dim), "index")
     counts = np.zeros(len(model.first) * columns, np.int64)
     for r in index.groupBy("cell").count().collect():  # MOST squared rows at most
         counts[r["cell"]] = r["count"]
@@ -160,61 +176,83 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, model: MultiIndex |
     ends = np.cumsum(counts)
     low = (ends - counts) // BLOCK
     high = np.maximum(low, (ends - 1) // BLOCK)
-    least = max(k + 1, min(total, model.needed))
-    query_blocks = total // every // QUERY_BLOCK + 1
-    placed = spark.sparkContext.broadcast((counts.reshape(len(model.first), columns), low, high))
+    least = min(total, needed(index, model, counts, k) if least is None else least)
+    placed = spark.sparkContext.broadcast((model, counts.reshape(len(model.first), columns), low, high))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, (table, low, high) = shared.value, placed.value
+        m, table, low, high = placed.value
         table = table.tolist()
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32())]
         for batch in batches:
             out: list[tuple] = []
-            for q, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for q, v, own in zip(*(c.to_pylist() for c in batch.columns)):
                 x, by_block = np.array(v), {}
-                for i, j in traverse(m.first @ x[:half], m.second @ x[half:], table, least):
+                for i, j in traverse(m.first @ x[:half], m.second @ x[half:], table, max(least, k + own)):
                     cell = i * columns + j
                     for b in range(low[cell], high[cell] + 1):
                         by_block.setdefault(b, []).append(cell)
                 out += [(b, q, v, cells) for b, cells in by_block.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["block", "query_id", "v", "cells"])
+                if len(out) >= 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["block", "id", "v", "cells"])
+                    out = []
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["block", "id", "v", "cells"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, low, high = placed.value
+        _, _, low, high = placed.value
         for batch in batches:
             cells, spread = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             block = low[cells] + spread % (high[cells] - low[cells] + 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(block, pa.int64())], names=["vec_id", "v", "cell", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), *batch.columns[:3]], names=["block", "id", "v", "cell"])
 
-    queries = rows.filter(F.col("vec_id") % every == 0).mapInArrow(route, "block long, query_id long, v array<double>, cells array<int>")
-    queries = queries.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
+    queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"), F.count("*").alias("own"))
+    queries = queries.mapInArrow(route, "block long, id long, v array<double>, cells array<int>")
     # A cell's entries are dealt to its blocks in turn, whatever their ids.
-    entries = index.withColumn("spread", F.monotonically_increasing_id()).mapInArrow(deal, "vec_id long, v array<double>, cell int, block long")
-    entries = entries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-
-    def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(left) and len(right):
-            x, ids = np.stack(right["v"].to_numpy()), right["vec_id"].to_numpy()
-            own, local = np.unique(right["cell"].to_numpy(), return_inverse=True)
-            for a in range(0, len(left), 256):
-                some = left.iloc[a : a + 256]
-                q = np.stack(some["v"].to_numpy())
-                sums = q @ x.T
-                for r, (query, cells) in enumerate(zip(some["query_id"].to_numpy(), some["cells"].to_numpy())):
-                    open_ = np.isin(own, cells)
-                    at = np.flatnonzero(open_[local] & (ids != query))
-                    if len(at) > k:
-                        # Ties are within rounding: all of them stay until the sums are taken in one fixed order.
-                        edge = np.partition(sums[r, at], len(at) - k)[len(at) - k] - 1e-9 * (1 + abs(sums[r, at]).max())
-                        at = at[sums[r, at] >= edge]
-                    exact = (x[at] * q[r]).sum(axis=1)
-                    best = np.lexsort((ids[at], -exact))[:k]
-                    found.append(pd.DataFrame({"query_id": query, "vec_id": ids[at][best], "score": exact[best]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-
-    keys = ["block", "part"]
-    near = queries.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(rerank, "query_id long, vec_id long, score double")
-    # At most k entries of each block remain for a query.
-    best = near.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("b"))
-    return best.select("query_id", F.posexplode("b").alias("p", "e")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("e.vec_id").alias("vec_id"), (-F.col("e.s")).alias("score"))
+    entries = index.withColumn("spread", F.monotonically_increasing_id()).mapInArrow(deal, "block long, id long, v array<double>, cell int")
+    both = entries.select("block", F.lit(0).alias("asks"), "id", "v", F.array("cell").alias("cells")).unionByName(queries.withColumn("asks", F.lit(1)))
+    both = both.repartition("block").sortWithinPartitions("block", "asks")
+    near = both.mapInArrow(_reranked(k), "query_id long, vec_id long, score double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return near.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _reranked(k: int):
+    """A block's entries come first and are held; its queries are streamed past them, and keep k of them each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts, held = None, [], None
+        for batch in batches:
+            blocks, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(asks) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(blocks)]):
+                if a == b:
+                    continue
+                some = batch.slice(a, b - a)
+                if blocks[a] != block:
+                    block, parts, held = blocks[a], [], None
+                n = b - a
+                x = np.array(some.column(3).flatten().to_numpy()).reshape(n, -1)
+                if not asks[a]:
+                    parts.append((some.column(2).to_numpy(), x, some.column(4).flatten().to_numpy()))
+                    continue
+                if held is None:
+                    held = [np.concatenate(p) for p in zip(*parts)] if parts else None
+                if held is not None:
+                    yield from _best_of(some.column(2).to_numpy(), x, some.column(4).to_pylist(), *held, k)
+
+    return run
+
+
+def _best_of(queries: np.ndarray, q: np.ndarray, cells: list[list[int]], ids: np.ndarray, x: np.ndarray, cell: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    own, local = np.unique(cell, return_inverse=True)
+    for a in range(0, len(q), 256):
+        sums, out = q[a : a + 256] @ x.T, []
+        for r in range(len(sums)):
+            at = np.flatnonzero(np.isin(own, cells[a + r])[local] & (ids != queries[a + r]))
+            if len(at) > k:
+                # Ties are within rounding: all of them stay until the sums are taken in one fixed order.
+                edge = np.partition(sums[r, at], len(at) - k)[len(at) - k] - 1e-9 * (1 + abs(sums[r, at]).max())
+                at = at[sums[r, at] >= edge]
+            exact = (x[at] * q[a + r]).sum(axis=1)
+            best = np.lexsort((ids[at], -exact))[:k]
+            out.append((np.full(len(best), queries[a + r]), ids[at][best], exact[best]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "vec_id", "score"])
