@@ -35,8 +35,8 @@ SAMPLE, SAMPLE_BYTES = 20_000, 32 << 20
 MOST = 1024
 #: Share of true neighbours that the measured queries must find, and the number of these queries.
 RECALL, QUERIES = 0.95, 300
-#: Vectors of a block.
-BLOCK = 2048
+#: Vectors of a block, and rows of results that a task holds.
+BLOCK, HELD = 2048, 2_000_000
 
 
 @dataclass
@@ -205,7 +205,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, least: int | None =
             yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), *batch.columns[:3]], names=["block", "id", "v", "cell"])
 
     queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"), F.count("*").alias("own"))
-    queries = queries.mapInArrow(route, "block long, id long, v array<double>, cells array<int>")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # with a number, small vectors don't end in one task
+    queries = queries.repartition(parts, "vec_id").mapInArrow(route, "block long, id long, v array<double>, cells array<int>")
     # A cell's entries are dealt to its blocks in turn, whatever their ids.
     entries = index.withColumn("spread", F.monotonically_increasing_id()).mapInArrow(deal, "block long, id long, v array<double>, cell int")
     both = entries.select("block", F.lit(0).alias("asks"), "id", "v", F.array("cell").alias("cells")).unionByName(queries.withColumn("asks", F.lit(1)))
@@ -215,11 +216,29 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, least: int | None =
     return near.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _first(rows: list[tuple], k: int) -> list[np.ndarray]:
+    """The k best of each query among (query, vec_id, score) arrays."""
+    q, i, s = (np.concatenate(c) for c in zip(*rows))
+    order = np.lexsort((i, -s, q))
+    q, i, s = q[order], i[order], s[order]
+    begin = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+    place = np.arange(len(q)) - np.repeat(begin, np.diff(np.append(begin, len(q))))
+    return [c[place < k] for c in (q, i, s)]
+
+
 def _reranked(k: int):
-    """A block's entries come first and are held; its queries are streamed past them, and keep k of them each."""
+    """A block's entries come first and are held; its queries are streamed past them, and keep k of them each.
+
+    What a query keeps of the task's blocks is brought down to k, as long as that fits in ``HELD`` rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, parts, held = None, [], None
+        block, parts, held, out, size = None, [], None, [], 0
+
+        def given(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(rows[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000]) for c in rows], names=["query_id", "vec_id", "score"])
+
         for batch in batches:
             blocks, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             cuts = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(asks) != 0)) + 1
@@ -229,20 +248,28 @@ def _reranked(k: int):
                 some = batch.slice(a, b - a)
                 if blocks[a] != block:
                     block, parts, held = blocks[a], [], None
-                n = b - a
-                x = np.array(some.column(3).flatten().to_numpy()).reshape(n, -1)
+                x = np.array(some.column(3).flatten().to_numpy()).reshape(b - a, -1)
                 if not asks[a]:
                     parts.append((some.column(2).to_numpy(), x, some.column(4).flatten().to_numpy()))
                     continue
-                if held is None:
-                    held = [np.concatenate(p) for p in zip(*parts)] if parts else None
-                if held is not None:
-                    yield from _best_of(some.column(2).to_numpy(), x, some.column(4).to_pylist(), *held, k)
+                if held is None and parts:
+                    held = [np.concatenate(p) for p in zip(*parts)]
+                if held:
+                    found = list(_best_of(some.column(2).to_numpy(), x, some.column(4).to_pylist(), *held, k))
+                    out, size = out + found, size + sum(len(f[0]) for f in found)
+                if size > HELD:
+                    out = [_first(out, k)]
+                    size = len(out[0][0])
+                    if size > HELD // 2:
+                        yield from given(out[0])
+                        out, size = [], 0
+        if out:
+            yield from given(_first(out, k))
 
     return run
 
 
-def _best_of(queries: np.ndarray, q: np.ndarray, cells: list[list[int]], ids: np.ndarray, x: np.ndarray, cell: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+def _best_of(queries: np.ndarray, q: np.ndarray, cells: list[list[int]], ids: np.ndarray, x: np.ndarray, cell: np.ndarray, k: int) -> Iterator[tuple]:
     own, local = np.unique(cell, return_inverse=True)
     for a in range(0, len(q), 256):
         sums, out = q[a : a + 256] @ x.T, []
@@ -255,4 +282,4 @@ def _best_of(queries: np.ndarray, q: np.ndarray, cells: list[list[int]], ids: np
             exact = (x[at] * q[a + r]).sum(axis=1)
             best = np.lexsort((ids[at], -exact))[:k]
             out.append((np.full(len(best), queries[a + r]), ids[at][best], exact[best]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "vec_id", "score"])
+        yield tuple(np.concatenate(c) for c in zip(*out))
