@@ -3,16 +3,20 @@
 A page becomes a stream of tags and text slots in which adjacent equal groups are folded to one repeated group.
 Streams of the same host are aligned one by one: text against text is a slot, a group against one or more of
 its occurrences is a repeated group, and what only one side has becomes an optional group. The result is the host's
-wrapper, a regular expression without unions. Blocks of text are told apart by the path of their element:
-one that stands there on all pages of the host that have the path is the template's, all others are text. Each
-page's text is all blocks but the template's, leaving out navigation, adverts, forms and the like. The region, the
-deepest element that holds most of a host's text, is given beside the wrapper and cuts nothing.
+wrapper, a regular expression without unions.
+
+Each page is then matched against its host's wrapper: its folded stream is aligned with the wrapper's tokens, and a block of
+text belongs to the slot that its first text falls into. What a page says in a slot, over all repetitions of the slot's group, is
+one content. A slot outside of articles whose content is the same on all pages that have it is the template's; so is,
+beside an article, a slot of a repeated group of records (two or more slots each, as comments and teasers are). All other blocks are
+text, but for those in elements that name themselves as navigation, adverts, forms, comments and the like. Names only decide
+where the element doesn't hold most of the page's text.
 
 Edge cases: null and empty html give an empty text; an element that holds most of a page's text outside links, or of
-the text of its articles where it has any, is no boilerplate; pages of a null or unreadable url share one host; a host with one
-page has that page as its wrapper and no template's blocks; a page that would lose more than half of its text as the
-template's keeps all of it (near copies have most blocks in common); repeated rows give equal texts; extra columns are kept, and those named like a result are replaced;
-an empty table gives an empty table.
+the text of its articles where it has any, is no boilerplate; pages of a null or unreadable url share one host; a slot is constant by
+three rows and two different pages at least, so a host with one page, or with copies of it only, has no template; what the
+template says within article or main elements stays; repeated rows give equal texts; extra columns are kept, and those named
+like a result are replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,8 +36,8 @@ from pyspark.sql import types as T
 
 from .common import materialise, small_batches, without
 
-#: Tokens in a repeated group at most; longer repeats stay as they are.
-GROUP = 40
+#: Earlier occurrences of an item, the nearest first, that are tried as the end of a group that repeats.
+TRIED = 256
 #: Streams of a host merged in one group; more are merged in rounds.
 FAN = 32
 #: Cells of an alignment's table at most; beyond, the streams are halved first.
@@ -44,9 +48,8 @@ BUCKETS = 16
 BROADCAST_BYTES = 16 << 20
 #: Share of a wrapper's text that the main region holds at least.
 SHARE = 0.8
-#: Rows and different pages that have a template's block at least, and the share of a host's rows that have its path (so
-#: a host's blocks are no more than those of a few pages).
-LEAST_ROWS, LEAST_SHARE = 3, 0.1
+#: Rows that have a template's slot at least (of two different pages).
+LEAST_ROWS = 3
 
 # Elements by kind, and names that mark boilerplate.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object"}
@@ -59,6 +62,10 @@ FRAME = {"html", "body", "div", "main", "article", "section", "center", "table",
 _THING = r"(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banners?|cookies?|consent|gdpr|popups?|modal|overlay|sidebars?|side-?nav|menus?|nav|navbar|navigation|breadcrumbs?|comments?|disqus|respond|replies|share|sharing|social|related|recommend(?:ed|ations)?|newsletter|subscribe|signup|login|search|footer|header|masthead|topbar|toolbar|widgets?|pagination|pager|tags|disclaimer|copyright|skip-link)"
 #: A whole class or id; two-word names only of known pairs, as others name layouts, sections and titles.
 MARKS = re.compile(rf"{_THING}|notice|notification|alert|(?:site|page|main|global|top|left|right|primary|secondary)[_-](?:nav|navbar|navigation|menu|header|footer|sidebar)|ads?[_-](?:slot|unit|box|banner|container|wrapper)|(?:cookie|consent|gdpr)s?[_-](?:banner|notice|bar|popup|consent|overlay)|(?:share|sharing|social)[_-](?:buttons|links|bar|icons|media)|comments?[_-](?:list|section|form|area)|(?:related|recommended)[_-](?:posts|articles|links|stories)|(?:newsletter|subscribe|signup|login|search)[_-](?:form|box|bar|signup|popup)|(?:nav|navigation)[_-](?:bar|menu|links)", re.I)
+#: Words of a class or id that mark it wherever they stand, unless a word before them says that it has none or is around them.
+_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "comment", "comments", "commenter", "notice", "notices", "cookie", "cookies", "consent", "newsletter", "disqus", "breadcrumb", "breadcrumbs", "sidebar"}
+_AROUND = {"no", "of", "has", "have", "with", "without", "is", "not", "hide", "show", "after", "before", "layout", "page", "wrap", "wrapper", "container", "content", "main", "body-with", "count"}
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 #: Most tags: values in double quotes without angle brackets; others are read step by step.
@@ -68,6 +75,14 @@ _QUOTE = re.compile(r"\s*([\"'])")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
+def marked(label: str) -> bool:
+    """Whether a class or id names boilerplate: as a whole, or by one of its words."""
+    if MARKS.fullmatch(label):
+        return True
+    words = [w.lower() for w in _WORD.findall(label)]
+    return len(words) > 1 and not _WORDS.isdisjoint(words) and _AROUND.isdisjoint(words)
+
+
 def events(page: str) -> list[tuple[str, str, str, bool]]:
     """Those of _events, where no element that holds most of the page's text, or of that of its articles, is dropped."""
     found = list(_events(page))
@@ -164,7 +179,7 @@ def _events(page: str) -> Iterator[tuple[str, str, str, bool]]:
             continue
         own = {a[0].lower(): next((v for v in a[1:] if v), "") for a in _ATTRIBUTE.findall(own_text)} if "=" in own_text or "hidden" in own_text else {}
         label = f"{own.get('class', '')} {own.get('id', '')}".split()
-        dropped = name in DROPPED or own.get("role", "").lower() in ROLES or "hidden" in own or own.get("aria-hidden") == "true" or (name not in ("html", "body", "main", "article") and any(map(MARKS.fullmatch, label)))
+        dropped = name in DROPPED or own.get("role", "").lower() in ROLES or "hidden" in own or own.get("aria-hidden") == "true" or (name not in ("html", "body", "main", "article") and any(map(marked, label)))
         yield "open", name, own.get("class", "").strip().lower(), dropped
         if name in RAW and not own_text.endswith("/"):
             closing = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(page, at)
@@ -208,15 +223,16 @@ class Walk:
         return bool(self.dropped and self.dropped[-1])
 
 
-def shape(found: list[tuple[str, str, str, bool]]) -> tuple[str, dict[str, int]]:
-    """The folded stream of a page's events as text, and the characters of text outside boilerplate and links by path."""
-    walk, items, mass = Walk(), [], {}
-    for kind, name, value, dropped in found:
+def stream(found: list[tuple[str, str, str, bool]]) -> tuple[list[str], dict[int, int], dict[str, int]]:
+    """The tags and slots (#) of a page's events, the slot of each event of text, and the characters of text outside boilerplate and links by path."""
+    walk, items, slots, mass = Walk(), [], {}, {}
+    for e, (kind, name, value, dropped) in enumerate(found):
         if kind == "text":
             if not value.strip():
                 continue
             if not items or items[-1] != "#":
                 items.append("#")
+            slots[e] = len(items) - 1
             if not walk.out and not walk.links:
                 key = "/".join(walk.path)
                 mass[key] = mass.get(key, 0) + len(value)
@@ -226,33 +242,104 @@ def shape(found: list[tuple[str, str, str, bool]]) -> tuple[str, dict[str, int]]
         else:
             walk.close(name)
             items.append(f"</{name}>")
-    return json.dumps(fold(items), separators=(",", ":")), mass
+    return items, slots, mass
+
 
+def fold(items: list) -> tuple[list, list]:
+    """Adjacent equal groups become one repeated group ["+", ...]; inner groups are folded first.
 
-def fold(items: list) -> list:
-    """Adjacent equal groups become one repeated group ["+", ...]; inner groups are folded first."""
+    Beside the folded items stands which items each one is made of: numbers for an item, a list of such for a group.
+    """
     out: list = []
-    for x in items:
+    made: list = []
+    at: dict[str, list[int]] = {}  # where an item stands in out
+
+    def push(x: str | list, of: list) -> None:
+        at.setdefault(_code(x), []).append(len(out))
         out.append(x)
+        made.append(of)
+
+    def pop(k: int) -> tuple[list, list]:
+        gone = out[-k:], made[-k:]
+        for x in reversed(gone[0]):
+            at[_code(x)].pop()
+        del out[-k:], made[-k:]
+        return gone
+
+    def join(a: list, b: list) -> list:
+        return [*a, *b] if a and isinstance(a[0], int) else [join(x, y) for x, y in zip(a, b)]
+
+    groups: list[int] = []  # where groups stand
+    for n, x in enumerate(items):
+        push(x, [n])
         again = True
         while again:
-            again = False
-            for k in range(1, min(GROUP, len(out)) + 1):
-                if len(out) > k and isinstance(out[-k - 1], list) and out[-k - 1][0] == "+" and out[-k - 1][1:] == out[-k:]:
-                    del out[-k:]
+            again, last = False, len(out) - 1
+            while groups and (groups[-1] > last or not isinstance(out[groups[-1]], list)):
+                groups.pop()
+            ends = [last - p for p in at[_code(out[-1])][-2 : -TRIED - 2 : -1]]
+            whole = [last - g for g in reversed(groups[-TRIED:]) if g < last and len(out[g]) - 1 == last - g]
+            for k in sorted({*ends, *whole}):
+                if len(out) > k and isinstance(out[-k - 1], list) and out[-k - 1][1:] == out[-k:]:
+                    _, own = pop(k)
+                    made[-1] = [join(a, b) for a, b in zip(made[-1], own)]
                     again = True
                     break
-                if len(out) >= 2 * k and out[-1] == out[-k - 1] and out[-k:] == out[-2 * k : -k] and out[-k:] != ["#"]:
-                    body = out[-k:]
-                    if k == 1 and isinstance(body[0], list) and body[0][0] == "+":
-                        del out[-1:]
+                if len(out) >= 2 * k and out[-k:] == out[-2 * k : -k] and out[-k:] != ["#"]:
+                    body, own = pop(k)
+                    if k == 1 and isinstance(body[0], list):
+                        made[-1] = join(made[-1], own[0])
                     else:
-                        out[-2 * k :] = [["+", *body]]
+                        _, before = pop(k)
+                        groups = [g for g in groups if g < len(out)]
+                        push(["+", *body], [join(a, b) for a, b in zip(before, own)])
+                        groups.append(len(out) - 1)
                     again = True
                     break
+    return out, made
+
+
+def shape(items: list[str]) -> str:
+    return json.dumps(fold(items)[0], separators=(",", ":"))
+
+
+def flat(folded: list, record: bool = False) -> list[tuple[str, bool]]:
+    """The items of a folded stream or wrapper in order, and whether each is in a repeated group of two slots or more."""
+    out: list[tuple[str, bool]] = []
+    for x in folded:
+        if isinstance(x, str):
+            out.append((x, record))
+        else:
+            inner = flat(x[1:])
+            many = x[0] == "+" and sum(y == "#" for y, _ in inner) > 1
+            out += [(y, r or many or record) for y, r in inner]
     return out
 
 
+def _leaves(made: list) -> list[list[int]]:
+    return [y for x in made for y in ([x] if x and isinstance(x[0], int) else _leaves(x))]
+
+
+class Wrapper:
+    """A host's wrapper, ready to be matched against pages."""
+
+    def __init__(self, folded: list) -> None:
+        both = flat(folded)
+        self.items, self.records = [x for x, _ in both], [r for _, r in both]
+        self.known: dict[str, list[int]] = {}
+
+    def match(self, items: list[str]) -> dict[int, int]:
+        """The wrapper's slot of each slot of a page's stream. Streams of one shape are aligned once."""
+        folded, made = fold(items)
+        key = json.dumps(folded, separators=(",", ":"))
+        if key not in self.known:
+            own = [x for x, _ in flat(folded)]
+            self.known[key] = [-1] * len(own)
+            for i, j in common_items(own, self.items):
+                self.known[key][i] = j
+        return {n: slot for slot, numbers in zip(self.known[key], _leaves(made)) for n in numbers}
+
+
 def _code(x: str | list) -> str:
     return x if isinstance(x, str) else json.dumps(x)
 
@@ -364,25 +451,28 @@ def _key(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-def blocks(found: list[tuple[str, str, str, bool]]) -> Iterator[tuple[str, str]]:
-    """(path, text) of each block outside boilerplate, from a page's events."""
-    walk, path, now = Walk(), "", []
+def blocks(found: list[tuple[str, str, str, bool]]) -> Iterator[tuple[int, bool, str]]:
+    """(first event of text, whether in an article, text) of each block outside boilerplate, from a page's events."""
+    walk, first, story, now = Walk(), -1, False, []
 
-    def done() -> Iterator[tuple[str, str]]:
+    def done() -> Iterator[tuple[int, bool, str]]:
         clean = " ".join(characters.unescape("".join(now)).split())
         now.clear()
         if clean:
-            yield path, clean
+            yield first, story, clean
 
-    for kind, name, value, dropped in found:
+    for e, (kind, name, value, dropped) in enumerate(found):
         if kind == "text":
             if not walk.out:
-                if not now:
-                    path = "/".join(walk.path)
+                if not now or first < 0:
+                    first, story = -1, not STORY.isdisjoint(walk.names)
+                if first < 0 and value.strip():
+                    first = e
                 now.append(value)
             continue
         if name not in INLINE and now:
             yield from done()
+            first = -1
         if kind == "open":
             walk.open(name, value, dropped)
         else:
@@ -390,15 +480,23 @@ def blocks(found: list[tuple[str, str, str, bool]]) -> Iterator[tuple[str, str]]
     yield from done()
 
 
-def main_text(page: str | None, template: list[int] | None) -> str:
-    """The page's blocks but the template's (all, if those are more than half of its text), joined by a space."""
-    found = list(blocks(events(page or "")))
-    if template:
-        known = set(template)
-        own = [(p, b) for p, b in found if _key(f"{p}\0{b}") not in known]
-        if 2 * sum(len(b) for _, b in own) >= sum(len(b) for _, b in found):
-            found = own
-    return " ".join(b for _, b in found)
+def placed(page: str, wrapper: Wrapper | None) -> list[tuple[int, bool, bool, str]]:
+    """(slot of the wrapper or -1, in an article, in a group of records, text) of a page's blocks outside boilerplate."""
+    found = events(page)
+    items, slots, _ = stream(found)
+    at = wrapper.match(items) if wrapper else {}
+    out = []
+    for e, story, text in blocks(found):
+        slot = at.get(slots.get(e, -1), -1)
+        out.append((slot, story, slot >= 0 and wrapper.records[slot], text))
+    return out
+
+
+def main_text(page: str, wrapper: Wrapper | None = None, template: frozenset[int] = frozenset()) -> str:
+    """One page's text, given its host's wrapper and the slots that are the template's."""
+    found = placed(page, wrapper)
+    beside = any(story for _, story, _, _ in found)
+    return " ".join(text for slot, story, record, text in found if story or not (slot in template or record and beside))
 
 
 def host(url: Column) -> Column:
@@ -406,30 +504,21 @@ def host(url: Column) -> Column:
 
 
 def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, wrapper (a regular expression), region, template (keys of the template's blocks)."""
+    """host, wrapper (folded, as JSON), expression (the wrapper as a regular expression), region (the deepest element that holds most of a host's text)."""
     small_batches(pages.sparkSession)
     rows = pages.select(host(F.col(f"`{url}`").cast("string")).alias("host"), F.col(f"`{html}`").cast("string").alias("html"))
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple[str, str, str, int | None], list[int]] = {}  # n, least and greatest key of the pages
+            sums: Counter = Counter()
             for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens = events(page or "")
-                s, mass = shape(tokens)
-                own, key = set(blocks(tokens)), _key(page or "")
-                there = [("shape", s, None, 1), ("rows", "", None, 1), *(("mass", p, None, n) for p, n in mass.items())]
-                there += [("path", str(_key(p)), None, 1) for p in {p for p, _ in own}] + [("block", str(_key(p)), _key(f"{p}\0{b}"), 1) for p, b in own]
-                for kind, value, block, n in there:
-                    now = sums.setdefault((h, kind, value, block), [0, key, key])
-                    now[:] = now[0] + n, min(now[1], key), max(now[2], key)
-            keys, values = list(sums), list(sums.values())
-            yield pa.RecordBatch.from_arrays([*[pa.array([k[j] for k in keys], pa.string()) for j in range(3)], pa.array([k[3] for k in keys], pa.int64()), *[pa.array([v[j] for v in values], pa.int64()) for j in range(3)]], names=["host", "kind", "value", "block", "n", "lo", "hi"])
-
-    found = rows.mapInArrow(shapes, "host string, kind string, value string, block long, n long, lo long, hi long").groupBy("host", "kind", "value", "block").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    found = materialise(found.filter(f"kind not in ('block', 'path') or (lo <> hi and n >= {LEAST_ROWS})"), "shapes")
-    of_host = found.filter("kind = 'rows'").select("host", F.col("n").alias("rows"))
-    paths = found.filter("kind = 'path'").join(of_host, "host").filter(F.col("n") >= LEAST_SHARE * F.col("rows")).select("host", "value", "n")
-    template = found.filter("kind = 'block'").join(paths, ["host", "value", "n"]).groupBy("host").agg(F.collect_list("block").alias("template"))
+                items, _, mass = stream(events(page or ""))
+                sums[h, "shape", shape(items)] += 1
+                for p, n in mass.items():
+                    sums[h, "mass", p] += n
+            yield pa.RecordBatch.from_arrays([*[pa.array([k[j] for k in sums], pa.string()) for j in range(3)], pa.array(list(sums.values()), pa.int64())], names=["host", "kind", "value", "n"])
+
+    found = materialise(rows.mapInArrow(shapes, "host string, kind string, value string, n long").groupBy("host", "kind", "value").agg(F.sum("n").alias("n")), "shapes")
 
     # Paths up to each element above hold its text; the deepest with most of the host's text is the region.
     mass = found.filter("kind = 'mass'").select("host", "n", F.split("value", "/").alias("steps"))
@@ -439,10 +528,11 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> Da
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([expression(json.loads(w)) for w in batch.column(1).to_pylist()], pa.string())], names=["host", "wrapper"])
+            texts = [expression(json.loads(w)) for w in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["host", "wrapper", "expression"])
 
-    wrappers = merge(found.filter("kind = 'shape'").select("host", F.col("value").alias("wrapper"))).mapInArrow(written, "host string, wrapper string")
-    return wrappers.join(regions, "host", "left").select("host", "wrapper", F.coalesce("region", F.lit("")).alias("region")).join(template, "host", "left")
+    wrappers = merge(found.filter("kind = 'shape'").select("host", F.col("value").alias("wrapper"))).mapInArrow(written, "host string, wrapper string, expression string")
+    return wrappers.join(regions, "host", "left").select("host", "wrapper", "expression", F.coalesce("region", F.lit("")).alias("region"))
 
 
 def merge(streams: DataFrame) -> DataFrame:
@@ -467,25 +557,60 @@ def merge(streams: DataFrame) -> DataFrame:
             return streams
 
 
-def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Add text (main text) and n_chars (its code points)."""
-    wrappers = materialise(infer_wrappers(pages, url, html), "wrappers").select(F.col("host").alias("__host"), F.col("template").alias("__template"))
-    size = wrappers.agg(F.sum(F.length("__host") + 8 * F.coalesce(F.size("__template"), F.lit(0)) + 64)).first()[0] or 0
-    rows = pages.withColumn("__html", F.col(f"`{html}`").cast("string")).withColumn("__host", host(F.col(f"`{url}`").cast("string")))
+BLOCKS = "array<struct<slot:int,story:boolean,record:boolean,text:string>>"
+
+
+def matched(pages: DataFrame, wrappers: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """The pages' columns but text and n_chars, with __host and __blocks: blocks outside boilerplate with the slots they fall into."""
+    small_batches(pages.sparkSession)
+    rows = without(pages.withColumn("__html", F.col(f"`{html}`").cast("string")).withColumn("__host", host(F.col(f"`{url}`").cast("string"))), "text", "n_chars")
+    size = wrappers.agg(F.sum(F.octet_length("host") + F.octet_length("wrapper"))).first()[0] or 0
+    shared = None
     if size <= BROADCAST_BYTES:
-        rows = rows.join(F.broadcast(wrappers), "__host", "left")
+        shared = pages.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in wrappers.select("host", "wrapper").collect()})
     else:  # hot hosts are dealt to buckets
-        wrappers = wrappers.withColumn("__bucket", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))))
-        rows = rows.withColumn("__bucket", F.pmod(F.xxhash64("__html"), F.lit(BUCKETS)).cast("int")).join(wrappers, ["__host", "__bucket"], "left").drop("__bucket")
-    rows = without(rows.drop("__host"), "text", "n_chars")
-    schema = T.StructType([*[f for f in rows.schema.fields if not f.name.startswith("__")], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+        dealt = wrappers.select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper"), F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))).alias("__bucket"))
+        rows = rows.withColumn("__bucket", F.pmod(F.xxhash64("__html"), F.lit(BUCKETS)).cast("int")).join(dealt, ["__host", "__bucket"], "left").drop("__bucket")
+    kept = [f for f in rows.schema.fields if f.name not in ("__html", "__wrapper")]
+    schema = T.StructType([*kept, T.StructField("__key", T.LongType()), T.StructField("__blocks", T._parse_datatype_string(BLOCKS))])
+    block = pa.list_(pa.struct([("slot", pa.int32()), ("story", pa.bool_()), ("record", pa.bool_()), ("text", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: dict[str, tuple[str, Wrapper]] = {}
         for batch in batches:
-            names = batch.schema.names
-            kept = [k for k, n in enumerate(names) if not n.startswith("__")]
-            texts = [main_text(p, r) for p, r in zip(batch.column(names.index("__html")).to_pylist(), batch.column(names.index("__template")).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*[names[k] for k in kept], "text", "n_chars"])
+            names, out, keys = batch.schema.names, [], []
+            hosts, htmls = (batch.column(names.index(c)).to_pylist() for c in ("__host", "__html"))
+            given = [shared.value.get(h) for h in hosts] if shared else batch.column(names.index("__wrapper")).to_pylist()
+            for h, page, text in zip(hosts, htmls, given):
+                if text is not None and (h not in ready or len(ready[h][1].known) > 10_000):
+                    if len(ready) > 1000:
+                        ready.clear()
+                    ready[h] = (text, Wrapper(json.loads(text)))
+                found = placed(page or "", ready[h][1] if text is not None else None)
+                out.append([{"slot": s, "story": a, "record": r, "text": t} for s, a, r, t in found])
+                keys.append(_key(page or ""))
+            own = [batch.column(names.index(f.name)) for f in kept]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(keys, pa.int64()), pa.array(out, block)], names=[*[f.name for f in kept], "__key", "__blocks"])
 
     return rows.mapInArrow(run, schema)
 
+
+def templates(found: DataFrame) -> DataFrame:
+    """__host, __template: the slots outside of articles whose content is the same on all pages that have them."""
+    # A page's content of a slot: its texts there in order, as one hash; rows of one page have one key.
+    said = found.select("__host", "__key", F.expr("transform(array_distinct(transform(filter(__blocks, b -> b.slot >= 0 and not b.story), b -> b.slot)), s -> struct(s as slot, xxhash64(transform(filter(__blocks, b -> b.slot = s and not b.story), b -> b.text)) as content))").alias("s"))
+    said = said.select("__host", "__key", F.explode("s").alias("s")).select("__host", "__key", "s.*")
+    same = said.groupBy("__host", "slot").agg(F.count("*").alias("n"), F.min("content").alias("a"), F.max("content").alias("b"), F.min("__key").alias("x"), F.max("__key").alias("y"))
+    return same.filter((F.col("n") >= LEAST_ROWS) & (F.col("a") == F.col("b")) & (F.col("x") != F.col("y"))).groupBy("__host").agg(F.collect_list("slot").alias("__template"))
+
+
+def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """Add text (main text) and n_chars (its code points)."""
+    wrappers = materialise(infer_wrappers(pages, url, html), "wrappers")
+    found = materialise(matched(pages, wrappers, url, html), "blocks")
+    template = materialise(templates(found), "templates")
+    rows = found.join(template, "__host", "left").drop("__host", "__key")
+    beside = "exists(__blocks, b -> b.story)"
+    kept = F.expr(f"filter(__blocks, b -> b.story or not (coalesce(array_contains(__template, b.slot), false) or (b.record and {beside})))")
+    rows = rows.withColumn("text", F.array_join(F.transform(kept, lambda b: b["text"]), " ")).drop("__blocks", "__template")
+    return rows.withColumn("n_chars", F.char_length("text").cast("long"))

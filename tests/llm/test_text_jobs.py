@@ -117,7 +117,7 @@ def test_main_text(spark):
         assert found[k] == (want, len(want))
     assert found[90] == ("", 0) and found[91] == ("", 0) and found[92][0] == "only <b> &am two" and found[93][0] == "kept text"
     w = {r["host"]: r for r in html.infer_wrappers(rows).collect()}["h.example"]
-    assert w["region"].endswith("div.post") and ")+" in w["wrapper"] and ")?" in w["wrapper"]
+    assert w["region"].endswith("div.post") and ")+" in w["expression"] and ")?" in w["expression"]
 
 
 def test_text_beside_the_region_stays_and_constant_blocks_go(spark):
@@ -162,11 +162,61 @@ def test_pages_by_a_shuffle_give_the_same(spark, monkeypatch):
 
 def test_folding_and_alignment():
     li = ["<li>", "#", "</li>"]
-    assert html.fold(["<ul>", *li * 3, "</ul>"]) == ["<ul>", ["+", *li], "</ul>"]
-    w = html.align(html.fold(["<ul>", *li * 3, "</ul>", "<hr>"]), html.fold(["<ul>", *li, "</ul>"]))
+    folded, made = html.fold(["<ul>", *li * 3, "</ul>"])
+    assert folded == ["<ul>", ["+", *li], "</ul>"] and made == [[0], [[1, 4, 7], [2, 5, 8], [3, 6, 9]], [10]]
+    w = html.align(html.fold(["<ul>", *li * 3, "</ul>", "<hr>"])[0], html.fold(["<ul>", *li, "</ul>"])[0])
     assert w == ["<ul>", ["+", *li], "</ul>", ["?", "<hr>"]] and html.expression(w) == "<ul>(<li>#</li>)+</ul>(<hr>)?"
 
 
+def test_folding_undone_gives_the_stream():
+    """Whatever the stream: the folded one with its groups repeated covers each item once, and long groups fold too."""
+    r = random.Random(12)
+    for _ in range(400):
+        unit = [r.choice("abc#") for _ in range(r.randrange(1, 5))]
+        items = [x for _ in range(r.randrange(1, 6)) for x in (unit * r.randrange(1, 4) + [r.choice("abc#")] * r.randrange(2))]
+        folded, made = html.fold(items)
+        leaves = html._leaves(made)
+        assert sorted(n for x in leaves for n in x) == list(range(len(items)))
+        assert all(items[n] == x for (x, _), own in zip(html.flat(folded), leaves, strict=True) for n in own)
+    long = [f"<t{k}>" for k in range(45)] + ["#"]
+    assert html.fold(long * 3)[0] == [["+", *long]]
+
+
+def site(seed):
+    """A site's pages and their main texts: a story between what the site says everywhere, comments and adverts under names that tell nothing."""
+    r = random.Random(seed)
+    say = lambda n: " ".join(f"w{r.randrange(9999)}" for _ in range(n))
+    name = lambda: f"x{r.randrange(10**6)}"
+    box, note, who, what, promo = (name() for _ in range(5))
+    notice, motto, tag, shared = say(12), say(4), r.choice(["article", "main"]), say(9)
+    pages = []
+    for k in range(9):
+        ps = [say(r.randrange(20, 60)) for _ in range(r.randrange(2, 6))]
+        ps.insert(r.randrange(len(ps)), shared)  # a paragraph that all stories have
+        title = say(5)
+        story = f"<{tag}><h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in ps) + f"</{tag}>"
+        comments = "".join(f"<div class={who}><b>{say(1)}</b><div class={what}>{say(6)}</div></div>" for _ in range(r.randrange(2, 5)))
+        advert = f"<div class='top-advert {promo}'>{say(7)}</div>" * r.randrange(2)
+        pages.append((f"<html><body><div class={note}>{notice}</div><header>{motto}</header>{advert}{story}<section class={box}>{comments}</section><div class=user-comment>{say(3)}</div><p class={name()}></p><footer>{motto}</footer></body></html>", " ".join([title, *ps])))
+    return pages
+
+
+def test_sites_whose_names_tell_nothing(spark):
+    rows = {f"https://s{s}.example/{k}": x for s in range(6) for k, x in enumerate(site(s))}
+    alone = "<div class=q><p>Only page</p><p>of its host.</p></div><div class=reader-comments>gone</div>"
+    df = spark.createDataFrame([*((n, u, h) for n, (u, (h, _)) in enumerate(rows.items())), (999, "https://one.example", alone)], "page_id long, url string, html string").repartition(4)
+    found = {x["url"]: x["text"] for x in html.extract(df).collect()}
+    assert found.pop("https://one.example") == "Only page of its host."
+    assert found == {u: want for u, (_, want) in rows.items()}
+
+
+def test_words_of_names():
+    for label in ("comment-body", "user-comment", "reader-comments", "notice-box", "site-notice", "advert-top", "userComment", "post_ad"):
+        assert html.marked(label), label
+    for label in ("no-comments", "layout-sidebar", "has-ads", "with-notice", "notice-of-appeal", "article-body", "header-image", "adapter", "shadow-box", "comments-wrapper"):
+        assert not html.marked(label), label
+
+
 def test_long_streams_align_in_linear_memory():
     import tracemalloc
 
@@ -191,7 +241,7 @@ def test_wrappers_merge_in_rounds(spark, monkeypatch):
     rows = spark.createDataFrame([(k, f"https://h{k % 13 // 12}.example/{k}", f"<div><p>a<div class=c{k}>b</div>") for k in range(26)], "page_id long, url string, html string")
     found = {x["host"]: x for x in html.infer_wrappers(rows).collect()}
     assert set(found) == {"h0.example", "h1.example"} and found["h0.example"]["region"].startswith("div")
-    assert all(f"<div.c{k}>" in found[f"h{k % 13 // 12}.example"]["wrapper"] for k in range(26))
+    assert all(f"<div.c{k}>" in found[f"h{k % 13 // 12}.example"]["expression"] for k in range(26))
 
 
 def test_escapes_are_reversible():
