@@ -560,8 +560,8 @@ def merge(streams: DataFrame) -> DataFrame:
 BLOCKS = "array<struct<slot:int,story:boolean,record:boolean,text:string>>"
 
 
-def matched(pages: DataFrame, wrappers: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """The pages' columns but text and n_chars, with __host and __blocks: blocks outside boilerplate with the slots they fall into."""
+def matched(pages: DataFrame, wrappers: DataFrame, url: str = "url", html: str = "html", keep: list[str] | None = None) -> DataFrame:
+    """The pages' columns (those of keep) but text and n_chars, with __host and __blocks: blocks outside boilerplate with the slots they fall into."""
     small_batches(pages.sparkSession)
     rows = without(pages.withColumn("__html", F.col(f"`{html}`").cast("string")).withColumn("__host", host(F.col(f"`{url}`").cast("string"))), "text", "n_chars")
     size = wrappers.agg(F.sum(F.octet_length("host") + F.octet_length("wrapper"))).first()[0] or 0
@@ -571,7 +571,7 @@ def matched(pages: DataFrame, wrappers: DataFrame, url: str = "url", html: str =
     else:  # hot hosts are dealt to buckets
         dealt = wrappers.select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper"), F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))).alias("__bucket"))
         rows = rows.withColumn("__bucket", F.pmod(F.xxhash64("__html"), F.lit(BUCKETS)).cast("int")).join(dealt, ["__host", "__bucket"], "left").drop("__bucket")
-    kept = [f for f in rows.schema.fields if f.name not in ("__html", "__wrapper")]
+    kept = [f for f in rows.schema.fields if f.name == "__host" or f.name not in ("__html", "__wrapper") and (keep is None or f.name in keep)]
     schema = T.StructType([*kept, T.StructField("__key", T.LongType()), T.StructField("__blocks", T._parse_datatype_string(BLOCKS))])
     block = pa.list_(pa.struct([("slot", pa.int32()), ("story", pa.bool_()), ("record", pa.bool_()), ("text", pa.string())]))
 
@@ -604,10 +604,10 @@ def templates(found: DataFrame) -> DataFrame:
     return same.filter((F.col("n") >= LEAST_ROWS) & (F.col("a") == F.col("b")) & (F.col("x") != F.col("y"))).groupBy("__host").agg(F.collect_list("slot").alias("__template"))
 
 
-def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Add text (main text) and n_chars (its code points)."""
+def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[str] | None = None) -> DataFrame:
+    """Add text (main text) and n_chars (its code points) to the pages' columns, or to those of keep (all are stored in between)."""
     wrappers = materialise(infer_wrappers(pages, url, html), "wrappers")
-    found = materialise(matched(pages, wrappers, url, html), "blocks")
+    found = materialise(matched(pages, wrappers, url, html, keep), "blocks")
     template = materialise(templates(found), "templates")
     rows = found.join(template, "__host", "left").drop("__host", "__key")
     beside = "exists(__blocks, b -> b.story)"

@@ -55,7 +55,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    return html.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"]).select("page_id", "url", "text", "n_chars")
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
