@@ -205,8 +205,9 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, least: int | None =
             yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), *batch.columns[:3]], names=["block", "id", "v", "cell"])
 
     queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"), F.count("*").alias("own"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # with a number, small vectors don't end in one task
-    queries = queries.repartition(parts, "vec_id").mapInArrow(route, "block long, id long, v array<double>, cells array<int>")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # With a number and a key of its own, so that small vectors, which ask for much work, don't end in one task.
+    queries = queries.repartition(parts, F.xxhash64("vec_id")).mapInArrow(route, "block long, id long, v array<double>, cells array<int>")
     # A cell's entries are dealt to its blocks in turn, whatever their ids.
     entries = index.withColumn("spread", F.monotonically_increasing_id()).mapInArrow(deal, "block long, id long, v array<double>, cell int")
     both = entries.select("block", F.lit(0).alias("asks"), "id", "v", F.array("cell").alias("cells")).unionByName(queries.withColumn("asks", F.lit(1)))
