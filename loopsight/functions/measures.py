@@ -14,6 +14,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), value)
 
 
+def checked_cosine(a: Column, b: Column) -> Column:
+    """``cosine``, where vectors of different lengths are an error."""
+    return F.when(F.size(a) != F.size(b), F.raise_error(F.format_string("vectors of %d and %d components", F.size(a), F.size(b))).cast("double")).otherwise(cosine(a, b))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; 1 if both are empty."""
     union = F.size(F.array_union(a, b))

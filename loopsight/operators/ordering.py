@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
+from .prefix import numbered
 
 SCOPE = ["session_id", "agent_scope"]
 
@@ -39,12 +40,47 @@ def causal_order(events: DataFrame) -> DataFrame:
     return found.withColumn("seq", F.row_number().over(order).cast("long")).drop("ts_depth")
 
 
-def topological_order(events: DataFrame) -> DataFrame:
+#: Events of a session that one task sorts; larger sessions are ordered by rank refinement.
+SORTED = 1_000_000
+
+
+def topological_order(events: DataFrame, in_task: int = SORTED) -> DataFrame:
     """session_id, uuid, position (from 0): level by level from the roots, siblings by their parents' order, then offset.
 
-    Events on or below a cycle come last, by offset. A session is sorted by one task.
+    Events on or below a cycle come last, by offset. A session is sorted by one task if it has up to in_task events, else it
+    is spread over all (``by_refinement``), with the same result.
     """
+    e = events.select("session_id", "uuid", "parent_uuid", "byte_offset")
+    large = stored(e.groupBy(F.col("session_id").alias("__large")).count().filter(F.col("count") > in_task).select("__large"), "large-sessions")
+    if large.isEmpty():
+        return _sorted_in_tasks(e)
+    mine = F.col("session_id") == F.col("__large")
+    return _sorted_in_tasks(e.join(large, mine, "left_anti")).unionByName(by_refinement(e.join(large, mine, "left_semi")))
+
 
+def by_refinement(events: DataFrame) -> DataFrame:
+    """``topological_order`` without a session in one task.
+
+    An event's place among those of its depth is that of the path of offsets from its root. Ranks begin with an event's own
+    offset and are refined by doubling: an event's path of twice the length is the pair of the rank of its ancestor and its
+    own one, and pairs are numbered anew by sorted ranges. There are as many rounds as the logarithm of the depth.
+    """
+    e = stored(events, "events")
+    found = depths(e.withColumn("ts", F.lit(0)))
+    rows = numbered(e, "rank", ["byte_offset", "uuid"], ["session_id"]).join(found, ["session_id", "uuid"])
+    last = stored(rows.filter("cyclic").select("session_id", "uuid", "rank"), "cyclic")
+    known = e.select("session_id", F.col("uuid").alias("parent_uuid"), F.lit(True).alias("known"))
+    rows = rows.filter("not cyclic").join(known, ["session_id", "parent_uuid"], "left").select("session_id", "uuid", "depth", "rank", F.when(F.col("known"), F.col("parent_uuid")).alias("up"))
+    rows = stored(rows, "ranks")
+    while not rows.filter("up is not null").isEmpty():
+        above = rows.select("session_id", F.col("uuid").alias("up"), F.col("rank").alias("before"), F.col("up").alias("next"))
+        pairs = rows.join(above, ["session_id", "up"], "left").select("session_id", "uuid", "depth", F.coalesce("before", F.lit(0)).alias("before"), F.col("rank").alias("own"), F.col("next").alias("up"))
+        rows = stored(numbered(pairs, "rank", ["depth", "before", "own"], ["session_id"]).select("session_id", "uuid", "depth", "rank", "up"), "ranks")
+    both = rows.select("session_id", "uuid", F.lit(False).alias("cyclic"), "depth", "rank").unionByName(last.select("session_id", "uuid", F.lit(True).alias("cyclic"), F.lit(0).cast("long").alias("depth"), "rank"))
+    return numbered(both, "n", ["cyclic", "depth", "rank"], ["session_id"]).select("session_id", "uuid", (F.col("n") - 1).alias("position"))
+
+
+def _sorted_in_tasks(events: DataFrame) -> DataFrame:
     def sort(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["byte_offset", "uuid"])
         known = set(pdf["uuid"])

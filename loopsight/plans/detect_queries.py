@@ -170,6 +170,29 @@ def c2_topological_order(spark, d):
     return ordering.topological_order(views.threads(spark, d))
 
 
+@query(""", d AS (SELECT b.session_id, b.uuid, b.ts, b.byte_offset, 0 AS n FROM branches b LEFT JOIN branches p ON p.uuid = b.parent_uuid WHERE p.ts IS DISTINCT FROM b.ts UNION ALL SELECT b.session_id, b.uuid, b.ts, b.byte_offset, d.n + 1 FROM d JOIN branches b ON b.parent_uuid = d.uuid AND b.ts = d.ts)
+    SELECT session_id, uuid, row_number() OVER (PARTITION BY session_id ORDER BY ts, n, byte_offset, uuid) AS seq FROM d""", "branches")
+def c1_equal_times(spark, d):
+    """Records of equal times, of which some are parents of others."""
+    return ordering.causal_order(views.branches(spark, d)).select("session_id", "uuid", "seq")
+
+
+# A record's path of offsets from its root tells its place among those of its depth.
+_PATHS = """, p AS (SELECT session_id, uuid, [byte_offset] AS path FROM branches WHERE parent_uuid IS NULL UNION ALL SELECT b.session_id, b.uuid, list_append(p.path, b.byte_offset) FROM p JOIN branches b ON b.parent_uuid = p.uuid)
+    SELECT session_id, uuid, row_number() OVER (PARTITION BY session_id ORDER BY len(path), path) - 1 AS position FROM p"""
+
+
+@query(_PATHS, "branches")
+def c2_branching_order(spark, d):
+    return ordering.topological_order(views.branches(spark, d))
+
+
+@query(_PATHS, "branches")
+def c2_order_by_refinement(spark, d):
+    """As large sessions are ordered: ranks refined by doubling, no session in one task."""
+    return ordering.by_refinement(views.branches(spark, d).select("session_id", "uuid", "parent_uuid", "byte_offset"))
+
+
 @query("SELECT session_id, uuid, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS depth, false AS cyclic FROM threads", "threads")
 def c2_thread_depth(spark, d):
     return ordering.depths(views.threads(spark, d))

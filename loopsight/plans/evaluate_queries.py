@@ -415,6 +415,16 @@ def a5_idempotent_append(spark, d):
     return tables.append_events(e.unionByName(e.withColumn("ingested_at", F.lit(2))), e.filter("event_id % 3 = 0")).select("event_id")
 
 
+@query("SELECT event_id FROM events")
+def a5_event_store(spark, d):
+    """A store after two appends: every third event, then all events twice."""
+    e = views.table(spark, d, "events").select(F.col("event_id").cast("string").alias("uuid"), "event_id", F.col("event_id").alias("byte_offset"), F.lit(1).alias("ingested_at"))
+    path = scratch(spark, "store")
+    tables.append_to_store(e.filter("event_id % 3 = 0"), path)
+    tables.append_to_store(e.unionByName(e.withColumn("ingested_at", F.lit(2))), path)
+    return spark.read.parquet(path).select("event_id")
+
+
 @query("SELECT uuid, ts FROM actions WHERE session_id = '7'", "actions")
 def a6_session_scan(spark, d):
     return tables.session_events(views.actions(spark, d).withColumn("ingested_at", F.lit(0)), "7").select("uuid", "ts")
@@ -495,10 +505,14 @@ def a14_metric_sink(spark, d):
     return spark.read.parquet(path).select("run_id", "created_at", "metric", "value")
 
 
-@query(f"SELECT 'class' AS section, kind AS row, m.metric, CASE m.metric WHEN 'precision' THEN round(p, 3) WHEN 'recall' THEN round(r, 3) WHEN 'f1' THEN round(CASE WHEN tp + fn < 15 THEN 0 ELSE {_F1} END, 3) END AS value FROM (SELECT *, {_PRF} FROM cells), (VALUES ('precision'), ('recall'), ('f1')) m(metric) UNION ALL SELECT 'overall', '', 'n', count(*) FROM gold", "gold cells")
+@query(_CALIBRATED + f"""SELECT 1 AS place, 'class' AS section, kind AS row, m.metric, CASE m.metric WHEN 'precision' THEN round(p, 3) WHEN 'recall' THEN round(r, 3) WHEN 'f1' THEN round(CASE WHEN tp + fn < 15 THEN 0 ELSE {_F1} END, 3) END AS value FROM (SELECT *, {_PRF} FROM cells), (VALUES ('precision'), ('recall'), ('f1')) m(metric) UNION ALL SELECT 0, 'overall', '', 'n', count(*) FROM gold
+    UNION ALL SELECT 2, 'calibration', CAST(candidate AS VARCHAR), 'objective', round(avg(macro_f1 - 0.5 * fpr), 3) FROM scored GROUP BY candidate UNION ALL SELECT 3, 'error', label_id || '/' || gold || '/' || pred, 'sample', 1 FROM gold WHERE gold <> pred""", f"gold cells {_CAL}")
 def a15_report(spark, d):
+    """All sections, in the order of the report whatever order they are given in."""
     classes = _classes(spark, d).select("kind", "precision", "recall", F.coalesce("f1", F.lit(0.0)).alias("f1"))
-    return tables.report({"class": (classes, ["kind"]), "overall": (_gold(spark, d).agg(F.count("*").alias("n")), [])})
+    calibrated = evaluate.grid(_calibrated(spark, d, GRID)).select(F.col("candidate").cast("string").alias("candidate"), "objective")
+    errors = evaluate.error_samples(_gold(spark, d)).select("label_id", "gold", "pred", F.lit(1).alias("sample"))
+    return tables.report({"error": (errors, ["label_id", "gold", "pred"]), "calibration": (calibrated, ["candidate"]), "class": (classes, ["kind"]), "overall": (_gold(spark, d).agg(F.count("*").alias("n")), [])})
 
 
 _KIND = "CASE WHEN role = 'system' THEN 'system' WHEN role = 'assistant' THEN 'tool_use' WHEN turn > 0 AND parent THEN 'tool_result' ELSE 'user' END"

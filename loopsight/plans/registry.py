@@ -32,6 +32,8 @@ TABLES = {
         FROM (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY CASE severity WHEN 'critical' THEN 0 ELSE 1 END, rnk) AS n FROM cand) WHERE n = 1""",
     "threads": """SELECT CAST(conv_id AS VARCHAR) AS session_id, 'root' AS agent_scope, conv_id || '-' || turn AS uuid, CASE WHEN lag(turn) OVER w IS NOT NULL THEN conv_id || '-' || lag(turn) OVER w END AS parent_uuid, turn AS seq, turn * 1000 AS ts, turn * 100 AS byte_offset, role, text
         FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
+    "branches": """SELECT session_id, session_id || '-' || g AS uuid, CASE WHEN up IS NOT NULL THEN session_id || '-' || up END AS parent_uuid, g // 4 * 1000 AS ts, g * 7919 % 100003 AS byte_offset
+        FROM (SELECT *, CASE WHEN g % 11 <> 0 AND g > 1 THEN CASE WHEN g % 4 IN (1, 2) THEN g - 1 ELSE g // 2 END END AS up FROM (SELECT CAST(conv_id % 40 AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY conv_id % 40 ORDER BY conv_id, turn) AS g FROM conversations))""",
     "gold": """SELECT 'L' || doc_id AS label_id, doc_id, CASE WHEN quality = 0 THEN 'thrashing' WHEN doc_id % 3 = 0 THEN 'false_success' ELSE 'none' END AS gold, CASE WHEN toxic = 1 THEN 'thrashing' WHEN doc_id % 3 = 0 AND quality = 1 AND doc_id % 2 = 0 THEN 'false_success' WHEN quality = 0 AND doc_id % 5 <> 0 THEN 'thrashing' ELSE 'none' END AS pred FROM labels""",
     "cells": """SELECT k.kind, count(*) FILTER (WHERE gold = k.kind AND pred = k.kind) AS tp, count(*) FILTER (WHERE gold <> k.kind AND pred = k.kind) AS fp, count(*) FILTER (WHERE gold = k.kind AND pred <> k.kind) AS fn, count(*) FILTER (WHERE gold <> k.kind AND pred <> k.kind) AS tn
         FROM gold CROSS JOIN (VALUES ('thrashing'), ('false_success'), ('none')) k(kind) GROUP BY k.kind""",

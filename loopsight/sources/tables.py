@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scratch import stored
+
 
 def new_rows(rows: DataFrame, target: DataFrame | None, key: list[str], order: list[str]) -> DataFrame:
     """The rows to append so that each key stays unique: the first of each key, without keys the target has."""
@@ -20,6 +22,33 @@ def append_events(events: DataFrame, target: DataFrame | None, path: str | None
     return fresh
 
 
+#: Parts of an event store, by hash of the uuid.
+BUCKETS = 256
+
+
+def append_to_store(events: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame:
+    """Append the events that a store (a folder of Parquet files by bucket) doesn't hold yet; gives those that were new.
+
+    Only the buckets that new ids fall into are read, of these only the ids that may be among the new ones (Spark pushes a
+    Bloom filter of them into a large scan), so a small batch costs little however large the store is. Spark's commit makes an
+    append whole or absent, and a repeated one adds nothing. Give each store the same number of buckets each time.
+    """
+    spark = events.sparkSession
+    fresh = new_rows(events, None, ["uuid"], ["ingested_at", "byte_offset"]).withColumn("bucket", F.pmod(F.xxhash64("uuid"), F.lit(buckets)).cast("int"))
+    fresh = stored(fresh, "batch")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder):
+        wanted = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most the buckets
+        held = held_ids(spark.read.schema(fresh.schema).parquet(path), wanted).join(fresh.select("bucket", "uuid"), ["bucket", "uuid"], "left_semi")
+        fresh = stored(fresh.join(held, ["bucket", "uuid"], "left_anti").select(*fresh.columns), "new-events")
+    fresh.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+    return fresh.drop("bucket")
+
+
+def held_ids(store: DataFrame, buckets: list[int]) -> DataFrame:
+    return store.filter(F.col("bucket").isin(buckets)).select("bucket", "uuid")
+
+
 def session_events(events: DataFrame, session_id: str) -> DataFrame:
     return events.filter(F.col("session_id") == session_id).orderBy("ts", "ingested_at")
 
@@ -90,12 +119,20 @@ def active_configs(configs: DataFrame) -> DataFrame:
     return configs.withColumn("is_active", latest == 1)
 
 
+#: Sections of a report in their order.
+SECTIONS = ["overall", "class", "calibration", "error"]
+
+
 def report(sections: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
-    """One long table (section, row, metric, value to three decimals) of tables given with their name columns."""
+    """One long table (place, section, row, metric, value to three decimals) of tables given with their name columns.
+
+    place orders the sections: those of ``SECTIONS`` first, others after them as given. Sort by place, row and metric to print.
+    """
     out = None
+    places = [*SECTIONS, *[s for s in sections if s not in SECTIONS]]
     for name, (df, names) in sections.items():
         metrics = [c for c in df.columns if c not in names]
         pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.round(F.col(c).cast("double"), 3).alias("value")) for c in metrics])).alias("m")
-        rows = df.select(F.lit(name).alias("section"), F.concat_ws("/", *names).alias("row"), pairs).select("section", "row", "m.*")
+        rows = df.select(F.lit(places.index(name)).alias("place"), F.lit(name).alias("section"), F.concat_ws("/", *names).alias("row"), pairs).select("place", "section", "row", "m.*")
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -37,6 +37,16 @@ def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("conv_id").cast("string").alias("session_id"), F.lit("root").alias("agent_scope"), uuid(F.col("turn")).alias("uuid"), F.when(before.isNotNull(), uuid(before)).alias("parent_uuid"), F.col("turn").alias("seq"), (F.col("turn") * 1000).alias("ts"), (F.col("turn") * 100).alias("byte_offset"), F.col("role"), F.col("text"))
 
 
+def branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of forty sessions whose threads branch, with equal times along a branch and offsets in no order of time."""
+    c = table(spark, sf_dir, "conversations")
+    g = F.row_number().over(Window.partitionBy(F.col("conv_id") % 40).orderBy("conv_id", "turn")).cast("long")
+    c = c.select((F.col("conv_id") % 40).cast("string").alias("session_id"), F.lit("root").alias("agent_scope"), g.alias("g"))
+    uuid = lambda n: F.concat_ws("-", "session_id", n.cast("string"))
+    up = F.when((F.col("g") % 11 != 0) & (F.col("g") > 1), F.when((F.col("g") % 4).isin(1, 2), F.col("g") - 1).otherwise(F.floor(F.col("g") / 2)))
+    return c.select("session_id", "agent_scope", uuid(F.col("g")).alias("uuid"), F.when(up.isNotNull(), uuid(up)).alias("parent_uuid"), (F.floor(F.col("g") / 4) * 1000).alias("ts"), (F.col("g") * 7919 % 100003).alias("byte_offset"))
+
+
 def _file(name: str) -> Column:
     return F.concat(F.lit(f"/src/{name}"), (F.col("seq") % 5).cast("string"), F.lit(".ts"))
 

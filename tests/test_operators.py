@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loopsight.functions import text as tx
 from loopsight.functions.config import Thresholds
-from loopsight.functions.measures import cosine, iou, jaccard, wilson
+from loopsight.functions.measures import checked_cosine, cosine, iou, jaccard, wilson
 from loopsight.operators import evaluate, fingerprint, gate, judge, ordering, routing, semantic, verdict
 from loopsight.sources import logs, tables
 
@@ -98,7 +98,9 @@ def test_similarities(spark):
     a = lambda *x: F.array(*[F.lit(float(v)) for v in x]) if x else F.array().cast("array<double>")
     assert one(spark, cosine(a(1, 0), a(0, 0))) == 0
     assert one(spark, cosine(a(1, 0), a(1, 0, 0))) is None
-    assert one(spark, cosine(a(3, 4), a(6, 8))) == pytest.approx(1)
+    assert one(spark, cosine(a(3, 4), a(6, 8))) == pytest.approx(1) == one(spark, checked_cosine(a(3, 4), a(6, 8)))
+    with pytest.raises(Exception, match="vectors of 2 and 3"):
+        one(spark, checked_cosine(a(1, 0), a(1, 0, 0)))
     assert one(spark, jaccard(a(), a())) == 1
     assert one(spark, iou(a(), a(1))) == 0
 
@@ -295,6 +297,21 @@ def test_threads_with_cycles_and_orphans(spark):
     assert [r["uuid"] for r in ordering.orphans(e).filter("is_orphan").collect()] == ["o"]
 
 
+def test_refined_order_equals_kahn(spark):
+    """Random forests with cycles and lost parents, by one task and by rank refinement."""
+    r = random.Random(7)
+    rows = []
+    for s in range(4):
+        n = 60
+        for k in range(n):
+            parent = None if r.random() < 0.1 else f"u{r.randrange(k)}" if k and r.random() < 0.8 else r.choice(["gone", f"u{min(n - 1, k + 1)}", f"u{k}"])
+            rows.append((f"s{s}", f"u{k}", parent, r.randrange(30)))
+        rows += [(f"s{s}", f"c{k}", f"c{k - 1}" if k else None, 100 - k) for k in range(40)]  # one long chain
+    e = spark.createDataFrame(rows, "session_id string, uuid string, parent_uuid string, byte_offset long").repartition(3)
+    got = [sorted(map(tuple, df.collect())) for df in (ordering.topological_order(e), ordering.topological_order(e, in_task=0), ordering.topological_order(e, in_task=99))]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+
+
 def test_equal_times_keep_parents_first(spark):
     e = spark.createDataFrame([("s", "root", "z", None, 5, 9), ("s", "root", "a", "z", 5, 1), ("s", "root", "m", None, 4, 99)], "session_id string, agent_scope string, uuid string, parent_uuid string, ts long, byte_offset long")
     assert [r["uuid"] for r in ordering.causal_order(e).orderBy("seq").collect()] == ["m", "z", "a"]
@@ -327,3 +344,18 @@ def test_ledger_and_labels(spark):
     assert (r["last_sent_ts"], r["send_count"], r["cooldown_until"]) == (9, 3, 19)
     seeds = tables.seed_labels(spark)
     assert tables.append_labels(seeds.unionByName(seeds)).count() == 5 and tables.append_labels(seeds, seeds).count() == 0
+
+
+def test_store_reads_the_buckets_of_new_ids_only(spark, tmp_path):
+    row = lambda u, at=1: (u, at, 0)
+    df = lambda *rows: spark.createDataFrame([row(*r) for r in rows], "uuid string, ingested_at long, byte_offset long")
+    path = str(tmp_path / "store")
+    assert tables.append_to_store(df(*[(f"u{k}",) for k in range(300)]), path, 64).count() == 300
+    assert [r["uuid"] for r in tables.append_to_store(df(("u7", 2), ("new", 3), ("new", 2)), path, 64).collect()] == ["new"]
+    assert tables.append_to_store(df(("u7", 2), ("new", 3)), path, 64).count() == 0
+    store = spark.read.parquet(path)
+    assert store.count() == 301 and store.filter("uuid = 'new'").first()["ingested_at"] == 2
+    found = tables.held_ids(store, [3, 5])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    assert {r["bucket"] for r in found.collect()} == {3, 5}
