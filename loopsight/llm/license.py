@@ -1,14 +1,17 @@
 """License scans by patience alignment of texts with license templates.
 
-Where 2n words of text share enough words with a template of n words, spans are measured by their longest common
-subsequence with it, and those without overlap that have most common words in all are the finds. Each is
-aligned: words that the template and the span have once each are anchors; the longest increasing subsequence of
-anchors is kept, and the gaps between them are aligned in the same way, down to runs of equal
-words at a gap's ends. A template's coverage is the share of its words that are aligned (the longest common
-subsequence where repeated words leave too few anchors).
+A span of text and a template are aligned by patience: words that both have once are anchors, the longest increasing
+subsequence of anchors is kept, and the gaps between them are aligned in the same way; a gap without anchors (all its common words are repeated)
+is aligned by its longest common subsequence. A template's coverage is the share of its words that are aligned, and a
+span is a find if that reaches the threshold.
+
+Spans to align are found without loss: 2n words of text must share enough words with a template of n words in any order, then in the
+template's order (longest common subsequence, which no alignment exceeds); of spans with equally many such words only
+those that hold no shorter one count. Finds are the spans without overlap that have most aligned words in all, then fewest words of text.
 
 Edge cases: null and empty texts hold no license; a text may hold several, or one several times, side by side too,
-each reported; overlapping finds of one template are reported once, the better ones; repeated rows are scanned each; input columns named
+each reported; overlapping finds of one template are reported once, the better ones; a template may consist of common words only, one without
+words is never found, and no templates find nothing; repeated rows are scanned each; input columns named
 ``licenses`` are replaced; an empty table gives an empty table.
 """
 
@@ -17,6 +20,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,10 +40,12 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "MIT-full": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "BSD-3-Clause-full": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "ISC-full": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "Zlib-full": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-# Words too common to start a search from.
-STOP = {"this", "is", "the", "a", "an", "of", "or", "and", "to", "in", "on", "by", "as", "under", "with", "without", "it", "you", "can", "be", "any", "for", "that", "are", "at", "your", "so", "do", "see", "use", "work", "not", "from", "was"}
 _WORD = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
 
 
@@ -48,7 +54,7 @@ def words_of(text: str) -> list[str]:
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Longest subsequence (of pairs sorted by the first) whose second parts increase, by patience piles."""
+    """Longest subsequence (of pairs sorted by the first) whose second parts increase, by patience piles; of equally long ones that of the latest pairs."""
     tops: list[int] = []
     piles: list[list[int]] = []
     back: list[int] = []
@@ -68,6 +74,29 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence's positions; a row of bits has a zero for each word of b that adds one."""
+    at: dict[str, int] = {}
+    for j, w in enumerate(b):
+        at[w] = at.get(w, 0) | 1 << j
+    full = v = (1 << len(b)) - 1
+    rows = []
+    for w in a:
+        u = v & at.get(w, 0)
+        v = ((v + u) | (v - u)) & full
+        rows.append(v)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i - 1] >> j - 1 & 1:
+            j -= 1
+            continue
+        i -= 1
+        if not i or rows[i - 1] >> j - 1 & 1:
+            j -= 1
+            out.append((i, j))
+    return out[::-1]
+
+
 def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Aligned positions (i, j) with a[i] == b[j], both increasing."""
     out: list[tuple[int, int]] = []
@@ -86,10 +115,12 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         once = {w for w, n in in_a.items() if n == 1 and in_b.get(w) == 1}
         at_b = {b[j]: j for j in range(b0, b1) if b[j] in once}
         anchors = _increasing([(i, at_b[a[i]]) for i in range(a0, a1) if a[i] in once])
+        if not anchors:
+            out += [(a0 + i, b0 + j) for i, j in _common(a[a0:a1], b[b0:b1])]
+            continue
         out += anchors
         edges = [(a0 - 1, b0 - 1), *anchors, (a1, b1)]
-        if anchors:
-            todo += [(i + 1, k, j + 1, m) for (i, j), (k, m) in zip(edges, edges[1:]) if i + 1 < k and j + 1 < m]
+        todo += [(i + 1, k, j + 1, m) for (i, j), (k, m) in zip(edges, edges[1:]) if i + 1 < k and j + 1 < m]
     return sorted(out)
 
 
@@ -118,8 +149,8 @@ def _spans(at: list[tuple[int, int]], n: int, need: float) -> list[tuple[int, in
     return out
 
 
-def _apart(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans without overlap that have most common words in all, in the fewest words of text."""
+def _apart(spans: Iterable[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans without overlap that have most words (the third) in all, in the fewest words of text."""
     spans = sorted(spans, key=lambda x: x[1])
     lasts = [x[1] for x in spans]
     best, take = [(0, 0)], []
@@ -137,12 +168,26 @@ def _apart(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return out[::-1]
 
 
+def _finds(words: list[str], template: list[str], spans: list[tuple[int, int, int]], need: float) -> list[tuple[int, int, int]]:
+    """Spans (first, last, aligned) without overlap that have most aligned words in all. Their common words bound that from
+    above, so only spans that are chosen by the bound are aligned, and chosen again until the bound is what is aligned."""
+    most = {(first, last): common for first, last, common in spans}
+    aligned: dict[tuple[int, int], int] = {}
+    while True:
+        chosen = _apart((*span, n) for span, n in most.items())
+        new = [(first, last) for first, last, _ in chosen if (first, last) not in aligned]
+        if not new:
+            return chosen
+        for first, last in new:
+            aligned[first, last] = most[first, last] = len(patience(words[first : last + 1], template))
+            if most[first, last] < need:
+                del most[first, last]
+
+
 def prepare(templates: dict[str, str]) -> dict[str, tuple[list[str], dict[str, int]]]:
     out = {}
     for name, text in templates.items():
         w = words_of(text)
-        if sum(x in STOP for x in w) > (COVERAGE - 0.05) * len(w):
-            raise ValueError(f"{name}: too few telling words")
         bits: dict[str, int] = {}
         for k, x in enumerate(w):
             bits[x] = bits.get(x, 0) | 1 << k
@@ -183,9 +228,7 @@ def scan(text: str | None, templates: dict[str, tuple[list[str], dict[str, int]]
         if sum(w in own for w in template) < coverage * n:
             continue
         for run in _dense(words, bits, n, coverage * n):
-            for a, b, common in _apart(_spans(run, n, coverage * n)):
-                aligned = len(patience(words[a : b + 1], template))
-                matched = aligned if aligned >= coverage * n else common  # repeated words leave patience too few anchors
+            for a, b, matched in _finds(words, template, _spans(run, n, coverage * n), coverage * n):
                 out.append({"license": name, "coverage": matched / n, "matched": matched, "first_word": a, "last_word": b})
     return sorted(out, key=lambda x: (x["first_word"], x["license"]))
 
@@ -195,6 +238,6 @@ FIND = T.StructType([T.StructField("license", T.StringType()), T.StructField("co
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, text: str = "text") -> DataFrame:
     """Add licenses: an array of finds (license, coverage, matched, first_word, last_word), empty if none."""
-    prepared = prepare(templates or TEMPLATES)
+    prepared = prepare(TEMPLATES if templates is None else templates)
     kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("matched", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64())]))
     return add_columns(docs, text, [T.StructField("licenses", T.ArrayType(FIND))], lambda texts: [pa.array([scan(x, prepared, coverage) for x in texts], kind)])
