@@ -1,3 +1,4 @@
+import json
 import os
 import random
 
@@ -58,6 +59,34 @@ def test_lookahead_covers_every_token():
     assert bpe.sufficient_lookahead([(b"b", b"c"), (b"a", b"b")]) >= 2
 
 
+def made_up_vocabulary(r):
+    """Bytes a, b, c and so on, and random merges of what is there."""
+    known = [chr(97 + k) for k in range(r.randint(2, 4))]
+    merges = []
+    for _ in range(r.randint(1, 14)):
+        a, b = r.choice(known), r.choice(known)
+        if a + b not in known and len(a + b) <= 12:
+            known.append(a + b)
+            merges.append([a, b])
+    model = {"vocab": {t: k for k, t in enumerate(known)}, "merges": merges}
+    return bpe.Vocabulary(json.dumps({"model": model, "added_tokens": []})), known
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_emitted_tokens_are_stable_for_random_merge_lists(seed):
+    r = random.Random(seed)
+    for _ in range(25):
+        v, known = made_up_vocabulary(r)
+        for _ in range(15):
+            data = "".join(r.choice(known) * r.choice([1, 1, 2, 5]) for _ in range(r.randint(0, 30))).encode()
+            run, out = bpe.Run(v), []
+            run.step = 1
+            for k in range(len(data)):
+                out += run.feed(data[k : k + 1])
+                assert len(run.held) <= v.lookahead + max(map(len, v.bytes_of.values()))
+            assert out + run.finish() == v.merged(data)
+
+
 def test_decoder_state_machine():
     d = bpe.Decoder(VOCABULARY)
     packed = np.array(library("日本😀"), "<u4")
