@@ -14,6 +14,7 @@ column are replaced; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -35,6 +36,8 @@ from .common import add_columns, materialise, without
 SAMPLE = 30_000
 #: Lexicon entries at most (those with the strongest log odds).
 LEXICON = 20_000
+#: Entries of toxic texts of the sample, those of most texts, whose odds are taken.
+CANDIDATES = 10 * LEXICON
 #: Words that a worker remembers before it starts anew.
 REMEMBERED = 50_000
 #: Toxic training texts that hold an entry at least, and its log odds at least.
@@ -149,7 +152,7 @@ def learn_lexicons(sample: DataFrame) -> list[dict[str, float]]:
     sizes = {(r["label"], r["half"]): r["count"] for r in sample.groupBy("label", "half").count().collect()}
     toxic = _entry_counts(sample.filter("label = 1"), None)
     toxic = toxic.groupBy("entry").pivot("half", [0, 1]).agg(F.first("n")).na.fill(0).filter(F.col("0") + F.col("1") >= SUPPORT)
-    toxic = toxic.orderBy((F.col("0") + F.col("1")).desc(), "entry").limit(10 * LEXICON)
+    toxic = toxic.orderBy((F.col("0") + F.col("1")).desc(), "entry").limit(CANDIDATES)
     bad = {r["entry"]: (r["0"], r["1"]) for r in toxic.collect()}
     other = {e: [0, 0] for e in bad}
     for r in _entry_counts(sample.filter("label = 0"), set(bad)).collect():
@@ -171,13 +174,13 @@ def learn_lexicons(sample: DataFrame) -> list[dict[str, float]]:
     return out
 
 
-_odds: dict[int, Odds] = {}
+_odds: dict[bytes, Odds] = {}  # the lexicon of a worker's task, by its digest
 
 
 def with_features(docs: DataFrame, lexicon: dict[str, float], text: str = "text") -> DataFrame:
     """Add the dense features as double columns."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    key = shared.id if hasattr(shared, "id") else id(shared)
+    key = hashlib.blake2b(repr(sorted(lexicon.items())).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
     def make(texts):
         if key not in _odds:
