@@ -167,14 +167,14 @@ def frequency_classes(docs: DataFrame, text: str = "text") -> bytes:
             for s in shingles(_bytes_of(batch.column(0))):
                 np.add.at(total, _counter(s), 1)
         if total.any():
-            parts = np.split(total, PARTS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "counts"])
+            packed = [p.astype(np.min_scalar_type(p.max())).tobytes() for p in np.split(total, PARTS)]  # most counts of a task fit one byte or two
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[k] = sums.get(k, 0) + np.frombuffer(c, np.int64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(c, f"u{len(c) * PARTS // SKETCH}").astype(np.int64)
         if sums:
             packed = [np.log2(np.maximum(c, 1)).astype(np.uint8).tobytes() for c in sums.values()]
             yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array(packed, pa.binary())], names=["part", "classes"])
