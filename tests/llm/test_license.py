@@ -127,7 +127,7 @@ def test_no_templates_and_clashing_columns(spark):
     assert [len(r["licenses"]) for r in license.scan_licenses(docs).orderBy("doc_id").collect()] == [1, 0]
 
 
-@pytest.mark.parametrize("name", [n for n in license.TEMPLATES if n.endswith("-full")])
+@pytest.mark.parametrize("name", ["MIT-terms", "BSD-3-Clause-terms", "ISC", "Zlib"])
 def test_whole_license_texts_with_edits(name):
     r = random.Random(len(name))
     words = license.words_of(license.TEMPLATES[name])
