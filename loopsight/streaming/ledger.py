@@ -86,14 +86,16 @@ class Debounce(Timed):
         self.wake(last + self.window_ms, timerValues.getCurrentWatermarkInMs())
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        self.pending.appendList([(int(r.ts), int(r.id)) for part in rows for r in part.itertuples()])
-        self.wake(min(x[0] for x in self.pending.get()), timerValues.getCurrentWatermarkInMs())
-        yield pd.DataFrame([], columns=["dedupe_key", "id", "ts"])
+        new = [(int(ts), int(i)) for part in rows for ts, i in zip(part["ts"], part["id"])]
+        self.pending.appendList(new)
+        self.wake_by(min(new)[0], timerValues.getCurrentWatermarkInMs())  # the timer is never later than what waits
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        last = self.last.get()[0] if self.last.exists() else None
-        ready, left = due([list(x) for x in self.pending.get()] if self.pending.exists() else [], now)
+        found = self.last.get()
+        last = found[0] if found else None
+        ready, left = due([list(x) for x in self.pending.get()], now)
         out = []
         for ts, i in ready:
             if last is None or self.window_ms <= 0 or ts - last >= self.window_ms:
@@ -101,13 +103,15 @@ class Debounce(Timed):
                 out.append((key[0], i, ts))
         self.pending.put([tuple(x) for x in left]) if left else self.pending.clear()
         if last is not None and last + self.window_ms > now:
-            self.last.update((last,))
-            self.wake(left[0][0] if left else last + self.window_ms, now)
+            if out:
+                self.last.update((last,))
+            self.rearm(left[0][0] if left else last + self.window_ms, now)
         else:
             self.last.clear()
             if left:
-                self.wake(left[0][0], now)
-        yield pd.DataFrame(out, columns=["dedupe_key", "id", "ts"])
+                self.rearm(left[0][0], now)
+        if out:
+            yield pd.DataFrame(out, columns=["dedupe_key", "id", "ts"])
 
 
 def debounce_stream(messages: DataFrame, t: Thresholds = DEFAULTS, ledger: Ledger | None = None) -> DataFrame:

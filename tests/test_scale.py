@@ -90,3 +90,62 @@ def test_best_overlaps_are_the_scores_of_whole_sets(spark):
     labels = found.filter("severity = 'critical'").select("trigger_uuid", "session_id", F.element_at("window_refs", 1).alias("start_uuid"), F.element_at("window_refs", -1).alias("end_uuid")).withColumnRenamed("trigger_uuid", "label_id")
     rows = lambda df: sorted((x["label_id"], round(x["score"], 9)) for x in df.collect())
     assert rows(evaluate.best_overlaps(labels, a, preds)) == rows(evaluate.span_scores(evaluate.span_uuids(labels, a), preds))
+
+
+class _Handle:
+    """Counts messages to a key's timers and states, which hold what they were given."""
+
+    def __init__(self):
+        self.timers, self.calls, self.states = [], 0, {}
+
+    def listTimers(self):
+        self.calls += 1
+        return iter(list(self.timers))
+
+    def deleteTimer(self, t):
+        self.calls += 1
+        self.timers.remove(t)
+
+    def registerTimer(self, t):
+        self.calls += 1
+        self.timers.append(t)
+
+    def _state(self, name, *_):
+        handle, held = self, self.states.setdefault(name, [])
+
+        class State:
+            def __getattr__(self, call):
+                handle.calls += 1
+                return {"exists": lambda: bool(held), "get": lambda: (held[0] if held else None) if name == "last" else iter(list(held)), "clear": held.clear, "appendList": held.extend, "put": lambda x: held.__setitem__(slice(None), x), "update": lambda x: held.__setitem__(slice(None), [x])}[call]
+
+        return State()
+
+    getValueState = getListState = _state
+
+
+def test_a_key_with_waiting_messages_costs_few_state_calls():
+    import pandas as pd
+
+    from loopsight.streaming.ledger import Debounce
+
+    class Times:
+        now = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    handle, times, debounce, sent = _Handle(), Times(), Debounce(50), []
+    debounce.init(handle)
+    for n, (ts, now) in enumerate([(10, 0), (30, 0), (5, 0), (70, 20), (75, 40)]):
+        times.now = now
+        for t in [t for t in handle.timers if t <= now]:
+            sent += [r for part in debounce.handleExpiredTimer(("k",), times, None) for r in part["ts"]]
+            handle.timers.remove(t)
+        before = handle.calls
+        assert list(debounce.handleInputRows(("k",), iter([pd.DataFrame({"ts": [ts], "id": [n]})]), times)) == []
+        assert handle.calls - before <= 4 and len(handle.timers) == 1
+    while handle.timers:
+        times.now = handle.timers[0]
+        sent += [r for part in debounce.handleExpiredTimer(("k",), times, None) for r in part["ts"]]
+        handle.timers.pop(0)
+    assert sent == [5, 70] and not handle.states["pending"] and not handle.states["last"]
