@@ -150,10 +150,25 @@ def normalize_content(text: Column) -> Column:
     return F.substring(F.lower(collapse_space(text)), 1, 500)
 
 
+def _begins(pattern: str) -> set[str]:
+    """The characters that a phrase's first part, a literal or a group of alternatives, may begin with."""
+    if not pattern.startswith("("):
+        return {pattern[0]}
+    depth, out = 0, {pattern[1]}
+    for c, after in zip(pattern, pattern[1:]):
+        depth += (c == "(") - (c == ")")
+        if depth == 0:
+            break
+        if c == "|" and depth == 1:
+            out.add(after)
+    return out
+
+
 def says(text: Column, patterns: list[str], words: list[str]) -> Column:
-    """Whether any pattern matches; the patterns are tried only on texts that hold one of the words."""
+    """Whether any pattern matches; the patterns are tried only on texts that hold one of the words, and where one can begin."""
     large = F.upper(text)
-    return reduce(lambda a, w: a | large.contains(w), words[1:], large.contains(words[0])) & text.rlike("(?iu)" + "|".join(f"(?:{p})" for p in patterns))
+    begins = "".join(sorted(set().union(*map(_begins, patterns))))
+    return reduce(lambda a, w: a | large.contains(w), words[1:], large.contains(words[0])) & text.rlike(f"(?iu)(?=[{begins}])(?:" + "|".join(f"(?:{p})" for p in patterns) + ")")
 
 
 def pattern_kinds(text: Column) -> Column:
@@ -163,7 +178,8 @@ def pattern_kinds(text: Column) -> Column:
 
 
 def false_success(text: Column) -> Column:
-    return F.size(pattern_kinds(text)) > 0
+    """Whether ``pattern_kinds`` finds any; the second kind is looked for where the first isn't found."""
+    return F.coalesce(says(text, COMPLETION, COMPLETION_WORDS) | says(text, SELF_VERIFICATION, VERIFICATION_WORDS), F.lit(False))
 
 
 def self_referential(text: Column) -> Column:

@@ -19,7 +19,8 @@ def running(rows: DataFrame, sums: dict[str, Column], order: list[Column | str],
     """
     by = by or []
     fold, empty, both = (F.max, F.lit(None), F.greatest) if greatest else (F.sum, F.lit(0), lambda a, b: a + b)
-    ranged = rows.withColumns({f"__{k}": v for k, v in sums.items()}).repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id())
+    given = stored(rows.withColumns({f"__{k}": v for k, v in sums.items()}), "rows")  # ranges are sampled first, which would make the rows twice
+    ranged = given.repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id())
     ranged = stored(ranged, "ranges")
     within = Window.partitionBy("__range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if greatest else 0)
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)

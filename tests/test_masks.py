@@ -56,3 +56,16 @@ def test_only_edits_of_a_named_file_count(spark):
     assert gate.hits(_calls(spark, [("Write", {"file_path": "/a.py", "content": f"text {k}"}) for k in range(6)])).count() == 0
     paths = [r["file_path"] for r in _calls(spark, [edit(0, "/a.py"), edit(1, ""), ("Write", {"file_path": "/a.py", "content": "x"}), ("MultiEdit", {"file_path": "/b"}), ("Bash", {"command": "ls"})]).orderBy("seq").collect()]
     assert paths == ["/a.py", None, None, "/b", None]
+
+
+def test_where_phrases_begin_changes_no_match(spark):
+    """As the bare alternatives, for letters that only equal another by case folding too."""
+    said = [*(t for t, _, _ in SAID), "ı verified and it works", "İ verified and it works", "ſuccessfully completed", "taſk is done", "TASK IS DONE", "nothing here", "xtask done", "aS I checked", "마쳤 습니다", "저 는 확인 결과 정상", None, ""]
+    rows = spark.createDataFrame([(t,) for t in said], "t string")
+    for patterns, words in ((tx.COMPLETION, tx.COMPLETION_WORDS), (tx.SELF_VERIFICATION, tx.VERIFICATION_WORDS), ([*tx.SELF_VERIFICATION, *tx.SELF_REFERENCE], [*tx.VERIFICATION_WORDS, *tx.REFERENCE_WORDS])):
+        plain = F.col("t").rlike("(?iu)" + "|".join(f"(?:{p})" for p in patterns))
+        bare = F.lit(False)
+        for w in words:
+            bare = bare | F.upper("t").contains(w)
+        assert rows.select(tx.says(F.col("t"), patterns, words).alias("a"), (bare & plain).alias("b")).filter("not (a <=> b)").count() == 0
+    assert rows.filter(tx.false_success(F.col("t")) != (F.size(tx.pattern_kinds(F.col("t"))) > 0)).count() == 0

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loopsight.functions.config import Thresholds
-from loopsight.operators import evaluate, gate
+from loopsight.operators import evaluate, gate, prefix
 from loopsight.sources import views
 from loopsight.sources.scratch import shared_folder
 
@@ -149,3 +149,16 @@ def test_a_key_with_waiting_messages_costs_few_state_calls():
         sent += [r for part in debounce.handleExpiredTimer(("k",), times, None) for r in part["ts"]]
         handle.timers.pop(0)
     assert sent == [5, 70] and not handle.states["pending"] and not handle.states["last"]
+
+
+def test_numbers_make_their_rows_once(spark):
+    """The ranges' sample must not run what the rows are made by a second time."""
+    made = spark.sparkContext.accumulator(0)
+
+    def value(x):
+        made.add(1)
+        return x % 7
+
+    rows = spark.range(5000, numPartitions=4).withColumn("v", F.udf(value, "long")("id"))
+    found = prefix.numbered(rows, "n", ["id"], ["v"])
+    assert found.filter(F.col("n") != F.floor(F.col("id") / 7) + 1).count() == 0 and made.value == 5000
