@@ -1,7 +1,7 @@
 """Token ids in a binary file format coded by a static range asymmetric numeral system.
 
-Documents are dealt out by ranges of doc_id and sorted; the tokenizers library encodes each whole text; a task cuts its documents into segments of about
-SEGMENT ids. All blocks of a segment share one frequency table. A block's ids are dealt to LANES
+Documents are dealt out by ranges of doc_id and sorted; the tokenizers library encodes each whole text, by the file's coarse form (see coarse.py)
+where that gives the file's ids; a task cuts its documents into segments of about SEGMENT ids. All blocks of a segment share one frequency table. A block's ids are dealt to LANES
 interleaved states with one word stream; every CHECKPOINT steps the states and the stream position are
 noted, so that decoding can start there, and each block has a checksum. Segments are rows of a Parquet
 table (Spark's committed writes survive lost executors); each can be decoded without any other.
@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .coarse import as_bytes, coarse_form, is_plain
 from .common import materialise, small_batches
 
 SEGMENT = 2_000_000
@@ -150,43 +151,52 @@ def decode(data: bytes) -> np.ndarray:
     return ids
 
 
-def whole_texts(library, texts: list[str]) -> Iterator[bytes]:
-    """Packed ids of each whole text by the tokenizers library, which takes a few texts at a time."""
+def whole_texts(forms: tuple, texts: list[str]) -> Iterator[bytes]:
+    """Packed ids of each whole text by the tokenizers library, which takes a few texts at a time.
+
+    forms are the file as it is and its coarse form, if it has one; a text goes whole to one of them.
+    """
+    own, coarse = forms
     held, size = [], 0
     for k, text in enumerate(texts):
         held.append(text)
         size += len(text)
         if size >= TOGETHER or k + 1 == len(texts):
-            for e in library.encode_batch_fast(held, add_special_tokens=False):
-                yield array("I", e.ids).tobytes()
+            plain = [coarse is not None and is_plain(x) for x in held]
+            some = iter(coarse.encode_batch_fast([as_bytes(x) for x, p in zip(held, plain) if p], add_special_tokens=False) if any(plain) else ())
+            rest = iter(own.encode_batch_fast([x for x, p in zip(held, plain) if not p], add_special_tokens=False) if not all(plain) else ())
+            for p in plain:
+                yield array("I", next(some if p else rest).ids).tobytes()
             held, size = [], 0
 
 
-_library: dict[str, object] = {}
+_forms: dict[tuple, tuple] = {}
 
 
-def _tokenizer(source: str):
-    """The worker's tokenizer for a file's content, without truncation and padding."""
-    if source not in _library:
+def _tokenizers(sources: tuple[str, str | None]) -> tuple:
+    """The worker's tokenizers for a file's content and its coarse form (or None), without truncation and padding."""
+    if sources not in _forms:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _library.clear()
-        found = _library[source] = Tokenizer.from_str(source)
-        found.no_truncation()
-        found.no_padding()
-    return _library[source]
+        _forms.clear()
+        found = _forms[sources] = tuple(source and Tokenizer.from_str(source) for source in sources)
+        for tokenizer in filter(None, found):
+            tokenizer.no_truncation()
+            tokenizer.no_padding()
+    return _forms[sources]
 
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, text: str = "text", end_id: int = 0, segment: int = SEGMENT) -> None:
     """Encode every text, append end_id, and write the ids in ascending doc_id order as segments under path."""
     with open(tokenizer, encoding="utf-8") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+        source = f.read()
+    shared = docs.sparkSession.sparkContext.broadcast((source, coarse_form(source)))
     small_batches(docs.sparkSession)
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = _tokenizer(shared.value)
+        forms = _tokenizers(shared.value)
         part, seq, start, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
 
         def flush() -> pa.RecordBatch:
@@ -199,7 +209,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, text: str = "text", en
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, packed in zip(ids, whole_texts(library, [t or "" for t in texts])):
+            for i, packed in zip(ids, whole_texts(forms, [t or "" for t in texts])):
                 held.append((i, packed + end))
                 size += len(packed) // 4 + 1
                 if size >= segment:

@@ -1,3 +1,5 @@
+import json
+import random
 import zlib
 
 import numpy as np
@@ -5,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from loopsight.llm import rans
+from loopsight.llm import coarse, rans
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -43,3 +45,54 @@ def test_files(spark, odd, empty, tmp_path):
         start += len(want)
     rans.write_ids(empty, PATH, str(tmp_path / "b"))
     assert rans.read_ids(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_coarse_form_gives_the_files_ids():
+    with open(PATH, encoding="utf-8") as f:
+        source = f.read()
+    own, form = rans._tokenizers((source, coarse.coarse_form(source)))
+    some = [" ", "  ", "\n", "\n\n", "\t", "\x0b", "'", "''", "'s", "'ll", "'re", "l", "s", "tate", "é", "É", "”", "«", "¿", "ɏ", "7", ".", "--", "(", "<|endoftext|>", "\x00", "\x1c", " and", "ing", "The"]
+    odd = ["\xa0", "\x85", "ª", "²", "×", "中", "日本の", "龍喚士", "😀", "Д", " ", "​"]
+    rng = random.Random(3)
+    texts = ["", *("".join(rng.choices(some + odd * (k % 3 == 0), k=rng.randint(1, 14))) for k in range(30_000))]
+    plain = [t for t in texts if coarse.is_plain(t)]
+    want = [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(p, "<u4").tolist() for p in rans.whole_texts((own, form), texts)] == want
+    assert len(texts) / 3 < len(plain) < len(texts)
+    # Where a text isn't plain, the coarse form alone wouldn't do.
+    others = [k for k, t in enumerate(texts) if not coarse.is_plain(t)]
+    assert any(form.encode(coarse.as_bytes(texts[k])).ids != want[k] for k in others[:200])
+
+
+def test_plain_texts_are_cut_in_few_places():
+    """The cost of the library is the number of its pieces: one for each word before, one for each line now."""
+    with open(PATH, encoding="utf-8") as f:
+        source = f.read()
+    line = "Le café n'était pas cher, il y avait 12 tables. " * 4
+    text = "\n".join([line.strip()] * 50)
+    assert coarse.is_plain(text)
+    own, form = rans._tokenizers((source, coarse.coarse_form(source)))
+    pieces = form.pre_tokenizer.pre_tokenize_str(coarse.as_bytes(text))
+    assert len(pieces) == 99 < len(own.pre_tokenizer.pre_tokenize_str(text)) / 20
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        {"normalizer": {"type": "NFC"}},
+        {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}},
+        {"pre_tokenizer": None},
+        {"merge": ["e", ","]},
+        {"merge": ["Â", "e"]},
+        {"merge": ["©", "e"]},
+        {"merge": ["Ċ", "a"]},
+    ],
+)
+def test_other_files_have_no_coarse_form(change):
+    with open(PATH, encoding="utf-8") as f:
+        file = json.load(f)
+    assert coarse.coarse_form(json.dumps(file)) is not None
+    if pair := change.pop("merge", None):
+        file["model"]["merges"].append(pair)
+        file["model"]["vocab"]["".join(pair)] = len(file["model"]["vocab"]) + 1
+    assert coarse.coarse_form(json.dumps(file | change)) is None
