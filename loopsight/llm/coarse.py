@@ -6,8 +6,9 @@ change ids only if some merged token could lie across it. ``coarse_form`` checks
 another boundary than those below, the library gets a form of the file whose bytes are the characters U+0000 to U+00FF
 (instead of the file's printable ones) and which cuts at these alone:
 
-* white space: a run but its last character, and each white space character other than a blank, is a pre-token;
-* contractions (``'s``) behind a letter, a digit or white space other than a blank.
+* before the last character of a run of white space, if a character before it begins a merged token of white space, and
+  behind line ends, which keeps pieces short;
+* behind contractions (``'s``) that follow a letter, a digit or white space other than a blank.
 
 No merge of a piece then lies across a boundary, so that the lowest-ranked merges inside each pre-token are made in the file's
 order and the ids are the file's. ``is_plain`` tells for which texts this holds; all others, and all texts if the
@@ -26,8 +27,8 @@ _TAIL = "\x80-\xbf"
 _LETTER = f"(?:[A-Za-z]|[\xc3-\xc9][{_TAIL}])"
 _OTHER = f"(?:[\\x00-\\x08\\x0e-\\x1f!-/:-@\\[-`{{-\\x7f]|\xc2[{_TAIL}]|\xe2[{_TAIL}]{{2}})"
 _CONTRACTION = "'(?:[stmd]|re|ve|ll)"
-#: The cuts of the coarse form; a match is a piece of its own.
-CUTS = f"[\\t-\\r ]+(?![^\\t-\\r ])|[\\t-\\r]|(?:(?<=[0-9A-Za-z\\t-\\r])|(?<=[\xc3-\xc9][{_TAIL}])){_CONTRACTION}"
+#: Cuts of the coarse form, beside those in white space: a piece ends with a match.
+_CUTS = f"\n|(?:(?<=[0-9A-Za-z\\t-\\r])|(?<=[\xc3-\xc9][{_TAIL}])){_CONTRACTION}"
 #: Tokens that can't lie across another boundary: those of one kind, parts of one character, and those with bytes that plain texts haven't.
 _INSIDE = re.compile(
     f".*(?:[\xc0\xc1\xca-\xe1\xe3-\xff]|\xc2[\x80-\xa0]).*| ?{_LETTER}+| ?[0-9]+| ?{_OTHER}+|[\\t-\\r ]+|{_CONTRACTION}|[{_TAIL}]{{1,3}}| ?[\xc2-\xc9\xe2][{_TAIL}]?", re.S
@@ -68,5 +69,8 @@ def coarse_form(source: str) -> str | None:
     if not all(_INSIDE.fullmatch(a + b) for a, b in merges):
         return None
     model |= {"vocab": {v.translate(to_byte): i for v, i in model["vocab"].items()}, "merges": merges}
-    cut = {"type": "Split", "pattern": {"Regex": CUTS}, "behavior": "Isolated", "invert": False}
+    # Those white space characters that are followed by another one in some token.
+    first = "".join(sorted({c for a, b in merges if not (a + b).strip("\t\n\v\f\r ") for c in (a + b)[:-1]}))
+    cuts = (f"[{first}][\\t-\\r ]*(?![^\\t-\\r ])|" if first else "") + _CUTS
+    cut = {"type": "Split", "pattern": {"Regex": cuts}, "behavior": "MergedWithPrevious", "invert": False}
     return json.dumps(file | {"model": model, "pre_tokenizer": cut, "decoder": None, "truncation": None, "padding": None})

@@ -83,24 +83,26 @@ def encode(ids: np.ndarray) -> bytes:
         rank[:n] = place[ids]
     else:
         rank[:n] = np.searchsorted(symbols, ids)
-    rank = rank.reshape(blocks, steps, LANES).transpose(1, 0, 2)
-    x = np.full((blocks, LANES), LOW, np.uint64)
-    words = np.zeros(rank.shape, np.uint32)
-    used = np.zeros(rank.shape, bool)
+    rank = np.ascontiguousarray(rank.reshape(blocks, steps, LANES).transpose(1, 0, 2)).reshape(steps, -1)
+    x = np.full(blocks * LANES, LOW, np.uint64)
+    words, used = np.empty(rank.shape, np.uint32), np.empty(rank.shape, bool)
     marks = range(0, steps, CHECKPOINT)
     states = np.zeros((len(marks), blocks, LANES), np.uint64)
-    top, bits = np.uint64(63 - scale), np.uint64(scale)
+    limit, gap = freq << np.uint64(63 - scale), np.uint64(1 << scale) - freq
     for t in range(steps - 1, -1, -1):
-        f = freq[rank[t]]
-        full = x >= (f << top)
-        words[t], used[t] = x & np.uint64(0xFFFFFFFF), full
+        r = rank[t]
+        full = np.greater_equal(x, limit.take(r), out=used[t])
+        words[t] = x  # the low 32 bits
         x = np.where(full, x >> np.uint64(32), x)
-        q = x // f
-        x = (q << bits) + (x - q * f) + cum[rank[t]]
+        q = x // freq.take(r)
+        q *= gap.take(r)
+        x += q
+        x += cum.take(r)
         if t % CHECKPOINT == 0:
-            states[t // CHECKPOINT] = x
-    before = np.concatenate([np.zeros((1, blocks), np.int64), np.cumsum(used.sum(axis=2), axis=0)])
-    streams = [words[:, b][used[:, b]] for b in range(blocks)]
+            states[t // CHECKPOINT] = x.reshape(blocks, LANES)
+    words, used = (np.ascontiguousarray(a.reshape(steps, blocks, LANES).transpose(1, 0, 2)) for a in (words, used))
+    before = np.concatenate([np.zeros((1, blocks), np.int64), np.cumsum(used.sum(axis=2).T, axis=0)])
+    streams = [words[b][used[b]] for b in range(blocks)]
     start = np.concatenate([[0], np.cumsum([len(s) for s in streams])])
     offsets = (before[list(marks)] + start[None, :-1]).astype("<u8")
     sums = np.array([zlib.crc32(ids[k : k + steps * LANES].astype("<u4").tobytes()) for k in range(0, blocks * steps * LANES, steps * LANES)], "<u4")
