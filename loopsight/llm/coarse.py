@@ -22,6 +22,9 @@ import re
 
 from .bpe import byte_characters
 
+#: Characters of a line from which on the merges of one long piece cost more than its cuts would (measured: 128,000 cost less, 1,000,000 more).
+LINE = 200_000
+
 _TAIL = "\x80-\xbf"
 #: UTF-8 bytes, as characters, of letters and of what is no letter, number or white space, in texts that are plain.
 _LETTER = f"(?:[A-Za-z]|[\xc3-\xc9][{_TAIL}])"
@@ -46,6 +49,11 @@ def is_plain(text: str) -> bool:
     return not _QUOTE.search(text) and (text.isascii() or not _STRANGE.search(text))
 
 
+def suits(text: str) -> bool:
+    """Whether the coarse form gives this text the file's ids at less cost."""
+    return (len(text) <= LINE or max(map(len, text.split("\n"))) <= LINE) and is_plain(text)
+
+
 def as_bytes(text: str) -> str:
     """The text's UTF-8 bytes as characters, which is how the coarse form takes it."""
     return text.encode().decode("latin-1")

@@ -1,8 +1,8 @@
 """Token ids in a binary file format coded by a static range asymmetric numeral system.
 
 Documents are dealt out by ranges of doc_id and sorted; the tokenizers library encodes each whole text, by the file's coarse form (see coarse.py)
-where that gives the file's ids; a task cuts its documents into segments of about SEGMENT ids. All blocks of a segment share one frequency table. A block's ids are dealt to LANES
-interleaved states with one word stream; every CHECKPOINT steps the states and the stream position are
+where that gives the file's ids at less cost; a task cuts its documents into segments of about SEGMENT ids. All blocks of a segment share
+one frequency table. A block's ids are dealt to LANES interleaved states with one word stream; every CHECKPOINT steps the states and the stream position are
 noted, so that decoding can start there, and each block has a checksum. Segments are rows of a Parquet
 table (Spark's committed writes survive lost executors); each can be decoded without any other.
 
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .coarse import as_bytes, coarse_form, is_plain
+from .coarse import as_bytes, coarse_form, suits
 from .common import materialise, small_batches
 
 SEGMENT = 2_000_000
@@ -164,7 +164,7 @@ def whole_texts(forms: tuple, texts: list[str]) -> Iterator[bytes]:
         held.append(text)
         size += len(text)
         if size >= TOGETHER or k + 1 == len(texts):
-            plain = [coarse is not None and is_plain(x) for x in held]
+            plain = [coarse is not None and suits(x) for x in held]
             some = iter(coarse.encode_batch_fast([as_bytes(x) for x, p in zip(held, plain) if p], add_special_tokens=False) if any(plain) else ())
             rest = iter(own.encode_batch_fast([x for x, p in zip(held, plain) if not p], add_special_tokens=False) if not all(plain) else ())
             for p in plain:

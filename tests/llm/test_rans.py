@@ -89,6 +89,12 @@ def test_plain_texts_are_cut_in_few_places():
     assert len(pieces) == 50 < len(own.pre_tokenizer.pre_tokenize_str(text)) / 20
 
 
+def test_texts_with_a_very_long_line_go_to_the_file_as_it_is():
+    assert coarse.suits("many words\n" * 60_000)
+    assert not coarse.suits("few words\n" + "many words " * 60_000)
+    assert not coarse.suits("so 'tis")
+
+
 @pytest.mark.parametrize(
     "change",
     [
