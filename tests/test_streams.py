@@ -56,6 +56,49 @@ def test_gate_keeps_its_window_over_batches_and_a_restart(spark, tmp_path):
     assert sorted((r["trigger_uuid"], r["subtype"], r["severity"]) for r in rows) == sorted((r["trigger_uuid"], r["subtype"], r["severity"]) for r in want)
 
 
+def test_scopes_of_a_bucket_are_as_the_batch_gate(spark, tmp_path):
+    """Many scopes in three states, replayed rows, rows out of order, names that are null or alike, and a scope that goes on after its state went."""
+    import random
+
+    r, rows, day = random.Random(3), [], sessions.DAY
+    for n, (s, a) in enumerate([(f"s{k}", x) for k in range(70) for x in ("root", "sub")] + [(None, "root"), ("null", "root"), ('["s1"', 'root"]')]):
+        for k in range(1, 16 + n % 20):
+            path = r.choice([None, "f", "g"])
+            rows.append({"session_id": s, "agent_scope": a, "seq": k, "uuid": f"{n}-{k}", "ts": 100_000 + 1000 * k, "tool": r.choice("AB"), "arg_key": "k", "result_class": r.choice(["ok", "ok", "error", None]), "file_path": path, "edit_tokens": path and r.sample("abcdefgh", 3)})
+    later = [{**x, "uuid": f"{x['uuid']}'", "ts": x["ts"] + 3 * day, "agent_scope": "root"} for x in rows if x["session_id"] == "s3" and x["agent_scope"] == "root"]
+    land = Landing(spark, tmp_path, source.ACTIONS, lambda s: sessions.gate_stream(s.dropDuplicatesWithinWatermark(["uuid"]), keep_ms=day, buckets=3))
+    late = {x["uuid"]: x["ts"] + r.randrange(8000) for x in rows}
+    order = sorted(rows, key=lambda x: late[x["uuid"]])
+    for part in (order[: len(order) // 3], order[len(order) // 4 : -500], order[-700:], *([{**rows[0], "uuid": f"day{k}", "session_id": "day", "ts": 2 * day + k}] for k in range(2)), later, [{**rows[0], "session_id": "~", "uuid": "~", "ts": END}]):
+        land.add(part)
+    got, batches = land.run()
+    assert len(batches) >= 7
+    state = lambda name: spark.read.format("statestore").option("operatorId", 0).option("stateVarName", name).load(str(tmp_path / "state")).count()
+    assert state("window") == 0 and state("pending") == 1  # all scopes are idle, the last record waits
+    batch = lambda part: gate.hits(spark.createDataFrame([tuple(x.values()) for x in part], source.ACTIONS).withColumn("session_id", F.coalesce("session_id", F.lit("none")))).collect()
+    want = [(x["session_id"], x["trigger_uuid"], x["subtype"], x["severity"]) for x in batch(rows) + batch(later)]
+    assert sorted((x["session_id"] or "none", x["trigger_uuid"], x["subtype"], x["severity"]) for x in got) == sorted(want) and len(want) > 500
+
+
+def test_chunks_make_their_rows_once(spark):
+    """And all tasks write them; each row comes as often as asked for, and chunks follow each other in time."""
+    from loopsight.plans.stream_queries import _chunks
+
+    made = spark.sparkContext.accumulator(0)
+
+    def value(x):
+        made.add(1)
+        return f"u{x}"
+
+    rows = spark.range(4000, numPartitions=4).select(F.udf(value, "string")("id").alias("uuid"), F.col("id").alias("ts"))
+    seen = []
+    for path in _chunks(rows, "once", {"uuid": "~"}, 3, copies=2):
+        seen.append({(r["uuid"], r["ts"]): r["count"] for r in spark.read.schema("uuid string, ts long").json(path).groupBy("uuid", "ts").count().collect()})
+    assert made.value == 4000 and len(seen) == 3 and len([f for f in os.listdir(path) if f.startswith("part")]) > 3 * 2
+    assert seen[-1] == {(f"u{k}", k): 2 for k in range(4000)} | {("~", END): 1}
+    assert all(len(a) < len(b) and max(ts for _, ts in a) < min(ts for _, ts in b.keys() - a.keys()) for a, b in zip(seen, seen[1:]))
+
+
 def test_debounce_over_batches(spark, tmp_path):
     """Window 60: of 0, 40, 80, 120, 145, 200 those at 0, 80, 145 go (40 and 120 are too close to the last sent); the order of arrival doesn't matter."""
     land = Landing(spark, tmp_path, "dedupe_key string, id long, ts long", lambda s: ledger.debounce_stream(s, Thresholds(debounce_ms=60)), "1 second")
