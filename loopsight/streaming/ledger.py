@@ -8,6 +8,7 @@ folder named by stream and batch, which a second run replaces. A new stream star
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.config import DEFAULTS, Thresholds
 from ..sources.tables import upsert_ledger
-from .sessions import Timed, typed_state
+from .sessions import BUCKETS, Bucket, Timed, bucket, typed_state
 from .stateful import due
 
 SCHEMA = "dedupe_key string, last_sent_ts long, send_count long, cooldown_until long"
@@ -114,14 +115,41 @@ class Debounce(Timed):
             yield pd.DataFrame(out, columns=["dedupe_key", "id", "ts"])
 
 
-def debounce_stream(messages: DataFrame, t: Thresholds = DEFAULTS, ledger: Ledger | None = None) -> DataFrame:
+class Debounces(Bucket):
+    """``Debounce`` for the keys of a bucket, in one state."""
+
+    KEYS, COLUMNS, SPARED, PART = ("dedupe_key",), ("dedupe_key", "id", "ts"), False, 1024
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        first, timer, known = self._state()
+        sent = {json.dumps([k]): int(ts) for k, ts in zip(initialState["dedupe_key"], initialState["last_sent_ts"])}
+        for name in known.in_order(sent):
+            known.put(name, [sent[name]])
+        self._saved(first, timer, known, timerValues.getCurrentWatermarkInMs())
+
+    def taken(self, key: tuple, rows: list[dict], known: list | None) -> tuple[list[tuple], list | None]:
+        last, out = known[0] if known else None, []
+        for r in sorted(rows, key=lambda r: (r["ts"], r["id"])):
+            if last is None or self.keep_ms <= 0 or r["ts"] - last >= self.keep_ms:
+                last = r["ts"]
+                out.append((*key, r["id"], last))
+        return out, [last] if out else None
+
+
+def debounce_stream(messages: DataFrame, t: Thresholds = DEFAULTS, ledger: Ledger | None = None, buckets: int = BUCKETS) -> DataFrame:
     """dedupe_key, id, ts of messages (dedupe_key, id, ts, with a watermark on event_time) that pass.
 
     ledger: what a stream without a checkpoint starts from; one that goes on from its checkpoint has its own state.
+    buckets: keys are dealt to so many states, so that a micro-batch costs by state and not by key; 0 gives each key its own, for streams
+    in which few keys are active at a time. It is fixed for a checkpoint.
     """
     typed_state(messages.sparkSession)
-    begun = ledger.read().select("dedupe_key", "last_sent_ts").groupBy("dedupe_key") if ledger else None
-    return messages.groupBy("dedupe_key").transformWithStateInPandas(Debounce(t.debounce_ms), SENT, "Append", "EventTime", initialState=begun)
+    begun = ledger.read().select("dedupe_key", "last_sent_ts") if ledger else None
+    if not buckets:
+        return messages.groupBy("dedupe_key").transformWithStateInPandas(Debounce(t.debounce_ms), SENT, "Append", "EventTime", initialState=begun.groupBy("dedupe_key") if ledger else None)
+    at = bucket("dedupe_key", n=buckets)
+    rows = messages.select(at, "ts", F.to_json(F.struct("dedupe_key", "ts", "id"), {"ignoreNullFields": "false"}).alias("body"), "event_time")
+    return rows.groupBy("bucket").transformWithStateInPandas(Debounces(t.debounce_ms), SENT, "Append", "EventTime", initialState=begun.select(at, "*").groupBy("bucket") if ledger else None)
 
 
 def sink(ledger: Ledger, messages: str, stream: str, window_ms: int) -> Callable[[DataFrame, int], None]:

@@ -110,6 +110,116 @@ def test_debounce_over_batches(spark, tmp_path):
     assert len(batches) >= 4 and sorted(r["id"] for r in rows if r["id"] >= 0) == [0, 80, 145]
 
 
+@pytest.mark.parametrize("buckets", [0, 1, 5])
+def test_debounced_keys_in_buckets_are_as_a_loop(spark, tmp_path, buckets):
+    """One state a key or for many keys, with a ledger to start from, equal times, a null key and a state that goes."""
+    import random
+
+    r, base, window = random.Random(5), 1_700_000_000_000, 60
+    book = ledger.Ledger(spark, str(tmp_path / "ledger"))
+    book.record(spark.createDataFrame([(f"k{k}", base - k % 80) for k in range(0, 3000, 2)], "dedupe_key string, ts long"), "before", 0, window)
+    rows = [(r.choice([None, *[f"k{k}" for k in range(60)], "k2999"]), n, r.randrange(600)) for n in range(1500)]
+    land = Landing(spark, tmp_path, "dedupe_key string, id long, ts long", lambda s: ledger.debounce_stream(s, Thresholds(debounce_ms=window), book, buckets), "0 milliseconds")
+    for a in range(0, 600, 150):
+        land.add([{"dedupe_key": k, "id": n, "ts": base + ts} for k, n, ts in rows if a <= ts < a + 150])
+    land.add([{"dedupe_key": "~", "id": -1, "ts": END}])
+    got, _ = land.run()
+    last, want = {f"k{k}": -(k % 80) for k in range(0, 3000, 2)}, []
+    for k, n, ts in sorted(rows, key=lambda x: (x[2], x[1])):
+        if k not in last or ts - last[k] >= window:
+            last[k] = ts
+            want.append((str(k), n))
+    assert sorted((str(x["dedupe_key"]), x["id"]) for x in got if x["id"] >= 0) == sorted(want) and len(want) > 300
+
+
+def test_a_bucket_costs_messages_by_state_and_not_by_key():
+    """Ten thousand keys with messages in one bucket: reads and writes of state are by part."""
+    import pandas as pd
+
+    class State(dict):
+        calls = 0
+
+        def getValue(self, k):
+            State.calls += 1
+            return self[k]
+
+        def updateValue(self, k, v):
+            State.calls += 1
+            self[k] = v
+
+        def removeKey(self, k):
+            State.calls += 1
+            del self[k]
+
+    class Value:
+        held = None
+
+        def get(self):
+            State.calls += 1
+            return self.held
+
+        def update(self, v):
+            State.calls += 1
+            self.held = v
+
+        def clear(self):
+            State.calls += 1
+            self.held = None
+
+    class List(Value):
+        def get(self):
+            State.calls += 1
+            return iter(self.held or [])
+
+        def appendValue(self, v):
+            State.calls += 1
+            self.held = [*(self.held or []), v]
+
+        put = Value.update
+
+    class Handle:
+        timers = []
+
+        def getMapState(self, *_):
+            self.map = State()
+            return self.map
+
+        def getListState(self, *_):
+            self.list = List()
+            return self.list
+
+        def getValueState(self, *_):
+            self.value = Value()
+            return self.value
+
+        def registerTimer(self, t):
+            State.calls += 1
+            self.timers.append(t)
+
+        def deleteTimer(self, t):
+            State.calls += 1
+            self.timers.remove(t)
+
+    class Times:
+        now = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    handle, times, debounces = Handle(), Times(), ledger.Debounces(50)
+    debounces.init(handle)
+    rows = [(f"k{k % 10_000}", k, 10 * (k // 10_000)) for k in range(30_000)]  # at 0, 10 and 20
+    body = [json.dumps({"dedupe_key": k, "ts": ts, "id": n}) for k, n, ts in rows]
+    assert list(debounces.handleInputRows((0,), iter([pd.DataFrame({"ts": [r[2] for r in rows], "body": body})]), times)) == []
+    times.now = handle.timers.pop()
+    sent = pd.concat(debounces.handleExpiredTimer((0,), times, None))
+    assert len(sent) == 10_000 and set(sent["ts"]) == {0} and State.calls < 100
+    while handle.timers:
+        times.now = handle.timers.pop()
+        assert list(debounces.handleExpiredTimer((0,), times, None)) == []
+    assert not handle.map and not handle.list.held and handle.value.held is None and State.calls < 200
+
+
 def test_orphans_wait_five_seconds_and_state_goes(spark, tmp_path):
     land = Landing(spark, tmp_path, "session_id string, uuid string, parent_uuid string, ts long", stateful.orphan_stream, "0 seconds")
     e = lambda u, p, ts: {"session_id": "s", "uuid": u, "parent_uuid": p, "ts": 1_700_000_000_000 + ts}
